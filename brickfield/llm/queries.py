@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickfield.llm import decontam, mixing, pii, secrets
+from brickfield.llm import decontam, mixing, pii, secrets, simhash
 from brickfield.llm.common import materialize, word_count
 
 
@@ -16,6 +16,10 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op7_secrets, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op7_secrets, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
