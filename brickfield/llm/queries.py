@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickfield.llm import decontam, mixing, pii, secrets, simhash
-from brickfield.llm.common import materialize, word_count
+from brickfield.llm import decontam, mixing, pii, secrets, simhash, tokens
+from brickfield.llm.common import materialize, new_path, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """Path of the tokenizer that the token-id output uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(spark, table(spark, sf_dir, "documents"), new_path(spark, "tokens"), vocabulary())
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
@@ -34,5 +45,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op7_secrets, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op4_tokens, op7_secrets, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
