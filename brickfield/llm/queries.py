@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickfield.llm import decontam, mixing, pii, secrets, simhash, tokens
+from brickfield.llm import decontam, mixing, pii, secrets, simhash, tokens, topk, warc
 from brickfield.llm.common import materialize, new_path, word_count
 
 
@@ -31,6 +31,14 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(spark, table(spark, sf_dir, "documents"), new_path(spark, "tokens"), vocabulary())
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(spark, table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
@@ -45,5 +53,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op4_tokens, op7_secrets, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
