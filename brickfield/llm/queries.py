@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickfield.llm import decontam, mixing, pii, secrets, simhash, tokens, topk, warc
+from brickfield.llm import decontam, mixing, pii, quality, secrets, simhash, tokens, topk, warc
 from brickfield.llm.common import materialize, new_path, word_count
 
 
@@ -43,6 +43,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = materialize(docs.select("doc_id", "source", word_count(docs["text"]).alias("size")), "mix-sizes")
@@ -53,5 +57,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op8_quality, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
