@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brickfield.llm import decontam, mixing, pii, quality, secrets, simhash, tokens, topk, warc
 from brickfield.llm.common import materialize, new_path, word_count
+from brickfield.llm.oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +59,3 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontam, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op8_quality, op9_mixing, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
