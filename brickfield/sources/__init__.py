@@ -1 +1 @@
-
+"""Readers of volumes, points and graphs."""
