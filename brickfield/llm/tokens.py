@@ -18,6 +18,7 @@ columns are not written.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -36,9 +37,9 @@ REMEMBERED = 600_000
 #: Words encoded in one call.
 TOGETHER = 256
 #: Documents looked up at once.
-DOCS = 256
-#: ASCII punctuation that never joins a word before it; the apostrophe does.
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+DOCS = 1000
+#: A word of Latin letters (in UTF-8, up to U+024F), then ASCII punctuation. The apostrophe, which may join both, is left out.
+WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -47,6 +48,35 @@ def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path)
 
 
+class Numbers(dict):
+    """Numbers of byte strings; one that is asked for and new takes the next number and waits."""
+
+    def __init__(self, *known: bytes):
+        super().__init__((x, i) for i, x in enumerate(known))
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, x: bytes) -> int:
+        self[x] = n = len(self)
+        self.waiting.append(x)
+        return n
+
+    def taken(self) -> list[bytes]:
+        new, self.waiting = self.waiting, []
+        return new
+
+
+class Table:
+    """Ids by number: those of number i are flat[start[i] : start[i + 1]]."""
+
+    def __init__(self, *rows: list[int]):
+        self.flat, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.add([np.array(r, dtype=np.uint32) for r in rows], [len(r) for r in rows])
+
+    def add(self, ids: list[np.ndarray], counts: list[int] | np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, *ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts, dtype=np.int64)])
+
+
 class Encoder:
     """Ids of texts, as the tokenizers library gives them without special tokens around them."""
 
@@ -63,74 +93,61 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {b"": 0}
-        self.words: dict[bytes, list[int]] = {}
-        self.flat, self.start = array("I", [self.end_id]), array("q", [0, 1])
-
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def learn_words(self, words: list[bytes]) -> None:
-        """Encodes plain words many at a time; ids that end a word tell them apart, and a batch that doesn't add up goes one by one."""
-        batches = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        # A piece is a word and a rest, each by its number, and either may be empty; piece 0 is the end id.
+        self.pieces, self.parts = Numbers(b""), (array("i", [0]), array("i", [1]))
+        self.words, self.rests = Numbers(b""), Numbers(b"", b"\0 end")
+        self.word_ids, self.rest_ids = Table([]), Table([], [self.end_id])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Splits new pieces, and encodes new words and rests."""
+        of_word, of_rest = self.parts
+        words, rests = self.words, self.rests
+        for p in self.pieces.taken():
+            if m := WORD(p):
+                w = m[1]
+                of_word.append(words[w.lower() if w.isascii() else w])
+                of_rest.append(rests[m[2]])
+            else:
+                of_word.append(0)
+                of_rest.append(rests[p])
+        # Many words at a time; ids that end a word tell them apart, and a batch that doesn't add up goes one by one.
+        new, found, counts = words.taken(), [], []
+        batches = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
         for batch, ids in zip(batches, self.encode([b" ".join(b).decode() for b in batches])):
-            ids = np.array(ids, dtype=np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(batch) and cuts[-1] == len(ids):
-                parts = [p.tolist() for p in np.split(ids, cuts[:-1])]
+                found.append(ids)
+                counts += np.diff(cuts, prepend=0).tolist()
             else:
-                parts = self.encode([w.decode() for w in batch])
-            self.words.update(zip(batch, parts))
-
-    def learn(self, pieces: set[bytes]) -> None:
-        if len(self.place) > REMEMBERED:
-            self.forget()
-        split, other, words = [], [], set()
-        for piece in pieces:
-            word = piece.rstrip(TAIL)
-            text = word.decode()
-            if text.isalpha() and max(text) < "ɐ":
-                word = word.lower() if text.isascii() else word
-                tail = piece[len(word) :]
-                split.append((piece, word, tail))
-                words.add(word)
-                if tail and tail not in self.words:
-                    other.append(tail)
-            else:
-                other.append(piece)
-        self.learn_words([w for w in words if w not in self.words])
-        other = list(dict.fromkeys(other))
-        whole = dict(zip(other, self.encode([x.decode() for x in other])))
-        for piece, word, tail in split:
-            if tail and tail not in self.words:
-                self.words[tail] = whole[tail]
-            self.add(piece, self.words[word] + (self.words[tail] if tail else []))
-        for piece in other:
-            if piece not in self.place:
-                self.add(piece, whole[piece])
-
-    def add(self, piece: bytes, ids: list[int]) -> None:
-        self.place[piece] = len(self.start) - 1
-        self.flat.extend(ids)
-        self.start.append(len(self.flat))
+                found += (single := self.encode([w.decode() for w in batch]))
+                counts += [len(x) for x in single]
+        self.word_ids.add(found, counts)
+        single = self.encode([r.decode() for r in rests.taken()])
+        self.rest_ids.add(single, [len(x) for x in single])
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of each text's."""
-        pieces = [(t or b"").split() for t in texts]
-        seen = set().union(*pieces)
-        new = seen.difference(self.place)
-        if new:
-            if len(self.place) + len(new) > REMEMBERED:
-                self.forget()
-                new = seen
-            self.learn(new)
-        place = self.place.__getitem__
-        at = np.concatenate([np.fromiter(map(place, p), dtype=np.int64, count=len(p)) if i else np.zeros(1, dtype=np.int64) for p in pieces for i in (1, 0)] or [np.zeros(0, dtype=np.int64)])
-        start = np.frombuffer(self.start, dtype=np.int64)
-        first, count = start[at], start[at + 1] - start[at]
+        if len(self.pieces) > REMEMBERED:
+            self.forget()
+        pieces: list[bytes] = []
+        last = np.zeros(len(texts), dtype=np.int64)
+        for i, t in enumerate(texts):
+            pieces += (t or b"").split()
+            last[i] = 2 * len(pieces) + 1
+            pieces.append(b"")
+        at = np.fromiter(map(self.pieces.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        self.learn()
+        first, count = np.empty((len(at), 2), dtype=np.int64), np.empty((len(at), 2), dtype=np.int64)
+        for k, (part, table, offset) in enumerate(zip(self.parts, (self.word_ids, self.rest_ids), (0, len(self.word_ids.flat)))):
+            number = np.frombuffer(part, dtype=np.int32)[at]
+            first[:, k], count[:, k] = offset + table.start[number], table.start[number + 1] - table.start[number]
+        first, count = first.ravel(), count.ravel()
         upto = np.cumsum(count)
-        ids = np.frombuffer(self.flat, dtype=np.uint32)[np.repeat(first - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)]
-        last = np.cumsum([len(p) + 1 for p in pieces]) - 1
+        flat = np.concatenate([self.word_ids.flat, self.rest_ids.flat])
+        ids = flat[np.repeat(first - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)]
         return ids.astype(self.kind), np.diff(upto[last], prepend=0)
 
 
