@@ -19,8 +19,8 @@ def with_halo(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], na
     """
     grid = Grid(tuple(b + 2 * m for b, m in zip(block, margin)))
     for axis, b, m in zip(AXES, block, margin):
-        first, last = F.floor((F.col(axis) - m) / b), F.floor((F.col(axis) + m) / b)
-        voxels = voxels.withColumn(f"b{axis}", F.explode(F.sequence(first, last)).cast("int"))
+        first, last = F.floor((F.col(axis) - m) / b).cast("int"), F.floor((F.col(axis) + m) / b).cast("int")
+        voxels = voxels.withColumn(f"b{axis}", F.explode(F.sequence(first, last)))
     for axis, b, m in zip(AXES, block, margin):
         voxels = voxels.withColumn(axis, F.col(axis) - F.col(f"b{axis}") * b + m)
     cell = F.struct(grid.index(*map(F.col, AXES)).cast("int").alias("i"), F.col(name).alias("v"))
