@@ -6,15 +6,18 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values of a linear congruential generator modulo 2**31.
 FACTOR, STEP, MODULUS = 1103515245, 12345, 1 << 31
+#: Rounds; each folds the high bits, which a generator of this kind mixes well, into the low ones. Without that, draws of
+#: neighbouring salts would differ by a constant.
+ROUNDS = 2
 
 
 def mixed(seed: Column, salt: Column | int) -> Column:
     """A whole number in [0, 2**31)."""
     salt = salt if isinstance(salt, Column) else F.lit(salt)
-    x = F.pmod(seed.cast("long") * 48271 + salt.cast("long") * 69621 + 7, F.lit(MODULUS))
-    for _ in range(2):
-        x = F.pmod(x * FACTOR + STEP, F.lit(MODULUS))
-    return x
+    x = F.pmod(F.pmod(seed.cast("long"), F.lit(MODULUS)) * 48271 + salt.cast("long") * 69621 + 7, F.lit(MODULUS))
+    for _ in range(ROUNDS):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * FACTOR + STEP, F.lit(MODULUS))
+    return x.bitwiseXOR(F.shiftright(x, 15))
 
 
 def uniform(seed: Column, salt: Column | int) -> Column:
@@ -30,10 +33,10 @@ def below(seed: Column, salt: Column | int, n: Column | int) -> Column:
 
 def mixed_sql(seed: str, salt: str | int) -> str:
     """The same as mixed(), as SQL over numbers that are not negative."""
-    x = f"((({seed})::BIGINT * 48271 + ({salt})::BIGINT * 69621 + 7) % {MODULUS})"
-    for _ in range(2):
-        x = f"(({x} * {FACTOR} + {STEP}) % {MODULUS})"
-    return x
+    x = f"((({seed})::BIGINT % {MODULUS} * 48271 + ({salt})::BIGINT * 69621 + 7) % {MODULUS})"
+    for _ in range(ROUNDS):
+        x = f"((xor({x}, {x} >> 15) * {FACTOR} + {STEP}) % {MODULUS})"
+    return f"xor({x}, {x} >> 15)"
 
 
 def uniform_sql(seed: str, salt: str | int) -> str:

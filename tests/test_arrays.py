@@ -158,3 +158,10 @@ def test_bad_crop_fraction():
     with pytest.raises(ValueError):
         V.crop_fraction(Box((0, 0, 0), (4, 4, 4)), (0.5, 0, 0), (0.5, 0, 0))
     assert V.crop_fraction(Box((200, 20, 20), (1800, 180, 180)), (0.25, 0, 0), (0.25, 0, 0)) == Box((650, 20, 20), (900, 180, 180))
+
+
+def test_draws_of_neighbouring_salts_are_apart(spark):
+    df = spark.range(5000)
+    u = df.select(*[uniform(F.col("id"), k).alias(f"u{k}") for k in range(4)]).toPandas()
+    assert u.corr().to_numpy()[~np.eye(4, dtype=bool)].__abs__().max() < 0.06
+    assert len({tuple(r) for r in (u * 6).astype(int).to_numpy()}) > 1150
