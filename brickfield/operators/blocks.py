@@ -224,3 +224,8 @@ def deform(data: Column, grid: Grid, source) -> Column:
 def prepare_malis(labels: Column, ignore: Column) -> tuple[Column, Column]:
     """The labels for the negative pass, with ignored voxels as a label of their own, and for the positive pass."""
     return F.zip_with(labels, ignore, lambda v, keep: F.when(keep == 0, F.array_max(labels) + 1).otherwise(v)), labels
+
+
+def exclusive_zone(mask: Column, grid: Grid, radius: float, size: Sequence[float] = (1, 1, 1)) -> Column:
+    """0 in the ring that enlarging mask adds to it, 1 elsewhere."""
+    return F.zip_with(enlarge(mask, grid, radius, size), mask, lambda e, m: 1 - F.when((e > 0) & ~(m > 0), 1).otherwise(0))

@@ -205,3 +205,15 @@ def last_of(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def blobs(nodes: DataFrame, labels: DataFrame, radius: float, box: Box, size: Sequence[float] = (1, 1, 1)) -> DataFrame:
+    """A ball of each node's id within its own label (z, y, x, label); nodes whose ball leaves box have none. The largest id stands."""
+    reach = [math.ceil(radius / s) for s in size]
+    inner = box.grow([-r for r in reach], [-r for r in reach])
+    at = voxel_of(F.col("loc"), size)
+    rows = nodes.select("id", *[c.alias(a) for c, a in zip(at, "zyx")]).where(inner.holds(F.col("z"), F.col("y"), F.col("x")))
+    own = rows.join(labels, ["z", "y", "x"]).withColumnRenamed("label", "own")
+    table = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("zyx", o)]) for o in ball(radius, size)])
+    spread = own.withColumn("o", F.explode(table)).select("id", "own", *[(F.col(a) + F.col(f"o.{a}")).alias(a) for a in "zyx"])
+    return spread.join(labels, ["z", "y", "x"]).where("own = label").groupBy("z", "y", "x").agg(F.max("id").alias("value"))

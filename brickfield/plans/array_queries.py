@@ -177,3 +177,29 @@ SELECT batch_id, z, y, x, CASE WHEN lo = hi THEN m WHEN EXISTS (SELECT 1 FROM b
 def enlarge_mask(spark: SparkSession, d: str) -> DataFrame:
     rows = blocks(spark, d).select("batch_id", F.transform("label", lambda v: F.when(v > 2, 1).otherwise(0)).alias("m"))
     return cells(rows.select("batch_id", B.enlarge(F.col("m"), GRID, 2.0, (2, 1, 1)).alias("mask")), GRID, "mask")
+
+
+@query(VOX + """, b AS (SELECT batch_id, z, y, x, mask AS m, min(mask) OVER w AS lo, max(mask) OVER w AS hi FROM lab WINDOW w AS (PARTITION BY batch_id))
+SELECT batch_id, z, y, x, CASE WHEN lo < hi AND m = 0 AND EXISTS (SELECT 1 FROM b o WHERE o.batch_id = b.batch_id AND o.m > 0 AND (o.z - b.z) ** 2 + (o.y - b.y) ** 2 + (o.x - b.x) ** 2 <= 1) THEN 0 ELSE 1 END AS free FROM b""")
+def exclusive_zone(spark: SparkSession, d: str) -> DataFrame:
+    return cells(blocks(spark, d).select("batch_id", B.exclusive_zone(F.col("mask"), GRID, 1.0).alias("free")), GRID, "free")
+
+
+def moved_sql(axis: int) -> str:
+    """The jitter along an axis between control points four voxels apart: in a volume of four, those of the corners."""
+    terms = []
+    for corner in range(8):
+        step = [corner >> 2 & 1, corner >> 1 & 1, corner & 1]
+        weight = " * ".join(f"({a} / 4.0::DOUBLE)" if s else f"(1 - {a} / 4.0::DOUBLE)" for a, s in zip(AXES, step))
+        place = (step[0] * 31 + step[1]) * 37 + step[2] + 5003
+        terms.append(f"{weight} * ({uniform_sql('batch_id', place * 3 + axis)} - 0.5)")
+    return f"({' + '.join(terms)}) * {(12 ** 0.5)}::DOUBLE"
+
+
+@query(VOX + f""", s AS (SELECT batch_id, z, y, x, {', '.join(f'floor({a} + {moved_sql(i)} + 0.5)::BIGINT AS s{a}' for i, a in enumerate(AXES))} FROM vox)
+SELECT s.batch_id, s.z, s.y, s.x, coalesce(v, 0.0) AS value FROM s LEFT JOIN vox o ON o.batch_id = s.batch_id AND o.z = sz AND o.y = sy AND o.x = sx""")
+def elastic_deform(spark: SparkSession, d: str) -> DataFrame:
+    from brickfield.operators.deform import deform_block
+
+    data = deform_block(F.col("value"), GRID, F.col("batch_id"), (4.0, 4.0, 4.0), (1.0, 1.0, 1.0))
+    return cells(blocks(spark, d).select("batch_id", data.alias("value")), GRID, "value")

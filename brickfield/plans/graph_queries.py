@@ -167,3 +167,12 @@ def nearest_points(spark: SparkSession, d: str) -> DataFrame:
     found = J.within_radius(rows, rows, ("z", "y", "x"), 20.0).where("id <> id_r")
     w = Window.partitionBy("id").orderBy("d2", "id_r")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("id", F.col("id_r").alias("other"), "rank")
+
+
+@query(PTS + f""", {ball_sql(2)}, own AS (SELECT id, z, y, x, {PARITY} AS label FROM pts WHERE z >= 12 AND z < 68 AND y >= 302 AND y < 1098 AND x >= 7 AND x < 63),
+near AS (SELECT id, z + a AS z, y + b AS y, x + c AS x, label AS own FROM own, balls) SELECT z, y, x, max(id) AS value FROM near WHERE {PARITY} = own GROUP BY z, y, x""")
+def blobs_from_points(spark: SparkSession, d: str) -> DataFrame:
+    nodes = points(spark, d)
+    grid = G.rasterize(nodes, 2.0, box=BOX)
+    labels = grid.select("z", "y", "x", ((F.floor(F.col("z") / 3) + F.floor(F.col("y") / 40) + F.floor(F.col("x") / 20)) % 2).alias("label"))
+    return G.blobs(nodes, labels, 2.0, BOX)
