@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: ASCII white space, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows (doc_id, hash of the text) of a broadcast list of documents to drop at most; about 50 bytes each.
+MOST_DROPPED = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -57,6 +59,11 @@ def ranked(df: DataFrame, tag: str, *order: Column) -> DataFrame:
     return part.withColumn("rank", F.create_map(*before)[F.col("_p")].cast("long") + F.col("_i")).drop("_p", "_i")
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast by a join while it has at most so many rows; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone."""
     return F.translate(text, UPPER, LOWER)

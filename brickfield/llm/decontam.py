@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.llm.common import ascii_lower, materialize
+from brickfield.llm.common import MOST_DROPPED, ascii_lower, bounded, materialize
 
 #: A word of a text whose A-Z are lower-cased, and the same of any text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,10 +59,6 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("window", "width").agg(F.collect_set("item").alias("items"))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """A row per distinct (doc_id, text): copies, n_words, hits (start, width in words) and items."""
     windows = materialize(windows_of(benchmark, width), "decontam-windows")
@@ -78,7 +74,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFr
     grams = windows.select(F.lit(None).cast("long").alias("gram")).limit(0)
     for s in sets:
         grams = grams.unionByName(s)
-    grams = bounded(materialize(grams.distinct().withColumn("seen", F.lit(True)), "decontam-grams"))
+    grams = bounded(materialize(grams.distinct().withColumn("seen", F.lit(True)), "decontam-grams"), MOST_BROADCAST)
 
     scan = docs.select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("w")).withColumn("n_words", n.cast("long"))
     # Outer, though probes are never empty: else the optimizer infers a filter that computes them, words and all, twice.
@@ -91,7 +87,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFr
     tries = F.transform(starts, lambda s: F.struct(s.alias("start"), ascii_lower(run_of(F.col("w"), s, F.col("width"))).alias("window")))
     tries = F.when(F.col("width") > 0, tries)
     tried = found.withColumn("tries", tries).select("doc_id", "row", "n_words", "width", F.inline_outer("tries"))
-    hits = tried.join(bounded(windows), ["window", "width"], "left").where((F.col("width") == 0) | F.col("items").isNotNull())
+    hits = tried.join(bounded(windows, MOST_BROADCAST), ["window", "width"], "left").where((F.col("width") == 0) | F.col("items").isNotNull())
     per_doc = hits.groupBy("doc_id", "row").agg(
         F.count(F.when(F.col("width") == 0, 1)).alias("copies"), F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("width") > 0, F.struct("start", "width"))).alias("hits"),
@@ -117,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove
     found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("hit_words").alias("_hit")), "decontam-hits")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
     if remove == "documents":
-        return docs.join(found, same, "left_anti")
+        return docs.join(bounded(found.select("_id", "_row"), MOST_DROPPED), same, "left_anti")
     words, between = words_of(F.col("text")), F.split("text", ANY_WORD, -1)
     kept = F.filter(F.transform(words, lambda w, i: F.when(~F.array_contains(F.col("_hit"), i), F.concat(w, F.get(between, i + 1)))), lambda x: x.isNotNull())
     cut = F.concat(F.get(between, F.lit(0)), F.array_join(kept, ""))

@@ -200,7 +200,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score below THRESHOLD."""
-    scored = quality_scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    bad = materialize(scored.distinct(), "quality-bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left_anti")
+    """docs without those that score below THRESHOLD. Each task scores and drops its rows, so no text is shuffled."""
+    model = train(materialize(describe(docs), "quality-statistics"), labels)
+    at = docs.columns.index("text")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t or b"") for t in b.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, len(STATISTICS))
+            yield b.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(kernel, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.llm.common import materialize
+from brickfield.llm.common import MOST_DROPPED, bounded, materialize
 
 BITS = 64
 #: Children of an index node, and members of a leaf.
@@ -238,5 +238,5 @@ def keep_one(docs: DataFrame, reach: int = 2) -> DataFrame:
     each = rows.groupBy("doc_id", "row").agg(F.count("*").alias("copies"))
     gone = each.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_anti")
     gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "simhash-gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left_anti")
+    kept = docs.join(bounded(gone, MOST_DROPPED), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left_anti")
     return kept if each.where("copies > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
