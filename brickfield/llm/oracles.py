@@ -30,6 +30,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN per_doc USING (doc_id) LEFT JOIN per_item USING (doc_id)
 """
 
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations
+), p AS (
+  SELECT conv_id, place, n_turns, list(sha256(role || chr(0) || text)) OVER (PARTITION BY conv_id ORDER BY place) AS said FROM t
+), whole AS (SELECT said, n_turns, min(conv_id) AS conv_id FROM p WHERE place = n_turns GROUP BY ALL
+), stay AS (SELECT * FROM whole WHERE said NOT IN (SELECT said FROM p WHERE place < n_turns))
+SELECT t.conv_id, t.n_turns, (t.place - 1) // 1000 AS part, string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY t.place) AS text
+FROM t JOIN stay s ON s.conv_id = t.conv_id GROUP BY ALL
+"""
+
 TOP_K = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -149,5 +161,5 @@ PII = (
 )
 
 ORACLE_SQL = {
-    "op1_decontam": LEAKS, "op5_topk": TOP_K, "op6_warc": WARC, "op7_secrets": SECRETS, "op9_mixing": MIX, "op10_pii": PII,
+    "op1_decontam": LEAKS, "op2_chat": CHAT, "op5_topk": TOP_K, "op6_warc": WARC, "op7_secrets": SECRETS, "op9_mixing": MIX, "op10_pii": PII,
 }
