@@ -59,11 +59,23 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("window", "width").agg(F.collect_set("item").alias("items"))
 
 
+def around(probes: DataFrame) -> DataFrame:
+    """probes with `near`, the words of all windows that may hold the gram at `at`, from `base` on, instead of w.
+
+    They start at most a step less one before it.
+    """
+    step = F.col("width") - F.floor((F.col("width") + 1) / 2).cast("int") + 1
+    rows = probes.withColumn("base", F.greatest(F.col("at") - step + 1, F.lit(0)))
+    near = F.when(F.col("width") > 0, F.slice("w", F.col("base") + 1, F.col("at") - F.col("base") + F.col("width")))
+    return rows.withColumn("near", near).drop("w")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """A row per distinct (doc_id, text): copies, n_words, hits (start, width in words) and items."""
     windows = materialize(windows_of(benchmark, width), "decontam-windows")
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # at most `width` numbers
-    sets, probes = [], [F.array(F.struct(F.lit(0).alias("width"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("gram")))]
+    # A probe of width 0 stands for the document itself; its hash is its own, so a shuffle spreads these too.
+    sets, probes = [], [F.array(F.struct(F.lit(0).alias("width"), F.lit(0).alias("at"), F.coalesce("row", F.lit(0)).alias("gram")))]
     n = F.size("w")
     for k in widths:
         g, step = shape(k)
@@ -74,17 +86,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFr
     grams = windows.select(F.lit(None).cast("long").alias("gram")).limit(0)
     for s in sets:
         grams = grams.unionByName(s)
-    grams = bounded(materialize(grams.distinct().withColumn("seen", F.lit(True)), "decontam-grams"), MOST_BROADCAST)
+    grams = materialize(grams.distinct().withColumn("seen", F.lit(True)), "decontam-grams")
+    small = grams.count() <= MOST_BROADCAST
 
     scan = docs.select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("w")).withColumn("n_words", n.cast("long"))
     # Outer, though probes are never empty: else the optimizer infers a filter that computes them, words and all, twice.
     probed = scan.withColumn("probes", F.concat(*probes)).select("doc_id", "row", "n_words", "w", F.inline_outer("probes"))
-    found = probed.join(grams, "gram", "left").where((F.col("width") == 0) | F.col("seen"))
+    is_hit = (F.col("width") == 0) | F.col("seen")
+    # A probe takes the words around it along; before a shuffle rather than the whole text's, which would be there for each.
+    found = around(probed.join(F.broadcast(grams), "gram", "left").where(is_hit)) if small else around(probed).join(grams.hint("merge"), "gram", "left").where(is_hit)
 
-    # The windows that may hold a gram found at `at` start at most step - 1 words before it.
-    step = F.col("width") - F.floor((F.col("width") + 1) / 2).cast("int") + 1
-    starts = F.filter(F.sequence(F.col("at") - step + 1, F.col("at")), lambda s: (s >= 0) & (s + F.col("width") <= F.size("w")))
-    tries = F.transform(starts, lambda s: F.struct(s.alias("start"), ascii_lower(run_of(F.col("w"), s, F.col("width"))).alias("window")))
+    starts = F.filter(F.sequence("base", "at"), lambda s: s + F.col("width") <= F.col("base") + F.size("near"))
+    tries = F.transform(starts, lambda s: F.struct(s.alias("start"), ascii_lower(run_of(F.col("near"), s - F.col("base"), F.col("width"))).alias("window")))
     tries = F.when(F.col("width") > 0, tries)
     tried = found.withColumn("tries", tries).select("doc_id", "row", "n_words", "width", F.inline_outer("tries"))
     hits = tried.join(bounded(windows, MOST_BROADCAST), ["window", "width"], "left").where((F.col("width") == 0) | F.col("items").isNotNull())
