@@ -1,5 +1,5 @@
 """Operators on voxel rows: batch_id, z, y, x (voxel indices) and value. All are projections or filters, but where a
-slab's mean or a section's range is asked for."""
+slab's mean or a section's range is joined."""
 
 from __future__ import annotations
 
@@ -87,9 +87,16 @@ def slab_key(slab: Sequence[int]) -> list[Column]:
     return [F.floor(F.col(a) / s) if s > 0 else F.lit(0) for a, s in zip(AXES, slab)]
 
 
-def in_slab(value: Column, slab: Sequence[int], reduce=F.avg) -> Column:
-    """value reduced over each batch's slab."""
-    return reduce(value).over(Window.partitionBy("batch_id", *slab_key(slab)))
+def with_slab(voxels: DataFrame, slab: Sequence[int], **aggregates: Column) -> DataFrame:
+    """voxels with aggregates over each batch's slab.
+
+    They are summed up where the voxels lie and joined back, one row a slab, so no slab meets in one task; the joined side
+    is small enough to be broadcast unless volumes have very many slabs.
+    """
+    keys = {f"_s{i}": k for i, k in enumerate(slab_key(slab))}
+    rows = voxels.withColumns(keys)
+    per = rows.groupBy("batch_id", *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return rows.join(per, ["batch_id", *keys]).drop(*keys)
 
 
 def scale_contrast(value: Column, mean: Column, scale: Column, shift: Column, clip: bool = True) -> Column:
@@ -100,9 +107,9 @@ def scale_contrast(value: Column, mean: Column, scale: Column, shift: Column, cl
 
 def zero_const_sections(voxels: DataFrame, value: str = "value") -> DataFrame:
     """Sections along z that hold one value become 0."""
-    section = Window.partitionBy("batch_id", "z")
-    same = F.min(value).over(section) == F.max(value).over(section)
-    return voxels.withColumn(value, F.when(same, F.lit(0).cast(voxels.schema[value].dataType)).otherwise(F.col(value)))
+    kind = voxels.schema[value].dataType
+    rows = with_slab(voxels, (1, -1, -1), _low=F.min(value), _high=F.max(value))
+    return rows.withColumn(value, F.when(F.col("_low") == F.col("_high"), F.lit(0).cast(kind)).otherwise(F.col(value))).drop("_low", "_high")
 
 
 def shift_sections(voxels: DataFrame, moves: DataFrame, box: Box) -> DataFrame:
@@ -118,10 +125,10 @@ def shift_sections(voxels: DataFrame, moves: DataFrame, box: Box) -> DataFrame:
 
 def damage_sections(voxels: DataFrame, draw: Column, *, missing: float, low_contrast: float, contrast_scale: float) -> DataFrame:
     """Each section by its draw in [0, 1): missing (0), of low contrast around its mean, or as it is."""
-    section = Window.partitionBy("batch_id", "z")
-    mean = F.avg("value").over(section)
-    flat = (F.col("value") - mean) * contrast_scale + mean
-    return voxels.withColumn("_u", draw).withColumn("value", F.when(F.col("_u") < missing, 0.0).when(F.col("_u") < missing + low_contrast, flat).otherwise(F.col("value"))).drop("_u")
+    rows = with_slab(voxels, (1, -1, -1), _mean=F.avg("value")).withColumn("_u", draw)
+    flat = (F.col("value") - F.col("_mean")) * contrast_scale + F.col("_mean")
+    value = F.when(F.col("_u") < missing, 0.0).when(F.col("_u") < missing + low_contrast, flat).otherwise(F.col("value"))
+    return rows.withColumn("value", value).drop("_u", "_mean")
 
 
 def blend(voxels: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -114,8 +114,8 @@ FROM (SELECT *, avg(v) OVER (PARTITION BY batch_id, z) AS m FROM (SELECT batch_i
 def intensity_slab(spark: SparkSession, d: str) -> DataFrame:
     rows = voxels(spark, d).withColumn("value", F.abs("value"))
     scale, shift = uniform(F.col("batch_id"), F.col("z") + 40) + 0.5, (uniform(F.col("batch_id"), F.col("z") + 80) - 0.5) * 0.2
-    mean = V.in_slab(F.col("value"), (1, -1, -1))
-    return tidy(rows.withColumn("value", V.scale_contrast(F.col("value"), mean, scale, shift)), "value", digits=6)
+    rows = V.with_slab(rows, (1, -1, -1), mean=F.avg("value"))
+    return tidy(rows.withColumn("value", V.scale_contrast(F.col("value"), F.col("mean"), scale, shift)), "value", digits=6)
 
 
 @query(VOX + "SELECT batch_id, z, y, x, CASE WHEN min(label) OVER w = max(label) OVER w THEN 0 ELSE label END AS label FROM (SELECT batch_id, z, y, x, CASE WHEN label > 0 THEN 1 ELSE 0 END AS label FROM lab) WINDOW w AS (PARTITION BY batch_id, z)")

@@ -128,7 +128,7 @@ EDGES = """, faces AS (SELECT o.batch_id, 2 * o.z + a AS z, 2 * o.y + b AS y, 2
 @query(VOX + EDGES + """SELECT o.batch_id, o.z, o.y, o.x, round(CASE WHEN label > 0 THEN least(2.0, coalesce(min(sqrt((f.z - 2 * o.z) ** 2 + (f.y - 2 * o.y) ** 2 + (f.x - 2 * o.x) ** 2) / 2), 2.0)) ELSE 0.0 END, 6) + 0.0 AS distance
 FROM lab o LEFT JOIN faces f ON f.batch_id = o.batch_id GROUP BY o.batch_id, o.z, o.y, o.x, label""")
 def boundary_distance(spark: SparkSession, d: str) -> DataFrame:
-    return cells(blocks(spark, d).select("batch_id", B.boundary_distance(F.col("label"), GRID, 2.0).alias("distance")), GRID, "distance", digits=6)
+    return cells(B.boundary_distance(blocks(spark, d), GRID, 2.0), GRID, "distance", digits=6)
 
 
 def slope(axis: str) -> str:
