@@ -38,8 +38,9 @@ REMEMBERED = 600_000
 TOGETHER = 256
 #: Documents looked up at once.
 DOCS = 1000
-#: A word of Latin letters (in UTF-8, up to U+024F), then ASCII punctuation. The apostrophe, which may join both, is left out.
-WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: A word of Latin letters (in UTF-8, up to U+024F), then ASCII punctuation. The apostrophe, which may join both, is left out,
+#: and so is U+0130, whose lower case ends in a combining dot that joins the punctuation.
+WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:

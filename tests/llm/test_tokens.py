@@ -28,6 +28,14 @@ def test_encoder_equals_library(tokenizer):
         assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
+def test_latin_words_before_punctuation(tokenizer):
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = [w + p for c in letters for w in (c, "K" + c, "K" + c + "e" + c) for p in (",", ".", "?!", ")", "…")] + ["Kİ, KİŞİ. İİ- İ"]
+    ids, counts = tokens.Encoder(vocabulary(), 1)([t.encode() for t in texts])
+    found = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_encoder_forgets(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     encoder = tokens.Encoder(vocabulary(), 1)
