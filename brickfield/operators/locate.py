@@ -5,12 +5,14 @@ Draws are columns of the request, made from its seed (functions.draws), so any p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.draws import below, uniform
 from brickfield.functions.geometry import Box
+from brickfield.functions.scratch import written
 from brickfield.operators.graphs import numbered
 from brickfield.operators.joins import within_radius
 
@@ -53,6 +55,36 @@ def accepted(candidates: DataFrame, ratio: Column, least: float) -> DataFrame:
     return good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def masked(requests: DataFrame, integrals: DataFrame, keys: Sequence[str], shape: Sequence[int], upstream: Box, least: float, axes: str = "zyx", attempts: int = 4) -> DataFrame:
+    """Each of requests (request, seed, keys) with attempt and b_<axis>: a box of `shape` whose masked ratio is at least `least`.
+
+    The first good one of `attempts` draws serves a request; the others draw among all good places of their volume, by
+    their numbers, and have `attempts` as attempt. Either way every good place is as likely. Where a volume has none,
+    attempt and b_<axis> are null. integrals (keys, axes, integral) are of the mask.
+    """
+    size = float(math.prod(shape))
+    tries = requests.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    for k, (a, s, b, n) in enumerate(zip(axes, shape, upstream.begin, upstream.shape)):
+        if s > n:
+            raise ValueError(f"the requested box does not fit upstream along {a}")
+        tries = tries.withColumn(f"b_{a}", F.lit(b) + below(F.col("seed"), F.col("attempt") * 10 + k, n - s + 1)).withColumn(f"e_{a}", F.col(f"b_{a}") + s)
+    tries = tries.withColumn("id", F.struct("request", "attempt"))
+    begins = [f"b_{a}" for a in axes]
+    served = accepted(tries.join(box_sums(tries, integrals, keys, axes).select("id", "total"), "id"), F.col("total") / size, least)
+    served = written(served.select("request", F.col("attempt").cast("long").alias("attempt"), *begins), "masked")
+    rest = requests.join(served, "request", "left_anti")
+    places = integrals.join(rest.select(*keys).distinct(), list(keys), "left_semi")
+    for a, s, b, n in zip(axes, shape, upstream.begin, upstream.shape):
+        places = places.where((F.col(a) >= b) & (F.col(a) + s <= b + n)).withColumn(f"b_{a}", F.col(a).cast("long")).withColumn(f"e_{a}", F.col(a) + s)
+    places = places.select(F.struct(*begins).alias("id"), *keys, *begins, *[f"e_{a}" for a in axes])
+    good = box_sums(places, integrals, keys, axes).where(F.col("total") / size >= least).select(*keys, *[F.col(f"id.{b}").alias(b) for b in begins])
+    good = numbered(good, *keys, *begins)  # a volume's places follow each other
+    spans = good.groupBy(*keys).agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    drawn = rest.join(spans, list(keys), "left").withColumn("number", F.col("first") + below(F.col("seed"), attempts * 10, F.col("n")))
+    drawn = drawn.join(good.select("number", *begins), "number", "left")
+    return served.unionByName(drawn.select("request", F.when(F.col("first").isNotNull(), F.lit(attempts)).cast("long").alias("attempt"), *begins))
+
+
 def rejected(batches: DataFrame, ratio: Column, least: float, probability: float = 1.0, seed: Column | None = None) -> DataFrame:
     """batches whose masked ratio exceeds `least`; others stay if their draw exceeds probability."""
     keep = ratio > least

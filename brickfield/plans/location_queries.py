@@ -57,6 +57,22 @@ def random_location_masked(spark: SparkSession, d: str) -> DataFrame:
     return good.select("request", F.col("attempt").cast("long").alias("attempt"), "b_z", "b_y", "b_x")
 
 
+@query(VOX + f""", req AS (SELECT o_orderkey AS request, o_orderkey % (SELECT count(*) FROM embeddings) AS batch_id FROM orders),
+good AS (SELECT batch_id, bz, by_, bx, row_number() OVER (PARTITION BY batch_id ORDER BY bz, by_, bx) - 1 AS number, count(*) OVER (PARTITION BY batch_id) AS places
+  FROM (SELECT batch_id, bz, by_, bx FROM lab, range(0, 3) r(bz), range(0, 3) s(by_), range(0, 3) q(bx) WHERE z >= bz AND z < bz + 2 AND y >= by_ AND y < by_ + 2 AND x >= bx AND x < bx + 2
+  GROUP BY ALL HAVING sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) >= 4)),
+tries AS (SELECT request, batch_id, t AS attempt, {TRY.format(u=uniform_sql('request', 't * 10'))} AS bz, {TRY.format(u=uniform_sql('request', 't * 10 + 1'))} AS by_, {TRY.format(u=uniform_sql('request', 't * 10 + 2'))} AS bx FROM req, range(0, 4) r(t)),
+pick AS (SELECT request, min(attempt) AS attempt, arg_min(g.bz, attempt) AS bz, arg_min(g.by_, attempt) AS by_, arg_min(g.bx, attempt) AS bx FROM tries t JOIN good g ON g.batch_id = t.batch_id AND g.bz = t.bz AND g.by_ = t.by_ AND g.bx = t.bx GROUP BY request)
+SELECT request, attempt, bz AS b_z, by_ AS b_y, bx AS b_x FROM pick UNION ALL
+SELECT r.request, CASE WHEN g.bz IS NOT NULL THEN 4 END, g.bz, g.by_, g.bx FROM req r LEFT JOIN good g ON g.batch_id = r.batch_id AND g.number = floor({uniform_sql('r.request', 40)} * g.places)::BIGINT WHERE r.request NOT IN (SELECT request FROM pick)""")
+def random_location_masked_all(spark: SparkSession, d: str) -> DataFrame:
+    """random_location_masked, with the requests that its four attempts leave out."""
+    rows = labelled(spark, d).withColumn("m", F.when(F.col("label") > 0, 1).otherwise(0))
+    volumes = table(spark, d, "embeddings").agg(F.count("*").alias("volumes"))
+    asked = requests(spark, d).crossJoin(F.broadcast(volumes)).select("request", "seed", (F.col("request") % F.col("volumes")).alias("batch_id"))
+    return L.masked(asked, L.integral(rows, ["batch_id"], "m"), ["batch_id"], (2, 2, 2), Box((0, 0, 0), (4, 4, 4)), 0.5)
+
+
 @query(VOX + "SELECT batch_id, z, y, x, (sum(label) OVER (PARTITION BY batch_id, z, y ORDER BY x))::BIGINT AS row_sum, (SELECT sum(k.label) FROM lab k WHERE k.batch_id = o.batch_id AND k.z <= o.z AND k.y <= o.y AND k.x <= o.x)::BIGINT AS integral FROM lab o")
 def integral_image(spark: SparkSession, d: str) -> DataFrame:
     rows = L.integral(labelled(spark, d).withColumn("label", F.col("label").cast("long")), ["batch_id"], "label")
