@@ -10,7 +10,8 @@ block is searched in every shard. A shard answers with at most k rows a query.
 
 Components are floor(scale * x) with x as double. Defined cases: null vectors and vectors with a null or non-finite
 component take no part; shorter vectors count as ending in zeros; a query's own row is every row of its vec_id; rows that
-repeat under one vec_id are candidates each; scores are exact while they fit in a signed long; ties go to the smaller
+repeat under one vec_id are candidates each, and queries each whose answers are ranked together under its query_id, so a
+query row that stands twice has each answer twice among its k; scores are exact while they fit in a signed long; ties go to the smaller
 vec_id; an empty table gives an empty result; extra columns are not read.
 """
 

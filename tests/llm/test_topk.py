@@ -1,9 +1,11 @@
 import math
 import random
 
+import duckdb
 import pytest
 
 from brickfield.llm import topk
+from brickfield.llm.oracles import ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +37,17 @@ def test_matches_brute_force(spark, vectors, monkeypatch, shard, block, leaf):
     assert sorted(map(tuple, topk.top_k(df).collect())) == expected([(r[0], r[1]) for r in floats])
 
 
+@pytest.mark.parametrize("shard, block, leaf", [(1 << 16, 1 << 13, 256), (60, 2, 8)])
+def test_repeated_queries_equal_sql(spark, vectors, monkeypatch, tmp_path, shard, block, leaf):
+    for name, value in (("SHARD", shard), ("BLOCK", block), ("LEAF", leaf)):
+        monkeypatch.setattr(topk, name, value)
+    again = [*[r for r in vectors if r[1] != []], (200, [-1.0] * 6), (200, [0.5, 2.0]), vectors[300], vectors[300]]
+    df = spark.createDataFrame(again, "vec_id long, embedding array<float>").repartition(4)
+    df.write.parquet(f"{tmp_path}/v")
+    want = duckdb.connect().execute(ORACLE_SQL["op5_topk"].replace("FROM embeddings", f"FROM '{tmp_path}/v/*.parquet'")).fetchall()
+    assert len(want) > 10 and sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 0)]
