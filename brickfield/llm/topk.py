@@ -5,8 +5,8 @@ most and keeps each node's tight bounding box. A query visits nodes best first b
 allows, and stops at the first node that can't reach its kth score so far. The kth scores propagate: a first pass finds
 each query's k best in the shard that holds it, and all shards start from that kth score.
 
-Queries come in blocks of at most BLOCK rows, one broadcast at a time, so what is broadcast is bounded at any size; each
-block is searched in every shard. A shard answers with at most k rows a query.
+Queries stay in a table. They are dealt to every shard and stand there after the shard's rows, so its tree is built once
+for all of them and they pass it in blocks of at most BLOCK rows. A shard answers with at most k rows a query row.
 
 Components are floor(scale * x) with x as double. Defined cases: null vectors and vectors with a null or non-finite
 component take no part; shorter vectors count as ending in zeros; a query's own row is every row of its vec_id; rows that
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from brickfield.llm.common import materialize
 
-#: Rows in a shard, queries in a broadcast block, and rows in a tree's leaf.
+#: Rows in a shard, rows read at once, and rows in a tree's leaf.
 SHARD, BLOCK, LEAF = 1 << 16, 1 << 13, 256
+#: Queries whose bounds are computed at once.
+SEARCHED = 256
 
 
 class KDTree:
@@ -103,47 +105,73 @@ def stack(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def search(sharded: DataFrame, block: list, width: int, k: int, everywhere: bool) -> DataFrame:
-    """query_id, score and vec_id: each shard's best rows for the block's queries (vec_id, shard, vector, least score).
-
-    Unless everywhere, a query is searched in its own shard alone.
-    """
-    wanted = sharded.sparkSession.sparkContext.broadcast(block)
-
-    def answers(ids: list[int], rows: list[np.ndarray], shard: int) -> pa.RecordBatch:
-        queries = [q for q in wanted.value if everywhere or q[1] == shard]
-        out: dict[str, list[int]] = {"query_id": [], "score": [], "vec_id": []}
-        if queries:
-            tree = KDTree(np.array(ids, dtype=np.int64), np.concatenate(rows))
-            for i in range(0, len(queries), 256):
-                part = queries[i : i + 256]
-                vectors = np.zeros((len(part), width), dtype=np.int64)
-                for row, q in zip(vectors, part):
-                    row[: len(q[2])] = q[2]
-                for q, vector, bounds in zip(part, vectors, tree.bounds(vectors)):
-                    for score, minus in tree.best(q[0], vector, bounds, k, q[3]):
-                        out["query_id"].append(q[0])
+def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, list]]:
+    """shard, whether these are queries, ids, vectors and least scores of rows that stand together, at most BLOCK of them."""
+    for b in batches:
+        shards, asks = b.column("shard").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), b.num_rows]
+        for first, end in zip(cuts, cuts[1:]):
+            for start in range(first, end, BLOCK):
+                part = b.slice(start, min(BLOCK, end - start))
+                yield int(shards[start]), bool(asks[start]), part.column("vec_id").to_numpy(), stack(part.column("v"), width), part.column("least").to_pylist()
+
+
+def own_kth(sharded: DataFrame, width: int, k: int, every: int) -> DataFrame:
+    """vec_id, v and least of each query row: its kth score in its own shard, null where that has fewer than k others."""
+
+    def answers(shard: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = (np.concatenate(x) for x in zip(*shard))
+        places = np.flatnonzero(ids % every == 0)
+        tree = KDTree(ids, vectors) if len(places) else None
+        for i in range(0, len(places), SEARCHED):
+            part = places[i : i + SEARCHED]
+            least = []
+            for q, vector, bounds in zip(ids[part].tolist(), vectors[part], tree.bounds(vectors[part])):
+                found = tree.best(q, vector, bounds, k, None)
+                least.append(min(found)[0] if len(found) == k else None)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * width, pa.int32()), pa.array(vectors[part].ravel()))
+            yield pa.record_batch({"vec_id": pa.array(ids[part]), "v": lists, "least": pa.array(least, pa.int64())})
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for shard, _, ids, vectors, _ in runs(batches, width):
+            if shard != at and rows:
+                yield from answers(rows)
+                rows = []
+            at = shard
+            rows.append((ids, vectors))
+        if rows:
+            yield from answers(rows)
+
+    return sharded.mapInArrow(kernel, "vec_id long, v array<long>, least long")
+
+
+def search(rows: DataFrame, width: int, k: int) -> DataFrame:
+    """query_id, score and vec_id: each shard's best rows for the queries dealt to it, which stand after its own rows."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard_rows, tree = None, [], None
+        for shard, asks, ids, vectors, least in runs(batches, width):
+            if shard != at:
+                at, shard_rows, tree = shard, [], None
+            if not asks:
+                shard_rows.append((ids, vectors))
+                continue
+            if tree is None:
+                if not shard_rows:
+                    continue
+                tree, shard_rows = KDTree(*(np.concatenate(x) for x in zip(*shard_rows))), []
+            out: dict[str, list[int]] = {"query_id": [], "score": [], "vec_id": []}
+            for i in range(0, len(ids), SEARCHED):
+                part = slice(i, i + SEARCHED)
+                for q, vector, bounds, kth in zip(ids[part].tolist(), vectors[part], tree.bounds(vectors[part]), least[part]):
+                    for score, minus in tree.best(q, vector, bounds, k, kth):
+                        out["query_id"].append(q)
                         out["score"].append(score)
                         out["vec_id"].append(-minus)
-        return pa.record_batch({n: pa.array(x, pa.int64()) for n, x in out.items()})
+            yield pa.record_batch({n: pa.array(x, pa.int64()) for n, x in out.items()})
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, rows = -1, [], []
-        for b in batches:
-            shards = b.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), b.num_rows]
-            for start, end in zip(cuts, cuts[1:]):
-                if start < end:
-                    if shards[start] != shard and ids:
-                        yield answers(ids, rows, shard)
-                        ids, rows = [], []
-                    shard = int(shards[start])
-                    ids += b.column("vec_id").slice(start, end - start).to_pylist()
-                    rows.append(stack(b.column("v").slice(start, end - start), width))
-        if ids:
-            yield answers(ids, rows, shard)
-
-    return sharded.mapInArrow(kernel, "query_id long, score long, vec_id long")
+    return rows.mapInArrow(kernel, "query_id long, score long, vec_id long")
 
 
 def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -151,18 +179,12 @@ def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 102
     rows = materialize(integers(vectors, scale), "topk-vectors")
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     shards, width = max(1, -(-size["n"] // SHARD)), size["width"] or 0
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    sharded = materialize(sharded.repartition(shards, "shard").sortWithinPartitions("shard"), "topk-shards") if shards > 1 else sharded.coalesce(1)
-    queries = sharded.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)))
-    found = None
+    none = F.lit(None).cast("long").alias("least")
+    sharded = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v", none)
+    own = sharded.repartition(shards, "shard").sortWithinPartitions("shard") if shards > 1 else sharded.coalesce(1)
+    queries = materialize(own_kth(own, width, k, every), "topk-queries")
+    wanted = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v", "least")
+    dealt = sharded.unionByName(wanted).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
     in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    for i in range(blocks):
-        block = [(r["vec_id"], r["shard"], r["v"], None) for r in queries.where(F.col("block") == i).collect()]
-        first = search(sharded, block, width, k, False).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-        kth = {r["query_id"]: r["kth"] for r in first.collect() if r["n"] == k}  # of at most a block's queries
-        answers = search(sharded, [(q, s, v, kth.get(q)) for q, s, v, _ in block], width, k, True)
-        found = answers if found is None else found.unionByName(answers)
-    ranked = found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
+    ranked = search(dealt, width, k).withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

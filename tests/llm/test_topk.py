@@ -48,6 +48,18 @@ def test_repeated_queries_equal_sql(spark, vectors, monkeypatch, tmp_path, shard
     assert len(want) > 10 and sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
 
 
+def test_queries_stay_in_tables(spark, monkeypatch):
+    """However many blocks the queries fill, none of them reaches the driver."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    got, collect = [], type(df).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: got.append(rows := collect(self)) or rows)
+        m.setattr(type(spark.sparkContext), "broadcast", lambda self, x: pytest.fail("queries were broadcast"))
+        found = topk.top_k(df, every=3)
+    assert sum(map(len, got)) <= 1 and found.count() == 20 * 10
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 0)]
