@@ -5,11 +5,13 @@ Bucketing replaces the nested loop of a range predicate; a point lies in one buc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.geometry import Box
+from brickfield.functions.scratch import written
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], bucket: Sequence[int], how: str = "inner") -> DataFrame:
@@ -41,6 +43,29 @@ def nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radi
     return within_radius(left, right, axes, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radius: float, key: str, other: str) -> DataFrame:
+    """The k nearest of right of each of left at any distance, without rows of its own id, ties to the smaller id.
+
+    The search begins within radius, and those of left that have fewer than k there are sought again with twice the radius,
+    until all have k or everything is covered.
+    """
+    found, both = None, left.select(*axes).union(right.select(*axes))
+    ends = both.agg(*[(F.max(a) - F.min(a)).cast("double").alias(a) for a in axes]).first()
+    all_of_it = math.hypot(*[ends[a] or 0.0 for a in axes])
+    w = Window.partitionBy(key)
+    while True:
+        pairs = within_radius(left, right, axes, radius).where(F.col(key) != F.col(f"{other}_r"))
+        ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("d2", f"{other}_r"))).where(F.col("rank") <= k)
+        last = radius >= all_of_it
+        kept = written(ranked if last else ranked.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == k).drop("_n"), "nearest")
+        found = kept if found is None else found.unionByName(kept)
+        if last:
+            return found
+        left, radius = written(left.join(kept.select(key).distinct(), key, "left_anti").select(*left.columns), "nearest-left"), 2 * radius
+        if left.isEmpty():
+            return found
+
+
 def overlap(boxes: DataFrame, others: DataFrame, axes: Sequence[str], bucket: Sequence[int]) -> DataFrame:
     """Pairs of boxes that overlap; others' columns have suffix _o. A pair is kept in its first shared bucket alone."""
     others = others.toDF(*[f"{c}_o" for c in others.columns])

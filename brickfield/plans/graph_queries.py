@@ -169,6 +169,15 @@ def nearest_points(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("id", F.col("id_r").alias("other"), "rank")
 
 
+@query(PTS + """SELECT id, other, rank FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2 + (a.z - b.z) ** 2, b.id) AS rank
+  FROM pts a JOIN pts b ON a.id <> b.id) WHERE rank <= 2""")
+def nearest_points_all(spark: SparkSession, d: str) -> DataFrame:
+    """nearest_points, without its radius of 20."""
+    rows = points(spark, d).select("id", "z", "y", "x")
+    found = J.k_nearest(rows, rows, ("z", "y", "x"), 2, 20.0, "id", "id")
+    return found.select("id", F.col("id_r").alias("other"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(PTS + f""", {ball_sql(2)}, own AS (SELECT id, z, y, x, {PARITY} AS label FROM pts WHERE z >= 12 AND z < 68 AND y >= 302 AND y < 1098 AND x >= 7 AND x < 63),
 near AS (SELECT id, z + a AS z, y + b AS y, x + c AS x, label AS own FROM own, balls) SELECT z, y, x, max(id) AS value FROM near WHERE {PARITY} = own GROUP BY z, y, x""")
 def blobs_from_points(spark: SparkSession, d: str) -> DataFrame:

@@ -115,3 +115,12 @@ def test_providers(spark):
     rows = spark.range(4000).select(L.choose_provider(F.col("id"), (1, 3)).alias("p")).groupBy("p").count().collect()
     counts = {r["p"]: r["count"] for r in rows}
     assert abs(counts[1] / 4000 - 0.75) < 0.05
+
+
+def test_k_nearest_at_any_distance(spark):
+    rows = [(i, (i * 7) % 13, (i * 5) % 11) for i in range(20)] + [(50, 300, 0), (51, 900, 900), (52, 905, 900)]
+    p = spark.createDataFrame(rows, "id long, y long, x long")
+    for k in (3, 30):
+        got = sorted((r["id"], r["rank"], r["id_r"]) for r in J.k_nearest(p, p, ("y", "x"), k, 4.0, "id", "id").collect())
+        order = {i: sorted(((y - b) ** 2 + (x - c) ** 2, j) for j, b, c in rows if j != i)[:k] for i, y, x in rows}
+        assert got == sorted((i, n + 1, j) for i, near in order.items() for n, (_, j) in enumerate(near))
