@@ -1,6 +1,8 @@
 """Every query that has SQL against DuckDB on the smallest tables, in one pass; and what must hold of the registry."""
 
 import math
+import os
+import shutil
 import subprocess
 import sys
 
@@ -47,3 +49,17 @@ def test_registry_without_the_text_operators(tmp_path):
     root = entry.__file__.rsplit("/", 1)[0]
     out = subprocess.run([sys.executable, "-c", code % root], capture_output=True, text=True, cwd=tmp_path)
     assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL)), "False"], out.stderr
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_registry_in_a_copy_without_the_folders(tmp_path, pipeline):
+    """The other queries are there and run where the text operators' folders are gone, with their pipeline or without."""
+    root, copy = os.path.dirname(os.path.abspath(entry.__file__)), tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"])))
+    code = (
+        "import __spark_entry__ as e; from pyspark.sql import SparkSession; assert e.__file__.startswith(%r), e.__file__; "
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "
+        "print(len(e.queries()), len(e.oracle_sql()), e.queries()['roi_crop'](s, %r).count())"
+    )
+    out = subprocess.run([sys.executable, "-c", code % (str(copy), SF)], capture_output=True, text=True, cwd=copy)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL)), str(500 * 18)], out.stderr
