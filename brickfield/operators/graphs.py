@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.geometry import Box
@@ -13,6 +15,8 @@ from brickfield.operators.blocks import ball
 
 #: Rounds of components() at most; the number needed grows with the logarithm of the edges.
 ROUNDS = 40
+#: Edges that a task joins at once.
+CHUNK = 1 << 20
 
 
 def inside(loc: Column, box: Box) -> Column:
@@ -98,17 +102,52 @@ def upsert(nodes: DataFrame, more: DataFrame) -> DataFrame:
     return nodes.join(more.select("id"), "id", "left_anti").unionByName(more)
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """Edges u > v with the components of edges, as far as each task's own are joined already: a star around the smallest node.
+
+    Tasks join CHUNK edges at once, so chains and trees that lie together shrink before anything is shuffled.
+    """
+
+    def star(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(ids))
+        while len(a):
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        moved = root != np.arange(len(ids))
+        return pa.record_batch({"u": pa.array(ids[moved]), "v": pa.array(ids[root[moved]])})
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n >= CHUNK:
+                yield star(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield star(*(np.concatenate(x) for x in zip(*held)))
+
+    pairs = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
+    return pairs.mapInArrow(kernel, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u and the smallest node v of its component, for every node but those smallest ones.
 
-    Alternating star rounds: neighbours above a node go to its smallest neighbour, then those below it do. Each round is
-    written, so no lineage grows and a lost executor costs one round at most.
+    Each task joins what edges it holds. Alternating star rounds join the rest: neighbours above a node go to its smallest
+    neighbour, then those below it do. Each step is written, so no lineage grows and a lost executor costs one at most.
+    Rounds end when the edges are stars: no node goes to two others, and none that is gone to goes on.
     """
-    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    pairs = written(pairs, "stars")
-    last = _mark(pairs)
+    pairs = written(spanning(edges).distinct(), "stars")
     for _ in range(ROUNDS):
-        if not last[0]:
+        ends = pairs.groupBy("u").agg(F.count("*").alias("n"))
+        onward = pairs.select(F.col("v").alias("u")).join(ends.select("u"), "u", "left_semi")
+        if ends.where("n > 1").isEmpty() and onward.isEmpty():
             return pairs
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -117,17 +156,9 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m"))
         pairs = written(small.where("u > v").distinct(), "stars")
-        now = _mark(pairs)
-        if now == last:
-            return pairs
-        last = now
     raise RuntimeError(f"components not joined after {ROUNDS} rounds")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component, its smallest id."""
     found = components(edges).toDF("id", "component")
