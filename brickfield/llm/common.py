@@ -1,67 +1,40 @@
-"""Helpers shared by the text operators: scratch tables, distributed ranks, row ids."""
+"""Helpers shared by the text operators: written tables, bounded broadcasts, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from brickfield.functions.scratch import new_path, written  # noqa: F401
 
 #: ASCII white space, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows (doc_id, hash of the text) of a broadcast list of documents to drop at most; about 50 bytes each.
 MOST_DROPPED = 500_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a temporary folder; a cluster must set it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="brickfield-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+#: Bytes of strings in a broadcast table at most.
+MOST_BYTES = 32 << 20
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back; this cuts its lineage."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    return written(df, tag)
 
-def ranked(df: DataFrame, tag: str, *order: Column) -> DataFrame:
-    """Adds `rank` (from 0) in the given order, without sorting in one task.
 
-    Rows are dealt by range and numbered in each partition; only the partitions' sizes reach the driver.
-    """
-    part = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    part = materialize(part, tag)
-    sizes = sorted((r["_p"], r["n"]) for r in part.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    before, at = [], 0
-    for p, n in sizes:
-        before += [F.lit(p), F.lit(at)]
-        at += n
-    if not before:
-        return part.drop("_p", "_i").withColumn("rank", F.lit(0).cast("long"))
-    return part.withColumn("rank", F.create_map(*before)[F.col("_p")].cast("long") + F.col("_i")).drop("_p", "_i")
+def bounded(df: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """df, to be broadcast by a join while it has at most so many rows and its strings so many bytes; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if fits(df, most, most_bytes) else df.hint("merge")
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast by a join while it has at most so many rows; beyond that the join shuffles both sides."""
-    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+def fits(df: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> bool:
+    """True if df has at most so many rows, and its strings, those in arrays too, at most so many bytes in all."""
+    sizes = [F.lit(0)]
+    for f in df.schema.fields:
+        if f.dataType.simpleString() == "string":
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif f.dataType.simpleString() == "array<string>":
+            sizes.append(F.coalesce(F.aggregate(f.name, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 40), F.lit(0)))
+    found = df.agg(F.count("*").alias("n"), F.sum(sum(sizes[1:], sizes[0]).cast("long")).alias("bytes")).first()
+    return found["n"] <= most and (found["bytes"] or 0) <= most_bytes
 
 
 def ascii_lower(text: Column) -> Column:

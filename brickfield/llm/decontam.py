@@ -7,7 +7,8 @@ is hit.
 Every window of L words holds L - g + 1 grams of g words, one of which starts at a multiple of L - g + 1 words in the
 document, wherever the window lies. So it is enough to probe each document's grams at those multiples against the hash
 set of all the windows' grams; the few that are found are verified by comparing whole windows. The set is broadcast while
-it has at most MOST_BROADCAST rows; beyond that both joins shuffle on their hashes.
+it has at most MOST_BROADCAST rows, and so are the windows while their strings have at most common.MOST_BYTES besides;
+beyond that each join shuffles on its keys.
 
 Defined cases: null or empty texts have no words and are never hit; an item without words gives no window, one without an
 id is named by the empty string; repeated rows are reported as often as they stand; an empty benchmark hits nothing;
@@ -18,12 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.llm.common import MOST_DROPPED, ascii_lower, bounded, materialize
+from brickfield.llm.common import MOST_DROPPED, ascii_lower, bounded, fits, materialize
 
 #: A word of a text whose A-Z are lower-cased, and the same of any text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of a broadcast gram set or window table at most (about 100 bytes each).
+#: Rows of a broadcast gram set (a hash each) or window table at most; a window table is bounded in bytes too.
 MOST_BROADCAST = 2_000_000
 
 
@@ -87,7 +88,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFr
     for s in sets:
         grams = grams.unionByName(s)
     grams = materialize(grams.distinct().withColumn("seen", F.lit(True)), "decontam-grams")
-    small = grams.count() <= MOST_BROADCAST
+    small = fits(grams, MOST_BROADCAST)
 
     scan = docs.select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("w")).withColumn("n_words", n.cast("long"))
     # Outer, though probes are never empty: else the optimizer infers a filter that computes them, words and all, twice.

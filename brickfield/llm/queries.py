@@ -54,8 +54,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = materialize(docs.select("doc_id", "source", word_count(docs["text"]).alias("size")), "mix-sizes")
-    return mixing.mix_sources(sized, size="size").select("doc_id", "size", "source_size", "target", "taken")
+    sized = materialize(docs.select("doc_id", "source", word_count(docs["text"]).alias("words")), "mix-words")
+    return mixing.mix_sources(sized, size="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

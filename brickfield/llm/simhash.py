@@ -8,7 +8,7 @@ some pair of equal blocks; a shard over MOST_IN_SHARD fingerprints is dealt once
 its shard every fingerprint is looked up in an index: members in the order of their Gray rank, so that neighbours differ
 in few bits; each node holds the bits that its whole group shares and its parent doesn't, and a group is left out as soon
 as the differences added up on the way down exceed reach. A shard passes on a spanning star for each component it sees, at
-most one edge per fingerprint and no pairs. Alternating large-star and small-star rounds join the stars of all shards.
+most one edge per fingerprint and no pairs. operators.graphs.components joins the stars of all shards.
 
 Defined cases: null, empty and blank texts have the fingerprint zero and are linked like any other; documents of equal
 fingerprints are one group; component_id is the smallest non-null doc_id of a group, or null if it has none; repeated
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brickfield.llm.common import MOST_DROPPED, bounded, materialize
+from brickfield.operators.graphs import components
 
 BITS = 64
 #: Children of an index node, and members of a leaf.
@@ -34,8 +35,6 @@ FAN = 16
 MOST_IN_SHARD = 1024
 #: Look-ups that go down the index together, and hashes whose bits are counted together.
 TOGETHER, HASHES = 512, 1 << 15
-#: Star rounds at most; the number needed grows with the logarithm of the input.
-ROUNDS = 40
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -190,31 +189,6 @@ def links(prints: DataFrame, reach: int) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """u and v, the smallest node of u's component, for every node but those smallest ones. edges: u > v, long."""
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    edges = materialize(edges, "stars")
-    last = mark(edges)
-    for _ in range(ROUNDS):
-        if not last[0]:
-            return edges
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(edges.join(least, "u").select("u", F.col("m").alias("v")))
-        large = materialize(large.where("u > v").distinct(), "stars")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u > v").distinct(), "stars")
-        now = mark(edges)
-        if now == last:
-            return edges
-        last = now
-    raise RuntimeError(f"components not joined after {ROUNDS} rounds")
-
-
 def group_documents(docs: DataFrame, reach: int = 2) -> DataFrame:
     """doc_id, row (a hash of the text), fp, root and component_id of every row."""
     prints = materialize(fingerprints(docs), "simhash-prints")
