@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values of a linear congruential generator modulo 2**31.
@@ -31,6 +34,23 @@ def below(seed: Column, salt: Column | int, n: Column | int) -> Column:
     return F.floor(uniform(seed, salt) * n).cast("long")
 
 
+def normal(seed: Column, salt: int) -> Column:
+    """A standard normal number, from the draws of salt and salt + 1."""
+    return F.sqrt(-2 * F.log(1 - uniform(seed, salt))) * F.cos(F.lit(2 * math.pi) * uniform(seed, salt + 1))
+
+
+def chosen(seed: Column, salt: int, weights: Sequence[float]) -> Column:
+    """A whole number below len(weights), drawn by weight."""
+    u, total, at, out = uniform(seed, salt), sum(weights), 0.0, F.lit(len(weights) - 1)
+    ends = []
+    for w in weights[:-1]:
+        at += w / total
+        ends.append(at)
+    for i in reversed(range(len(ends))):
+        out = F.when(u < ends[i], i).otherwise(out)
+    return out
+
+
 def mixed_sql(seed: str, salt: str | int) -> str:
     """The same as mixed(), as SQL over numbers that are not negative."""
     x = f"((({seed})::BIGINT % {MODULUS} * 48271 + ({salt})::BIGINT * 69621 + 7) % {MODULUS})"
@@ -41,3 +61,7 @@ def mixed_sql(seed: str, salt: str | int) -> str:
 
 def uniform_sql(seed: str, salt: str | int) -> str:
     return f"({mixed_sql(seed, salt)} / {MODULUS}.0::DOUBLE)"
+
+
+def normal_sql(seed: str, salt: int) -> str:
+    return f"(sqrt(-2 * ln(1 - {uniform_sql(seed, salt)})) * cos({2 * math.pi!r}::DOUBLE * {uniform_sql(seed, salt + 1)}))"

@@ -1,16 +1,17 @@
-"""Operators on dense blocks (functions.cells): each cell is computed from its neighbours in the same row."""
+"""Operators on dense blocks (functions.cells): each cell is computed from its neighbours in the same row.
+
+Cells that are null, as with_halo() leaves them outside a volume, count as what lies past a block's edge.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.functions.cells import AXES, Grid, let
+from brickfield.functions.cells import ABSENT, AXES, Grid, explode, gather, kernel, kind_of, moved
 
 
 def with_halo(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], name: str = "value") -> tuple[DataFrame, Grid]:
@@ -25,84 +26,97 @@ def with_halo(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], na
         voxels = voxels.withColumn(f"b{axis}", F.explode(F.sequence(first, last)))
     for axis, b, m in zip(AXES, block, margin):
         voxels = voxels.withColumn(axis, F.col(axis) - F.col(f"b{axis}") * b + m)
-    cell = F.struct(grid.index(*map(F.col, AXES)).cast("int").alias("i"), F.col(name).alias("v"))
-    rows = voxels.groupBy("batch_id", "bz", "by", "bx").agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(grid.size - 1)), lambda i: F.try_element_at("_m", i))
-    return rows.select("batch_id", "bz", "by", "bx", cells.alias(name)), grid
+    return gather(voxels, grid, ["batch_id", "bz", "by", "bx"], name), grid
+
+
+def whole_volume(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], compute: Callable[[Column, Grid], dict[str, Column]], name: str = "value") -> DataFrame:
+    """compute(block, grid) over a volume of any size: an operator, by column name, that looks up to margin past a voxel.
+
+    Each block is read with its margin, computed, and cut back to itself, so that the result is that of one block that
+    holds everything. It has batch_id, z, y, x and the computed columns, for the voxels of the volume alone.
+    """
+    rows, grid = with_halo(voxels, block, margin, name)
+    made = compute(F.col(name), grid)
+    rows = rows.withColumns({f"_{n}": c for n, c in made.items()})
+    cut = [crop_block(F.col(c), grid, margin, block, kind_of(rows, c))[0].alias(c) for c in (name, *[f"_{n}" for n in made])]
+    cells = explode(rows.select("batch_id", "bz", "by", "bx", *cut), Grid(tuple(block)), name, *[f"_{n}" for n in made]).where(F.col(name).isNotNull())
+    return cells.select("batch_id", *[(F.col(f"b{a}") * b + F.col(a)).cast("long").alias(a) for a, b in zip(AXES, block)], *[F.col(f"_{n}").alias(n) for n in made])
 
 
-def crop_block(data: Column, grid: Grid, begin: Sequence[int], shape: Sequence[int]) -> tuple[Column, Grid]:
-    inner = Grid(tuple(shape))
-    return inner.fill(lambda z, y, x: grid.get(data, z + begin[0], y + begin[1], x + begin[2])), inner
+def crop_block(data: Column, grid: Grid, begin: Sequence[int], shape: Sequence[int], kind: str = "double") -> tuple[Column, Grid]:
+    inside = (slice(None), *[slice(b, b + n) for b, n in zip(begin, shape)])
+    return kernel(lambda v: v[inside], grid, kind, data), Grid(tuple(shape))
 
 
 def pad_block(data: Column, grid: Grid, size: Sequence[int], mode: str = "constant", value: float = 0.0) -> tuple[Column, Grid]:
     """data with size more voxels at both ends of each axis: a constant, or reflected without repeating the edge."""
-    outer = Grid(tuple(s + 2 * p for s, p in zip(grid.shape, size)))
+    outer = Grid(tuple(n + 2 * p for n, p in zip(grid.shape, size)))
 
-    def fold(c: Column, p: int, n: int) -> Column:
+    def fold(p: int, n: int) -> np.ndarray:
+        """The places of an axis, there and back again."""
         if n == 1:
-            return F.lit(0)
-        c = F.pmod(c - p, F.lit(2 * (n - 1)))
-        return F.when(c < n, c).otherwise(2 * (n - 1) - c)
+            return np.zeros(1 + 2 * p, dtype=int)
+        at = (np.arange(n + 2 * p) - p) % (2 * (n - 1))
+        return np.where(at < n, at, 2 * (n - 1) - at)
 
-    if mode == "constant":
-        return outer.fill(lambda z, y, x: grid.get(data, z - size[0], y - size[1], x - size[2], F.lit(float(value)))), outer
-    return outer.fill(lambda z, y, x: F.get(data, grid.index(*[fold(c, p, n) for c, p, n in zip((z, y, x), size, grid.shape)]).cast("int"))), outer
+    def constant(v: np.ndarray) -> np.ndarray:
+        return np.pad(v, [(0, 0), *[(p, p) for p in size]], constant_values=value)
 
+    def reflect(v: np.ndarray) -> np.ndarray:
+        return v[np.ix_(np.arange(len(v)), *[fold(p, n) for p, n in zip(size, grid.shape)])]
 
-def resample(data: Column, grid: Grid, size: Sequence[int], target: Sequence[int], linear: bool) -> tuple[Column, Grid]:
-    """data of voxel size `size` on voxels of size `target`: the voxel under each centre, or linear between centres."""
-    outer = Grid(tuple(n * s // t for n, s, t in zip(grid.shape, size, target)))
+    return kernel(constant if mode == "constant" else reflect, grid, "double", data), outer
+
+
+def resample(data: Column, grid: Grid, size: Sequence[int], target: Sequence[int], order: int | bool) -> tuple[Column, Grid]:
+    """data of voxel size `size` on voxels of size `target`: the voxel under each centre (order 0), or between centres, linear (1) or cubic (3).
 
-    def nearest(z: Column, y: Column, x: Column) -> Column:
-        at = [F.least(F.floor((c + 0.5) * t / s).cast("int"), F.lit(n - 1)) for c, s, t, n in zip((z, y, x), size, target, grid.shape)]
-        return F.get(data, grid.index(*at).cast("int"))
+    Past the edge the outermost voxel counts. The cubic kernel is the interpolating one with slopes of -1/2.
+    """
+    outer = Grid(tuple(n * s // t for n, s, t in zip(grid.shape, size, target)))
 
-    def between(z: Column, y: Column, x: Column) -> Column:
-        parts = []
-        for k, c, s, t, n in zip("abc", (z, y, x), size, target, grid.shape):
-            at = F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), (c + 0.5) * t / s - 0.5))
-            parts += [at.alias(f"{k}_at"), F.floor(at).cast("int").alias(k)]
+    def nearest(v: np.ndarray) -> np.ndarray:
+        at = [np.minimum(np.floor((np.arange(m) + 0.5) * t / s).astype(int), n - 1) for m, s, t, n in zip(outer.shape, size, target, grid.shape)]
+        return v[np.ix_(np.arange(len(v)), *at)]
 
-        def mean(p: Column) -> Column:
-            sides = []
-            for k, n in zip("abc", grid.shape):
-                part = p[f"{k}_at"] - p[k]
-                sides.append([(p[k], 1 - part), (F.least(p[k] + 1, F.lit(n - 1)), part)])
-            terms = [F.get(data, grid.index(a, b, c).cast("int")) * (u * v * w) for a, u in sides[0] for b, v in sides[1] for c, w in sides[2]]
-            return reduce(lambda p, q: p + q, terms)
+    def weights(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        if order == 1:
+            return [(0, 1 - part), (1, part)]
+        far = lambda d: ((-0.5 * d + 2.5) * d - 4) * d + 2
+        near = lambda d: (1.5 * d - 2.5) * d * d + 1
+        return [(-1, far(1 + part)), (0, near(part)), (1, near(1 - part)), (2, far(2 - part))]
 
-        return let(F.struct(*parts), mean)
+    def between(v: np.ndarray) -> np.ndarray:
+        for axis, (m, s, t, n) in enumerate(zip(outer.shape, size, target, grid.shape), 1):
+            at = np.clip((np.arange(m) + 0.5) * t / s - 0.5, 0, n - 1)
+            low = np.floor(at).astype(int)
+            shape = [m if k == axis else 1 for k in range(4)]
+            v = sum(np.take(v, np.clip(low + d, 0, n - 1), axis) * w.reshape(shape) for d, w in weights(at - low))
+        return v
 
-    return outer.fill(between if linear else nearest), outer
+    return kernel(between if order else nearest, grid, "double", data), outer
 
 
 def affinities(labels: Column, grid: Grid, offset: Sequence[int]) -> Column:
     """1 where a voxel and the one at offset hold the same label above 0, else 0; 0 where there is none."""
-
-    def same(z: Column, y: Column, x: Column) -> Column:
-        here, there = grid.get(labels, z, y, x), grid.get(labels, z + offset[0], y + offset[1], x + offset[2], F.lit(0))
-        return F.when((here == there) & (here > 0), 1).otherwise(0)
-
-    return grid.fill(same)
+    return kernel(lambda v: (moved(v, offset, 0) == v) & (v > 0), grid, "int", labels)
 
 
 def affinities_mask(mask: Column, unlabelled: Column, grid: Grid, offset: Sequence[int]) -> Column:
     """Affinities of mask where those of the unlabelled voxels (0 in `unlabelled`) are 0."""
-    known, unknown = affinities(mask, grid, offset), affinities(F.transform(unlabelled, lambda v: 1 - v), grid, offset)
-    return F.zip_with(known, unknown, lambda k, u: k * (1 - u))
+
+    def known(m: np.ndarray, u: np.ndarray) -> np.ndarray:
+        blank = u == 0
+        return (moved(m, offset, 0) == m) & (m > 0) & ~(moved(blank, offset, False) & blank)
+
+    return kernel(known, grid, "int", mask, unlabelled)
 
 
 def nonsymmetric_affinities(first: Column, second: Column, grid: Grid, vector: Sequence[int]) -> tuple[Column, Column]:
     """first[p] and second[p - vector], and second[p] and first[p + vector]; 0 past the edge."""
 
     def both(a: Column, b: Column, sign: int) -> Column:
-        def cell(z: Column, y: Column, x: Column) -> Column:
-            there = grid.get(b, z + sign * vector[0], y + sign * vector[1], x + sign * vector[2], F.lit(0))
-            return F.when((grid.get(a, z, y, x) > 0) & (there > 0), 1).otherwise(0)
-
-        return grid.fill(cell)
+        return kernel(lambda v, w: (v > 0) & (moved(w, [sign * c for c in vector], 0) > 0), grid, "int", a, b)
 
     return both(first, second, -1), both(second, first, 1)
 
@@ -121,39 +135,38 @@ def ball(radius: float, size: Sequence[float] = (1, 1, 1), least: float = 0.0, l
     return found
 
 
-def any_near(data: Column, grid: Grid, offsets: Sequence[Sequence[int]], test, outside: bool = False):
-    """A cell function: true if test(cell, z, y, x) holds for a cell at one of the offsets."""
-    steps = F.array(*[F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a, b, c in offsets])
-
-    def cell(z: Column, y: Column, x: Column) -> Column:
-        return F.exists(steps, lambda d: F.coalesce(test(grid.get(data, z + d["z"], y + d["y"], x + d["x"]), z, y, x), F.lit(outside)))
+def squared_distance(marks: np.ndarray, size: Sequence[float]) -> np.ndarray:
+    """Of each cell of (block, z, y, x) to the nearest mark in its block, squared; infinite without any.
 
-    return cell
+    Exact, an axis after the other: the least over an axis of what is known plus the squared step along it.
+    """
+    far = np.where(marks, 0.0, np.inf)
+    for axis, s in enumerate(size):
+        known, far = far, far.copy()
+        for step in range(1, marks.shape[axis + 1]):
+            for by in (-step, step):
+                np.minimum(far, moved(known, [by if k == axis else 0 for k in range(3)], np.inf) + (step * s) ** 2, out=far)
+    return far
 
 
 def enlarge(mask: Column, grid: Grid, radius: float, size: Sequence[float] = (1, 1, 1), ring: float | None = None) -> Column:
     """1 within radius of a voxel of mask; with ring, not within the inner share (1 - ring). Uniform masks stay."""
-    near = any_near(mask, grid, ball(radius, size), lambda v, *_: v > 0)
-    inner = any_near(mask, grid, ball(radius * (1 - ring), size), lambda v, *_: v > 0) if ring is not None else None
 
-    def cell(z: Column, y: Column, x: Column) -> Column:
-        found = near(z, y, x) if inner is None else near(z, y, x) & ~inner(z, y, x)
-        return F.when(found, 1).otherwise(0)
+    def grow(m: np.ndarray) -> np.ndarray:
+        far = squared_distance(m > 0, size)
+        found = far <= radius * radius + 1e-9
+        if ring is not None:
+            found &= far > (radius * (1 - ring)) ** 2 + 1e-9
+        flat = m.reshape(len(m), -1)
+        same = (flat.min(axis=1, initial=np.iinfo(np.int64).max, where=flat != ABSENT) >= flat.max(axis=1, initial=ABSENT)).reshape(-1, 1, 1, 1)
+        return np.where(same, m, found.astype(np.int64))
 
-    return F.when(F.array_min(mask) == F.array_max(mask), mask).otherwise(grid.fill(cell))
+    return kernel(grow, grid, "int", mask)
 
 
 def ignore_mask(kept: Column, grid: Grid, erode: float, size: Sequence[float] = (1, 1, 1)) -> Column:
     """1 where a kept label lies nearer than erode; erode 0 gives none."""
-    near = [o for o in ball(erode, size) if math.dist((0, 0, 0), [c * s for c, s in zip(o, size)]) < erode]
-    if not near:
-        return grid.fill(lambda *_: F.lit(0))
-
-    def fill(once: Column) -> Column:
-        cell = any_near(once, grid, near, lambda v, *_: v > 0)
-        return grid.fill(lambda z, y, x: F.when(cell(z, y, x), 1).otherwise(0))
-
-    return let(kept, fill)
+    return kernel(lambda v: squared_distance(v > 0, size) < erode * erode - 1e-9, grid, "int", kept)
 
 
 def grow_boundary(labels: Column, grid: Grid, steps: int = 1, flat: bool = False, background: int = 0, mask: Column | None = None) -> Column:
@@ -163,87 +176,108 @@ def grow_boundary(labels: Column, grid: Grid, steps: int = 1, flat: bool = False
     as any label, and survives if that holds for some label.
     """
     offsets = [o for o in ball(steps, l1=True) if not flat or o[0] == 0]
-    at = [F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a, b, c in offsets]
+    most = np.iinfo(np.int64).max
+
+    def erode(v: np.ndarray, m: np.ndarray | None = None) -> np.ndarray:
+        seen = v != ABSENT if m is None else (v != ABSENT) & (m > 0)
+        low, high = np.where(seen, v, most), np.where(seen, v, ABSENT)
+        least, largest = low.copy(), high.copy()
+        for o in offsets:
+            np.minimum(least, moved(low, o, most), out=least)
+            np.maximum(largest, moved(high, o, ABSENT), out=largest)
+        # An unmasked voxel must not be background; one masked out must not see background alone.
+        stays = (least >= largest) & (v != ABSENT) & (np.where(seen, v, least) != background)
+        return np.where(stays, v, background)
 
-    def cell(z: Column, y: Column, x: Column) -> Column:
-        def label(d: Column) -> Column:
-            seen = grid.get(labels, z + d["z"], y + d["y"], x + d["x"])
-            return seen if mask is None else F.when(grid.get(mask, z + d["z"], y + d["y"], x + d["x"]) > 0, seen)
+    return kernel(erode, grid, "int", *([labels] if mask is None else [labels, mask]))
 
-        around = F.array_distinct(F.filter(F.transform(F.array(*at), label), lambda v: v.isNotNull()))
-        own = grid.get(labels, z, y, x)
-        stays = F.size(around) <= 1
-        if mask is None:
-            stays = stays & (own != background)
-        else:
-            stays = F.when(grid.get(mask, z, y, x) > 0, stays & (own != background)).otherwise(stays & ~F.array_contains(around, background))
-        return F.when(stays, own).otherwise(background)
 
-    return grid.fill(cell)
+def find_boundaries(v: np.ndarray) -> np.ndarray:
+    """On the grid of 2n - 1 cells an axis: true between voxels of different labels."""
+    fine = np.zeros((len(v), *[2 * n - 1 for n in v.shape[1:]]), dtype=bool)
+    for axis in (1, 2, 3):
+        low, high = (tuple(s if k == axis else slice(None) for k in range(4)) for s in (slice(None, -1), slice(1, None)))
+        between = tuple(slice(1, None, 2) if k == axis else slice(None, None, 2) if k else slice(None) for k in range(4))
+        fine[between] = (v[low] != v[high]) & (v[low] != ABSENT) & (v[high] != ABSENT)
+    return fine
 
 
 def boundaries(labels: Column, grid: Grid) -> tuple[Column, Grid]:
     """On the grid of 2n - 1 cells an axis: 1 between voxels of different labels."""
-    fine = Grid(tuple(2 * n - 1 for n in grid.shape))
+    return kernel(find_boundaries, grid, "int", labels), Grid(tuple(2 * n - 1 for n in grid.shape))
+
+
+def distances(v: np.ndarray, size: Sequence[float]) -> np.ndarray:
+    """Of each voxel of labels v to the nearest face or edge between labels of its block; 0 on background, infinite without any."""
+    far = np.sqrt(squared_distance(find_boundaries(v), [s / 2 for s in size])[:, ::2, ::2, ::2])
+    return np.where(v > 0, far, 0.0)
+
+
+def limited_distance(labels: Column, grid: Grid, reach: float | None = None, size: Sequence[float] = (1, 1, 1)) -> Column:
+    """Of each voxel to the nearest face or edge between labels, 0 on background.
+
+    With reach, at most that, so that blocks with a margin of over reach agree with the whole volume. Without, blocks that
+    have no boundary have distance 0.
+    """
+
+    def limited(v: np.ndarray) -> np.ndarray:
+        far = distances(v, size)
+        return np.where(np.isinf(far), 0.0, far) if reach is None else np.minimum(far, float(reach))
+
+    return kernel(limited, grid, "double", labels)
 
-    def cell(z: Column, y: Column, x: Column) -> Column:
-        tests = []
-        for k, c in enumerate((z, y, x)):
-            low = [F.floor(v / 2).cast("int") for v in (z, y, x)]
-            high = [v + 1 if j == k else v for j, v in enumerate(low)]
-            others_even = reduce(lambda a, b: a & b, [v % 2 == 0 for j, v in enumerate((z, y, x)) if j != k])
-            tests.append((c % 2 == 1) & others_even & (grid.get(labels, *low) != grid.get(labels, *high)))
-        return F.when(tests[0] | tests[1] | tests[2], 1).otherwise(0)
 
-    return fine.fill(cell), fine
+def boundary_distance(blocks: DataFrame, grid: Grid, reach: float | None = None, size: Sequence[float] = (1, 1, 1), labels: str = "label") -> DataFrame:
+    """batch_id and distance, as limited_distance()."""
+    return blocks.select(F.col("batch_id").cast("long").alias("batch_id"), limited_distance(F.col(labels), grid, reach, size).alias("distance"))
 
 
-def boundary_distance(blocks: DataFrame, grid: Grid, reach: float, size: Sequence[float] = (1, 1, 1), labels: str = "label") -> DataFrame:
-    """batch_id and distance: of each voxel to the nearest face or edge between labels, at most reach, 0 on background.
+def distance_gradients(labels: Column, grid: Grid, size: Sequence[float] = (1, 1, 1), norm: str | None = None, decay: tuple[float, float] | None = None) -> list[Column]:
+    """By axis: the slope of the distance to the nearest boundary, 0 on background.
 
-    As cell expressions this would grow with the cube of reach, so an Arrow kernel goes through the offsets, nearest first,
-    for all blocks of a batch at once.
+    norm "l1" or "l2" divides the three by their norm where that is at least 1e-5. decay (alpha, beta) multiplies them by
+    beta * exp(-alpha * distance).
     """
-    half = [s / 2 for s in size]
-    offsets = sorted((math.dist((0, 0, 0), [c * h for c, h in zip(o, half)]), o) for o in ball(reach, half))
-    pad = max(abs(c) for _, o in offsets for c in o)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            label = b.column(1).flatten().to_numpy().reshape(-1, *grid.shape)
-            edge = np.zeros((len(label), *[2 * n - 1 + 2 * pad for n in grid.shape]), dtype=bool)
-            fine = edge[(slice(None), *[slice(pad, pad + 2 * n - 1) for n in grid.shape])]
-            for axis in (1, 2, 3):
-                cut = lambda s, k=axis: tuple(s if i == k else slice(None) for i in range(4))
-                between = tuple(slice(1, None, 2) if i == axis else slice(None, None, 2) if i else slice(None) for i in range(4))
-                fine[between] = label[cut(slice(None, -1))] != label[cut(slice(1, None))]
-            found = np.full(label.shape, float(reach))
-            for far, o in reversed(offsets):
-                there = edge[(slice(None), *[slice(pad + c, pad + c + 2 * n - 1, 2) for c, n in zip(o, grid.shape)])]
-                found[there] = far
-            found[label <= 0] = 0.0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(label) + 1) * grid.size, pa.int32()), pa.array(found.ravel()))
-            yield pa.record_batch({"batch_id": b.column(0), "distance": lists})
-
-    return blocks.select(F.col("batch_id").cast("long").alias("batch_id"), labels).mapInArrow(kernel, "batch_id long, distance array<double>")
+    if norm not in (None, "l1", "l2"):
+        raise ValueError(f"unknown norm {norm}")
+
+    def slopes(v: np.ndarray) -> list[np.ndarray]:
+        far = distances(v, size)
+        far = np.where(np.isinf(far), 0.0, far)
+        found = [np.where(v > 0, slope(far, k + 1, s), 0.0) for k, s in enumerate(size)]
+        if norm:
+            length = sum(np.abs(g) for g in found) if norm == "l1" else np.sqrt(sum(g * g for g in found))
+            found = [g / np.where(length < 1e-5, 1.0, length) for g in found]
+        if decay:
+            found = [g * (np.exp(-far * decay[0]) * decay[1]) for g in found]
+        return found
+
+    return [kernel(lambda v, k=k: slopes(v)[k], grid, "double", labels) for k in range(3)]
+
+
+def slope(v: np.ndarray, axis: int, spacing: float) -> np.ndarray:
+    """Central differences along an axis, one-sided at its ends and beside NaN; 0 where there is no other cell."""
+    step = [1 if k + 1 == axis else 0 for k in range(3)]
+    after, before = moved(v, step, math.nan), moved(v, [-c for c in step], math.nan)
+    ends = np.isnan(after) | np.isnan(before)
+    single = (np.where(np.isnan(after), v, after) - np.where(np.isnan(before), v, before)) / spacing
+    return np.where(ends, single, single / 2)
 
 
 def gradient(data: Column, grid: Grid, axis: int, spacing: float = 1.0) -> Column:
     """Central differences along an axis, one-sided at its ends; 0 where the axis has one voxel."""
-    step = [1 if k == axis else 0 for k in range(3)]
+    return kernel(lambda v: slope(v, axis + 1, spacing), grid, "double", data)
 
-    def cell(z: Column, y: Column, x: Column) -> Column:
-        here, after = grid.get(data, z, y, x), grid.get(data, z + step[0], y + step[1], x + step[2])
-        before = grid.get(data, z - step[0], y - step[1], x - step[2])
-        single = (F.coalesce(after, here) - F.coalesce(before, here)) / spacing
-        return F.when(after.isNotNull() & before.isNotNull(), single / 2).otherwise(single)
 
-    return grid.fill(cell)
+def deform(data: Column, grid: Grid, source: Callable) -> Column:
+    """Each cell from the voxel nearest to source(z, y, x), a triple of arrays of places; 0 where that lies outside."""
 
+    def fill(v: np.ndarray) -> np.ndarray:
+        at = [np.rint(np.broadcast_to(c, grid.shape)).astype(int) for c in source(*np.indices(grid.shape))]
+        inside = np.logical_and.reduce([(c >= 0) & (c < n) for c, n in zip(at, grid.shape)])
+        return np.where(inside, v[(slice(None), *[np.clip(c, 0, n - 1) for c, n in zip(at, grid.shape)])], 0.0)
 
-def deform(data: Column, grid: Grid, source) -> Column:
-    """Each cell from the voxel nearest to source(z, y, x), a triple of columns; 0 where that lies outside."""
-    return grid.fill(lambda z, y, x: grid.get(data, *[F.rint(c).cast("int") for c in source(z, y, x)], F.lit(0.0)))
+    return kernel(fill, grid, "double", data)
 
 
 def prepare_malis(labels: Column, ignore: Column) -> tuple[Column, Column]:

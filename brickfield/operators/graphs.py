@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from brickfield.functions.geometry import Box
 from brickfield.functions.scratch import written
@@ -87,14 +87,35 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("in_degree"))
 
 
+def shift(nodes: DataFrame, by: Sequence[float]) -> DataFrame:
+    """nodes with loc moved by a vector."""
+    return nodes.withColumn("loc", F.array(*[F.col("loc")[i] + F.lit(float(d)) for i, d in enumerate(by)]))
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame, retain: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Without the nodes of gone (id), no two of them neighbours; if retain, predecessors are linked to successors."""
-    kept = edges.join(gone.toDF("u"), "u", "left_anti").join(gone.toDF("v"), "v", "left_anti").select("u", "v")
-    if retain:
-        before = edges.join(gone.toDF("v"), "v", "left_semi").select("u", F.col("v").alias("id"))
-        after = edges.join(gone.toDF("u"), "u", "left_semi").select(F.col("u").alias("id"), "v")
-        kept = kept.union(before.join(after, "id").where("u <> v").select("u", "v")).distinct()
-    return nodes.join(gone, "id", "left_anti"), kept
+    """Without the nodes of gone (id); if retain, predecessors are linked to successors through any run of removed nodes.
+
+    Nodes that aren't neighbours can go together. Of neighbours that of the larger hash goes first, so each round removes a
+    good share of what is left, and a run of n takes about log(n) rounds.
+    """
+    drop = lambda pairs, ids: pairs.join(ids.toDF("u"), "u", "left_anti").join(ids.toDF("v"), "v", "left_anti").select("u", "v")
+    gone = gone.select("id").distinct()
+    left = nodes.join(gone, "id", "left_anti")
+    if not retain:
+        return left, drop(edges.select("u", "v"), gone)
+    pairs, rest = written(edges.select("u", "v").distinct(), "bridged"), written(gone, "gone")
+    for turn in range(ROUNDS):
+        within = pairs.where("u <> v").join(rest.toDF("u"), "u", "left_semi").join(rest.toDF("v"), "v", "left_semi")
+        last = [F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id")) for c in ("u", "v")]
+        now = rest.join(within.select(F.least(*last)["id"].alias("id")).distinct(), "id", "left_anti")
+        now = written(now, "gone-now")
+        before = pairs.join(now.toDF("v"), "v", "left_semi").select("u", F.col("v").alias("id")).where("u <> id")
+        after = pairs.join(now.toDF("u"), "u", "left_semi").select(F.col("u").alias("id"), "v").where("v <> id")
+        linked = before.join(after, "id").where("u <> v").select("u", "v")
+        pairs, rest = written(drop(pairs, now).union(linked).distinct(), "bridged"), written(rest.join(now, "id", "left_anti"), "gone")
+        if rest.isEmpty():
+            return left, pairs
+    raise RuntimeError(f"runs of removed nodes not bridged after {ROUNDS} rounds")
 
 
 def upsert(nodes: DataFrame, more: DataFrame) -> DataFrame:
@@ -213,29 +234,32 @@ def rasterize_peak(nodes: DataFrame, sigma: float, size: Sequence[float] = (1, 1
     return sums.crossJoin(F.broadcast(sums.agg(F.max("value").alias("top")))).withColumn("value", F.col("value") / F.col("top")).drop("top")
 
 
-def vector_map(sources: DataFrame, partners: DataFrame, targets: DataFrame, radius: float, size: Sequence[float] = (1, 1, 1)) -> DataFrame:
+def vector_map(sources: DataFrame, partners: DataFrame, targets: DataFrame, radius: float, size: Sequence[float] = (1, 1, 1), labels: DataFrame | None = None) -> DataFrame:
     """For voxels within radius of a source: the vector to the nearest of its partners' locations, then the smallest id.
 
-    partners: source id and target id.
+    partners: source id and target id. With labels (z, y, x, label) only voxels of the source's own label have one. Voxels
+    carry a distance and an id through the shuffle; the place of the target is joined to what is left.
     """
     table = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("zyx", o)]) for o in ball(radius, size)])
     pairs = sources.select(F.col("id").alias("source"), "loc").join(partners.toDF("source", "target"), "source")
-    pairs = pairs.join(targets.select(F.col("id").alias("target"), F.col("loc").alias("t")), "target")
-    rows = pairs.select("target", "t", *[c.alias(f"_{a}") for c, a in zip(voxel_of(F.col("loc"), size), "zyx")], F.explode(table).alias("o"))
-    rows = rows.select("target", "t", *[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"])
-    vector = F.struct(*[(F.col("t")[i] - F.col(a) * s).alias(f"d{a}") for i, (a, s) in enumerate(zip("zyx", size))])
+    places = targets.select(F.col("id").alias("target"), F.col("loc").alias("t"))
+    own = [c.alias(f"_{a}") for c, a in zip(voxel_of(F.col("loc"), size), "zyx")]
+    rows = pairs.join(places, "target").select("target", "t", *own)
+    if labels is not None:
+        at = labels.select(*[F.col(a).alias(f"_{a}") for a in "zyx"], F.col("label").alias("_own"))
+        rows = rows.join(at, ["_z", "_y", "_x"])
+    rows = rows.withColumn("o", F.explode(table)).select("*", *[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"])
+    if labels is not None:
+        rows = rows.join(labels, ["z", "y", "x"]).where("label = _own")
     far = sum((F.col("t")[i] - F.col(a) * s) ** 2 for i, (a, s) in enumerate(zip("zyx", size)))
-    return rows.groupBy("z", "y", "x").agg(F.min_by(vector, F.struct(far, F.col("target"))).alias("d")).select("z", "y", "x", "d.*")
-
-
-def center_of_mass(voxels: DataFrame, label: str = "label") -> DataFrame:
-    return voxels.groupBy(label).agg(*[F.avg(a).alias(a) for a in "zyx"])
+    best = rows.select("z", "y", "x", F.struct(far.alias("far"), "target").alias("b")).groupBy("z", "y", "x").agg(F.min("b").alias("b"))
+    vector = [(F.col("t")[i] - F.col(a) * s).alias(f"d{a}") for i, (a, s) in enumerate(zip("zyx", size))]
+    return best.select("z", "y", "x", "b.target").join(places, "target").select("z", "y", "x", *vector)
 
 
-def last_of(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def center_of_mass(voxels: DataFrame, *keys: str) -> DataFrame:
+    """The mean place of the voxels that share keys."""
+    return voxels.groupBy(*keys).agg(*[F.avg(a).alias(a) for a in "zyx"])
 
 
 def blobs(nodes: DataFrame, labels: DataFrame, radius: float, box: Box, size: Sequence[float] = (1, 1, 1)) -> DataFrame:

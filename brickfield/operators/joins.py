@@ -5,14 +5,20 @@ Bucketing replaces the nested loop of a range predicate; a point lies in one buc
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.geometry import Box
 from brickfield.functions.scratch import written
 
+#: Points of a cell that are handled together, about.
+PACK = 512
+
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], bucket: Sequence[int], how: str = "inner") -> DataFrame:
     """points (axes) with each of boxes that holds them; boxes has b_<axis> and e_<axis>, begin and end."""
@@ -37,6 +43,44 @@ def within_radius(left: DataFrame, right: DataFrame, axes: Sequence[str], radius
     return left.join(right, [f"_k{a}" for a in axes]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*[f"_k{a}" for a in axes])
 
 
+def count_within(points: DataFrame, axes: Sequence[str], radius: float, key: str = "id") -> DataFrame:
+    """key and n, the number of points at most radius from each, itself included.
+
+    Points are packed by cells of side radius, a dense cell in packs of about PACK, and each two packs of neighbouring
+    cells meet once. An Arrow kernel counts for both; no pair of points leaves it, and no cell is one task's.
+    """
+    cells = [f"_k{a}" for a in axes]
+    rows = points.select(F.col(key).cast("long").alias("_id"), *[F.col(a).cast("double").alias(a) for a in axes], *[F.floor(F.col(a) / radius).alias(c) for a, c in zip(axes, cells)])
+    sizes = rows.groupBy(*cells).agg(F.ceil(F.count("*") / PACK).alias("_packs"))
+    packed = rows.join(sizes, cells).withColumn("_pack", F.pmod(F.xxhash64("_id"), F.col("_packs")))
+    packs = written(packed.groupBy(*cells, "_pack").agg(F.collect_list(F.struct("_id", *axes)).alias("p")), "packs")
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
+    table = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip(cells, o)]) for o in ahead])
+    left = packs.select(F.col("p").alias("a"), F.col("_pack").alias("_a"), F.explode(table).alias("o"), *cells)
+    left = left.select("a", "_a", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in cells], F.least(*[F.col(f"o.{c}") == 0 for c in cells], F.lit(True)).alias("_same"))
+    met = left.join(packs.withColumnRenamed("p", "b"), cells).where(~F.col("_same") | (F.col("_a") <= F.col("_pack")))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts = [], []
+            a, b = (batch.column(i) for i in (0, 1))
+            alone = batch.column(2).to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                (one, at), (other, there) = ((s.field(0).to_numpy(), np.stack([s.field(k + 1).to_numpy() for k in range(len(axes))])) for s in (a[i].values, b[i].values))
+                near = sum((x[:, None] - y[None, :]) ** 2 for x, y in zip(at, there)) <= radius * radius
+                ids.append(one)
+                counts.append(near.sum(axis=1))
+                if not alone[i]:
+                    ids.append(other)
+                    counts.append(near.sum(axis=0))
+            if ids:
+                ids, counts = np.concatenate(ids), np.concatenate(counts)
+                yield pa.record_batch({"_id": pa.array(ids[counts > 0]), "n": pa.array(counts[counts > 0])})
+
+    found = met.select("a", "b", (F.col("_same") & (F.col("_a") == F.col("_pack"))).alias("alone")).mapInArrow(kernel, "_id long, n long")
+    return found.groupBy(F.col("_id").alias(key)).agg(F.sum("n").alias("n"))
+
+
 def nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radius: float, key: str, other: str) -> DataFrame:
     """The k nearest of right within radius of each of left, ties to the smaller id."""
     w = Window.partitionBy(key).orderBy("d2", f"{other}_r")
@@ -81,6 +125,3 @@ def overlap(boxes: DataFrame, others: DataFrame, axes: Sequence[str], bucket: Se
     keys = [f"_k{a}" for a in axes]
     return boxes.join(others, keys).where(test).drop(*keys)
 
-
-def box_columns(box: Box, axes: Sequence[str]) -> list[Column]:
-    return [F.lit(v).alias(f"{p}_{a}") for p, at in (("b", box.begin), ("e", box.end)) for a, v in zip(axes, at)]

@@ -10,11 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brickfield.functions.draws import below, uniform
+from brickfield.functions.draws import below, chosen, uniform
 from brickfield.functions.geometry import Box
 from brickfield.functions.scratch import written
 from brickfield.operators.graphs import numbered
-from brickfield.operators.joins import within_radius
+from brickfield.operators.joins import count_within
 
 
 def random_shift(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", salt: int = 0) -> DataFrame:
@@ -95,37 +95,83 @@ def rejected(batches: DataFrame, ratio: Column, least: float, probability: float
 
 def point_weights(points: DataFrame, axes: Sequence[str], radius: float) -> DataFrame:
     """id and weight, one over the number of points within radius, itself included."""
-    pairs = within_radius(points.select("id", *axes), points.select("id", *axes), axes, radius)
-    return pairs.groupBy("id").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    return count_within(points, axes, radius).select("id", (F.lit(1.0) / F.col("n")).alias("weight"))
 
 
-def weighted_choice(requests: DataFrame, weights: DataFrame, resolution: int = 4096) -> DataFrame:
+def weighted_choice(requests: DataFrame, weights: DataFrame, resolution: int | None = None) -> DataFrame:
     """request and id: a point drawn by its weight.
 
-    Weights are whole shares of `resolution` or more cells that the points fill in order of their ids, so a draw finds
-    its point by an equi-join on the cell's bucket instead of a range join.
+    Points lie end to end in order of their ids, each as long as its weight, and a draw finds the point under it by an
+    equi-join on buckets of the mean weight: as many buckets as points, so twice as many rows at most. With resolution,
+    weights are whole shares of it, of one at least.
     """
-    shares = weights.withColumn("cells", F.greatest(F.lit(1), F.rint(F.col("weight") * resolution).cast("long")))
-    order = numbered(shares, "id")
+    kind = "double" if resolution is None else "long"
+    share = F.col("weight") if resolution is None else F.greatest(F.lit(1), F.rint(F.col("weight") * resolution).cast("long"))
+    order = numbered(weights.withColumn("share", share.cast(kind)).where("share > 0"), "id")
     per = 1024
-    blocks = order.groupBy(F.floor(F.col("number") / per).alias("block")).agg(F.sum("cells").alias("in_block"))
+    block = F.floor(F.col("number") / per).alias("block")
+    blocks = order.groupBy(block).agg(F.sum("share").alias("in_block"), F.count("*").alias("n"))
     upto = blocks.withColumn("upto", F.sum("in_block").over(Window.orderBy("block")))  # a row for each 1024 points
     inside = Window.partitionBy("block").orderBy("number")
-    placed = order.withColumn("block", F.floor(F.col("number") / per)).join(upto, "block")
-    placed = placed.withColumn("end", F.col("upto") - F.col("in_block") + F.sum("cells").over(inside)).withColumn("start", F.col("end") - F.col("cells"))
-    total = F.broadcast(blocks.agg(F.sum("in_block").alias("total")))  # one row
-    drawn = requests.crossJoin(total).withColumn("cell", below(F.col("seed"), 17, F.col("total")))
-    bucket = resolution
-    spread = placed.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
-    joined = drawn.withColumn("k", F.floor(F.col("cell") / bucket)).join(spread, "k").where((F.col("cell") >= F.col("start")) & (F.col("cell") < F.col("end")))
-    return joined.select("request", "id")
+    placed = order.withColumn("block", block).join(upto.drop("n"), "block")
+    placed = placed.withColumn("start", F.col("upto") - F.col("in_block") + F.sum("share").over(inside) - F.col("share"))
+    # A point ends where the next begins, so that rounded sums leave no gap between them.
+    ends = placed.select("number", "start").select((F.col("number") - 1).alias("number"), F.col("start").alias("end"))
+    total = F.broadcast(blocks.agg(F.sum("in_block").alias("total"), F.sum("n").alias("n")))  # one row
+    placed = placed.join(ends, "number", "left").crossJoin(total).withColumn("end", F.coalesce("end", "total"))
+    bucket = F.col("total") / F.col("n")
+    spread = placed.select("id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("k"))
+    at = uniform(F.col("seed"), 17) * F.col("total") if resolution is None else below(F.col("seed"), 17, F.col("total"))
+    drawn = requests.crossJoin(total).withColumn("at", at).withColumn("k", F.floor(F.col("at") / bucket))
+    return drawn.join(spread, "k").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("request", "id")
+
+
+def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], accepts: Column, axes: str = "zyx", rounds: int = 200) -> DataFrame:
+    """requests (request, seed) with attempt and b_<axis>: the first of a request's draws for which accepts holds.
+
+    What a round leaves over is drawn again; a request that no draw of so many rounds serves is an error, not left out.
+    """
+    begins, found, left = [f"b_{a}" for a in axes], None, requests
+    for attempt in range(rounds):
+        drawn = random_shift(left, shape, upstream, grid, axes, attempt * 10).withColumn("attempt", F.lit(attempt).cast("long"))
+        drawn = written(drawn.withColumn("_good", F.coalesce(accepts, F.lit(False))), "drawn")
+        good = drawn.where("_good").drop("_good")
+        found = good if found is None else found.unionByName(good)
+        left = drawn.where("NOT _good").drop("_good", "attempt", *begins)
+        if left.isEmpty():
+            return found
+        if attempt % 16 == 15:
+            found = written(found, "shifted")
+    raise ValueError(f"no accepted location in {rounds} draws")
+
+
+def around_points(requests: DataFrame, weights: DataFrame, points: DataFrame, shape: Sequence[int], upstream: Box, axes: str = "zyx", centered: bool = False) -> DataFrame:
+    """requests (request, seed) with the id of a point drawn by weight (id, weight) and b_<axis>: a box of `shape` that holds it.
+
+    Of all boxes upstream that hold the point one is drawn, or, if centered, that with the point in the middle is taken.
+    Points that no such box holds don't take part; if none is left, that is an error.
+    """
+    rows = weights.join(points.select("id", *axes), "id")
+    for a, s, b, n in zip(axes, shape, upstream.begin, upstream.shape):
+        at = F.floor(a).cast("long")
+        first, last = (at - s // 2, at - s // 2) if centered else (at - s + 1, at)
+        rows = rows.withColumn(f"first_{a}", F.greatest(first, F.lit(b))).withColumn(f"last_{a}", F.least(last, F.lit(b + n - s)))
+        rows = rows.where(F.col(f"first_{a}") <= F.col(f"last_{a}"))
+    rows = written(rows, "reachable")
+    if rows.isEmpty():
+        raise ValueError("no point lies in a box that fits upstream")
+    drawn = weighted_choice(requests, rows.select("id", "weight")).join(requests.select("request", "seed"), "request").join(rows.drop("weight", *axes), "id")
+    for k, a in enumerate(axes):
+        drawn = drawn.withColumn(f"b_{a}", F.col(f"first_{a}") + below(F.col("seed"), 31 + k, F.col(f"last_{a}") - F.col(f"first_{a}") + 1))
+    return drawn.select("request", "id", *[f"b_{a}" for a in axes])
 
 
-def specified(requests: DataFrame, locations: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", at_random: bool = False) -> DataFrame:
-    """requests (request, seed, turn) with the location that serves each and b_<axis>.
+def specified(requests: DataFrame, locations: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", at_random: bool = False, jitter: Sequence[int] | None = None) -> DataFrame:
+    """requests (request, seed, turn) with the location that serves each and b_<axis>, and any other columns of locations.
 
     A box of `shape` is centred on its location and its begin rounded, half to even, to the grid. Locations whose box
-    doesn't fit upstream are left out; the others are taken in turn, or drawn.
+    doesn't fit upstream are left out; the others are taken in turn, or drawn. With jitter, boxes move by up to so much
+    along each axis, as far as they stay upstream.
     """
     for a, s, g in zip(axes, shape, grid):
         locations = locations.withColumn(f"b_{a}", (F.rint((F.col(a) - s // 2) / g) * g).cast("long"))
@@ -136,19 +182,16 @@ def specified(requests: DataFrame, locations: DataFrame, shape: Sequence[int], u
     if not n:
         raise ValueError("no location fits upstream")
     turn = below(F.col("seed"), 23, n) if at_random else F.pmod(F.col("turn"), F.lit(n))
-    return requests.withColumn("number", turn).join(fits.select("number", "location", *[f"b_{a}" for a in axes]), "number").drop("number")
+    served = requests.withColumn("number", turn).join(fits.drop(*axes), "number").drop("number")
+    for k, (a, j, g, b, m, s) in enumerate(zip(axes, jitter or (), grid, upstream.begin, upstream.shape, shape)):
+        moved = F.rint((F.col(f"b_{a}") + below(F.col("seed"), 41 + k, 2 * j + 1) - j) / g) * g
+        served = served.withColumn(f"b_{a}", F.greatest(F.lit(-(-b // g) * g), F.least(F.lit((b + m - s) // g * g), moved)).cast("long"))
+    return served
 
 
 def choose_provider(seed: Column, probabilities: Sequence[float]) -> Column:
     """The number of the provider that serves a request, by its draw."""
-    u, total, at, out = uniform(seed, 5), sum(probabilities), 0.0, F.lit(len(probabilities) - 1)
-    ends = []
-    for p in probabilities[:-1]:
-        at += p / total
-        ends.append(at)
-    for i in reversed(range(len(ends))):
-        out = F.when(u < ends[i], i).otherwise(out)
-    return out
+    return chosen(seed, 5, probabilities)
 
 
 def repetitions(requests: DataFrame, n: int) -> DataFrame:

@@ -3,11 +3,13 @@ slab's mean or a section's range is joined."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.cells import AXES
+from brickfield.functions.draws import chosen, normal, uniform
 from brickfield.functions.geometry import Box
 
 #: Bits and sign of the whole-number kinds.
@@ -146,18 +148,68 @@ def replace_labels(labels: Column, table: dict[int, int]) -> Column:
 
 def add_noise(voxels: DataFrame, seed: Column, mode: str = "gaussian", amount: float = 0.1, clip: bool = True) -> DataFrame:
     """Gaussian, speckle or salt-and-pepper noise; a voxel's draws depend on seed, its batch and its place alone."""
-    from brickfield.functions.draws import uniform
-
     place = seed * 31 + F.col("batch_id") * 4099 + (F.col("z") * 1009 + F.col("y")) * 1013 + F.col("x")
-    u, v = uniform(place, 1), uniform(place, 2)
-    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(F.lit(6.283185307179586) * v)
     value = F.col("value")
     if mode == "gaussian":
-        noisy = value + normal * amount
+        noisy = value + normal(place, 1) * amount
     elif mode == "speckle":
-        noisy = value + value * normal * amount
+        noisy = value + value * normal(place, 1) * amount
     elif mode == "s&p":
-        noisy = F.when(u < amount, F.when(v < 0.5, 0.0).otherwise(1.0)).otherwise(value)
+        noisy = F.when(uniform(place, 1) < amount, F.when(uniform(place, 2) < 0.5, 0.0).otherwise(1.0)).otherwise(value)
     else:
         raise ValueError(f"unknown noise {mode}")
     return voxels.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), noisy)) if clip else noisy)
+
+
+def sometimes(voxels: DataFrame, seed: Column, salt: int, p: float, value: Column) -> DataFrame:
+    """value in the batches that their draw picks, with probability p; the others stay as they are."""
+    return voxels.withColumn("value", F.when(uniform(seed, salt) < p, value).otherwise(F.col("value")))
+
+
+def simple_augment(rows: DataFrame, seed: Column, box: Box, *, mirror: Sequence[float] = (0.5, 0.5, 0.5), orders: dict[tuple[int, ...], float] | None = None, points: bool = False) -> DataFrame:
+    """rows (z, y, x) of each request mirrored along the axes, and with the axes in the order, that the request's seed draws.
+
+    mirror has a probability for each axis; orders maps orders of axes, all equally likely by default, to weights. Voxels
+    are reflected as cells, points as places, those on the far side then lying outside box and being left out. Axes are
+    exchanged around the centre of box, so voxels need it to be as long along axes that may change places.
+    """
+    orders = orders or {o: 1.0 for o in itertools.permutations(range(len(AXES)))}
+    if not points and any(box.shape[o] != box.shape[i] for order in orders for i, o in enumerate(order)):
+        raise ValueError("axes of different lengths can't change places")
+    reflected = []
+    for k, (a, b, e, p) in enumerate(zip(AXES, box.begin, box.end, mirror)):
+        c = F.col(a)
+        reflected.append(F.when(uniform(seed, 61 + k) < p, F.lit(b + e - (0 if points else 1)) - c).otherwise(c) if p else c)
+    order = chosen(seed, 67, list(orders.values()))
+    middle = box.center
+    taken = [F.lit(None)] * len(AXES)
+    for i in range(len(AXES)):
+        cases = F.array(*[reflected[o[i]] + F.lit(middle[i] - middle[o[i]]) for o in orders])
+        taken[i] = F.get(cases, order)
+    moved = rows.withColumns(dict(zip(AXES, taken)))
+    return moved.where(box.holds(*map(F.col, AXES))) if points else moved
+
+
+def section_moves(sections: DataFrame, seed: Column, slip: float, shift: float, sigma: Sequence[float]) -> DataFrame:
+    """batch_id, z, dy and dx, how far each section lies from its place: sections has batch_id and z.
+
+    A section's draw makes it slip, alone, or shift together with all after it; either by a normal step of deviation sigma.
+    """
+    if slip + shift > 1:
+        raise ValueError("a section either slips or shifts")
+    place = seed * 8191 + F.col("z")
+    u = uniform(place, 71)
+    rows = sections.withColumn("_u", u).withColumns({f"_{a}": F.rint(normal(place, 72 + 2 * k) * s).cast("long") for k, (a, s) in enumerate(zip("yx", sigma))})
+    upto = Window.partitionBy("batch_id").orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
+    moves = []
+    for a in "yx":
+        base = F.sum(F.when((F.col("_u") >= slip) & (F.col("_u") < slip + shift), F.col(f"_{a}")).otherwise(0)).over(upto)
+        moves.append((base + F.when(F.col("_u") < slip, F.col(f"_{a}")).otherwise(0)).alias(f"d{a}"))
+    return rows.select("batch_id", "z", *moves)
+
+
+def move_sections(rows: DataFrame, moves: DataFrame, box: Box) -> DataFrame:
+    """Voxels, or points whose z lies in a section, moved as section_moves() says; what leaves box is dropped."""
+    at = moves.withColumnRenamed("z", "_z")
+    moved = rows.withColumn("_z", F.floor("z").cast("long")).join(at, ["batch_id", "_z"]).withColumn("y", F.col("y") + F.col("dy")).withColumn("x", F.col("x") + F.col("dx"))
+    return crop(moved.drop("dy", "dx", "_z"), box)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickfield.functions.cells import AXES, Grid, explode
-from brickfield.functions.draws import uniform, uniform_sql
+from brickfield.functions.draws import normal_sql, uniform, uniform_sql
 from brickfield.functions.geometry import Box
 from brickfield.operators import blocks as B, voxels as V
 from brickfield.plans.fixtures import GRID, VOX, blocks, labelled, voxels
@@ -203,3 +203,69 @@ def elastic_deform(spark: SparkSession, d: str) -> DataFrame:
 
     data = deform_block(F.col("value"), GRID, F.col("batch_id"), (4.0, 4.0, 4.0), (1.0, 1.0, 1.0))
     return cells(blocks(spark, d).select("batch_id", data.alias("value")), GRID, "value")
+
+
+@query(VOX + f"""SELECT batch_id, z, y, x, round(greatest(0.0, least(1.0, abs(v) + {normal_sql("batch_id * 31 + batch_id * 4099 + (z * 1009 + y) * 1013 + x", 1)} * 0.1)), 6) + 0.0 AS value FROM vox""")
+def noise_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    rows = voxels(spark, d).withColumn("value", F.abs("value"))
+    return tidy(V.add_noise(rows, F.col("batch_id"), "gaussian", 0.1), "value", digits=6)
+
+
+PLACE = "batch_id * 31 + batch_id * 4099 + (z * 1009 + y) * 1013 + x"
+
+
+@query(VOX + f"SELECT batch_id, z, y, x, CASE WHEN {uniform_sql(PLACE, 1)} < 0.2 THEN CASE WHEN {uniform_sql(PLACE, 2)} < 0.5 THEN 0.0 ELSE 1.0 END ELSE least(1.0, abs(v)) END AS value FROM vox")
+def noise_salt_and_pepper(spark: SparkSession, d: str) -> DataFrame:
+    rows = voxels(spark, d).withColumn("value", F.abs("value"))
+    return tidy(V.add_noise(rows, F.col("batch_id"), "s&p", 0.2), "value")
+
+
+@query(VOX + f"SELECT batch_id, z, y, x, CASE WHEN {uniform_sql('batch_id', 55)} < 0.3 THEN v * 2.0 + 1.0 ELSE v END AS value FROM vox")
+def augment_sometimes(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(V.sometimes(voxels(spark, d), F.col("batch_id"), 55, 0.3, V.scale_shift(F.col("value"), 2.0, 1.0)), "value")
+
+
+def augmented_sql(rows: str, seed: str, far: int, columns: str) -> str:
+    """rows (z, y, x) mirrored by draws 61 to 63 and with axes in the order of draw 67, around the middle of [0, far]."""
+    mirrored = ", ".join(f"CASE WHEN {uniform_sql(seed, 61 + k)} < 0.5 THEN {far} - {a} ELSE {a} END AS m{a}" for k, a in enumerate(AXES))
+    orders = ["zyx", "zxy", "yzx", "yxz", "xzy", "xyz"]
+    taken = ", ".join("CASE o " + " ".join(f"WHEN {i} THEN m{o[k]}" for i, o in enumerate(orders)) + f" END AS {a}" for k, a in enumerate(AXES))
+    return f"SELECT {columns}, {taken} FROM (SELECT *, {mirrored}, floor({uniform_sql(seed, 67)} * 6)::BIGINT AS o FROM {rows})"
+
+
+@query(VOX + augmented_sql("vox", "batch_id", 3, "batch_id, v AS value"))
+def simple_augment(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(V.simple_augment(voxels(spark, d), F.col("batch_id"), WHOLE), "value")
+
+
+STEPS = f"""moves AS (SELECT batch_id, z, sum(CASE WHEN u >= 0.3 AND u < 0.6 THEN sy ELSE 0 END) OVER w + CASE WHEN u < 0.3 THEN sy ELSE 0 END AS dy, sum(CASE WHEN u >= 0.3 AND u < 0.6 THEN sx ELSE 0 END) OVER w + CASE WHEN u < 0.3 THEN sx ELSE 0 END AS dx
+  FROM (SELECT DISTINCT batch_id, z, {uniform_sql('batch_id * 8191 + z', 71)} AS u, round_even({normal_sql('batch_id * 8191 + z', 72)} * 1.0, 0)::BIGINT AS sy, round_even({normal_sql('batch_id * 8191 + z', 74)} * 1.5, 0)::BIGINT AS sx FROM vox) WINDOW w AS (PARTITION BY batch_id ORDER BY z))"""
+
+
+@query(VOX + f", {STEPS} SELECT batch_id, z, (y + dy)::BIGINT AS y, (x + dx)::BIGINT AS x, v AS value FROM vox JOIN moves USING (batch_id, z) WHERE y + dy BETWEEN 0 AND 3 AND x + dx BETWEEN 0 AND 3")
+def slip_and_shift(spark: SparkSession, d: str) -> DataFrame:
+    sections = blocks(spark, d).select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("z"))
+    moves = V.section_moves(sections, F.col("batch_id"), 0.3, 0.3, (1.0, 1.5))
+    return tidy(V.move_sections(voxels(spark, d), moves, WHOLE), "value")
+
+
+@query(VOX + f", {STEPS}, p AS (SELECT batch_id, i AS id, z + 0.25 AS pz, y + 0.5 AS py, x + 0.75 AS px, z FROM vox WHERE i % 5 = 0) SELECT batch_id, id, (pz)::DOUBLE AS z, (py + dy)::DOUBLE AS y, (px + dx)::DOUBLE AS x FROM p JOIN moves USING (batch_id, z) WHERE py + dy >= 0 AND py + dy < 4 AND px + dx >= 0 AND px + dx < 4")
+def slip_and_shift_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = blocks(spark, d)
+    sections = rows.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("z"))
+    moves = V.section_moves(sections, F.col("batch_id"), 0.3, 0.3, (1.0, 1.5))
+    at = GRID.at(F.col("id"))
+    points = rows.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(63), F.lit(5)).cast("array<bigint>")).alias("id"))
+    points = points.withColumns({a: c + F.lit(o) for a, c, o in zip(AXES, at, (0.25, 0.5, 0.75))})
+    return V.move_sections(points, moves, WHOLE)
+
+
+CUBIC = """w AS (SELECT c, greatest(0, least(3, floor(p) + k))::BIGINT AS s, sum(CASE k WHEN -1 THEN -0.5 * (1 + t) ** 3 + 2.5 * (1 + t) ** 2 - 4 * (1 + t) + 2 WHEN 0 THEN 1.5 * t ** 3 - 2.5 * t ** 2 + 1
+  WHEN 1 THEN 1.5 * (1 - t) ** 3 - 2.5 * (1 - t) ** 2 + 1 ELSE -0.5 * (2 - t) ** 3 + 2.5 * (2 - t) ** 2 - 4 * (2 - t) + 2 END) AS w
+  FROM (SELECT c, p, k, p - floor(p) AS t FROM (SELECT c, greatest(0.0, least(3.0, (c + 0.5) * 2 / 3 - 0.5))::DOUBLE AS p FROM range(0, 6) r(c)), range(-1, 3) q(k)) GROUP BY ALL)"""
+
+
+@query(VOX + ", " + CUBIC + " SELECT o.batch_id, a.c AS z, b.c AS y, e.c AS x, round(sum(v * a.w * b.w * e.w), 6) + 0.0 AS value FROM vox o JOIN w a ON a.s = o.z JOIN w b ON b.s = o.y JOIN w e ON e.s = o.x GROUP BY ALL")
+def resample_cubic(spark: SparkSession, d: str) -> DataFrame:
+    data, grid = B.resample(F.col("value"), GRID, (3, 3, 3), (2, 2, 2), 3)
+    return cells(blocks(spark, d).select("batch_id", data.alias("value")), grid, "value", digits=6)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brickfield.functions.geometry import Box
-from brickfield.operators import graphs as G, joins as J
+from brickfield.operators import graphs as G, joins as J, voxels as V
+from brickfield.plans.array_queries import augmented_sql
 from brickfield.plans.fixtures import PTS, edges, points
 
 QUERIES, SQL = {}, {}
@@ -185,3 +186,61 @@ def blobs_from_points(spark: SparkSession, d: str) -> DataFrame:
     grid = G.rasterize(nodes, 2.0, box=BOX)
     labels = grid.select("z", "y", "x", ((F.floor(F.col("z") / 3) + F.floor(F.col("y") / 40) + F.floor(F.col("x") / 20)) % 2).alias("label"))
     return G.blobs(nodes, labels, 2.0, BOX)
+
+
+@query(PTS + "SELECT id, z + 10.5::DOUBLE AS z, y - 3.0::DOUBLE AS y, x::DOUBLE AS x FROM pts")
+def graph_shift(spark: SparkSession, d: str) -> DataFrame:
+    return G.shift(points(spark, d), (10.5, -3.0, 0.0)).select("id", *[F.col("loc")[i].alias(a) for i, a in enumerate("zyx")])
+
+
+@query(PTS + """, ranked AS (SELECT id, z, row_number() OVER (PARTITION BY z ORDER BY ts, id) AS n FROM pts JOIN events ON event_id = id)
+SELECT u, v FROM (SELECT id AS u, lead(id) OVER (PARTITION BY z ORDER BY n) AS v FROM ranked WHERE n % 7 = 1) WHERE v IS NOT NULL""")
+def remove_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Six of seven nodes in turn are removed, so that runs of them are bridged."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gone = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.row_number().over(w).alias("n")).where("n % 7 <> 1").select("id")
+    return G.remove_nodes(points(spark, d), edges(spark, d), gone)[1]
+
+
+@query(PTS + f""", ends AS (SELECT u, v, ({INSIDE.format(t='p')}) AS i, ({INSIDE.format(t='q')}) AS j FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v),
+cuts AS (SELECT u, v, i, (SELECT max(id) FROM pts) + row_number() OVER (ORDER BY u, v) AS id FROM ends WHERE i <> j)
+SELECT u, v FROM ends WHERE i AND j UNION ALL SELECT CASE WHEN i THEN u ELSE id END, CASE WHEN i THEN id ELSE v END FROM cuts""")
+def graph_trimmed_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.trim(points(spark, d), edges(spark, d), BOX)[1]
+
+
+@query(PTS + f""", cropped AS (SELECT id, z, y, x FROM pts p WHERE {INSIDE.format(t='p')} OR id IN (SELECT u FROM edges WHERE v IN (SELECT id FROM pts p WHERE {INSIDE.format(t='p')})) OR id IN (SELECT v FROM edges WHERE u IN (SELECT id FROM pts p WHERE {INSIDE.format(t='p')}))),
+ends AS (SELECT ({INSIDE.format(t='p')}) AS i, ({INSIDE.format(t='q')}) AS j FROM edges JOIN cropped p ON p.id = u JOIN cropped q ON q.id = v)
+SELECT (SELECT count(*) FROM cropped p WHERE {INSIDE.format(t='p')}) AS inside, count(*) FILTER (i <> j)::BIGINT AS temporary, count(*) FILTER (i OR j)::BIGINT AS edges FROM ends""")
+def graph_source(spark: SparkSession, d: str) -> DataFrame:
+    """A graph served for a box: cropped, then trimmed."""
+    nodes, kept = G.trim(*G.crop(points(spark, d), edges(spark, d), BOX), BOX)
+    counts = nodes.agg(F.count(F.when(~F.col("temporary"), 1)).alias("inside"), F.count(F.when(F.col("temporary"), 1)).alias("temporary"))
+    return counts.crossJoin(kept.agg(F.count("*").alias("edges")))  # a row each
+
+
+@query(PTS + f""", {ball_sql(2)}, line AS (SELECT DISTINCT floor(p.z + (q.z - p.z) * (i / n))::BIGINT AS z, floor(p.y + (q.y - p.y) * (i / n))::BIGINT AS y, floor(p.x + (q.x - p.x) * (i / n))::BIGINT AS x
+  FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT p, q, greatest(1, abs(q.z - p.z), abs(q.y - p.y), abs(q.x - p.x)) AS n FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v WHERE u % 20 = 0)))
+SELECT DISTINCT z + a AS z, y + b AS y, x + c AS x FROM line, balls""")
+def rasterize_tube_voxels(spark: SparkSession, d: str) -> DataFrame:
+    """The voxels themselves, along every edge whose first node's id is divisible by 20."""
+    line = G.along_edges(points(spark, d), edges(spark, d).where("u % 20 = 0"))
+    at = [c.cast("double") for c in G.voxel_of(F.col("loc"), (1, 1, 1))]
+    return G.rasterize(line.select(F.array(*at).alias("loc")).distinct(), 2.0).select("z", "y", "x")
+
+
+@query(PTS + f""", {ball_sql(2)}, pairs AS (SELECT p.z + a AS z, p.y + b AS y, p.x + c AS x, q.id, q.z AS tz, q.y AS ty, q.x AS tx, (p.z // 3 + p.y // 40 + p.x // 20) % 2 AS own FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v, balls WHERE p.x >= 0)
+SELECT z, y, x, (tz - z)::DOUBLE AS dz, (ty - y)::DOUBLE AS dy, (tx - x)::DOUBLE AS dx FROM (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY (tz - z) ** 2 + (ty - y) ** 2 + (tx - x) ** 2, id) AS n
+  FROM pairs WHERE z >= 0 AND y >= 0 AND x >= 0 AND {PARITY} = own) WHERE n = 1""")
+def vector_map_within(spark: SparkSession, d: str) -> DataFrame:
+    """vector_map_min within the source's own label."""
+    nodes = points(spark, d)
+    grid = G.rasterize(nodes, 2.0).where("z >= 0 AND y >= 0 AND x >= 0")
+    labels = grid.select("z", "y", "x", ((F.floor(F.col("z") / 3) + F.floor(F.col("y") / 40) + F.floor(F.col("x") / 20)) % 2).alias("label"))
+    return G.vector_map(nodes, edges(spark, d), nodes, 2.0, labels=labels)
+
+
+@query(PTS + ", p AS (SELECT id, id % 50 AS request, z % 64 AS z, y % 64 AS y, x % 64 + 0.5 AS x FROM pts WHERE x >= 0), moved AS (" + augmented_sql("p", "request", 64, "id") + ") SELECT id, z::DOUBLE AS z, y::DOUBLE AS y, x::DOUBLE AS x FROM moved WHERE z < 64 AND y < 64 AND x < 64")
+def simple_augment_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d).where("x >= 0").select("id", *[(F.col(a) % 64 + o).cast("double").alias(a) for a, o in zip("zyx", (0, 0, 0.5))])
+    return V.simple_augment(rows, F.col("id") % 50, Box((0, 0, 0), (64, 64, 64)), points=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickfield.functions.cells import AXES, Grid, explode
-from brickfield.operators import blocks as B, labels as L
+from brickfield.operators import blocks as B, graphs as G, labels as L
 from brickfield.plans.array_queries import cells, tidy
 from brickfield.plans.fixtures import GRID, VOX, blocks, labelled
 
@@ -151,8 +151,8 @@ def connected_components_vox(spark: SparkSession, d: str) -> DataFrame:
 
 @query(VOX + "SELECT batch_id, label, round(avg(z), 6) + 0.0 AS z, round(avg(y), 6) + 0.0 AS y, round(avg(x), 6) + 0.0 AS x FROM lab GROUP BY batch_id, label")
 def center_of_mass(spark: SparkSession, d: str) -> DataFrame:
-    found = labelled(spark, d).groupBy("batch_id", F.col("label").cast("long").alias("label")).agg(*[(F.round(F.avg(a), 6) + F.lit(0.0)).alias(a) for a in AXES])
-    return found
+    found = G.center_of_mass(labelled(spark, d).withColumn("label", F.col("label").cast("long")), "batch_id", "label")
+    return found.select("batch_id", "label", *[(F.round(a, 6) + F.lit(0.0)).alias(a) for a in AXES])
 
 
 @query(VOX + "SELECT label::BIGINT AS label, count(*) AS n, count(DISTINCT batch_id) AS volumes FROM lab GROUP BY label")
@@ -171,3 +171,30 @@ def scan_affinities(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("batch_id").agg(F.sum(s).alias("affine"), (F.round(F.sum(s * F.col("weight")), 6) + F.lit(0.0)).alias("weighted"))
 
 
+FAR = EDGES + """, far AS (SELECT o.batch_id, o.z, o.y, o.x, label, CASE WHEN label > 0 THEN coalesce(min(sqrt((f.z - 2 * o.z) ** 2 + (f.y - 2 * o.y) ** 2 + (f.x - 2 * o.x) ** 2) / 2), 0.0) ELSE 0.0 END AS v
+FROM lab o LEFT JOIN faces f ON f.batch_id = o.batch_id GROUP BY o.batch_id, o.z, o.y, o.x, label)"""
+
+
+def raw_slope(axis: str) -> str:
+    w = f"(PARTITION BY batch_id, {', '.join(a for a in AXES if a != axis)} ORDER BY {axis})"
+    return f"CASE WHEN {axis} = 0 THEN lead(v) OVER {w} - v WHEN {axis} = 3 THEN v - lag(v) OVER {w} ELSE (lead(v) OVER {w} - lag(v) OVER {w}) / 2 END AS d{axis}"
+
+
+@query(VOX + FAR + f""", g AS (SELECT *, {', '.join(raw_slope(a) for a in AXES)} FROM far), n AS (SELECT *, sqrt(dz ** 2 + dy ** 2 + dx ** 2) AS s FROM g)
+SELECT batch_id, z, y, x, {', '.join(f"round(CASE WHEN label = 0 THEN 0.0 ELSE d{a} / (CASE WHEN s < 1e-5 THEN 1.0 ELSE s END) * (exp(-v * 0.5) * 2.0) END, 6) + 0.0 AS d{a}" for a in AXES)} FROM n""")
+def distance_gradients(spark: SparkSession, d: str) -> DataFrame:
+    slopes = B.distance_gradients(F.col("label"), GRID, norm="l2", decay=(0.5, 2.0))
+    return cells(blocks(spark, d).select("batch_id", *[s.alias(f"d{a}") for s, a in zip(slopes, AXES)]), GRID, "dz", "dy", "dx", digits=6)
+
+
+@query(VOX + FAR + "SELECT batch_id, z, y, x, round(v, 6) + 0.0 AS distance FROM far")
+def boundary_distance_whole(spark: SparkSession, d: str) -> DataFrame:
+    """boundary_distance, without its reach of 2."""
+    return cells(B.boundary_distance(blocks(spark, d), GRID), GRID, "distance", digits=6)
+
+
+@query(VOX + """, b AS (SELECT batch_id, z, y, x, mask AS m, min(mask) OVER w AS lo, max(mask) OVER w AS hi FROM lab WINDOW w AS (PARTITION BY batch_id)),
+far AS (SELECT b.batch_id, b.z, b.y, b.x, b.m, b.lo, b.hi, min((o.z - b.z) ** 2 + (o.y - b.y) ** 2 + (o.x - b.x) ** 2) FILTER (o.m > 0) AS d2 FROM b JOIN b o ON o.batch_id = b.batch_id GROUP BY ALL)
+SELECT batch_id, z, y, x, CASE WHEN lo = hi THEN m WHEN d2 <= 4 AND d2 > 1 THEN 1 ELSE 0 END AS mask FROM far""")
+def enlarge_ring(spark: SparkSession, d: str) -> DataFrame:
+    return cells(blocks(spark, d).select("batch_id", B.enlarge(F.col("mask"), GRID, 2.0, ring=0.5).alias("mask")), GRID, "mask")

@@ -100,9 +100,42 @@ c AS (SELECT id, greatest(1, round_even(weight * 4096, 0)::BIGINT) AS cells FROM
 r AS (SELECT o_orderkey AS request, floor({uniform_sql('o_orderkey', 17)} * (SELECT sum(cells)::BIGINT FROM c))::BIGINT AS cell FROM orders)
 SELECT request, id FROM r JOIN p ON cell >= e - cells AND cell < e""")
 def weighted_points(spark: SparkSession, d: str) -> DataFrame:
+    return L.weighted_choice(requests(spark, d), point_weights(spark, d), 4096)
+
+
+@query(PTS + f""", w AS (SELECT a.id, 1.0::DOUBLE / count(*) AS weight FROM pts a JOIN pts b ON abs(a.y - b.y) <= 30 AND abs(a.x - b.x) <= 30 AND abs(a.z - b.z) <= 30 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 + (a.z - b.z) ** 2 <= 900 GROUP BY a.id),
+p AS (SELECT id, sum(weight) OVER (ORDER BY id) - weight AS s, sum(weight) OVER (ORDER BY id) AS e, sum(weight) OVER () AS total FROM w),
+r AS (SELECT o_orderkey AS request, {uniform_sql('o_orderkey', 17)} * (SELECT sum(weight) FROM w) AS spot FROM orders)
+SELECT request, id FROM r JOIN p ON spot >= s AND spot < e""")
+def weighted_points_exact(spark: SparkSession, d: str) -> DataFrame:
+    """weighted_points, by the weights themselves."""
     return L.weighted_choice(requests(spark, d), point_weights(spark, d))
 
 
+@query(f"""WITH tries AS (SELECT o_orderkey AS request, t AS attempt, {', '.join(f"(floor({uniform_sql('o_orderkey', f't * 10 + {k}')} * {n})::BIGINT * {g})" + f" AS b_{a}" for k, (a, n, g) in enumerate(zip(AXES, (19, 141, 86), (20, 2, 2))))} FROM orders, range(0, 200) r(t)),
+good AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY attempt) AS n FROM tries WHERE (b_z // 20 + b_y // 2 + b_x // 2 + request) % 3 = 0)
+SELECT request, attempt, b_z, b_y, b_x FROM good WHERE n = 1""")
+def random_location_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Draws until a condition of the user's holds, however many that takes."""
+    accepts = (F.col("b_z") / 20 + F.col("b_y") / 2 + F.col("b_x") / 2 + F.col("request")) % 3 == 0
+    return L.shift_until(requests(spark, d), (40, 20, 30), UPSTREAM, (20, 2, 2), accepts).select("request", "attempt", "b_z", "b_y", "b_x")
+
+
+def reach_sql(axis: str, shape: int, end: int) -> str:
+    return f"greatest({axis} - {shape} + 1, 0) AS f{axis}, least({axis}, {end} - {shape}) AS l{axis}"
+
+
+@query(PTS + f""", ends AS (SELECT id, weight, {reach_sql('z', 5, 90)}, {reach_sql('y', 40, 1400)}, {reach_sql('x', 20, 90)} FROM (SELECT id, z, y, x, 1.0::DOUBLE / (1 + id % 3) AS weight FROM pts)),
+fit AS (SELECT * FROM ends WHERE fz <= lz AND fy <= ly AND fx <= lx), p AS (SELECT *, sum(weight) OVER (ORDER BY id) - weight AS s, sum(weight) OVER (ORDER BY id) AS e FROM fit),
+r AS (SELECT o_orderkey AS request, {uniform_sql('o_orderkey', 17)} * (SELECT sum(weight) FROM fit) AS spot FROM orders)
+SELECT request, id, {', '.join(f"f{a} + floor({uniform_sql('request', 31 + k)} * (l{a} - f{a} + 1))::BIGINT AS b_{a}" for k, a in enumerate(AXES))} FROM r JOIN p ON spot >= s AND spot < e""")
+def random_location_nonempty(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that hold a point drawn by weight."""
+    nodes = points(spark, d)
+    weights = nodes.select("id", (F.lit(1.0) / (1 + F.col("id") % 3)).alias("weight"))
+    return L.around_points(requests(spark, d), weights, nodes, (5, 40, 20), Box((0, 0, 0), (90, 1400, 90)))
+
+
 LISTED = "SELECT p_partkey AS location, (p_partkey * 37) % 500 AS z, (p_partkey * 11) % 320 AS y, (p_size * 9)::BIGINT AS x FROM part"
 
 
@@ -115,6 +148,18 @@ def specified_location(spark: SparkSession, d: str) -> DataFrame:
     return L.specified(requests(spark, d), listed, (40, 20, 30), UPSTREAM, (20, 2, 2)).select("request", "location", "b_z", "b_y", "b_x")
 
 
+@query(f"""WITH l AS ({LISTED}), b AS (SELECT location, (round_even((z - 20) / 20.0, 0) * 20)::BIGINT AS bz, (round_even((y - 10) / 2.0, 0) * 2)::BIGINT AS by_, (round_even((x - 15) / 2.0, 0) * 2)::BIGINT AS bx FROM l),
+f AS (SELECT *, row_number() OVER (ORDER BY location) - 1 AS n FROM b WHERE bz BETWEEN 0 AND 360 AND by_ BETWEEN 0 AND 280 AND bx BETWEEN 0 AND 170),
+s AS (SELECT * FROM orders JOIN f ON f.n = floor({uniform_sql('o_orderkey', 23)} * (SELECT count(*) FROM f))::BIGINT)
+SELECT o_orderkey AS request, location, {', '.join(f"greatest(0, least({most}, round_even(({b} + floor({uniform_sql('o_orderkey', 41 + k)} * {2 * j + 1})::BIGINT - {j}) / {g}.0, 0) * {g}))::BIGINT AS b_{a}" for k, (a, b, j, g, most) in enumerate(zip(AXES, ('bz', 'by_', 'bx'), (40, 5, 5), (20, 2, 2), (360, 280, 170))))} FROM s""")
+def specified_at_random(spark: SparkSession, d: str) -> DataFrame:
+    """Listed locations drawn at random, and their boxes moved a little."""
+    key = F.col("p_partkey")
+    listed = table(spark, d, "part").select(key.alias("location"), (key * 37 % 500).alias("z"), (key * 11 % 320).alias("y"), (F.col("p_size") * 9).cast("long").alias("x"))
+    served = L.specified(requests(spark, d), listed, (40, 20, 30), UPSTREAM, (20, 2, 2), at_random=True, jitter=(40, 5, 5))
+    return served.select("request", "location", "b_z", "b_y", "b_x")
+
+
 @query(PTS + """, f AS (SELECT id, z - 2 AS bz, y - 5 AS by_, x - 5 AS bx, row_number() OVER (ORDER BY id) - 1 AS n FROM pts WHERE z >= 2 AND z - 2 + 5 <= 400 AND y >= 5 AND y - 5 + 10 <= 1440 AND x >= 5 AND x - 5 + 10 <= 200)
 SELECT o_orderkey AS request, id AS location, bz AS b_z, by_ AS b_y, bx AS b_x FROM orders JOIN f ON f.n = o_custkey % (SELECT count(*) FROM f)""")
 def iterate_locations(spark: SparkSession, d: str) -> DataFrame:
@@ -219,3 +264,20 @@ def overlapping_boxes(spark: SparkSession, d: str) -> DataFrame:
     boxes = table(spark, d, "orders").select(key.alias("id"), (key * 7 % 9000).alias("b_z"), (key * 7 % 9000 + 5 + F.col("o_custkey") % 20).alias("e_z"))
     others = table(spark, d, "part").select(part.alias("id"), (part * 13 % 9000).alias("b_z"), (part * 13 % 9000 + 3).alias("e_z"))
     return J.overlap(boxes, others, ("z",), (16,)).select("id", F.col("id_o").alias("other"))
+
+
+@query("SELECT s_suppkey AS tile, z, y, x, (z * 100 + y * 10 + x)::DOUBLE AS value FROM (SELECT s_suppkey, s_nationkey AS n FROM supplier), range(0, 40) a(z), range(0, 30) b(y), range(0, 12) c(x) WHERE z >= n AND z < n + 3 AND y >= n // 2 AND y < n // 2 + 2 AND x >= 5 AND x < 9")
+def provided_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles served by a function of the user's."""
+    n = F.col("s_nationkey").cast("long")
+    begins = {"b_z": n, "b_y": F.floor(n / 2), "b_x": F.lit(5)}
+    tiles = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tile"), *[c.alias(k) for k, c in begins.items()], (n + 3).alias("e_z"), (F.floor(n / 2) + 2).alias("e_y"), F.lit(9).alias("e_x"))
+    return T.provided(tiles, served)
+
+
+def served(box: Box):
+    """A ramp over the voxels of a box."""
+    import numpy as np
+
+    z, y, x = (i + b for i, b in zip(np.indices(box.shape), box.begin))
+    return z * 100 + y * 10 + x

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from brickfield.functions.cells import AXES
 from brickfield.functions.geometry import Box
+from brickfield.functions.scratch import written
+from brickfield.operators.graphs import numbered
 
 
 def read_voxels(spark: SparkSession, path: str, box: Box | None = None) -> DataFrame:
@@ -17,21 +19,16 @@ def read_voxels(spark: SparkSession, path: str, box: Box | None = None) -> DataF
 
 
 def read_csv_points(spark: SparkSession, path: str, spatial: Sequence[int], *, header: bool = False, scale: float | Sequence[float] = 1.0, id_column: int | None = None, delimiter: str = ",", box: Box | None = None) -> DataFrame:
-    """id and loc from columns of a CSV file. Without an id column, ids number the rows in the file's order."""
+    """id and loc from columns of a CSV file. Without an id column, ids number the rows, file by file in the order of their names."""
     scales = [scale] * len(spatial) if isinstance(scale, (int, float)) else list(scale)
     raw = spark.read.csv(path, header=header, sep=delimiter)
     raw = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
     loc = F.array(*[F.trim(f"c{i}").cast("double") * float(s) for i, s in zip(spatial, scales)])
     if id_column is None:
-        # Partitions keep the file's order; their sizes shift the numbers within each.
-        raw = raw.withColumn("_i", F.monotonically_increasing_id())
-        part = F.shiftright("_i", 33)
-        sizes = sorted((r["p"], r["n"]) for r in raw.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-        starts, at = [F.lit(-1).cast("long"), F.lit(0)], 0
-        for p, n in sizes:
-            starts += [F.lit(p).cast("long"), F.lit(at)]
-            at += n
-        ids: Column = F.create_map(*starts)[part] + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+        # Partitions are dealt by size, not in the order of files, so a file and the place in it tell the order.
+        raw = raw.withColumn("_file", F.input_file_name()).withColumn("_i", F.monotonically_increasing_id())
+        raw = numbered(written(raw.withColumn("_start", F.input_file_block_start()), "csv"), "_file", "_start", "_i")
+        ids = F.col("number")
     else:
         ids = F.trim(f"c{id_column}")
     points = raw.select(ids.cast("long").alias("id"), loc.alias("loc"))
@@ -65,8 +62,6 @@ def read_chunks(spark: SparkSession, path: str, pattern: str, shape: Sequence[in
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
-    from brickfield.operators.graphs import numbered
-
     order = numbered(names, "path").select("path", F.col("number").alias("chunk"))
     return files.mapInArrow(kernel, "path string, data array<double>").join(order, "path").select("chunk", "data")
 
@@ -83,8 +78,6 @@ def read_annotations(lines: DataFrame, column: str = "value") -> tuple[DataFrame
 
     A partner is named by its location, so partners come from a join of locations.
     """
-    from brickfield.operators.graphs import numbered
-
     a = lines.select(F.from_json(column, ANNOTATION).alias("a")).where("a.Pos IS NOT NULL").select("a.*")
     points = numbered(a.withColumn("key", F.array_join("Pos", ",")), "key")
     loc = F.transform("Pos", lambda v: v.cast("double"))
@@ -93,6 +86,28 @@ def read_annotations(lines: DataFrame, column: str = "value") -> tuple[DataFrame
     return points.select(F.col("number").alias("id"), F.col("Kind").alias("kind"), loc.alias("loc")), partners
 
 
+def provided(tiles: DataFrame, provide, axes: Sequence[str] = AXES) -> DataFrame:
+    """tile, z, y, x and value (double) from a function of the user's: provide(Box) gives the array of a box's voxels.
+
+    tiles has tile, b_<axis> and e_<axis>; each task calls the function for its own.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def kernel(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                box = Box(tuple(r[f"b_{a}"] for a in axes), tuple(r[f"e_{a}"] - r[f"b_{a}"] for a in axes))
+                cells = np.asarray(provide(box), dtype=float)
+                if cells.shape != box.shape:
+                    raise ValueError(f"{box} was served with cells of shape {cells.shape}")
+                at = [(c + o).ravel() for c, o in zip(np.indices(box.shape), box.begin)]
+                yield pa.record_batch({"tile": pa.array(np.full(cells.size, r["tile"]))} | {a: pa.array(c) for a, c in zip(axes, at)} | {"value": pa.array(cells.ravel())})
+
+    rows = tiles.select(F.col("tile").cast("long").alias("tile"), *[F.col(f"{p}_{a}").cast("long").alias(f"{p}_{a}") for a in axes for p in "be"])
+    return rows.mapInArrow(kernel, "tile long, " + "".join(f"{a} long, " for a in axes) + "value double")
+
+
 def read_graph(nodes: DataFrame, edges: DataFrame, position: str | Sequence[str], box: Box) -> tuple[DataFrame, DataFrame]:
     """Nodes in box, with loc from a vector or from scalar columns, and the edges among them. Nodes without a position go."""
     loc = F.col(position) if isinstance(position, str) else F.array(*[F.col(c).cast("double") for c in position])
