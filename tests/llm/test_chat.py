@@ -56,3 +56,14 @@ def test_repeated_turns_and_empty(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", 0), (1, 0, "user", "a", 0), (2, 0, "user", "a", 0)], ROWS)
     assert [(r["conv_id"], r["n_turns"]) for r in chat.render(df).collect()] == [(1, 2)]
     assert chat.render(df.limit(0)).count() == 0
+
+
+def test_turns_alike_over_parts(spark, monkeypatch):
+    """A turn that stands 25 times among others, in parts of ten turns."""
+    monkeypatch.setattr(chat, "PART", 10)
+    said = [(1, 0, "user", "first", 0), *[(1, 1, "user", "same <|", 0)] * 25, *[(1, 2, "assistant", t, 0) for t in "cab"], (2, 0, "user", "first", 0)]
+    rows = {r["part"]: r["text"] for r in chat.render(spark.createDataFrame(said, ROWS).repartition(3)).collect()}
+    turns = [t for p in range(3) for t in rows[p].split("<|im_start|>")[1:]]
+    assert sorted(rows) == [0, 1, 2] and [rows[p].count("<|im_start|>") for p in range(3)] == [10, 10, 9]
+    assert turns[0] == "user\nfirst<|im_end|>\n" and turns[1:26] == ["user\nsame < |<|im_end|>\n"] * 25
+    assert sorted(turns[26:]) == [f"assistant\n{t}<|im_end|>\n" for t in "abc"]
