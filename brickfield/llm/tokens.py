@@ -6,9 +6,10 @@ columns, `ids` and `mask` (false on the padding of the last sequence), beside a
 its documents. Batches lie in the file as they do in memory, so a mapped shard gives any sequence without copying. Files
 are written under a name of their attempt and then renamed, so a task that runs again leaves one whole file.
 
-Encoding looks up the pieces of a text between ASCII white space, which the tokenizer never joins (white space is dropped
-and every rule is local), and encodes each piece once for its task; a piece that is a Latin word and ASCII punctuation is
-looked up in two. Everything new goes through the tokenizers library.
+Encoding looks up the pieces of a text between ASCII white space, which a tokenizer of the form SPLITS never joins (white
+space is dropped and every rule is local), and encodes each piece once for its task; a piece that is a Latin word and ASCII
+punctuation is looked up in two. Everything new goes through the tokenizers library. The tokenizer's file tells its form;
+with any other the library encodes every text whole.
 
 Defined cases: a null text counts as empty and has the end id alone; null ids come first; rows of equal doc_id are in the
 order of their text's hash; repeated rows are written as often as they stand; an empty table writes no shard; extra
@@ -17,6 +18,7 @@ columns are not written.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -32,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Ids in a sequence, and sequences in a batch.
 LENGTH, BATCH = 2048, 128
-#: Pieces that a task remembers at most before it starts anew.
-REMEMBERED = 600_000
+#: Bytes of pieces that a task remembers at most before it starts anew, and bytes that a piece takes besides its own.
+REMEMBERED, ENTRY = 64 << 20, 200
 #: Words encoded in one call.
 TOGETHER = 256
 #: Documents looked up at once.
@@ -42,6 +44,23 @@ DOCS = 1000
 #: and so is U+0130, whose lower case ends in a combining dot that joins the punctuation.
 WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
+# The parts of a tokenizer's file by which its pieces between white space are encoded apart.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "end_of_word_suffix": "</w>", "continuing_subword_prefix": None, "unk_token": None, "dropout": None,
+}
+
+
+def splits(tokenizer) -> bool:
+    """True if the tokenizer has the form SPLITS, and its added tokens hold no white space and take none along."""
+    spec = json.loads(tokenizer.to_str())
+    added = all(not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    return added and all({**spec["model"], **spec}.get(k) == v for k, v in SPLITS.items())
+
 
 def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     if path.startswith("file:"):
@@ -55,9 +74,11 @@ class Numbers(dict):
     def __init__(self, *known: bytes):
         super().__init__((x, i) for i, x in enumerate(known))
         self.waiting: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, x: bytes) -> int:
         self[x] = n = len(self)
+        self.bytes += len(x) + ENTRY
         self.waiting.append(x)
         return n
 
@@ -86,6 +107,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
+        self.whole = not splits(self.tokenizer)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, dtype=bool)  # ids that end a word, where the model marks them
@@ -131,7 +153,10 @@ class Encoder:
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of each text's."""
-        if len(self.pieces) > REMEMBERED:
+        if self.whole:
+            each = [np.append(x, np.uint32(self.end_id)) for x in self.encode([(t or b"").decode() for t in texts])]
+            return np.concatenate([np.zeros(0, dtype=np.uint32), *each]).astype(self.kind), np.array([len(x) for x in each], dtype=np.int64)
+        if self.pieces.bytes + self.words.bytes + self.rests.bytes > REMEMBERED:
             self.forget()
         pieces: list[bytes] = []
         last = np.zeros(len(texts), dtype=np.int64)

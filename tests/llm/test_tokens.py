@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -71,3 +73,34 @@ def test_random_access(spark, docs):
 
 def test_empty(spark, no_docs):
     assert tokens.token_digest(spark, no_docs, new_path(spark, "t"), vocabulary()).count() == 0
+
+
+def test_fuzzed_words_equal_library(tokenizer):
+    """Words of letters with and without marks, ligatures and specials, beside punctuation, digits and one another."""
+    rng = random.Random(9)
+    letters = [*"aZéİıŞßŸſǅŋ", "i\u0307", "e\u0301", "\u0301", "\u0130\u0307", "ﬁ", "ẞ", "Σ", "ς", "日", "🙂", "\u200d", "'s", "'", "’", "\xa0", "\x85", "<|endoftext|>"]
+    ends = [*".,;:!?)(-_\"'/…", "", "", "1", "2.5", " ", "\t", "\x00", "\x1c"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) + rng.choice(ends) + rng.choice(letters) * rng.randint(0, 1) + rng.choice(ends) for _ in range(120_000)]
+    ids, counts = tokens.Encoder(vocabulary(), 1)([t.encode() for t in texts])
+    want = [x.ids + [1] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "cased"])
+def test_other_vocabularies(tokenizer, tmp_path, name):
+    """A tokenizer that keeps white space, and one of this form that keeps case, encode whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if name == "cased":
+        spec = json.loads(tokenizer.to_str())
+        spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+        path = str(tmp_path / "cased.json")
+        (tmp_path / "cased.json").write_text(json.dumps(spec))
+    else:
+        path = public_tokenizers.path(name)
+    library, encoder = Tokenizer.from_file(path), tokens.Encoder(path, 0)
+    assert encoder.whole and not tokens.Encoder(vocabulary(), 1).whole
+    ids, counts = encoder([t.encode() for t in STRANGE] + [None])
+    want = [library.encode(t, add_special_tokens=False).ids + [0] for t in [*STRANGE, ""]]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
