@@ -64,3 +64,37 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 0)]
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard", [1 << 16, 60])
+def test_each_query_row_has_its_own_answers(spark, vectors, monkeypatch, shard):
+    monkeypatch.setattr(topk, "SHARD", shard)
+    again = [*vectors, (200, [-1.0] * 6), (200, [0.5, 2.0]), vectors[300], vectors[300]]
+    df = spark.createDataFrame(again, "vec_id long, embedding array<float>").repartition(4)
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in df.collect() if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, v in good:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:10]
+            want.append((q, [(i, -s) for s, i in best]))
+    got = {}
+    for r in topk.top_k(df, by_row=True).orderBy("rank").collect():
+        got.setdefault((r["query_id"], r["query_row"]), []).append((r["vec_id"], r["score"]))
+    assert sorted((q, found) for (q, _), found in got.items()) == sorted(want) and len(want) > 8
+
+
+def test_large_components_are_exact(spark):
+    """Sums past what a double holds, within a signed long."""
+    rows = [(0, [2.0**19 + 1 / 1024, 3.0]), (1, [2.0**20 + 1 / 1024, -1.0]), (2, [2.0**20, 2.0**20]), (3, [-(2.0**20), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    scores = sorted((-sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in (1, 2, 3))
+    assert abs(scores[0][0]) > 1 << 53
+    assert [(r["vec_id"], -r["score"]) for r in topk.top_k(df).orderBy("rank").collect()] == [(i, s) for s, i in scores]
+
+
+def test_shards_for_idle_cores(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_SHARD", 16)
+    rows = [(i, [math.sin(i), math.cos(3 * i), float(i % 5)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df, every=10).collect())) == expected(rows, every=10)
