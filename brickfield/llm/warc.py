@@ -28,6 +28,8 @@ from brickfield.llm.tokens import filesystem
 LEAST = 1000
 #: Bytes of a range, and bytes read at once.
 RANGE, CHUNK = 16 << 20, 1 << 18
+#: Bytes of a member that are fed first, and records and payload bytes that leave a reader together.
+STEP, TOGETHER, PAYLOADS = 1 << 12, 1000, 8 << 20
 LEVEL = 3
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,29 +91,43 @@ def headers(block: bytes) -> dict[str, str]:
 
 
 class Members:
-    """A file's gzip members from an offset on."""
+    """A file's gzip members from an offset on. Bytes are read a chunk at a time and fed in steps that grow, so none is copied often."""
 
     def __init__(self, source, at: int):
-        self.source, self.at, self.data = source, at, b""
+        self.source, self.base, self.place, self.data = source, at, 0, bytearray()
         source.seek(at)
 
+    @property
+    def at(self) -> int:
+        """The offset in the file of what comes next."""
+        return self.base + self.place
+
+    @property
+    def left(self) -> int:
+        """Bytes at hand."""
+        return len(self.data) - self.place
+
     def more(self) -> bool:
+        if self.place > CHUNK:
+            del self.data[: self.place]
+            self.base, self.place = self.base + self.place, 0
         new = self.source.read(CHUNK)
         self.data += new
         return bool(new)
 
     def member(self) -> tuple[bytes, int] | None:
         """The member that starts here and its size, or None if none does."""
-        unpack, parts, fed = zlib.decompressobj(wbits=31), [], 0
+        unpack, parts, fed, step = zlib.decompressobj(wbits=31), [], 0, STEP
         while True:
-            if fed == len(self.data) and not self.more():
+            if fed == self.left and not self.more():
                 return None
+            piece = bytes(self.data[self.place + fed : self.place + fed + step])
             try:
-                parts.append(unpack.decompress(self.data[fed:]))
+                parts.append(unpack.decompress(piece))
             except zlib.error:
                 return None
-            fed = len(self.data)
-            if not self.valid_so_far(parts[0]):
+            fed, step = fed + len(piece), min(2 * step, CHUNK)
+            if not self.valid_so_far(b"".join(parts[:2])):
                 return None
             if unpack.eof:
                 return b"".join(parts), fed - len(unpack.unused_data)
@@ -133,16 +149,16 @@ class Members:
         return fields, rest[: int(length)], size
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.place += n
 
     def to_magic(self, end: int) -> bool:
         """Moves to the next candidate that starts before end."""
         while True:
-            found = self.data.find(MAGIC)
+            found = self.data.find(MAGIC, self.place)
             if found >= 0:
-                self.skip(found)
+                self.place = found
                 return self.at < end
-            self.skip(max(0, len(self.data) - len(MAGIC) + 1))
+            self.skip(max(0, self.left - len(MAGIC) + 1))
             if self.at >= end or not self.more():
                 return False
 
@@ -156,7 +172,7 @@ def records_in(source, start: int, end: int) -> Iterator[tuple[int, dict[str, st
             yield members.at, fields, block
             members.skip(size)
             continue
-        if members.data:
+        if members.left:
             members.skip(1)
         if not members.to_magic(end):
             return
@@ -169,23 +185,33 @@ def read_warc(spark: SparkSession, folder: str, range_bytes: int = RANGE) -> Dat
     ranges = files.where("length > 0").select("path", F.explode(starts).alias("start")).withColumn("end", F.col("start") + range_bytes)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
             for r in b.to_pylist():
                 fs, local = filesystem(r["path"])
                 with fs.open_input_file(local) as source:
                     for offset, fields, block in records_in(source, r["start"], r["end"]):
                         head, _, payload = block.partition(b"\r\n\r\n")
-                        http = headers(head)
-                        size = http.get("content-length", "")
-                        yield pa.RecordBatch.from_pylist([{
-                            "path": r["path"], "offset": offset, "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"),
-                            "record_id": fields.get("warc-record-id"), "refers_to": fields.get("warc-refers-to"),
-                            "payload_digest": fields.get("warc-payload-digest"), "payload_bytes": int(size) if size.isdigit() else len(payload), "payload": payload,
-                        }], schema=schema)
+                        size = headers(head).get("content-length", "")
+                        rows.append((
+                            r["path"], offset, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-record-id"), fields.get("warc-refers-to"),
+                            fields.get("warc-payload-digest"), int(size) if size.isdigit() else len(payload), payload,
+                        ))
+                        held += len(payload)
+                        if len(rows) == TOGETHER or held > PAYLOADS:
+                            yield batch(rows)
+                            rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in RECORD.split(", "))])
-    return ranges.repartition("path", "start").mapInArrow(kernel, RECORD)
+    # Ranges are few bytes each, so their number is stated: a plan that goes by bytes would put them all in one task.
+    ranges = materialize(ranges, "warc-ranges")
+    return ranges.repartitionByRange(max(1, ranges.count()), "path", "start").mapInArrow(kernel, RECORD)
 
 
 def warc_digest(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
