@@ -5,8 +5,9 @@ Gaussian kernel. Each task sums the normal equations of its labelled rows, Spark
 solves a system of fixed size. The calibration is fitted on labelled rows apart from those of the regression, from sums
 over BINS bins of the raw score, pooled until they don't fall.
 
-Labels come from rows of which crc32(doc_id) mod FOLDS is not 0; of them, those of remainder 1 calibrate. All labelled
-rows are used, as the sums need no sample.
+Labels come from rows of which crc32(doc_id) mod FOLDS is not 0; of them, those of remainder 1 calibrate. Of more than
+MOST_LABELS such rows a sample of about that many teaches, taken by a hash of doc_id; so their ids fit a broadcast, and a
+filter computes statistics for them alone before it reads all texts to score them.
 
 Defined cases: a null text counts as empty; rows whose label is null teach nothing; a document that repeats under several
 labels teaches each; without labels of both kinds every score is the mean label, or 1 without any; null ids are scored
@@ -16,7 +17,9 @@ and not held out; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,19 @@ FOLDS, BINS = 5, 256
 FEATURES, WIDTH, PENALTY, SEED = 256, 4.0, 1e-4, 11
 #: Scores from which a document counts as good.
 THRESHOLD = 0.3
+#: Labels that the model learns from at most.
+MOST_LABELS = 1_000_000
 
-LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
-NOT = {
-    "upper": bytes(set(range(256)) - set(range(65, 91))), "lower": bytes(set(range(256)) - set(range(97, 123))),
-    "digit": bytes(set(range(256)) - set(range(48, 58))), "space": bytes(set(range(256)) - set(b" \t\n\r\v\f")),
-    "stop": bytes(set(range(256)) - set(b".,;:?")), "mark": bytes(set(range(256)) - set(b"!#$%&*|<>{}[]\\^_~=+@/")),
-    "wide": bytes(range(128)),
+#: Bytes by kind.
+KINDS = {
+    "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "space": b" \t\n\r\v\f", "stop": b".,;:?",
+    "mark": b"!#$%&*|<>{}[]\\^_~=+@/", "wide": bytes(range(128, 256)),
 }
+#: By kind and byte value: 1 where the byte is of the kind.
+IS = np.array([np.isin(np.arange(256), list(v)) for v in KINDS.values()]).astype(float)
+LOWER, SPACE = (IS[list(KINDS).index(k)] > 0 for k in ("lower", "space"))
+#: Bytes that end a marked word.
+MARKED = np.isin(np.arange(256), list(b"!#$%&*|"))
 STATISTICS = (
     "log_bytes", "upper", "lower", "digit", "space", "stop", "mark", "wide", "log_words", "word_length", "long_words", "distinct",
     "top_word", "repeat_next", "short_words", "capital_words", "marked_words", "bare_words", "log_lines", "line_length", "distinct_lines", "bar_words", "low_window",
@@ -47,25 +55,34 @@ WINDOW = 50
 
 def statistics(text: bytes) -> list[float]:
     """STATISTICS of a UTF-8 text."""
+    data = np.frombuffer(text, dtype=np.uint8)
     size = max(len(text), 1)
-    share = [len(text.translate(None, NOT[k])) / size for k in ("upper", "lower", "digit", "space", "stop", "mark", "wide")]
-    words = text.split()
+    share = IS @ np.bincount(data, minlength=256) / size
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], ~SPACE[data], [False]])))
+    starts, ends = edges[::2], edges[1::2]
+    lengths, words = ends - starts, text.split()
     n = max(len(words), 1)
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    marked = np.fromiter((w[-1] in b"!#$%&*|" for w in words), dtype=bool, count=len(words))
-    again = np.fromiter((a == b for a, b in zip(words, words[1:])), dtype=bool, count=max(len(words) - 1, 0))
-    loud = np.fromiter((len(w) > 2 and w.isupper() for w in words), dtype=bool, count=len(words))
-    odd = (marked | loud).astype(np.float64)
-    odd[1:] = np.maximum(odd[1:], again)
-    runs = np.add.reduceat(odd, np.arange(0, len(words), WINDOW)) / WINDOW if len(words) else np.zeros(1)
+    counts = Counter(words)
+    first, last = data[starts], data[ends - 1]
+    marked = MARKED[last]
+    # Equal neighbours and words in capitals are told apart from most others by length and a byte or two.
+    again = np.zeros(max(len(words) - 1, 0), dtype=bool)
+    for i in np.flatnonzero((lengths[1:] == lengths[:-1]) & (first[1:] == first[:-1]) & (last[1:] == last[:-1])).tolist():
+        again[i] = words[i] == words[i + 1]
+    loud = np.zeros(len(words), dtype=bool)
+    for i in np.flatnonzero((lengths > 2) & ~LOWER[first] & ~LOWER[last]).tolist():
+        loud[i] = words[i].isupper()
+    runs = 0
+    if marked.any() or again.any() or loud.any():
+        odd = marked | loud
+        odd[1:] |= again
+        runs = int(np.add.reduceat(odd, np.arange(0, len(words), WINDOW), dtype=np.int64).max())
     lines = text.split(b"\n")
+    bars = sum(x.count(b" | ") > 2 for x in lines) if b" | " in text else 0
     return [
-        np.log1p(len(text)), *share, np.log1p(len(words)), lengths.sum() / n, (lengths > 12).sum() / n, len(counts) / n, max(counts.values(), default=0) / n,
-        again.sum() / n, (lengths < 4).sum() / n, loud.sum() / n, marked.sum() / n, counts.get(b"|", 0) / n, np.log1p(len(lines)), np.log1p(size / len(lines)),
-        len(set(lines)) / len(lines), sum(x.count(b" | ") > 2 for x in lines) / len(lines), float(runs.max()),
+        log1p(len(text)), *share.tolist(), log1p(len(words)), int(lengths.sum()) / n, np.count_nonzero(lengths > 12) / n, len(counts) / n, max(counts.values(), default=0) / n,
+        np.count_nonzero(again) / n, np.count_nonzero(lengths < 4) / n, np.count_nonzero(loud) / n, np.count_nonzero(marked) / n, counts.get(b"|", 0) / n, log1p(len(lines)), log1p(size / len(lines)),
+        len(set(lines)) / len(lines), bars / len(lines), runs / WINDOW,
     ]
 
 
@@ -164,10 +181,17 @@ def calibrate(rows: DataFrame, model: Model) -> None:
         model.levels = np.clip((1 - slope) * levels + slope * (np.clip(model.knots, -0.5, 1.5) + 0.5) / 2, 0, 1)
 
 
-def train(described: DataFrame, labels: DataFrame) -> Model:
-    """described must be cheap to read again."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y IS NOT NULL")
-    rows = materialize(described.where("fold <> 0").join(marks, "doc_id").select("fold", "x", "y"), "quality-labelled")
+def teaching(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """doc_id and y of the labels to learn from: those of the folds that teach, about `most` of them if there are more."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
+    marks = marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
+    n = marks.count()
+    return marks if n <= most else marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
+def train(described: DataFrame, marks: DataFrame) -> Model:
+    """The model of described rows and marks (doc_id, y) on them."""
+    rows = materialize(described.join(marks, "doc_id").select("fold", "x", "y"), "quality-labelled")
     at = range(len(STATISTICS))
     moments = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[f(F.col("x")[i]).alias(f"{n}{i}") for i in at for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     none = moments["n"] == 0
@@ -196,12 +220,14 @@ def score_rows(described: DataFrame, model: Model) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The scores of all documents by a model trained on their labels."""
     described = materialize(describe(docs), "quality-statistics")
-    return score_rows(described, train(described, labels))
+    return score_rows(described, train(described, teaching(labels)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score below THRESHOLD. Each task scores and drops its rows, so no text is shuffled."""
-    model = train(materialize(describe(docs), "quality-statistics"), labels)
+    marks = materialize(teaching(labels), "quality-marks")
+    taught = docs.join(F.broadcast(marks.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    model = train(describe(taught), marks)
     at = docs.columns.index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
