@@ -1,7 +1,19 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
 import corpus_pipeline
 from brickfield.llm import decontam, quality, simhash
 from brickfield.llm.common import materialize
-from brickfield.llm.queries import table
+from brickfield.llm.queries import table, vocabulary
+
+from .conftest import lower
+from .test_decontam import WORD as LEAK_WORD
+from .test_mixing import expected as mix
+from .test_quality import plain_scores
+from .test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +34,51 @@ def test_stages_take_effect(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in kept.collect())
     assert sum(r["n_tokens"] for r in out) == max(r["start"] + r["n_tokens"] for r in out)
+
+
+def one_machine(tables, tokenizer):
+    """The rows of the whole pipeline by plain loops, each stage on what the one before it kept."""
+    docs = [(i, t, s) for i, t, s in tables["documents"]]
+    good = plain_scores([(i, t) for i, t, _ in docs], tables["labels"])
+    docs = [d for d, score in zip(docs, good) if score >= 0.3]
+    prints = [plain_fingerprint(t) for _, t, _ in docs]
+    group = plain_components(list(range(len(docs))), prints)
+    least = {}
+    for k, g in enumerate(group):
+        least[g] = min(least.get(g, k), k, key=lambda j: docs[j][0])
+    docs = [docs[k] for k in sorted(least.values())]
+    windows = set()
+    for _, text in tables["benchmark"]:
+        w = LEAK_WORD.findall(lower(text))
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1 if w else 0)}
+    widths = {len(w) for w in windows}
+
+    def leaks(text):
+        w = LEAK_WORD.findall(lower(text))
+        return any(tuple(w[i : i + n]) in windows for n in widths for i in range(len(w) - n + 1))
+
+    docs = [d for d in docs if not leaks(d[1])]
+    text_of, rows = {i: t for i, t, _ in docs}, []
+    for (i, size, source_size, target, taken), n in mix(docs).items():
+        assert n == 1
+        full, part = divmod(taken, size) if size else (int(target >= source_size), 0)
+        ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text_of[i] or "")]
+        rows += [(i, text_of[i] or "")] * full + [(i, re.sub(r"^[\x20\x09-\x0D]+", "", text_of[i][: ends[part - 1]]))] * (part > 0)
+    return rows
+
+
+def test_whole_pipeline_on_one_machine(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    columns = {"documents": ("doc_id", "text", "source"), "labels": ("doc_id", "quality"), "benchmark": ("item_id", "text")}
+    tables = {n: [tuple(r) for r in table(spark, SF, n).select(*c).collect()] for n, c in columns.items()}
+    want = Counter()
+    for i, text in one_machine(tables, tokenizer):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        want[(i, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))] += 1
+    got = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r["start"])
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want and len(got) > 100
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
