@@ -26,7 +26,7 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each repetition in the mix of sources; n_chars follows a shortened text."""
-    rows = mixing.repeat_rows(mixing.mix_sources(docs))
+    rows = mixing.repeat_rows(mixing.mix_sources(docs, prefix="_mix_"), "_mix_")
     return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
