@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -33,10 +35,41 @@ class Linear:
         return self.inputs(x).T @ miss, float(miss @ miss)
 
 
-def train(blocks: DataFrame, model: Linear, steps: int, rate: float) -> list[float]:
-    """Full-batch steps; tasks sum their gradients, of the model's size, and the driver adds those. The mean loss of each step."""
+def checkpoints(path: str) -> list[tuple[int, str]]:
+    """The steps saved under a folder, with their files, in order."""
+    fs, local = pa.fs.FileSystem.from_uri(path)
+    found = fs.get_file_info(pa.fs.FileSelector(local, allow_not_found=True))
+    return sorted((int(i.base_name.split("-")[1]), i.path) for i in found if re.fullmatch("step-[0-9]+", i.base_name))
+
+
+def save(model: Linear, path: str, step: int) -> None:
+    fs, local = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(local, recursive=True)
+    with fs.open_output_stream(f"{local}/saving") as out:
+        out.write(model.weights.astype("<f8").tobytes())
+    fs.move(f"{local}/saving", f"{local}/step-{step}")
+
+
+def resume(model: Linear, path: str) -> int:
+    """Gives model the weights saved last, if there are any; the number of steps that led to them."""
+    found = checkpoints(path)
+    if not found:
+        return 0
+    fs, _ = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(found[-1][1]) as source:
+        model.weights = np.frombuffer(source.read(), dtype="<f8").astype(float)
+    return found[-1][0]
+
+
+def train(blocks: DataFrame, model: Linear, steps: int, rate: float, folder: str | None = None, every: int = 10) -> list[float]:
+    """Full-batch steps; tasks sum their gradients, of the model's size, and the driver adds those. The mean loss of each step.
+
+    With a folder (an absolute path or URI), weights are saved in it after every so many steps and the last, and training
+    goes on from those saved last, up to `steps` in all.
+    """
     losses = []
     width = len(model.weights) - 1
+    done = resume(model, folder) if folder else 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, loss, n = np.zeros(width + 1), 0.0, 0
@@ -46,12 +79,14 @@ def train(blocks: DataFrame, model: Linear, steps: int, rate: float) -> list[flo
             total, loss, n = total + g, loss + miss, n + len(x)
         yield pa.record_batch({"i": pa.array(np.arange(width + 3)), "v": pa.array(np.concatenate([total, [loss, n]]))})
 
-    for _ in range(steps):
+    for step in range(done + 1, steps + 1):
         sums = blocks.select("x", "y").mapInArrow(kernel, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
         v = np.array([r["v"] for r in sums])
         n = max(v[-1], 1.0)
         losses.append(v[-2] / n)
         model.weights = model.weights - rate * v[:-2] / n
+        if folder and (step % every == 0 or step == steps):
+            save(model, folder, step)
     return losses
 
 

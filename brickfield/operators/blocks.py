@@ -288,3 +288,13 @@ def prepare_malis(labels: Column, ignore: Column) -> tuple[Column, Column]:
 def exclusive_zone(mask: Column, grid: Grid, radius: float, size: Sequence[float] = (1, 1, 1)) -> Column:
     """0 in the ring that enlarging mask adds to it, 1 elsewhere."""
     return F.zip_with(enlarge(mask, grid, radius, size), mask, lambda e, m: 1 - F.when((e > 0) & ~(m > 0), 1).otherwise(0))
+
+
+def unsqueeze(data: Column) -> Column:
+    """Blocks as the only channel of an array of channels."""
+    return F.array(data)
+
+
+def squeeze(channels: Column) -> Column:
+    """The only channel; the query fails where there isn't just one."""
+    return F.when(F.size(channels) == 1, F.get(channels, F.lit(0))).otherwise(F.raise_error(F.lit("only channels of one entry can go")))

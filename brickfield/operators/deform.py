@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brickfield.functions.cells import Grid, let
 from brickfield.functions.draws import uniform
+from brickfield.operators.joins import k_nearest
 
 
 def jitter(seed: Column, point: Sequence[Column], axis: int, sigma: float) -> Column:
@@ -63,14 +64,19 @@ def deform_block(data: Column, grid: Grid, seed: Column, spacing: Sequence[float
     return let(jitters, cells)
 
 
-def deform_points(points: DataFrame, places: DataFrame, seed: Column, center: Sequence[float], spacing: Sequence[float], sigma: Sequence[float]) -> DataFrame:
+def deform_points(points: DataFrame, places: DataFrame, seed: Column, center: Sequence[float], spacing: Sequence[float], sigma: Sequence[float], recompute: bool = False) -> DataFrame:
     """points (id, z, y, x) at the place whose source location lies nearest: places are the z, y, x of the target grid.
 
     A place and a point meet in the cell of the place's source; points look in the cells around theirs, and those without
-    a place within a voxel's diagonal are left out.
+    a place within a voxel's diagonal, as where the field stretches strongly, are left out. With recompute, those go to the
+    nearest place at any distance; of places equally near the first takes a point.
     """
     source = field(lambda point, axis: jitter(seed, point, axis, sigma[axis]), [F.col(a) for a in "zyx"], center, spacing, sigma)
     spread = places.select(*[F.col(a).alias(f"to_{a}") for a in "zyx"], *[c.alias(f"s_{a}") for a, c in zip("zyx", source)])
+    if recompute:
+        place = F.struct(*[F.col(f"to_{a}") for a in "zyx"]).alias("place")
+        found = k_nearest(points.select("id", *"zyx"), spread.select(place, *[F.col(f"s_{a}").alias(a) for a in "zyx"]), "zyx", 1, 2.0, "id", "place", own=True)
+        return found.select("id", *[F.col(f"place_r.to_{a}").alias(a) for a in "zyx"])
     for a in "zyx":
         spread = spread.withColumn(f"k_{a}", F.floor(f"s_{a}"))
         points = points.withColumn(f"k_{a}", F.explode(F.array(*[F.floor(a) + d for d in (-1, 0, 1)])))

@@ -87,8 +87,8 @@ def nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radi
     return within_radius(left, right, axes, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radius: float, key: str, other: str) -> DataFrame:
-    """The k nearest of right of each of left at any distance, without rows of its own id, ties to the smaller id.
+def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radius: float, key: str, other: str, own: bool = False) -> DataFrame:
+    """The k nearest of right of each of left at any distance, ties to the smaller id; without rows of its own id, unless `own`.
 
     The search begins within radius, and those of left that have fewer than k there are sought again with twice the radius,
     until all have k or everything is covered.
@@ -98,7 +98,8 @@ def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, ra
     all_of_it = math.hypot(*[ends[a] or 0.0 for a in axes])
     w = Window.partitionBy(key)
     while True:
-        pairs = within_radius(left, right, axes, radius).where(F.col(key) != F.col(f"{other}_r"))
+        pairs = within_radius(left, right, axes, radius)
+        pairs = pairs if own else pairs.where(F.col(key) != F.col(f"{other}_r"))
         ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("d2", f"{other}_r"))).where(F.col("rank") <= k)
         last = radius >= all_of_it
         kept = written(ranked if last else ranked.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == k).drop("_n"), "nearest")

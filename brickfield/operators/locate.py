@@ -6,7 +6,7 @@ Draws are columns of the request, made from its seed (functions.draws), so any p
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -48,6 +48,28 @@ def box_sums(boxes: DataFrame, integrals: DataFrame, keys: Sequence[str], axes:
     return joined.groupBy("id", *keys).agg(F.sum(F.col("_sign") * F.coalesce("integral", F.lit(0))).alias("total"))
 
 
+def moving_sums(voxels: DataFrame, keys: Sequence[str], value: str, shape: Sequence[int], axes: str = "zyx") -> DataFrame:
+    """keys, b_<axis> and total: the sum of value over the box of `shape` that begins at each voxel, where it fits. One shuffle an axis.
+
+    Volumes are dense: every place along an axis has its voxel.
+    """
+    out = voxels.select(*keys, *axes, F.col(value).alias("total"))
+    for a, s in zip(axes, shape):
+        line = Window.partitionBy(*keys, *[o for o in axes if o != a]).orderBy(a)
+        out = out.withColumn("_upto", F.sum("total").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn("total", F.lead("_upto", s - 1).over(line) - F.coalesce(F.lag("_upto", 1).over(line), F.lit(0))).where(F.col("total").isNotNull())
+    return out.select(*keys, *[F.col(a).cast("long").alias(f"b_{a}") for a in axes], "total")
+
+
+def place_sums(integrals: DataFrame, keys: Sequence[str], shape: Sequence[int], axes: str = "zyx") -> DataFrame:
+    """As moving_sums(), from an integral."""
+    out = integrals.select(*keys, *axes, F.col("integral").alias("total"))
+    for a, s in zip(axes, shape):
+        line = Window.partitionBy(*keys, *[o for o in axes if o != a]).orderBy(a)
+        out = out.withColumn("total", F.lead("total", s - 1).over(line) - F.coalesce(F.lag("total", 1).over(line), F.lit(0))).where(F.col("total").isNotNull())
+    return out.select(*keys, *[F.col(a).cast("long").alias(f"b_{a}") for a in axes], "total")
+
+
 def accepted(candidates: DataFrame, ratio: Column, least: float) -> DataFrame:
     """The first candidate (request, attempt) of each request whose masked ratio is at least `least`."""
     good = candidates.where(ratio >= least)
@@ -62,22 +84,18 @@ def masked(requests: DataFrame, integrals: DataFrame, keys: Sequence[str], shape
     their numbers, and have `attempts` as attempt. Either way every good place is as likely. Where a volume has none,
     attempt and b_<axis> are null. integrals (keys, axes, integral) are of the mask.
     """
-    size = float(math.prod(shape))
-    tries = requests.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    tries, begins = requests.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))), [f"b_{a}" for a in axes]
+    good = place_sums(integrals, keys, shape, axes).where(F.col("total") / float(math.prod(shape)) >= least).select(*keys, *begins)
     for k, (a, s, b, n) in enumerate(zip(axes, shape, upstream.begin, upstream.shape)):
         if s > n:
             raise ValueError(f"the requested box does not fit upstream along {a}")
-        tries = tries.withColumn(f"b_{a}", F.lit(b) + below(F.col("seed"), F.col("attempt") * 10 + k, n - s + 1)).withColumn(f"e_{a}", F.col(f"b_{a}") + s)
-    tries = tries.withColumn("id", F.struct("request", "attempt"))
-    begins = [f"b_{a}" for a in axes]
-    served = accepted(tries.join(box_sums(tries, integrals, keys, axes).select("id", "total"), "id"), F.col("total") / size, least)
+        tries = tries.withColumn(f"b_{a}", F.lit(b) + below(F.col("seed"), F.col("attempt") * 10 + k, n - s + 1))
+        good = good.where((F.col(f"b_{a}") >= b) & (F.col(f"b_{a}") + s <= b + n))
+    good = written(good, "places")
+    served = accepted(tries.join(good, [*keys, *begins]), F.lit(1.0), 1.0)
     served = written(served.select("request", F.col("attempt").cast("long").alias("attempt"), *begins), "masked")
     rest = requests.join(served, "request", "left_anti")
-    places = integrals.join(rest.select(*keys).distinct(), list(keys), "left_semi")
-    for a, s, b, n in zip(axes, shape, upstream.begin, upstream.shape):
-        places = places.where((F.col(a) >= b) & (F.col(a) + s <= b + n)).withColumn(f"b_{a}", F.col(a).cast("long")).withColumn(f"e_{a}", F.col(a) + s)
-    places = places.select(F.struct(*begins).alias("id"), *keys, *begins, *[f"e_{a}" for a in axes])
-    good = box_sums(places, integrals, keys, axes).where(F.col("total") / size >= least).select(*keys, *[F.col(f"id.{b}").alias(b) for b in begins])
+    good = good.join(rest.select(*keys).distinct(), list(keys), "left_semi")
     good = numbered(good, *keys, *begins)  # a volume's places follow each other
     spans = good.groupBy(*keys).agg(F.min("number").alias("first"), F.count("*").alias("n"))
     drawn = rest.join(spans, list(keys), "left").withColumn("number", F.col("first") + below(F.col("seed"), attempts * 10, F.col("n")))
@@ -126,15 +144,21 @@ def weighted_choice(requests: DataFrame, weights: DataFrame, resolution: int | N
     return drawn.join(spread, "k").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("request", "id")
 
 
-def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], accepts: Column, axes: str = "zyx", rounds: int = 200) -> DataFrame:
+def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], accepts: Column | Callable[[DataFrame], DataFrame], axes: str = "zyx", rounds: int = 200) -> DataFrame:
     """requests (request, seed) with attempt and b_<axis>: the first of a request's draws for which accepts holds.
 
+    accepts is a condition on the drawn rows, or a function that gives those of them that are good, by what it reads there.
     What a round leaves over is drawn again; a request that no draw of so many rounds serves is an error, not left out.
     """
     begins, found, left = [f"b_{a}" for a in axes], None, requests
     for attempt in range(rounds):
         drawn = random_shift(left, shape, upstream, grid, axes, attempt * 10).withColumn("attempt", F.lit(attempt).cast("long"))
-        drawn = written(drawn.withColumn("_good", F.coalesce(accepts, F.lit(False))), "drawn")
+        if isinstance(accepts, Column):
+            drawn = drawn.withColumn("_good", F.coalesce(accepts, F.lit(False)))
+        else:
+            good = accepts(drawn).select("request", F.lit(True).alias("_good")).distinct()
+            drawn = drawn.join(good, "request", "left").withColumn("_good", F.coalesce("_good", F.lit(False)))
+        drawn = written(drawn, "drawn")
         good = drawn.where("_good").drop("_good")
         found = good if found is None else found.unionByName(good)
         left = drawn.where("NOT _good").drop("_good", "attempt", *begins)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brickfield.functions.cells import AXES
 from brickfield.functions.geometry import Box
@@ -28,6 +28,25 @@ def tiles(spark: SparkSession, total: Box, shape: Sequence[int], stride: Sequenc
     return rows
 
 
+def tiles_of(regions: DataFrame, shape: Sequence[int], stride: Sequence[int] | None = None) -> DataFrame:
+    """The tiles of every region, a row with b_<axis> and e_<axis> each: its other columns, tile, and the tile's box.
+
+    Regions are cut where they lie; one that is smaller than a tile along an axis is an error.
+    """
+    stride = tuple(stride or shape)
+    rows = regions.withColumns({f"_{p}{a}": F.col(f"{p}_{a}").cast("long") for a in AXES for p in "be"}).drop(*[f"{p}_{a}" for a in AXES for p in "be"])
+    total = F.lit(1).cast("long")
+    for a, s, d in zip(AXES, shape, stride):
+        room = F.col(f"_e{a}") - F.col(f"_b{a}") - s
+        rows = rows.withColumn(f"_n{a}", F.when(room >= 0, F.ceil(room / d) + 1).otherwise(F.raise_error(F.lit("a tile is larger than the region"))).cast("long"))
+        total = total * F.col(f"_n{a}")
+    rows, left = rows.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), total - 1))), F.col("tile")
+    for a, s, d in zip(AXES, shape, stride):
+        rows = rows.withColumn(f"b_{a}", F.least(F.col(f"_b{a}") + left % F.col(f"_n{a}") * d, F.col(f"_e{a}") - s)).withColumn(f"e_{a}", F.col(f"b_{a}") + s)
+        left = F.floor(left / F.col(f"_n{a}"))
+    return rows.drop(*[f"_{p}{a}" for a in AXES for p in "ben"])
+
+
 def cut(voxels: DataFrame, boxes: DataFrame, bucket: Sequence[int]) -> DataFrame:
     """The voxels of each tile; voxels in several come once for each."""
     return points_in_boxes(voxels, boxes, AXES, bucket)
@@ -38,9 +57,10 @@ def assemble(pieces: DataFrame, keys: Sequence[str] = ("batch_id",), value: str
     return pieces.groupBy(*keys, *AXES).agg(F.max_by(value, order).alias(value))
 
 
-def snapshot(batches: DataFrame, every: int, number: str) -> DataFrame:
-    """Batches whose number is a multiple of every."""
-    return batches.where(F.col(number) % every == 0)
+def snapshot(batches: DataFrame, every: int, number: str, keep: Column | None = None) -> DataFrame:
+    """Batches whose number is a multiple of every and for which keep, a condition of the user's, holds."""
+    chosen = batches.where(F.col(number) % every == 0)
+    return chosen if keep is None else chosen.where(keep)
 
 
 def block_requests(spark: SparkSession, total: Box, read: Sequence[int], write: Sequence[int]) -> DataFrame:

@@ -269,3 +269,22 @@ CUBIC = """w AS (SELECT c, greatest(0, least(3, floor(p) + k))::BIGINT AS s, sum
 def resample_cubic(spark: SparkSession, d: str) -> DataFrame:
     data, grid = B.resample(F.col("value"), GRID, (3, 3, 3), (2, 2, 2), 3)
     return cells(blocks(spark, d).select("batch_id", data.alias("value")), grid, "value", digits=6)
+
+
+@query(VOX + f""", a AS (SELECT *, {uniform_sql('batch_id', 21)} * 6.25::DOUBLE AS angle, 0.75::DOUBLE + {uniform_sql('batch_id', 22)} * 0.5::DOUBLE AS scale FROM vox),
+s AS (SELECT batch_id, z, y, x, floor((z - 1.5::DOUBLE) * scale + 1.5::DOUBLE + 0.5::DOUBLE)::BIGINT AS sz, floor((cos(angle) * (y - 1.5::DOUBLE) - sin(angle) * (x - 1.5::DOUBLE)) * scale + 1.5::DOUBLE + 0.5::DOUBLE)::BIGINT AS sy,
+  floor((sin(angle) * (y - 1.5::DOUBLE) + cos(angle) * (x - 1.5::DOUBLE)) * scale + 1.5::DOUBLE + 0.5::DOUBLE)::BIGINT AS sx FROM a)
+SELECT s.batch_id, s.z, s.y, s.x, coalesce(v, 0.0) AS value FROM s LEFT JOIN vox o ON o.batch_id = s.batch_id AND o.z = sz AND o.y = sy AND o.x = sx""")
+def deform_rotated(spark: SparkSession, d: str) -> DataFrame:
+    from brickfield.operators.deform import deform_block
+
+    seed = F.col("batch_id")
+    angle, scale = uniform(seed, 21) * 6.25, uniform(seed, 22) * 0.5 + 0.75
+    data = deform_block(F.col("value"), GRID, seed, (4.0, 4.0, 4.0), (0.0, 0.0, 0.0), angle, scale)
+    return cells(blocks(spark, d).select("batch_id", data.alias("value")), GRID, "value")
+
+
+@query(VOX + "SELECT batch_id, z, y, x, v AS value, label FROM vox JOIN lab USING (batch_id, z, y, x)")
+def squeeze_channels(spark: SparkSession, d: str) -> DataFrame:
+    rows = blocks(spark, d).select("batch_id", *[B.unsqueeze(F.col(c)).alias(c) for c in ("value", "label")])
+    return cells(rows.select("batch_id", *[B.squeeze(F.col(c)).alias(c) for c in ("value", "label")]), GRID, "value", "label")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from brickfield.functions.cells import AXES
 from brickfield.functions.draws import uniform, uniform_sql
 from brickfield.functions.geometry import Box
-from brickfield.functions.scratch import new_path
+from brickfield.functions.scratch import new_path, written
 from brickfield.operators import joins as J, locate as L, scan as S
 from brickfield.plans.array_queries import tidy
 from brickfield.plans.fixtures import PTS, VOX, labelled, points, requests, table, voxels
@@ -50,10 +50,9 @@ def random_location_masked(spark: SparkSession, d: str) -> DataFrame:
     volumes = table(spark, d, "embeddings").agg(F.count("*").alias("volumes"))
     tries = requests(spark, d).crossJoin(F.broadcast(volumes)).withColumn("batch_id", F.col("request") % F.col("volumes")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(3))))
     for k, a in enumerate(AXES):
-        tries = tries.withColumn(f"b_{a}", F.floor(uniform(F.col("seed"), F.col("attempt") * 10 + k) * 3).cast("long")).withColumn(f"e_{a}", F.col(f"b_{a}") + 2)
-    tries = tries.withColumn("id", F.col("request") * 4 + F.col("attempt"))
-    sums = L.box_sums(tries, L.integral(rows, ["batch_id"], "m"), ["batch_id"]).select("id", "total")
-    good = L.accepted(tries.join(sums, "id"), F.col("total") / 8.0, 0.5)
+        tries = tries.withColumn(f"b_{a}", F.floor(uniform(F.col("seed"), F.col("attempt") * 10 + k) * 3).cast("long"))
+    places = L.moving_sums(rows, ["batch_id"], "m", (2, 2, 2)).where(F.col("total") >= 4)
+    good = L.accepted(tries.join(places, ["batch_id", "b_z", "b_y", "b_x"]), F.col("total") / 8.0, 0.5)
     return good.select("request", F.col("attempt").cast("long").alias("attempt"), "b_z", "b_y", "b_x")
 
 
@@ -281,3 +280,35 @@ def served(box: Box):
 
     z, y, x = (i + b for i, b in zip(np.indices(box.shape), box.begin))
     return z * 100 + y * 10 + x
+
+
+@query(VOX + f""", m AS (SELECT batch_id, z, y, x, CASE WHEN label > 1 THEN 1 ELSE 0 END AS m FROM lab),
+places AS (SELECT batch_id, bz, by_, bx, avg(m) AS ratio FROM m, range(0, 3) r(bz), range(0, 3) s(by_), range(0, 3) q(bx) WHERE z >= bz AND z < bz + 2 AND y >= by_ AND y < by_ + 2 AND x >= bx AND x < bx + 2 GROUP BY ALL),
+tries AS (SELECT o_orderkey AS request, o_orderkey % (SELECT count(*) FROM embeddings) AS batch_id, t AS attempt, {TRY.format(u=uniform_sql('o_orderkey', 't * 10'))} AS bz,
+  {TRY.format(u=uniform_sql('o_orderkey', 't * 10 + 1'))} AS by_, {TRY.format(u=uniform_sql('o_orderkey', 't * 10 + 2'))} AS bx, {uniform_sql('o_orderkey', 't + 5000')} AS u FROM orders, range(0, 100) r(t))
+SELECT request, min(attempt) AS attempt, arg_min(t.bz, attempt) AS b_z, arg_min(t.by_, attempt) AS b_y, arg_min(t.bx, attempt) AS b_x FROM tries t JOIN places p ON p.batch_id = t.batch_id AND p.bz = t.bz AND p.by_ = t.by_ AND p.bx = t.bx
+WHERE ratio > 0.5 OR u > 0.8 GROUP BY request""")
+def reject_again(spark: SparkSession, d: str) -> DataFrame:
+    """Requests are served again until the ratio of their mask is over a half, or their draw lets them pass."""
+    rows = labelled(spark, d).withColumn("m", F.when(F.col("label") > 1, 1).otherwise(0))
+    volumes = table(spark, d, "embeddings").agg(F.count("*").alias("volumes"))
+    asked = requests(spark, d).crossJoin(F.broadcast(volumes)).select("request", "seed", (F.col("request") % F.col("volumes")).alias("batch_id"))
+    places = written(L.moving_sums(rows, ["batch_id"], "m", (2, 2, 2)), "places")
+
+    def good(drawn: DataFrame) -> DataFrame:
+        seen = drawn.join(places, ["batch_id", "b_z", "b_y", "b_x"]).withColumn("ratio", F.col("total") / 8.0)
+        return seen.where((F.col("ratio") > 0.5) | (uniform(F.col("seed"), F.col("attempt") + 5000) > 0.8))
+
+    return L.shift_until(asked, (2, 2, 2), Box((0, 0, 0), (4, 4, 4)), (1, 1, 1), good).select("request", "attempt", "b_z", "b_y", "b_x")
+
+
+@query("""WITH r AS (SELECT p_partkey AS region, p_partkey % 5 AS bz, p_partkey % 7 AS by_, 2::BIGINT AS bx, p_partkey % 5 + 6 + p_size AS ez, p_partkey % 7 + 9 AS ey, 2 + 5 + p_partkey % 3 AS ex FROM part),
+n AS (SELECT *, ceil((ez - bz - 6) / 4.0)::BIGINT + 1 AS nz, 2::BIGINT AS ny, ceil((ex - bx - 5) / 5.0)::BIGINT + 1 AS nx FROM r), t AS (SELECT *, unnest(range(0, nz * ny * nx)) AS tile FROM n)
+SELECT region, tile, least(bz + tile % nz * 4, ez - 6) AS b_z, least(by_ + tile // nz % ny * 5, ey - 5) AS b_y, least(bx + tile // nz // ny * 5, ex - 5) AS b_x FROM t""")
+def scan_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The tiles of a table of regions."""
+    key = F.col("p_partkey")
+    begins = {"z": key % 5, "y": key % 7, "x": F.lit(2)}
+    shapes = {"z": 6 + F.col("p_size"), "y": F.lit(9), "x": 5 + key % 3}
+    regions = table(spark, d, "part").select(key.alias("region"), *[begins[a].alias(f"b_{a}") for a in AXES], *[(begins[a] + shapes[a]).alias(f"e_{a}") for a in AXES])
+    return S.tiles_of(regions, (6, 5, 5), (4, 5, 5)).select("region", "tile", "b_z", "b_y", "b_x")

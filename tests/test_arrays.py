@@ -1,5 +1,7 @@
 """Small volumes whose value is z + y + x or their own number, so any shift or stride shows."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,7 +159,7 @@ def test_components_across_blocks(spark):
 def test_bad_crop_fraction():
     with pytest.raises(ValueError):
         V.crop_fraction(Box((0, 0, 0), (4, 4, 4)), (0.5, 0, 0), (0.5, 0, 0))
-    assert V.crop_fraction(Box((200, 20, 20), (1800, 180, 180)), (0.25, 0, 0), (0.25, 0, 0)) == Box((650, 20, 20), (900, 180, 180))
+    assert V.crop_fraction(Box((120, 8, 6), (1600, 90, 70)), (0.25, 0, 0), (0.125, 0.1, 0)) == Box((520, 8, 6), (1000, 81, 70))
 
 
 def test_draws_of_neighbouring_salts_are_apart(spark):
@@ -165,3 +167,89 @@ def test_draws_of_neighbouring_salts_are_apart(spark):
     u = df.select(*[uniform(F.col("id"), k).alias(f"u{k}") for k in range(4)]).toPandas()
     assert u.corr().to_numpy()[~np.eye(4, dtype=bool)].__abs__().max() < 0.06
     assert len({tuple(r) for r in (u * 6).astype(int).to_numpy()}) > 1150
+
+
+def test_null_blocks_and_cells(spark):
+    df = spark.createDataFrame([(1, [1, 1, 2, None]), (2, None), (3, [2, 2, 2, 2]), (4, None)], "batch_id long, label array<int>").coalesce(1)
+    g = Grid((1, 1, 4))
+    rows = df.select("batch_id", B.affinities(F.col("label"), g, (0, 0, 1)).alias("a"), B.grow_boundary(F.col("label"), g).alias("e"), B.gradient(F.transform("label", lambda v: v.cast("double")), g, 2).alias("d"))
+    got = {r["batch_id"]: (r["a"], r["e"], r["d"]) for r in rows.collect()}
+    assert got[2] == got[4] == (None, None, None)
+    assert got[1] == ([1, 0, 0, 0], [1, 0, 0, 0], [0.0, 0.5, 1.0, None]) and got[3] == ([1, 1, 1, 0], [2] * 4, [0.0] * 4)
+    assert df.where("batch_id = 2").select(B.affinities(F.col("label"), g, (0, 0, 1)).alias("a")).first()["a"] is None
+
+
+def test_whole_volume_equals_one_block(spark):
+    rng = np.random.default_rng(6)
+    lab = rng.integers(0, 3, (5, 7, 9))
+    df, g = block(spark, lab, "label")
+    rows = explode(df, g, "label")
+    compute = lambda v, grid: {"a": B.affinities(v, grid, (1, -1, 2)), "e": B.grow_boundary(v, grid, 2), "far": B.limited_distance(v, grid, 1.5)}
+    one = df.select(*[c.alias(n) for n, c in compute(F.col("label"), g).items()]).first()
+    got = B.whole_volume(rows, (2, 3, 4), (3, 3, 3), compute, "label").collect()
+    assert len(got) == lab.size
+    for n in ("a", "e", "far"):
+        want = np.array(one[n]).reshape(lab.shape)
+        assert all(abs(want[r["z"], r["y"], r["x"]] - r[n]) < 1e-12 for r in got), n
+
+
+def test_components_of_a_whole_volume(spark):
+    """A label that winds through many blocks, and lone voxels."""
+    lab = np.zeros((6, 6, 9), dtype=int)
+    lab[0, 0, :], lab[0, :, 8], lab[:, 5, 8], lab[5, :, 8], lab[5, 0, 2:8] = 1, 1, 1, 1, 1
+    lab[2, 2, 2], lab[2, 2, 3], lab[2, 2, 4] = 1, 2, 1
+    df, g = block(spark, lab, "label")
+    two = explode(df, g, "label").unionByName(explode(df, g, "label").withColumn("batch_id", F.col("batch_id") + 1))
+    for shape in ((2, 2, 2), (4, 3, 5), (6, 6, 9)):
+        rows = L.whole_components(two, shape, lab.shape).collect()
+        first = min(r["batch_id"] for r in rows)
+        got = {(r["batch_id"] - first, r["z"], r["y"], r["x"]): r["component"] for r in rows}
+        assert len(got) == 2 * (lab > 0).sum() and len(set(got.values())) == 8
+        number = lambda b, z, y, x: (((first + b) * 6 + z) * 6 + y) * 9 + x
+        for b in (0, 1):
+            assert got[(b, 5, 0, 2)] == got[(b, 0, 0, 0)] == number(b, 0, 0, 0) and got[(b, 2, 2, 3)] == number(b, 2, 2, 3)
+
+
+def test_labels_outside_the_classes_are_refused(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 0, 1), (0, 0, 0, 1, 2)], "batch_id long, z int, y int, x int, label int")
+    assert L.balance(rows, 3).count() == 2
+    for label in (2, -1, None):
+        with pytest.raises(Exception, match="label outside"):
+            L.balance(rows.withColumn("label", F.lit(label).cast("int")), 2).select("weight").collect()
+
+
+def test_mirrored_and_transposed(spark):
+    cube = np.arange(27).reshape(3, 3, 3)
+    df, g = block(spark, cube)
+    many = explode(df, g, "value").drop("batch_id").crossJoin(spark.range(400).withColumnRenamed("id", "batch_id"))
+    box = Box((0, 0, 0), (3, 3, 3))
+    turned, seen = {}, {np.transpose(cube[tuple(slice(None, None, s) for s in signs)], o).tobytes() for signs in itertools.product((1, -1), repeat=3) for o in itertools.permutations(range(3))}
+    for r in V.simple_augment(many, F.col("batch_id"), box).collect():
+        turned.setdefault(r["batch_id"], np.full((3, 3, 3), -1))[r["z"], r["y"], r["x"]] = r["value"]
+    kinds = [a.tobytes() for a in turned.values()]
+    assert set(kinds) <= seen and len(set(kinds)) > 40
+    still = V.simple_augment(many, F.col("batch_id"), box, mirror=(0, 0, 0), orders={(0, 1, 2): 1.0})
+    assert still.select("batch_id", *"zyx", "value").exceptAll(many.select("batch_id", *"zyx", "value")).isEmpty()
+    with pytest.raises(ValueError, match="different lengths"):
+        V.simple_augment(many, F.col("batch_id"), Box((0, 0, 0), (3, 3, 4)))
+    points = spark.createDataFrame([(0.0, 1.0, 2.0, 0), (0.5, 0.25, 2.5, 1)], "z double, y double, x double, id long")
+    moved = V.simple_augment(points, F.lit(0), box, mirror=(1, 0, 0), orders={(0, 2, 1): 1.0}, points=True).collect()
+    assert [(r["z"], r["y"], r["x"], r["id"]) for r in moved] == [(2.5, 2.5, 0.25, 1)]  # the other one now lies on the far side
+
+
+def test_slips_and_shifts(spark):
+    sections = spark.range(60).withColumnRenamed("id", "z").withColumn("batch_id", F.lit(3).cast("long"))
+    of = lambda slip, shift: [(r["dy"], r["dx"]) for r in V.section_moves(sections, F.col("batch_id"), slip, shift, (3.0, 0.0)).orderBy("z").collect()]
+    alone, along = of(1.0, 0.0), of(0.0, 1.0)
+    assert all(dx == 0 for _, dx in alone + along) and of(0.0, 0.0) == [(0, 0)] * 60
+    assert np.cumsum([dy for dy, _ in alone]).tolist() == [dy for dy, _ in along] and len({dy for dy, _ in alone}) > 4
+    with pytest.raises(ValueError, match="either slips or shifts"):
+        of(0.6, 0.6)
+
+
+def test_cubic_keeps_a_ramp(spark):
+    ramp = np.broadcast_to(np.arange(12.0), (3, 3, 12))
+    df, g = block(spark, ramp)
+    data, fine = B.resample(F.col("value"), g, (1, 1, 4), (1, 1, 3), 3)
+    got = np.array(df.select(data.alias("v")).first()["v"]).reshape(fine.shape)
+    assert fine.shape == (3, 3, 16) and np.allclose(got[:, :, 3:-3], ((np.arange(16) + 0.5) * 0.75 - 0.5)[3:-3])

@@ -59,3 +59,19 @@ def test_no_jitter_is_nothing(spark):
     turned = D.deform_block(F.col("v"), Grid((3, 3, 3)), F.col("seed"), (2, 2, 2), (0, 0, 0), angle=F.lit(np.pi / 2), scale=F.lit(1.0))
     row = df.select(D.deform_block(F.col("v"), Grid((3, 3, 3)), F.col("seed"), (2, 2, 2), (0, 0, 0)).alias("a"), turned.alias("b")).first()
     assert row["a"] == v.tolist() and (np.array(row["b"]).reshape(3, 3, 3) == np.rot90(v.reshape(3, 3, 3), 1, (2, 1))).all()
+
+
+def test_recomputed_points_are_all_there(spark):
+    """A field that stretches strongly leaves points out, unless their nearest place is sought at any distance."""
+    shape, sigma, spacing = (6, 12, 12), (0.0, 4.0, 4.0), (4, 4, 4)
+    center = [(n - 1) / 2 for n in shape]
+    places = spark.range(6 * 12 * 12).select(*[c.alias(a) for a, c in zip("zyx", Grid(shape).at(F.col("id")))])
+    points = spark.range(60).selectExpr("id", "CAST(id % 6 AS DOUBLE) AS z", "id * 7 % 12 + 0.25D AS y", "id * 5 % 12 + 0.5D AS x")
+    few, every = (D.deform_points(points, places, F.lit(3), center, spacing, sigma, again).collect() for again in (False, True))
+    assert len(few) < len(every) == 60
+    source = D.field(lambda p, axis: D.jitter(F.lit(3), p, axis, sigma[axis]), [F.col(a) for a in "zyx"], center, spacing, sigma)
+    spread = [((r["z"], r["y"], r["x"]), np.array([r["sz"], r["sy"], r["sx"]])) for r in places.select(*"zyx", *[c.alias(f"s{a}") for a, c in zip("zyx", source)]).collect()]
+    found = {r["id"]: (r["z"], r["y"], r["x"]) for r in every}
+    for p in points.collect():
+        assert found[p["id"]] == min(spread, key=lambda s: (((s[1] - [p["z"], p["y"], p["x"]]) ** 2).sum().round(9), s[0]))[0]
+    assert all(found[r["id"]] == (r["z"], r["y"], r["x"]) for r in few)

@@ -1,6 +1,5 @@
 import math
 
-import pytest
 from hypothesis import given, strategies as st
 
 from brickfield.functions.geometry import Box, bounding, common_multiple, shared
@@ -40,16 +39,12 @@ def test_unbounded():
 
 
 def test_centre_and_voxels():
-    assert Box((200, 20, 20), (600, 60, 60)).center == (500, 50, 50)
-    assert Box((-40, 20, 20), (600, 60, 60)).voxels((20, 2, 2)) == Box((-2, 10, 10), (30, 30, 30))
+    assert Box((90, 14, 7), (300, 40, 25)).center == (240, 34, 19)
+    assert Box((-36, 15, 8), (240, 45, 12)).voxels((12, 3, 2)) == Box((-3, 5, 4), (20, 15, 6))
     assert Box((-5,), (10,)).voxels((20,)).begin == (-1,)
+    assert Box((90, 14, 7), (300, 40, 25)).grow((60, 4, 3), (60, 4, 3)) == Box((30, 10, 4), (420, 48, 31))
 
 
 def test_common_multiple():
     assert common_multiple([(4, 4), None, (6, 2)]) == (12, 4)
     assert math.lcm(4, 6) == 12
-
-
-@pytest.mark.parametrize("size, want", [((200, 20, 20), Box((0, 0, 0), (1000, 100, 100)))])
-def test_padding_grows(size, want):
-    assert Box((200, 20, 20), (600, 60, 60)).grow(size, size) == want

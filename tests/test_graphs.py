@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from brickfield.functions.geometry import Box
 from brickfield.operators import graphs as G, joins as J, locate as L
 
-PATH = [(1, [1.0, 1.0, 1.0]), (2, [500.0, 500.0, 500.0]), (3, [550.0, 550.0, 550.0])]
+PATH = [(1, [4.0, 7.0, 5.0]), (2, [310.0, 90.0, 45.0]), (3, [330.0, 120.0, 60.0])]
 
 
 def graph(spark, nodes, edges):
@@ -19,15 +19,16 @@ def pairs(df):
 
 def test_crop_keeps_dangling_ends(spark):
     nodes, edges = graph(spark, PATH, [(1, 2), (2, 3)])
-    n, e = G.crop(nodes, edges, Box((0, 0, 0), (50, 50, 50)))
+    n, e = G.crop(nodes, edges, Box((0, 0, 0), (64, 64, 64)))
     assert {r["id"] for r in n.collect()} == {1, 2} and pairs(e) == [(1, 2)]
 
 
 def test_trim_adds_a_node_on_the_border(spark):
     nodes, edges = graph(spark, PATH, [(1, 2), (2, 3)])
-    n, e = G.trim(nodes, edges, Box((0, 0, 0), (50, 50, 50)))
+    n, e = G.trim(nodes, edges, Box((0, 0, 0), (64, 64, 64)))
     rows = {r["id"]: r for r in n.collect()}
-    assert set(rows) == {1, 4} and rows[4]["temporary"] and all(49.9 < c < 50 for c in rows[4]["loc"])
+    part = 60 / 306  # the line leaves the box along the first axis
+    assert set(rows) == {1, 4} and rows[4]["temporary"] and rows[4]["loc"] == pytest.approx([64.0, 7 + 83 * part, 5 + 40 * part], abs=1e-3) and rows[4]["loc"][0] < 64
     assert pairs(e) == [(1, 4)]
 
 
@@ -89,12 +90,12 @@ def test_joins_match_plain_loops(spark):
 
 def test_requests(spark):
     requests = spark.range(300).selectExpr("id AS request", "id AS seed", "id AS turn")
-    box = Box((-200, -20, -20), (1000, 100, 100))
-    rows = L.random_shift(requests, (200, 20, 20), box, (20, 2, 2)).collect()
-    assert all(box.contains(Box((r["b_z"], r["b_y"], r["b_x"]), (200, 20, 20))) and r["b_z"] % 20 == 0 for r in rows)
+    box = Box((-96, -35, 14), (900, 130, 84))
+    rows = L.random_shift(requests, (180, 24, 16), box, (12, 2, 2)).collect()
+    assert all(box.contains(Box((r["b_z"], r["b_y"], r["b_x"]), (180, 24, 16))) and r["b_z"] % 12 == 0 for r in rows)
     assert len({(r["b_z"], r["b_y"], r["b_x"]) for r in rows}) > 250
     with pytest.raises(ValueError):
-        L.random_shift(requests, (2000, 20, 20), box, (20, 2, 2))
+        L.random_shift(requests, (2000, 24, 16), box, (12, 2, 2))
     places = spark.createDataFrame([(0, 0, 0, 0), (1, 100, 100, 100), (2, 91, 20, 20), (3, 42, 24, 57)], "location long, z long, y long, x long")
     got = L.specified(requests, places, (10, 10, 10), Box((0, 0, 0), (100, 100, 100)), (1, 1, 1)).where("request < 4").orderBy("request").collect()
     assert [r["location"] for r in got] == [2, 3, 2, 3] and (got[0]["b_z"], got[0]["b_y"], got[0]["b_x"]) == (86, 15, 15)
@@ -124,3 +125,73 @@ def test_k_nearest_at_any_distance(spark):
         got = sorted((r["id"], r["rank"], r["id_r"]) for r in J.k_nearest(p, p, ("y", "x"), k, 4.0, "id", "id").collect())
         order = {i: sorted(((y - b) ** 2 + (x - c) ** 2, j) for j, b, c in rows if j != i)[:k] for i, y, x in rows}
         assert got == sorted((i, n + 1, j) for i, near in order.items() for n, (_, j) in enumerate(near))
+
+
+@pytest.mark.parametrize("run", [(1, 2), (1, 2, 3, 5), (0, 1, 2, 3, 4, 5, 6)])
+def test_runs_of_removed_nodes_are_bridged(spark, run):
+    chain = [(i, i + 1) for i in range(7)] + [(2, 2), (3, 1)]
+    nodes, edges = graph(spark, [(i, [float(i)]) for i in range(8)], chain)
+    left, kept = G.remove_nodes(nodes, edges, spark.createDataFrame([(i,) for i in run], "id long"))
+    stay = [i for i in range(8) if i not in run]
+    reach = set()
+    for s in stay:  # the nodes that stay and are reached through removed ones alone
+        seen, todo = set(), [v for u, v in chain if u == s]
+        while todo:
+            if (v := todo.pop()) in run:
+                todo += [w for u, w in chain if u == v and w not in seen and not seen.add(w)]
+            elif v != s or (s, s) in chain:
+                reach.add((s, v))
+    assert sorted(r["id"] for r in left.collect()) == stay and pairs(kept) == sorted(reach)
+
+
+def test_a_long_run_is_bridged(spark):
+    nodes, edges = graph(spark, [(i, [0.0]) for i in range(400)], [(i, i + 1) for i in range(399)])
+    _, kept = G.remove_nodes(nodes, edges, spark.range(1, 399).toDF("id"))
+    assert pairs(kept) == [(0, 399)]
+
+
+def test_components_of_chains_and_stars(spark):
+    import random
+
+    rng = random.Random(1)
+    ids = list(range(600))
+    rng.shuffle(ids)
+    chains = [(ids[i], ids[i + 1]) for i in range(300)] + [(ids[400], ids[i]) for i in range(401, 600)] + [(7, 7), (ids[3], ids[2])]
+    nodes, edges = graph(spark, [(i, [0.0]) for i in ids], chains)
+    found = {r["id"]: r["component"] for r in G.label_components(nodes, edges.repartition(7)).collect()}
+    groups = [ids[:301], ids[400:], *[[i] for i in ids[301:400]]]
+    assert found == {i: min(g) for g in groups for i in g}
+
+
+def test_counts_in_a_dense_cell(spark):
+    """50 000 points in one cell beside a few far apart."""
+    dense = spark.range(50_000).selectExpr("id", "(id * 7919 % 10007) / 10007.0D * 4 AS y", "(id * 104729 % 10009) / 10009.0D * 4 AS x")
+    few = spark.createDataFrame([(60_000, 2.0, 9.0), (60_001, 90.0, 9.0), (60_002, 2.0, -4.0), (60_003, 7.0, 2.0)], "id long, y double, x double")
+    got = {r["id"]: r["n"] for r in J.count_within(dense.unionByName(few), ("y", "x"), 5.0).collect()}
+    rows = [tuple(r) for r in dense.unionByName(few).collect()]
+    for i, y, x in rows[::5000] + rows[-4:]:
+        assert got[i] == sum((y - b) ** 2 + (x - c) ** 2 <= 25.0 for _, b, c in rows)
+    assert len(got) == len(rows)
+
+
+def test_vector_map_within_the_own_label(spark):
+    nodes, edges = graph(spark, [(1, [0.0, 0.0, 2.0]), (2, [0.0, 0.0, 9.0])], [(1, 2)])
+    labels = spark.createDataFrame([(0, 0, x, 1 if x < 3 else 2) for x in range(8)], "z long, y long, x long, label int")
+    rows = sorted((r["x"], r["dx"]) for r in G.vector_map(nodes, edges, nodes, 2.0, labels=labels).collect())
+    assert rows == [(0, 9.0), (1, 8.0), (2, 7.0)]
+
+
+def test_a_draw_that_nothing_serves_is_an_error(spark):
+    requests = spark.range(5).selectExpr("id AS request", "id AS seed")
+    with pytest.raises(ValueError, match="no accepted location"):
+        L.shift_until(requests, (2,), Box((0,), (9,)), (1,), F.col("b_z") < 0, "z", rounds=3)
+    with pytest.raises(ValueError, match="no point"):
+        points = spark.createDataFrame([(1, 50.0)], "id long, z double")
+        L.around_points(requests, points.selectExpr("id", "1.0D AS weight"), points, (2,), Box((0,), (9,)), "z")
+
+
+def test_centered_boxes(spark):
+    requests = spark.range(40).selectExpr("id AS request", "id AS seed")
+    points = spark.createDataFrame([(1, 4.5), (2, 8.0), (3, 0.0)], "id long, z double")
+    rows = L.around_points(requests, points.selectExpr("id", "1.0D AS weight"), points, (4,), Box((0,), (12,)), "z", centered=True).collect()
+    assert {(r["id"], r["b_z"]) for r in rows} == {(1, 2), (2, 6)} and len(rows) == 40

@@ -1,11 +1,13 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brickfield.functions.geometry import Box
-from brickfield.functions.model import Linear, predict, train
+from brickfield.functions.model import Linear, checkpoints, predict, train
 from brickfield.operators import scan as S
-from brickfield.sources import sinks, tables as T
+from brickfield.sources import chunked as C, sinks, tables as T
 from brickfield.streaming import requests as R
 
 
@@ -99,3 +101,56 @@ def test_model_learns_and_skips_empty(spark):
     got = {r["batch_id"]: r["prediction"] for r in predict(blank, model, 4, skip_empty=True).collect()}
     assert got[999] == 0.0 and len(got) == 201 and abs(got[0] - y[0]) < 0.5
     assert abs(predict(blank, model, 4).where(F.col("batch_id") == 999).first()["prediction"] - 3) < 0.5
+
+
+def test_csv_numbers_follow_the_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("0,0\n1,0\n")
+    (tmp_path / "b.csv").write_text("".join(f"{i + 2},0\n" for i in range(40)))
+    rows = T.read_csv_points(spark, str(tmp_path), (0, 1)).collect()
+    assert sorted((r["id"], r["loc"][0]) for r in rows) == [(i, float(i)) for i in range(42)]
+
+
+@pytest.mark.parametrize("packer, separator, dtype", [("zlib", ".", "<u2"), (None, "/", ">f4"), ("gzip", "/", "|i1")])
+def test_chunked_arrays(spark, tmp_path, packer, separator, dtype):
+    path = f"{tmp_path}/array"
+    about = C.Chunked((5, 7, 3), (2, 4, 3), dtype, packer, 9, separator, (20, 2, 2), (100, 0, -4))
+    rows = spark.range(105).selectExpr("id DIV 21 AS z", "id DIV 3 % 7 AS y", "id % 3 AS x", "CAST(id % 90 AS INT) AS value")
+    C.create_chunked(path, about)
+    assert C.describe(path) == about and about.box == Box((100, 0, -4), (100, 14, 6)) and about.smooth == (dtype == ">f4")
+    assert C.write_chunked(rows.where("z < 2"), path, about) == 2 and C.write_chunked(rows.where("z = 4 AND y < 4"), path, about) == 1
+    want = {(i // 21, i // 3 % 7, i % 3): float(i % 90) for i in range(105) if i < 42 or (i >= 84 and i // 3 % 7 < 4)}
+    got = {(r["z"], r["y"], r["x"]): r["value"] for r in C.read_chunked(spark, path).collect()}
+    assert got == {(z, y, x): want.get((z, y, x), 9.0) for z in range(5) for y in range(7) for x in range(3)}
+    part = C.read_chunked(spark, path, Box((1, 3, 1), (2, 9, 1))).collect()
+    assert {(r["z"], r["y"], r["x"]): r["value"] for r in part} == {k: v for k, v in got.items() if k[0] in (1, 2) and k[1] >= 3 and k[2] == 1}
+
+
+def test_what_no_reader_unpacks_is_refused(tmp_path):
+    (tmp_path / ".zarray").write_text(json.dumps({"shape": [1, 1, 1], "chunks": [1, 1, 1], "dtype": "<f4", "compressor": {"id": "blosc"}, "order": "C", "filters": None, "fill_value": 0}))
+    with pytest.raises(ValueError, match="packed by blosc"):
+        C.describe(str(tmp_path))
+
+
+def test_tiles_of_a_function(spark):
+    tiles = S.tiles(spark, Box((0, 0, 0), (3, 2, 2)), (2, 2, 2))
+    rows = T.provided(tiles, lambda box: np.full(box.shape, float(box.begin[0]))).collect()
+    assert sorted((r["tile"], r["z"], r["value"]) for r in rows) == sorted((t, t + z, float(t)) for t in (0, 1) for z in (0, 1) for _ in range(4))
+    with pytest.raises(Exception, match="served with cells of shape"):
+        T.provided(tiles, lambda box: np.zeros((1, 1, 1))).collect()
+
+
+def test_training_goes_on_from_what_was_saved(spark, tmp_path):
+    rows = [(i, [float(i % 5), float(i % 3)], float(2 * (i % 5) - i % 3 + 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "batch_id long, x array<double>, y double")
+    whole, first, second = Linear(2), Linear(2), Linear(2)
+    losses = train(df, whole, 9, 0.05)
+    folder = f"{tmp_path}/saved"
+    begun = train(df, first, 5, 0.05, folder, every=2)
+    assert [n for n, _ in checkpoints(folder)] == [2, 4, 5]
+    assert begun + train(df, second, 9, 0.05, folder, every=2) == pytest.approx(losses) and np.allclose(second.weights, whole.weights)
+
+
+def test_snapshots_on_a_condition(spark, tmp_path):
+    batches = spark.range(12).selectExpr("id AS iteration", "CAST(id AS DOUBLE) / 2 AS value")
+    sinks.write_snapshots(batches, str(tmp_path / "s"), 3, keep=F.col("value") > 1, kinds={"value": "int"})
+    assert {(r["iteration"], r["value"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {(3, 1), (6, 3), (9, 4)}
