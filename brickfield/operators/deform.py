@@ -17,14 +17,19 @@ from brickfield.functions.draws import uniform
 from brickfield.operators.joins import k_nearest
 
 
-def jitter(seed: Column, point: Sequence[Column], axis: int, sigma: float) -> Column:
-    """The displacement of a control point along an axis: uniform, of standard deviation sigma."""
-    place = (point[0] * 31 + point[1]) * 37 + point[2] + 5003
-    return (uniform(seed, place * 3 + axis) - 0.5) * (sigma * math.sqrt(12))
+def jitter(seed: Column, point: Sequence[Column], axis: int, sigma: float, normal: bool = False) -> Column:
+    """The displacement of a control point along an axis: uniform or normal, of standard deviation sigma."""
+    place = ((point[0] * 31 + point[1]) * 37 + point[2] + 5003) * 3 + axis
+    if normal:
+        return F.sqrt(-2 * F.log(1 - uniform(seed, place))) * F.cos(F.lit(2 * math.pi) * uniform(seed, place + (1 << 24))) * sigma
+    return (uniform(seed, place) - 0.5) * (sigma * math.sqrt(12))
 
 
-def field(draw: Callable[[Sequence[Column], int], Column], at: Sequence[Column], center: Sequence[float], spacing: Sequence[float], sigma: Sequence[float], angle: Column | None = None, scale: Column | None = None) -> list[Column]:
-    """Where the value at `at` (z, y, x) comes from: draw(control point, axis) between control points, then rotation about z and scale around center."""
+def field(draw: Callable[[Sequence[Column], int], Column], at: Sequence[Column], center: Sequence[float], spacing: Sequence[float], sigma: Sequence[float], angle: Column | Sequence[Column] | None = None, scale: Column | None = None) -> list[Column]:
+    """Where the value at `at` (z, y, x) comes from: draw(control point, axis) between control points, then rotation and scale around center.
+
+    One angle turns about z; three turn about z, then y, then x.
+    """
     low = [F.floor(c / s).cast("int") for c, s in zip(at, spacing)]
     part = [c / s - b for c, s, b in zip(at, spacing, low)]
     moved = []
@@ -40,17 +45,21 @@ def field(draw: Callable[[Sequence[Column], int], Column], at: Sequence[Column],
         moved.append(c + reduce(lambda a, b: a + b, terms) - center[axis])
     z, y, x = moved
     if angle is not None:
-        y, x = F.cos(angle) * y - F.sin(angle) * x, F.sin(angle) * y + F.cos(angle) * x
+        about = [angle] if isinstance(angle, Column) else list(angle)
+        y, x = F.cos(about[0]) * y - F.sin(about[0]) * x, F.sin(about[0]) * y + F.cos(about[0]) * x
+        if len(about) == 3:
+            z, x = F.cos(about[1]) * z - F.sin(about[1]) * x, F.sin(about[1]) * z + F.cos(about[1]) * x
+            z, y = F.cos(about[2]) * z - F.sin(about[2]) * y, F.sin(about[2]) * z + F.cos(about[2]) * y
     if scale is not None:
         z, y, x = z * scale, y * scale, x * scale
     return [c + m for c, m in zip((z, y, x), center)]
 
 
-def deform_block(data: Column, grid: Grid, seed: Column, spacing: Sequence[float], sigma: Sequence[float], angle: Column | None = None, scale: Column | None = None) -> Column:
+def deform_block(data: Column, grid: Grid, seed: Column, spacing: Sequence[float], sigma: Sequence[float], angle: Column | Sequence[Column] | None = None, scale: Column | None = None, normal: bool = False) -> Column:
     """data by the nearest voxel of its field; 0 outside."""
     center = [(n - 1) / 2 for n in grid.shape]
     control = Grid(tuple(int((n - 1) // s) + 2 for n, s in zip(grid.shape, spacing)))
-    jitters = control.fill(lambda z, y, x: F.array(*[jitter(seed, (z, y, x), k, sigma[k]) for k in range(3)]))
+    jitters = control.fill(lambda z, y, x: F.array(*[jitter(seed, (z, y, x), k, sigma[k], normal) for k in range(3)]))
 
     def cells(table: Column) -> Column:
         draw = lambda point, axis: F.get(F.get(table, control.index(*point).cast("int")), F.lit(axis))

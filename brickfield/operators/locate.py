@@ -169,9 +169,11 @@ def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid:
     raise ValueError(f"no accepted location in {rounds} draws")
 
 
-def around_points(requests: DataFrame, weights: DataFrame, points: DataFrame, shape: Sequence[int], upstream: Box, axes: str = "zyx", centered: bool = False) -> DataFrame:
+def around_points(requests: DataFrame, weights: DataFrame, points: DataFrame, shape: Sequence[int], upstream: Box, axes: str = "zyx", centered: bool = False, p: float = 1.0) -> DataFrame:
     """requests (request, seed) with the id of a point drawn by weight (id, weight) and b_<axis>: a box of `shape` that holds it.
 
+    With p below 1, the draw of the other requests takes any box upstream; their id is null.
+
     Of all boxes upstream that hold the point one is drawn, or, if centered, that with the point in the middle is taken.
     Points that no such box holds don't take part; if none is left, that is an error.
     """
@@ -184,10 +186,16 @@ def around_points(requests: DataFrame, weights: DataFrame, points: DataFrame, sh
     rows = written(rows, "reachable")
     if rows.isEmpty():
         raise ValueError("no point lies in a box that fits upstream")
+    anywhere = requests.where(uniform(F.col("seed"), 37) >= p)
+    requests = requests.where(uniform(F.col("seed"), 37) < p)
     drawn = weighted_choice(requests, rows.select("id", "weight")).join(requests.select("request", "seed"), "request").join(rows.drop("weight", *axes), "id")
     for k, a in enumerate(axes):
         drawn = drawn.withColumn(f"b_{a}", F.col(f"first_{a}") + below(F.col("seed"), 31 + k, F.col(f"last_{a}") - F.col(f"first_{a}") + 1))
-    return drawn.select("request", "id", *[f"b_{a}" for a in axes])
+    drawn = drawn.select("request", "id", *[f"b_{a}" for a in axes])
+    if p >= 1:
+        return drawn
+    free = random_shift(anywhere, shape, upstream, [1] * len(axes), axes, 51)
+    return drawn.unionByName(free.select("request", F.lit(None).cast(drawn.schema["id"].dataType).alias("id"), *[f"b_{a}" for a in axes]))
 
 
 def specified(requests: DataFrame, locations: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", at_random: bool = False, jitter: Sequence[int] | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.cells import AXES
@@ -14,6 +16,8 @@ from brickfield.functions.geometry import Box
 
 #: Bits and sign of the whole-number kinds.
 KINDS = {"uint8": (8, False), "uint16": (16, False), "uint32": (32, False), "int8": (8, True), "int16": (16, True), "int32": (32, True), "int64": (63, True)}
+#: Mean of a Poisson draw from which a normal one stands for it.
+LARGE_MEAN = 500.0
 
 
 def crop(voxels: DataFrame, box: Box) -> DataFrame:
@@ -161,6 +165,37 @@ def add_noise(voxels: DataFrame, seed: Column, mode: str = "gaussian", amount: f
     return voxels.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), noisy)) if clip else noisy)
 
 
+def poisson_noise(voxels: DataFrame, seed: Column) -> DataFrame:
+    """Each value as the mean of a Poisson draw: value * n drawn and divided by n, the least power of two that isn't below the batch's number of values.
+
+    A draw is the inverse of the distribution at a uniform number, that of means over LARGE_MEAN the nearest whole number
+    to a normal one.
+    """
+    place = seed * 31 + F.col("batch_id") * 4099 + (F.col("z") * 1009 + F.col("y")) * 1013 + F.col("x")
+
+    def draw(mean: pa.Array, u: pa.Array, z: pa.Array) -> pa.Array:
+        lam, u, z = (c.to_numpy(zero_copy_only=False) for c in (mean, u, z))
+        out = np.rint(np.maximum(lam + np.sqrt(np.maximum(lam, 0)) * z, 0))
+        at = np.flatnonzero(lam <= LARGE_MEAN)
+        k, part = 0, np.exp(-np.maximum(lam[at], 0))
+        upto = part.copy()
+        while len(at):
+            done = u[at] < upto
+            out[at[done]] = k
+            k, at = k + 1, at[~done]
+            part = part[~done] * np.maximum(lam[at], 0) / k
+            # Past the last digit of a double nothing is added; such a draw ends here.
+            ends = (part == 0) & (k > lam[at])
+            out[at[ends]] = k
+            upto, at, part = (upto[~done] + part)[~ends], at[~ends], part[~ends]
+        return pa.array(out)
+
+    kinds = voxels.groupBy("batch_id").agg(F.count_distinct("value").alias("_n"))
+    rows = voxels.join(kinds, "batch_id").withColumn("_n", F.pow(F.lit(2.0), F.ceil(F.log2("_n"))))
+    drawn = F.arrow_udf(draw, "double")(F.col("value") * F.col("_n"), uniform(place, 1), normal(place, 2))
+    return rows.withColumn("value", drawn / F.col("_n")).drop("_n")
+
+
 def sometimes(voxels: DataFrame, seed: Column, salt: int, p: float, value: Column) -> DataFrame:
     """value in the batches that their draw picks, with probability p; the others stay as they are."""
     return voxels.withColumn("value", F.when(uniform(seed, salt) < p, value).otherwise(F.col("value")))

@@ -288,3 +288,10 @@ def deform_rotated(spark: SparkSession, d: str) -> DataFrame:
 def squeeze_channels(spark: SparkSession, d: str) -> DataFrame:
     rows = blocks(spark, d).select("batch_id", *[B.unsqueeze(F.col(c)).alias(c) for c in ("value", "label")])
     return cells(rows.select("batch_id", *[B.squeeze(F.col(c)).alias(c) for c in ("value", "label")]), GRID, "value", "label")
+
+
+@query(VOX + f""", n AS (SELECT batch_id, pow(2.0, ceil(log2(count(DISTINCT abs(v))))) AS n FROM vox GROUP BY batch_id), l AS (SELECT batch_id, z, y, x, n, abs(v) * n AS l, {uniform_sql(PLACE, 1)} AS u FROM vox JOIN n USING (batch_id)),
+c AS (SELECT *, sum(CASE WHEN l > 0 THEN exp(k * ln(l) - l - lgamma(k + 1.0::DOUBLE)) WHEN k = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY batch_id, z, y, x ORDER BY k) AS upto FROM l, range(0, 160) r(k))
+SELECT batch_id, z, y, x, min(k) / any_value(n)::DOUBLE AS value FROM c WHERE u < upto GROUP BY batch_id, z, y, x""")
+def noise_poisson(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(V.poisson_noise(voxels(spark, d).withColumn("value", F.abs("value")), F.col("batch_id")), "value")

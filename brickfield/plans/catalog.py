@@ -105,6 +105,14 @@ class Catalog:
             if want.box and size and any(b % v or s % v for b, s, v in zip(want.box.begin, want.box.shape, size)):
                 raise ValueError(f"{key}: {want.box} is not made of voxels of {size}")
 
+    def wanted(self) -> set[str]:
+        """The keys of a request whose data is to be read or computed: all but placeholders."""
+        return {k for k, s in self.specs.items() if not s.placeholder}
+
+    def skips(self, provides: set[str]) -> bool:
+        """True if a request needs nothing of what an operator provides, so that it can be left out of the plan."""
+        return not self.wanted() & provides
+
     def table(self, spark: SparkSession) -> DataFrame:
         """A row for each key."""
         rows = [

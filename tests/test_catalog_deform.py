@@ -75,3 +75,26 @@ def test_recomputed_points_are_all_there(spark):
     for p in points.collect():
         assert found[p["id"]] == min(spread, key=lambda s: (((s[1] - [p["z"], p["y"], p["x"]]) ** 2).sum().round(9), s[0]))[0]
     assert all(found[r["id"]] == (r["z"], r["y"], r["x"]) for r in few)
+
+
+def test_turns_about_three_axes(spark):
+    v = np.arange(27.0)
+    df = spark.createDataFrame([(1, v.tolist())], "seed long, v array<double>")
+    cube, g, half = v.reshape(3, 3, 3), Grid((3, 3, 3)), F.lit(np.pi / 2)
+    turn = lambda *angles: D.deform_block(F.col("v"), g, F.col("seed"), (2, 2, 2), (0, 0, 0), angle=angles)
+    zero = F.lit(0.0)
+    row = df.select(turn(half, zero, zero).alias("a"), turn(zero, half, zero).alias("b"), turn(zero, zero, half).alias("c")).first()
+    for name, axes in zip("abc", ((2, 1), (2, 0), (1, 0))):
+        assert (np.array(row[name]).reshape(3, 3, 3) == np.rot90(cube, 1, axes)).all()
+
+
+def test_normal_jitter(spark):
+    at = [F.col("id") % 20, F.floor(F.col("id") / 20) % 20, F.floor(F.col("id") / 400)]
+    rows = spark.range(8000).select(*[D.jitter(F.lit(9), at, k, 2.0, True).alias(f"a{k}") for k in range(3)]).toPandas()
+    assert (rows.std() - 2).abs().max() < 0.1 and rows.mean().abs().max() < 0.1 and rows.corr().to_numpy()[0, 1] < 0.05
+    assert (rows.abs() > 4).mean().between(0.03, 0.06).all()
+
+
+def test_placeholders_are_not_read():
+    asked = Catalog({"raw": Spec(box=Box((0,), (4,))), "labels": Spec(placeholder=True)})
+    assert asked.wanted() == {"raw"} and asked.skips({"labels"}) and not asked.skips({"raw", "labels"})

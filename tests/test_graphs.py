@@ -195,3 +195,12 @@ def test_centered_boxes(spark):
     points = spark.createDataFrame([(1, 4.5), (2, 8.0), (3, 0.0)], "id long, z double")
     rows = L.around_points(requests, points.selectExpr("id", "1.0D AS weight"), points, (4,), Box((0,), (12,)), "z", centered=True).collect()
     assert {(r["id"], r["b_z"]) for r in rows} == {(1, 2), (2, 6)} and len(rows) == 40
+
+
+def test_some_boxes_hold_a_point(spark):
+    requests = spark.range(500).selectExpr("id AS request", "id AS seed")
+    points = spark.createDataFrame([(1, 4.5), (2, 80.0)], "id long, z double")
+    rows = L.around_points(requests, points.selectExpr("id", "1.0D AS weight"), points, (4,), Box((0,), (100,)), "z", p=0.3).collect()
+    near = [r for r in rows if r["id"] is not None]
+    assert len(rows) == 500 and 100 < len(near) < 200 and len({r["b_z"] for r in rows if r["id"] is None}) > 60
+    assert all(r["b_z"] <= {1: 4.5, 2: 80.0}[r["id"]] < r["b_z"] + 4 for r in near)
