@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brickfield.llm import secrets
+from brickfield.llm import pii
 from brickfield.llm.common import LOWER, UPPER
 
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -117,29 +117,34 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in base
 """
 
 
+ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 SECRETS = (
     "WITH "
     + spans_sql({
-        "assign": (secrets.PATTERNS["assign"], f"len(regexp_extract(hit, '{secrets.PATTERNS['assign'].replace(chr(39), chr(39) * 2)}', 2)) >= 12"),
+        "assign": (ASSIGN, f"len(regexp_extract(hit, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 12"),
         "access": ("AKIA[A-Z0-9]+", "len(hit) >= 18"), "hex": ("[0-9a-f]+", "len(hit) >= 16"),
         "secret": ("[A-Za-z0-9+/]+", "len(hit) = 40 AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]')"),
-        "endpoint": (secrets.PATTERNS["endpoint"], "true"),
+        "endpoint": ("https?://[A-Za-z0-9.-]+", "true"),
     })
-    + rf""", linked AS MATERIALIZED (
-  SELECT * FROM spans w WHERE kind = 'secret' AND EXISTS (
-    SELECT 1 FROM spans a WHERE a.kind = 'access' AND a.doc_id = w.doc_id AND a.s <= w.e + {secrets.REACH} AND a.e + {secrets.REACH} >= w.s)
+    + r""", linked AS MATERIALIZED (
+  SELECT w.*, a.s AS to_s, a.e AS to_e FROM spans w JOIN spans a ON a.kind = 'access' AND a.doc_id = w.doc_id AND a.s <= w.e + 256 AND a.e + 256 >= w.s WHERE w.kind = 'secret'
+  QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.s ORDER BY greatest(0, a.s - w.e, w.s - a.e), a.s) = 1
+), hosts AS MATERIALIZED (
+  SELECT w.*, a.s AS to_s, a.e AS to_e FROM spans w JOIN linked a ON a.doc_id = w.doc_id AND a.s <= w.e + 256 AND a.e + 256 >= w.s WHERE w.kind = 'endpoint'
+  QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.s ORDER BY greatest(0, a.s - w.e, w.s - a.e), a.s) = 1
+), chains AS (
+  SELECT l.doc_id, string_agg('access:' || l.to_s || ':' || l.to_e || '+secret:' || l.s || ':' || l.e || coalesce('+endpoint:' || h.s || ':' || h.e, ''), ',' ORDER BY l.s, h.s) AS credentials
+  FROM linked l LEFT JOIN hosts h ON h.doc_id = l.doc_id AND h.to_s = l.s GROUP BY l.doc_id
 ), said AS (
-  SELECT * FROM spans WHERE kind IN ('assign', 'access', 'hex') UNION ALL SELECT * FROM linked
-  UNION ALL SELECT * FROM spans w WHERE kind = 'endpoint' AND EXISTS (
-    SELECT 1 FROM linked a WHERE a.doc_id = w.doc_id AND a.s <= w.e + {secrets.REACH} AND a.e + {secrets.REACH} >= w.s))"""
-    + digest_sql(secrets.BASE)
-    + "FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id"
+  SELECT * FROM spans WHERE kind IN ('assign', 'access', 'hex') UNION ALL SELECT * EXCLUDE (to_s, to_e) FROM linked UNION ALL SELECT * EXCLUDE (to_s, to_e) FROM hosts)"""
+    + digest_sql(("assign", "access", "hex"))
+    + ", coalesce(credentials, '') AS credentials FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id LEFT JOIN chains c ON c.doc_id = d.doc_id"
 )
 
 DIGITS = "list_reverse(string_split(regexp_replace(hit, '[^0-9]', '', 'g'), ''))"
 LUHN = f"list_sum(list_transform({DIGITS}, lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT WHEN x::INT > 4 THEN x::INT * 2 - 9 ELSE x::INT * 2 END)) % 10 = 0"
 COUNT = "len(regexp_replace(hit, '[^0-9]', '', 'g'))"
-MOD_97 = """list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(hit, 5) || left(hit, 4), ''),
+MOD_97 = """list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(replace(hit, ' ', ''), 5) || left(hit, 4), ''),
   lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)), lambda a, x: (CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END) % 97) = 1"""
 PII = (
     "WITH "
@@ -148,13 +153,17 @@ PII = (
         "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(hit, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(right(p, 3) AS INT), 0) > 255)) = 0"),
         "card": (r"[0-9](?:[\x20-]?[0-9])+", f"{COUNT} BETWEEN 14 AND 19 AND {LUHN}"),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"{COUNT} BETWEEN 10 AND 15"),
-        "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", MOD_97),
+        "iban": (pii.IBAN, MOD_97),
         "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "regexp_matches(before, '(?i:ssn|social|security)') OR regexp_matches(after, '(?i:ssn|social|security)')"),
+        "local": (
+            r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+            r"(regexp_matches(before, '(?i:phone|call|tel|mobile)') OR regexp_matches(after, '(?i:phone|call|tel|mobile)')) AND NOT regexp_matches(before, '[0-9+][\x20.()-]{0,2}$') AND NOT regexp_matches(after, '^[0-9]')",
+        ),
     })
     + """, near AS (
   SELECT *, regexp_matches(before, c.words) OR regexp_matches(after, c.words) AS near FROM spans JOIN (VALUES
     ('email', '(?i:mail|contact)', 0.8), ('ip', '(?i:\\bip\\b|host|server|address)', 0.6), ('card', '(?i:card|visa|credit|payment)', 0.8),
-    ('phone', '(?i:phone|call|tel|mobile)', 0.6), ('iban', '(?i:iban|account|bank)', 0.8), ('ssn', '(?i:ssn|social|security)', 0.3)) c(kind, words, alone) USING (kind)
+    ('phone', '(?i:phone|call|tel|mobile)', 0.6), ('iban', '(?i:iban|account|bank)', 0.8), ('ssn', '(?i:ssn|social|security)', 0.3), ('local', '(?i:phone|call|tel|mobile)', 0.3)) c(kind, words, alone) USING (kind)
 ), said AS (SELECT *, format('{:.1f}', (alone + CASE WHEN near THEN 0.2 ELSE 0 END)::DOUBLE) AS points FROM near)"""
     + digest_sql(("email", "ip", "card", "phone"), ", string_agg(points, ',' ORDER BY s, rank, e) AS scores")
     + ", coalesce(scores, '') AS scores FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id"

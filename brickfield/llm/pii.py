@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust their score.
 
 Base kinds are reported whenever their check holds: email, ip (parts at most 255), card (Luhn) and phone (10 to 15
-digits). Two kinds are added: iban (mod-97) and ssn, a weak pattern whose score passes only beside a context word.
+digits). Three kinds are added: iban (its country's length, mod-97), as one word or in printed groups; and two weak
+patterns whose score passes only beside a context word: ssn, and local, a telephone number of ten digits without a country.
 
 Defined cases: a null text counts as empty; an empty text has no spans; repeated rows and extra columns are kept.
 """
@@ -10,26 +11,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.llm.spans import count_of, listing, with_spans
+from brickfield.llm.spans import count_of, listing, walk, with_spans
+
+# The length of an IBAN by its country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
 
 # The kinds in their order with their patterns. The guards before a match let the search skip starts
-# inside a run of digits or name characters; they change no match.
+# inside a run of digits or name characters, or that no IBAN has; they change no match.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "local": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Words near a span that raise its score.
 CONTEXT = {
     "email": r"(?i:mail|contact)", "ip": r"(?i:\bip\b|host|server|address)", "card": r"(?i:card|visa|credit|payment)",
-    "phone": r"(?i:phone|call|tel|mobile)", "iban": r"(?i:iban|account|bank)", "ssn": r"(?i:ssn|social|security)",
+    "phone": r"(?i:phone|call|tel|mobile)", "iban": r"(?i:iban|account|bank)", "ssn": r"(?i:ssn|social|security)", "local": r"(?i:phone|call|tel|mobile)",
 }
 #: Score of a span on its own and what a context word adds.
-ALONE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+ALONE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "local": 0.3}
 NEARBY = 0.2
 #: The least score of an added kind. Base kinds stay whatever their score.
 LEAST = 0.5
@@ -52,7 +62,8 @@ def luhn(hit: Column) -> Column:
 
 def mod97(hit: Column) -> Column:
     """True if the IBAN's remainder is 1: its first four characters moved to the end, letters read as 10 to 35."""
-    moved = F.concat(F.substring(hit, 5, 100), F.substring(hit, 1, 4))
+    whole = F.replace(hit, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(whole, 5, 100), F.substring(whole, 1, 4))
 
     def add(rest: Column, i: Column) -> Column:
         c = F.ascii(F.substring(moved, i, F.lit(1)))
@@ -67,7 +78,9 @@ def small_parts(hit: Column) -> Column:
     return F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= F.lit("255"))))
 
 
-def checks(kind: str, hit: Column) -> Column:
+def checks(kind: str, hit: Column, before: Column, after: Column) -> Column:
+    if kind == "local":  # not a part of a longer number
+        return ~F.rlike(before, F.lit(r"[0-9+][\x20.()-]{0,2}$")) & ~F.rlike(after, F.lit("^[0-9]"))
     if kind == "ip":
         return small_parts(hit)
     if kind == "card":
@@ -88,8 +101,8 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base` and `added`: arrays of spans with kind, text and score."""
     df = docs.drop("base", "added").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
-        passes = (lambda hit, before, after, k=kind: checks(k, hit)) if kind in BASE else (
-            lambda hit, before, after, k=kind: checks(k, hit) & (score(k, before, after) >= LEAST))
+        passes = (lambda hit, before, after, k=kind: checks(k, hit, before, after)) if kind in BASE else (
+            lambda hit, before, after, k=kind: checks(k, hit, before, after) & (score(k, before, after) >= LEAST))
         df = with_spans(df, f"_{kind}", "_t", pattern, rank, kind, passes, lambda hit, before, after, k=kind: score(k, before, after))
     cols = [f"_{k}" for k in PATTERNS]
     df = df.withColumn("base", F.concat(*cols[: len(BASE)])).withColumn("added", F.concat(*cols[len(BASE) :]))
@@ -100,7 +113,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     found = find_pii(docs.select("doc_id", "text"))
-    spans = F.array_sort(F.concat("base", "added"))
+    spans = F.sort_array(F.concat("base", "added"))
     return found.select(
         "doc_id", *[f"n_{k}" for k in BASE], F.sha2(listing(F.col("base")).cast("binary"), 256).alias("base_sha256"), listing(spans).alias("spans"),
         F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 1)), ",").alias("scores"),
@@ -109,12 +122,12 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of overlapping spans the first one stands."""
-    found = find_pii(docs, text)
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], F.substring(F.col(text), state["at"] + 1, s["start"] - state["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), piece.alias("out"))).otherwise(state)
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.array_sort(F.concat("base", "added")), first, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    return found.withColumn(text, clean).drop("base", "added", *[f"n_{k}" for k in BASE])
+    found = find_pii(docs, text).withColumn("_s", F.sort_array(F.concat("base", "added")))
+    span = lambda i: F.get(F.col("_s"), i)
+    stands = lambda at, i: span(i)["start"] >= at
+    move = lambda at, i: F.when(stands(at, i), span(i)["end"]).otherwise(at)
+    piece = lambda at, i: F.concat(F.substring(F.col(text), at + 1, span(i)["start"] - at), F.lit("<"), span(i)["kind"], F.lit(">"))
+    pieces = walk(F.size("_s"), F.lit(0), move, stands, piece, "string")
+    end = F.aggregate(F.sequence(F.lit(0), F.size("_s") - 1), F.lit(0), move)
+    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), end + 1, F.length(text)))
+    return found.withColumn(text, F.when(F.size("_s") > 0, clean).otherwise(F.col(text))).drop("_s", "base", "added", *[f"n_{k}" for k in BASE])
