@@ -64,3 +64,34 @@ def test_all_clamped_and_empty(spark, no_docs):
     assert {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(blank).collect()} == {(1, 0), (2, 0)}
     two = spark.createDataFrame([(1, "a b c", "a"), (2, "d", "b")], "doc_id long, text string, source string")
     assert {(r["doc_id"], r["target"], r["taken"]) for r in mixing.mix_sources(two, share=5.0).collect()} == {(1, 6.0, 6), (2, 2.0, 2)}
+
+
+def test_a_prefix_keeps_the_caller_s_columns(docs, corpus):
+    mixed = mixing.mix_sources(docs, prefix="_mix_")
+    rows = mixed.collect()
+    assert {(r["size"], r["spans"], r["row"]) for r in rows} == {("clash", "clash", 7)}
+    assert Counter((r["doc_id"], r["_mix_size"], r["_mix_source_size"], r["_mix_target"], r["_mix_taken"]) for r in rows) == expected(corpus)
+    assert {(r["size"], r["row"]) for r in mixing.repeat_rows(mixed, "_mix_").collect()} == {("clash", 7)}
+
+
+def test_the_cut_among_rows_that_are_alike(spark):
+    """One source of a hundred equal rows, some of which the last repetition takes."""
+    rows = [(1, "a b c", "s")] * 100 + [(2, "d e", "t")] * 3 + [(3, "f", "t")]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), weights=(1, 1), share=1.1)
+    assert Counter((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mixed.collect()) == plain_mix(rows, (1, 1), 1.1)
+
+
+def plain_mix(rows, weights, share):
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(WORD.findall(text))
+    goal, out = targets(sizes, weights, share), Counter()
+    for s in sizes:
+        whole, at = int(goal[s] // sizes[s]), 0
+        part = int(goal[s]) - whole * sizes[s]
+        key = lambda r: int(hashlib.md5(f"7:{r[0]}".encode()).hexdigest()[:15], 16)
+        for i, text, _ in sorted((r for r in rows if r[2] == s), key=key):
+            n = len(WORD.findall(text))
+            out[(i, n, sizes[s], goal[s], whole * n + max(0, min(n, part - at)))] += 1
+            at += n
+    return out

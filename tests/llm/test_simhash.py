@@ -94,3 +94,8 @@ def test_large_shards_are_dealt_again(spark, monkeypatch):
 def test_long_chain(spark):
     edges = spark.range(1, 300).selectExpr("id AS u", "id - 1 AS v")
     assert {r["v"] for r in simhash.components(edges).collect()} == {0}
+
+
+def test_extra_columns_stay_as_they_are(docs):
+    assert {(r["size"], r["spans"], r["row"]) for r in simhash.keep_one(docs).collect()} == {("clash", "clash", 7)}
+    assert simhash.simhash_digest(docs).columns == ["doc_id", "fingerprint", "component_id"]

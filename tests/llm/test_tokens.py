@@ -104,3 +104,11 @@ def test_other_vocabularies(tokenizer, tmp_path, name):
     ids, counts = encoder([t.encode() for t in STRANGE] + [None])
     want = [library.encode(t, add_special_tokens=False).ids + [0] for t in [*STRANGE, ""]]
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_extra_columns_are_not_written(spark, docs):
+    shards = tokens.write_tokens(docs, new_path(spark, "t"), vocabulary(), length=64)
+    for r in shards.collect():
+        shard = tokens.Shard(r["path"])
+        assert shard.stream.schema.names == ["ids", "mask"] and shard.docs.column_names == ["doc_id", "n_tokens"]
+    assert tokens.read_documents(shards).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
