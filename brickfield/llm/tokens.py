@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Ids in a sequence, and sequences in a batch.
 LENGTH, BATCH = 2048, 128
 #: Bytes of pieces that a task remembers at most before it starts anew, and bytes that a piece takes besides its own.
-REMEMBERED, ENTRY = 64 << 20, 200
+REMEMBERED, ENTRY = 160 << 20, 200
 #: Words encoded in one call.
-TOGETHER = 256
+TOGETHER = 64
 #: Documents looked up at once.
 DOCS = 1000
-#: A word of Latin letters (in UTF-8, up to U+024F), then ASCII punctuation. The apostrophe, which may join both, is left out,
-#: and so is U+0130, whose lower case ends in a combining dot that joins the punctuation.
-WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: ASCII punctuation that a word may end in without being joined to it. The apostrophe, which may join both, is left out.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+#: A word of Latin letters in UTF-8, up to U+024F. U+0130 is left out: its lower case ends in a combining dot that joins the punctuation.
+LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch
 
 # The parts of a tokenizer's file by which its pieces between white space are encoded apart.
 SPLITS = {
@@ -78,12 +79,12 @@ class Numbers(dict):
 
     def __missing__(self, x: bytes) -> int:
         self[x] = n = len(self)
-        self.bytes += len(x) + ENTRY
         self.waiting.append(x)
         return n
 
     def taken(self) -> list[bytes]:
         new, self.waiting = self.waiting, []
+        self.bytes += sum(map(len, new)) + ENTRY * len(new)
         return new
 
 
@@ -129,10 +130,13 @@ class Encoder:
         of_word, of_rest = self.parts
         words, rests = self.words, self.rests
         for p in self.pieces.taken():
-            if m := WORD(p):
-                w = m[1]
-                of_word.append(words[w.lower() if w.isascii() else w])
-                of_rest.append(rests[m[2]])
+            w = p.rstrip(MARKS)
+            if w.isalpha():  # of ASCII alone
+                of_word.append(words[w.lower()])
+                of_rest.append(rests[p[len(w) :]])
+            elif LATIN(w):
+                of_word.append(words[w])
+                of_rest.append(rests[p[len(w) :]])
             else:
                 of_word.append(0)
                 of_rest.append(rests[p])
