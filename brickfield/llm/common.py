@@ -20,6 +20,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, read from files, over all cores where it lies in fewer partitions than there are cores; a larger table stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def bounded(df: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """df, to be broadcast by a join while it has at most so many rows and its strings so many bytes; beyond that the join shuffles both sides."""
     return F.broadcast(df) if fits(df, most, most_bytes) else df.hint("merge")

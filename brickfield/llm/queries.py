@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brickfield.llm import chat, decontam, mixing, pii, quality, secrets, simhash, tokens, topk, warc
-from brickfield.llm.common import materialize, new_path, word_count
+from brickfield.llm.common import materialize, new_path, spread, word_count
 from brickfield.llm.oracles import ORACLE_SQL
 
 
@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.leak_digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +26,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+    return simhash.simhash_digest(documents(spark, sf_dir))
 
 
 def vocabulary() -> str:
@@ -45,21 +49,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets_digest(table(spark, sf_dir, "documents"))
+    return secrets.secrets_digest(documents(spark, sf_dir))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+    return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("row")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     sized = materialize(docs.select("doc_id", "source", word_count(docs["text"]).alias("words")), "mix-words")
     return mixing.mix_sources(sized, size="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_digest(table(spark, sf_dir, "documents"))
+    return pii.pii_digest(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontam, op2_chat, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op8_quality, op9_mixing, op10_pii)}
