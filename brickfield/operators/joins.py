@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from brickfield.functions.geometry import Box
 from brickfield.functions.scratch import written
 
-#: Points of a cell that are handled together, about.
-PACK = 512
+#: Points of a cell that are handled together, about, and pairs of points compared at once, about.
+PACK, PAIRS = 512, 1 << 20
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], bucket: Sequence[int], how: str = "inner") -> DataFrame:
@@ -60,22 +60,25 @@ def count_within(points: DataFrame, axes: Sequence[str], radius: float, key: str
     left = left.select("a", "_a", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in cells], F.least(*[F.col(f"o.{c}") == 0 for c in cells], F.lit(True)).alias("_same"))
     met = left.join(packs.withColumnRenamed("p", "b"), cells).where(~F.col("_same") | (F.col("_a") <= F.col("_pack")))
 
+    def sides(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids and coordinates of all points of a column's packs, and each pack's first and number."""
+        flat, offsets = column.flatten(), column.offsets.to_numpy()
+        return flat.field(0).to_numpy(), [flat.field(k + 1).to_numpy() for k in range(len(axes))], offsets[:-1] - offsets[0], np.diff(offsets)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts = [], []
-            a, b = (batch.column(i) for i in (0, 1))
-            alone = batch.column(2).to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                (one, at), (other, there) = ((s.field(0).to_numpy(), np.stack([s.field(k + 1).to_numpy() for k in range(len(axes))])) for s in (a[i].values, b[i].values))
-                near = sum((x[:, None] - y[None, :]) ** 2 for x, y in zip(at, there)) <= radius * radius
-                ids.append(one)
-                counts.append(near.sum(axis=1))
-                if not alone[i]:
-                    ids.append(other)
-                    counts.append(near.sum(axis=0))
-            if ids:
-                ids, counts = np.concatenate(ids), np.concatenate(counts)
-                yield pa.record_batch({"_id": pa.array(ids[counts > 0]), "n": pa.array(counts[counts > 0])})
+            (one, at, a_first, a_n), (other, there, b_first, b_n) = sides(batch.column(0)), sides(batch.column(1))
+            twice = ~batch.column(2).to_numpy(zero_copy_only=False)
+            pairs = a_n.astype(np.int64) * b_n
+            cuts = np.flatnonzero(np.diff(np.cumsum(pairs) // PAIRS)) + 1
+            for rows in np.split(np.arange(batch.num_rows), cuts):
+                row = np.repeat(rows, pairs[rows])
+                place = np.arange(len(row)) - np.repeat(np.cumsum(pairs[rows]) - pairs[rows], pairs[rows])
+                i, j = a_first[row] + place // b_n[row], b_first[row] + place % b_n[row]
+                near = sum((x[i] - y[j]) ** 2 for x, y in zip(at, there)) <= radius * radius
+                for ids, counts in ((one, np.bincount(i[near])), (other, np.bincount(j[near & twice[row]]))):
+                    seen = np.flatnonzero(counts)
+                    yield pa.record_batch({"_id": pa.array(ids[seen]), "n": pa.array(counts[seen])})
 
     found = met.select("a", "b", (F.col("_same") & (F.col("_a") == F.col("_pack"))).alias("alone")).mapInArrow(kernel, "_id long, n long")
     return found.groupBy(F.col("_id").alias(key)).agg(F.sum("n").alias("n"))

@@ -89,7 +89,8 @@ def masked(requests: DataFrame, integrals: DataFrame, keys: Sequence[str], shape
     for k, (a, s, b, n) in enumerate(zip(axes, shape, upstream.begin, upstream.shape)):
         if s > n:
             raise ValueError(f"the requested box does not fit upstream along {a}")
-        tries = tries.withColumn(f"b_{a}", F.lit(b) + below(F.col("seed"), F.col("attempt") * 10 + k, n - s + 1))
+        # Never null, so that the join needs no filter that would compute the draws a second time.
+        tries = tries.withColumn(f"b_{a}", F.lit(b) + F.coalesce(below(F.col("seed"), F.col("attempt") * 10 + k, n - s + 1), F.lit(-1)))
         good = good.where((F.col(f"b_{a}") >= b) & (F.col(f"b_{a}") + s <= b + n))
     good = written(good, "places")
     served = accepted(tries.join(good, [*keys, *begins]), F.lit(1.0), 1.0)

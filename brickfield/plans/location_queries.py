@@ -50,7 +50,8 @@ def random_location_masked(spark: SparkSession, d: str) -> DataFrame:
     volumes = table(spark, d, "embeddings").agg(F.count("*").alias("volumes"))
     tries = requests(spark, d).crossJoin(F.broadcast(volumes)).withColumn("batch_id", F.col("request") % F.col("volumes")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(3))))
     for k, a in enumerate(AXES):
-        tries = tries.withColumn(f"b_{a}", F.floor(uniform(F.col("seed"), F.col("attempt") * 10 + k) * 3).cast("long"))
+        # Never null, so that the join needs no filter that would compute the draws a second time.
+        tries = tries.withColumn(f"b_{a}", F.coalesce(F.floor(uniform(F.col("seed"), F.col("attempt") * 10 + k) * 3), F.lit(-1)).cast("long"))
     places = L.moving_sums(rows, ["batch_id"], "m", (2, 2, 2)).where(F.col("total") >= 4)
     good = L.accepted(tries.join(places, ["batch_id", "b_z", "b_y", "b_x"]), F.col("total") / 8.0, 0.5)
     return good.select("request", F.col("attempt").cast("long").alias("attempt"), "b_z", "b_y", "b_x")
