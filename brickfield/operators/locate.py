@@ -17,7 +17,7 @@ from brickfield.operators.graphs import numbered
 from brickfield.operators.joins import count_within
 
 
-def random_shift(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", salt: int = 0) -> DataFrame:
+def random_shift(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", salt: int | Column = 0) -> DataFrame:
     """requests with b_<axis>: a uniform begin on the grid at which a box of `shape` fits upstream."""
     for k, (a, s, b, n, g) in enumerate(zip(axes, shape, upstream.begin, upstream.shape, grid)):
         first, last = -(-b // g), (b + n - s) // g
@@ -149,24 +149,22 @@ def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid:
     """requests (request, seed) with attempt and b_<axis>: the first of a request's draws for which accepts holds.
 
     accepts is a condition on the drawn rows, or a function that gives those of them that are good, by what it reads there.
-    What a round leaves over is drawn again; a request that no draw of so many rounds serves is an error, not left out.
+    What a round leaves over is drawn again, twice as often in each round; a request that none of `rounds` draws serves is an
+    error, not left out.
     """
-    begins, found, left = [f"b_{a}" for a in axes], None, requests
-    for attempt in range(rounds):
-        drawn = random_shift(left, shape, upstream, grid, axes, attempt * 10).withColumn("attempt", F.lit(attempt).cast("long"))
-        if isinstance(accepts, Column):
-            drawn = drawn.withColumn("_good", F.coalesce(accepts, F.lit(False)))
-        else:
-            good = accepts(drawn).select("request", F.lit(True).alias("_good")).distinct()
-            drawn = drawn.join(good, "request", "left").withColumn("_good", F.coalesce("_good", F.lit(False)))
-        drawn = written(drawn, "drawn")
-        good = drawn.where("_good").drop("_good")
+    begins, found, left, start, size = [f"b_{a}" for a in axes], None, requests, 0, 1
+    while start < rounds:
+        end = min(start + size, rounds)
+        tries = left.withColumn("attempt", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end - 1).cast("long"))))
+        drawn = random_shift(tries, shape, upstream, grid, axes, F.col("attempt") * 10)
+        good = drawn.where(accepts) if isinstance(accepts, Column) else accepts(drawn)
+        first = Window.partitionBy("request").orderBy("attempt")
+        good = written(good.select(*requests.columns, "attempt", *begins).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "drawn")
         found = good if found is None else found.unionByName(good)
-        left = drawn.where("NOT _good").drop("_good", "attempt", *begins)
+        left = written(left.join(good.select("request"), "request", "left_anti").select(*requests.columns), "drawn-left")
         if left.isEmpty():
             return found
-        if attempt % 16 == 15:
-            found = written(found, "shifted")
+        start, size = end, 2 * size
     raise ValueError(f"no accepted location in {rounds} draws")
 
 

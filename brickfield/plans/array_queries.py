@@ -249,13 +249,13 @@ def slip_and_shift(spark: SparkSession, d: str) -> DataFrame:
     return tidy(V.move_sections(voxels(spark, d), moves, WHOLE), "value")
 
 
-@query(VOX + f", {STEPS}, p AS (SELECT batch_id, i AS id, z + 0.25 AS pz, y + 0.5 AS py, x + 0.75 AS px, z FROM vox WHERE i % 5 = 0) SELECT batch_id, id, (pz)::DOUBLE AS z, (py + dy)::DOUBLE AS y, (px + dx)::DOUBLE AS x FROM p JOIN moves USING (batch_id, z) WHERE py + dy >= 0 AND py + dy < 4 AND px + dx >= 0 AND px + dx < 4")
+@query(VOX + f", {STEPS}, p AS (SELECT batch_id, i AS id, z + 0.25 AS pz, y + 0.5 AS py, x + 0.75 AS px, z FROM vox) SELECT batch_id, id, (pz)::DOUBLE AS z, (py + dy)::DOUBLE AS y, (px + dx)::DOUBLE AS x FROM p JOIN moves USING (batch_id, z) WHERE py + dy >= 0 AND py + dy < 4 AND px + dx >= 0 AND px + dx < 4")
 def slip_and_shift_points(spark: SparkSession, d: str) -> DataFrame:
     rows = blocks(spark, d)
     sections = rows.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("z"))
     moves = V.section_moves(sections, F.col("batch_id"), 0.3, 0.3, (1.0, 1.5))
     at = GRID.at(F.col("id"))
-    points = rows.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(63), F.lit(5)).cast("array<bigint>")).alias("id"))
+    points = rows.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")).alias("id"))
     points = points.withColumns({a: c + F.lit(o) for a, c, o in zip(AXES, at, (0.25, 0.5, 0.75))})
     return V.move_sections(points, moves, WHOLE)
 

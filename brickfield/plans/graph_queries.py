@@ -219,14 +219,16 @@ def graph_source(spark: SparkSession, d: str) -> DataFrame:
     return counts.crossJoin(kept.agg(F.count("*").alias("edges")))  # a row each
 
 
-@query(PTS + f""", {ball_sql(2)}, line AS (SELECT DISTINCT floor(p.z + (q.z - p.z) * (i / n))::BIGINT AS z, floor(p.y + (q.y - p.y) * (i / n))::BIGINT AS y, floor(p.x + (q.x - p.x) * (i / n))::BIGINT AS x
-  FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT p, q, greatest(1, abs(q.z - p.z), abs(q.y - p.y), abs(q.x - p.x)) AS n FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v WHERE u % 20 = 0)))
-SELECT DISTINCT z + a AS z, y + b AS y, x + c AS x FROM line, balls""")
-def rasterize_tube_voxels(spark: SparkSession, d: str) -> DataFrame:
-    """The voxels themselves, along every edge whose first node's id is divisible by 20."""
-    line = G.along_edges(points(spark, d), edges(spark, d).where("u % 20 = 0"))
+@query(PTS + f""", {ball_sql(1)}, ends AS (SELECT p.z AS pz, p.y AS py, p.x AS px, q.z AS qz, q.y AS qy, q.x AS qx, greatest(1, abs(q.z - p.z), abs(q.y - p.y), abs(q.x - p.x)) AS n FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v),
+line AS (SELECT DISTINCT floor(pz + (qz - pz) * (i / n))::BIGINT AS z, floor(py + (qy - py) * (i / n))::BIGINT AS y, floor(px + (qx - px) * (i / n))::BIGINT AS x FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM ends))
+SELECT (z + 16) // 4 AS bz, (y + 16) // 16 AS by_, (x + 16) // 16 AS bx, count(*) AS voxels, sum(z)::BIGINT AS z, sum(y)::BIGINT AS y, sum(x)::BIGINT AS x FROM (SELECT DISTINCT z + a AS z, y + b AS y, x + c AS x FROM line, balls) GROUP BY ALL""")
+def rasterize_tube_cells(spark: SparkSession, d: str) -> DataFrame:
+    """rasterize_tube, by small cells, with the sums of their voxels' places."""
+    line = G.along_edges(points(spark, d), edges(spark, d))
     at = [c.cast("double") for c in G.voxel_of(F.col("loc"), (1, 1, 1))]
-    return G.rasterize(line.select(F.array(*at).alias("loc")).distinct(), 2.0).select("z", "y", "x")
+    tube = G.rasterize(line.select(F.array(*at).alias("loc")).distinct(), 1.0)
+    cell = [F.floor((F.col(a) + 16) / n).cast("long").alias(name) for a, n, name in zip("zyx", (4, 16, 16), ("bz", "by_", "bx"))]
+    return tube.groupBy(*cell).agg(F.count("*").alias("voxels"), *[F.sum(a).alias(a) for a in "zyx"])
 
 
 @query(PTS + f""", {ball_sql(2)}, pairs AS (SELECT p.z + a AS z, p.y + b AS y, p.x + c AS x, q.id, q.z AS tz, q.y AS ty, q.x AS tx, (p.z // 3 + p.y // 40 + p.x // 20) % 2 AS own FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v, balls WHERE p.x >= 0)
