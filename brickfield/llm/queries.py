@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickfield.llm import chat, decontam, mixing, pii, quality, secrets, simhash, tokens, topk, warc
+from brickfield.llm import alignment, chat, decontam, mixing, pii, quality, secrets, simhash, tokens, topk, warc
 from brickfield.llm.common import materialize, new_path, spread, word_count
 from brickfield.llm.oracles import ORACLE_SQL
 
@@ -66,4 +66,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_chat, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op8_quality, op9_mixing, op10_pii)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(spark, documents(spark, sf_dir), a, b)[0]
+
+
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_chat, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op8_quality, op9_mixing, op10_pii, op11_alignment)}
