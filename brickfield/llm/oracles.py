@@ -169,6 +169,43 @@ PII = (
     + ", coalesce(scores, '') AS scores FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id"
 )
 
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Codebooks in rounds: book0 is the first, assigned{r} the parts' nearest entries, book{r} the entries after round r."""
+    steps = [rf"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale}.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), size AS (SELECT (max(len(v)) + {parts - 1}) // {parts} AS n FROM v
+), parted AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(list_concat(v, list_transform(range(n * {parts} - len(v)), lambda x: 0::BIGINT)), p * n + 1, p * n + n) AS x
+  FROM v, size, range({parts}) t(p)
+), first AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e, vec_id, v FROM v QUALIFY e < {entries}
+), book0 AS MATERIALIZED (
+  SELECT p, e, list_slice(list_concat(v, list_transform(range(n * {parts} - len(v)), lambda x: 0::BIGINT)), p * n + 1, p * n + n) AS c FROM first, size, range({parts}) t(p)
+)"""]
+    for r in range(rounds + 1):
+        steps.append(rf""", assigned{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT, e := e)) AS near
+  FROM (SELECT *, row_number() OVER () AS row FROM parted) a JOIN book{r} USING (p) GROUP BY row, vec_id, label, p, x
+)""")
+        if r < rounds:
+            steps.append(rf""", sums{r} AS (
+  SELECT p, e, i, sum(y)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT p, near.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM assigned{r}) GROUP BY p, e, i
+), book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(list((s - (s % n + n) % n) // n ORDER BY i) FILTER (n IS NOT NULL), any_value(c)) AS c FROM book{r} b LEFT JOIN sums{r} s ON s.p = b.p AND s.e = b.e GROUP BY b.p, b.e
+)""")
+    steps.append(rf""", said AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+), coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', near.e), '' ORDER BY p) AS code, sum(near.d)::BIGINT AS error FROM assigned{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, said""")
+    return "".join(steps)
+
+
 ORACLE_SQL = {
     "op1_decontam": LEAKS, "op2_chat": CHAT, "op5_topk": TOP_K, "op6_warc": WARC, "op7_secrets": SECRETS, "op9_mixing": MIX, "op10_pii": PII,
+    "op12_codes": codes_sql(),
 }
