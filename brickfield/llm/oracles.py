@@ -205,7 +205,23 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
     return "".join(steps)
 
 
+LINKS = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    coalesce(vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS good
+  FROM embeddings
+), n AS MATERIALIZED (SELECT row, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE good
+), links AS MATERIALIZED (
+  SELECT a.row, a.vec_id, b.row AS other, b.vec_id AS other_id FROM n a JOIN n b ON a.row <> b.row WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT row, vec_id AS seen, row AS at FROM v UNION SELECT r.row, l.other_id, l.other FROM reach r JOIN links l ON l.row = r.at
+), least AS (SELECT row, min(seen) AS component_id FROM reach GROUP BY row
+), counts AS (SELECT row, count(*) AS n_links FROM links GROUP BY row)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v LEFT JOIN least USING (row) LEFT JOIN counts USING (row)
+"""
+
 ORACLE_SQL = {
     "op1_decontam": LEAKS, "op2_chat": CHAT, "op5_topk": TOP_K, "op6_warc": WARC, "op7_secrets": SECRETS, "op9_mixing": MIX, "op10_pii": PII,
-    "op12_codes": codes_sql(),
+    "op12_codes": codes_sql(), "op13_forest": LINKS,
 }

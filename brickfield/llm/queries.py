@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickfield.llm import alignment, chat, codes, decontam, mixing, pii, quality, secrets, simhash, tokens, topk, warc
+from brickfield.llm import alignment, chat, codes, decontam, forest, mixing, pii, quality, secrets, simhash, tokens, topk, warc
 from brickfield.llm.common import materialize, new_path, spread, word_count
 from brickfield.llm.oracles import ORACLE_SQL
 
@@ -77,4 +77,8 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.code_digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_chat, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op8_quality, op9_mixing, op10_pii, op11_alignment, op12_codes)}
+def op13_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_chat, op3_simhash, op4_tokens, op5_topk, op6_warc, op7_secrets, op8_quality, op9_mixing, op10_pii, op11_alignment, op12_codes, op13_forest)}
