@@ -34,7 +34,7 @@ from brickfield.llm.common import materialize, new_path
 from brickfield.llm.tokens import filesystem
 
 #: Bytes of texts that are encoded, and tokens that are aligned, together; distinct pairs that a task holds before it passes them on.
-TEXTS, TOKENS, HELD = 1 << 22, 1 << 19, 1 << 20
+TEXTS, TOKENS, HELD = 1 << 20, 1 << 19, 1 << 20
 
 # How a byte-level tokenizer splits text into words, and the character codes that its vocabulary writes as themselves.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,6 +76,7 @@ class ByteLevel:
         ):
             import tiktoken
 
+            self.library = None
             self.fast = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks={t: i for i, t in enumerate(self.bytes) if t}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -98,16 +99,19 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def width(tokenizer) -> np.dtype:
-    return np.dtype("<u2" if len(tokenizer.bytes) <= 1 << 16 else "<u4")
+class Sizes:
+    """What alignment needs of the two tokenizers: the bytes of each id, and the type that ids are kept in."""
 
+    def __init__(self, a_path: str, b_path: str):
+        self.a, self.b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (ByteLevel(a_path), Pieces(b_path)))
+        self.kinds = tuple(np.dtype("<u2" if len(x) <= 1 << 16 else "<u4") for x in (self.a, self.b))
 
-def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+
+def encoded(docs: DataFrame, a_path: str, b_path: str, kinds: tuple[np.dtype, np.dtype]) -> DataFrame:
     """doc_id and the ids under A and B of every row, as little-endian integers; none where the bytes differ."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ByteLevel(a_path), Pieces(b_path)
-        kinds = width(a), width(b)
         for batch in batches:
             sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64)
             for i, j in zip(*runs_of((np.cumsum(sizes) - sizes) // TEXTS)):
@@ -133,10 +137,6 @@ def runs_of(x: np.ndarray) -> tuple[list[int], list[int]]:
     return [0, *cuts], [*cuts, len(x)]
 
 
-def lengths(tokenizer) -> np.ndarray:
-    return np.array([len(t) for t in tokenizer.bytes], dtype=np.int64)
-
-
 class Aligned:
     """Documents laid end to end, aligned: each link's key and document, and where groups end."""
 
@@ -170,17 +170,17 @@ class Aligned:
         return ["".join(words[i:j])[:-1] for i, j in zip([0, *upto], upto)]
 
 
-def aligned(batches: Iterator[pa.RecordBatch], a_size: np.ndarray, b_size: np.ndarray, kinds: tuple[np.dtype, np.dtype]) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+def aligned(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
     """Rows of encoded(), about TOKENS tokens together, and their alignment."""
     for batch in batches:
         sides = []
-        for name, kind in zip("ab", kinds):
+        for name, kind in zip("ab", sizes.kinds):
             column = batch.column(name).cast(pa.large_binary())
             starts = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1] // kind.itemsize
             sides.append((np.frombuffer(column.buffers()[2] or b"", dtype=kind).astype(np.int64) if column.buffers()[2] else np.zeros(0, dtype=np.int64), starts))
         (a, at_a), (b, at_b) = sides
         for i, j in zip(*runs_of((at_a[:-1] - at_a[0]) // TOKENS)):
-            yield batch.slice(i, j - i), Aligned(a[at_a[i] : at_a[j]], b[at_b[i] : at_b[j]], np.diff(at_a[i : j + 1]), np.diff(at_b[i : j + 1]), a_size, b_size)
+            yield batch.slice(i, j - i), Aligned(a[at_a[i] : at_a[j]], b[at_b[i] : at_b[j]], np.diff(at_a[i : j + 1]), np.diff(at_b[i : j + 1]), sizes.a, sizes.b)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +193,15 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def partial_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def partial_counts(rows: DataFrame, sizes: Sizes) -> DataFrame:
     """key and n: how often a task's documents link a pair; a key comes a few times from each task."""
 
+    known = rows.sparkSession.sparkContext.broadcast(sizes)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteLevel(a_path), Pieces(b_path)
         held, n = [], 0
         batch = lambda: pa.record_batch(dict(zip(("key", "n"), map(pa.array, summed(*(np.concatenate(x) for x in zip(*held)))))))
-        for _, x in aligned(batches, lengths(a), lengths(b), (width(a), width(b))):
+        for _, x in aligned(batches, known.value):
             held.append(np.unique(x.keys, return_counts=True))
             n += len(held[-1][0])
             if n > 2 * HELD:
@@ -299,19 +300,21 @@ class PairCounts:
         return counts
 
 
-def digest(rows: DataFrame, shards: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def digest(rows: DataFrame, shards: DataFrame, sizes: Sizes) -> DataFrame:
     """The report of each row of encoded(), with the counts in shards, a table written by count_shards()."""
     where = [tuple(r) for r in shards.where("path IS NOT NULL").select("path", "first", "last", "rows").collect()]  # one row a task
     most = [tuple(r) for r in shards.where("b IS NOT NULL").groupBy("b").agg(F.max("most")).collect()]  # as many as B has ids
 
+    known = rows.sparkSession.sparkContext.broadcast((sizes, where, most))
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteLevel(a_path), Pieces(b_path)
-        n, m = len(a.bytes), len(b.bytes)
+        sizes, where, most = known.value
+        n, m = len(sizes.a), len(sizes.b)
         said = [f"{i}{end}" for size, ends in ((n, ",|"), (m, ",;")) for end in ends for i in range(size)]
         pairs, highest = PairCounts(where), np.zeros(m, dtype=np.int64)
         for i, x in most:
             highest[i] = x
-        for part, x in aligned(batches, lengths(a), lengths(b), (width(a), width(b))):
+        for part, x in aligned(batches, sizes):
             keys, at = np.unique(x.keys, return_inverse=True)
             counts = pairs.of(keys)
             best = counts == highest[keys >> 32]
@@ -326,9 +329,9 @@ def digest(rows: DataFrame, shards: DataFrame, a_path: str, b_path: str) -> Data
     return rows.mapInArrow(kernel, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
-def count_pairs(spark: SparkSession, rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def count_pairs(spark: SparkSession, rows: DataFrame, sizes: Sizes) -> DataFrame:
     """The table of shards with the counts of all pairs in rows of encoded()."""
-    partial = materialize(partial_counts(rows, a_path, b_path), "align-partial")
+    partial = materialize(partial_counts(rows, sizes), "align-partial")
     return materialize(count_shards(partial, new_path(spark, "align-pairs")), "align-shards")
 
 
@@ -348,6 +351,7 @@ def pair_table(shards: DataFrame) -> DataFrame:
 
 def align(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:
     """The report of each row of docs (doc_id, text), and the table of shards, from which pair_table() reads the counts."""
-    rows = materialize(encoded(docs, a_path, b_path), "align-ids")
-    shards = count_pairs(spark, rows, a_path, b_path)
-    return digest(rows, shards, a_path, b_path), shards
+    sizes = Sizes(a_path, b_path)
+    rows = materialize(encoded(docs, a_path, b_path, sizes.kinds), "align-ids")
+    shards = count_pairs(spark, rows, sizes)
+    return digest(rows, shards, sizes), shards

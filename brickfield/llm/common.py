@@ -20,6 +20,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)
 
 
+def packed(df: DataFrame, *beside: Column) -> DataFrame:
+    """df's columns in one struct, `row`, with others beside it, so that no name of a helper meets one of the caller's."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *beside)
+
+
+def unpacked(columns: list[str], **put: Column) -> list[Column]:
+    """The columns that packed() holds, under their names and in their order, some of them replaced."""
+    return [put[c].alias(c) if c in put else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, read from files, over all cores where it lies in fewer partitions than there are cores; a larger table stays as it lies."""
     cores = df.sparkSession.sparkContext.defaultParallelism

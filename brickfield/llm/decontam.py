@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.llm.common import MOST_DROPPED, ascii_lower, bounded, fits, materialize
+from brickfield.llm.common import MOST_DROPPED, ascii_lower, bounded, fits, materialize, packed, unpacked
 
 #: A word of a text whose A-Z are lower-cased, and the same of any text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,11 +125,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove
     """docs without the documents that are hit, or ("spans") without their hit words and what follows each of them."""
     found = find_leaks(docs, benchmark, width).where(F.size("hit_words") > 0)
     found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("hit_words").alias("_hit")), "decontam-hits")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
+    rows, same = packed(docs, "doc_id", F.xxhash64("text").alias("hash")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_row"))
     if remove == "documents":
-        return docs.join(bounded(found.select("_id", "_row"), MOST_DROPPED), same, "left_anti")
-    words, between = words_of(F.col("text")), F.split("text", ANY_WORD, -1)
+        return rows.join(bounded(found.select("_id", "_row"), MOST_DROPPED), same, "left_anti").select(*unpacked(docs.columns))
+    text = F.col("row.text")
+    words, between = words_of(text), F.split(text, ANY_WORD, -1)
     kept = F.filter(F.transform(words, lambda w, i: F.when(~F.array_contains(F.col("_hit"), i), F.concat(w, F.get(between, i + 1)))), lambda x: x.isNotNull())
     cut = F.concat(F.get(between, F.lit(0)), F.array_join(kept, ""))
-    joined = docs.join(found, same, "left")
-    return joined.withColumn("text", F.when(F.col("_hit").isNotNull(), cut).otherwise(F.col("text"))).drop("_id", "_row", "_hit")
+    return rows.join(found, same, "left").select(*unpacked(docs.columns, text=F.when(F.col("_hit").isNotNull(), cut).otherwise(text)))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brickfield.llm.common import SPACE, bounded, materialize, word_count
+from brickfield.llm.common import SPACE, bounded, materialize, packed, unpacked, word_count
 from brickfield.operators.graphs import numbered
 
 #: Hash ranges a source's documents are dealt to; a range holds this fraction of the source, so no source meets in one task.
@@ -86,8 +86,8 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
     document of a fractional repetition gives a leading part, so a source's taken words miss its target by less than one.
     """
     own = [prefix + c for c in ("size", "source_size", "target", "taken")]
-    measured = docs.select(
-        *[c for c in docs.columns if c not in own], (F.col(size).cast("long") if size else word_count(F.col("text"))).alias("_size"),
+    measured = packed(
+        docs, "doc_id", (F.col(size).cast("long") if size else word_count(F.col("text"))).alias("_size"),
         order_key(seed).alias("_key"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_skey"),
     )
     sizes = materialize(measured.select("_skey", "_key", "doc_id", "_size"), "mix-sizes")
@@ -104,7 +104,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
         number = F.row_number().over(Window.partitionBy("_skey").orderBy("_key")) - 1
         several = held.where(tied).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("left") - number * F.col("_size"))))
         mixed = held.where(~tied).withColumn("_extra", extra).unionByName(several)
-    kept = [c for c in docs.columns if c not in own]
+    kept = unpacked([c for c in docs.columns if c not in own])
     taken = (F.col("whole") * F.col("_size") + F.col("_extra")).cast("long")
     return mixed.select(*kept, *[F.col(c).alias(n) for c, n in zip(("_size", "source_size", "target"), own)], taken.alias(own[3]))
 
@@ -112,11 +112,11 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
 def repeat_rows(mixed: DataFrame, prefix: str = "") -> DataFrame:
     """A row for each repetition that mix_sources() takes; a fractional one keeps the document's leading words."""
     size, source_size, target, taken = (F.col(prefix + c) for c in ("size", "source_size", "target", "taken"))
-    lead = F.regexp_replace("text", f"^[{SPACE}]+", "")
+    lead = F.regexp_replace("row.text", f"^[{SPACE}]+", "")
     words = F.split(lead, f"(?<=[{SPACE}])(?=[^{SPACE}])")
     copies = F.when(size > 0, F.floor(taken / size)).otherwise(F.when(target >= source_size, 1).otherwise(0)).cast("int")
-    rows = mixed.withColumn("_full", copies).withColumn("_part", F.when(size > 0, taken % size).otherwise(0).cast("int"))
-    rows = rows.withColumn("_n", F.col("_full") + (F.col("_part") > 0).cast("int")).where("_n > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    text = F.when(F.col("_copy") <= F.col("_full"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_part")), ""))
-    return rows.withColumn("text", text).drop("_full", "_part", "_n", "_copy")
+    rows = packed(mixed, copies.alias("full"), F.when(size > 0, taken % size).otherwise(0).cast("int").alias("part"))
+    rows = rows.withColumn("n", F.col("full") + (F.col("part") > 0).cast("int")).where("n > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    text = F.when(F.col("copy") <= F.col("full"), F.col("row.text")).otherwise(F.array_join(F.slice(words, 1, F.col("part")), ""))
+    return rows.select(*unpacked(mixed.columns, text=text))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brickfield.llm.common import packed, unpacked
 from brickfield.llm.spans import count_of, listing, walk, with_spans
 
 # The length of an IBAN by its country.
@@ -97,9 +98,9 @@ def score(kind: str, before: Column, after: Column) -> Column:
     return F.lit(ALONE[kind]) + F.when(near, F.lit(NEARBY)).otherwise(F.lit(0.0))
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base` and `added`: arrays of spans with kind, text and score."""
-    df = docs.drop("base", "added").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+def spans_in(docs: DataFrame, text: str) -> DataFrame:
+    """docs packed, with `base` and `added`: arrays of spans with kind, text and score; and how many of each base kind."""
+    df = packed(docs, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         passes = (lambda hit, before, after, k=kind: checks(k, hit, before, after)) if kind in BASE else (
             lambda hit, before, after, k=kind: checks(k, hit, before, after) & (score(k, before, after) >= LEAST))
@@ -111,6 +112,13 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_t", *cols)
 
 
+def find_pii(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with `base` and `added`, and `n_` and each base kind, under a prefix; columns of docs that bear those very names give way."""
+    own = ["base", "added", *[f"n_{k}" for k in BASE]]
+    kept = [c for c in docs.columns if c not in [prefix + c for c in own]]
+    return spans_in(docs, text).select(*unpacked(kept), *[F.col(c).alias(prefix + c) for c in own])
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     found = find_pii(docs.select("doc_id", "text"))
     spans = F.sort_array(F.concat("base", "added"))
@@ -122,12 +130,13 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of overlapping spans the first one stands."""
-    found = find_pii(docs, text).withColumn("_s", F.sort_array(F.concat("base", "added")))
+    found, said = spans_in(docs, text), F.col("row").getField(text)
+    found = found.withColumn("_s", F.sort_array(F.concat("base", "added")))
     span = lambda i: F.get(F.col("_s"), i)
     stands = lambda at, i: span(i)["start"] >= at
     move = lambda at, i: F.when(stands(at, i), span(i)["end"]).otherwise(at)
-    piece = lambda at, i: F.concat(F.substring(F.col(text), at + 1, span(i)["start"] - at), F.lit("<"), span(i)["kind"], F.lit(">"))
+    piece = lambda at, i: F.concat(F.substring(said, at + 1, span(i)["start"] - at), F.lit("<"), span(i)["kind"], F.lit(">"))
     pieces = walk(F.size("_s"), F.lit(0), move, stands, piece, "string")
     end = F.aggregate(F.sequence(F.lit(0), F.size("_s") - 1), F.lit(0), move)
-    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), end + 1, F.length(text)))
-    return found.withColumn(text, F.when(F.size("_s") > 0, clean).otherwise(F.col(text))).drop("_s", "base", "added", *[f"n_{k}" for k in BASE])
+    clean = F.concat(F.array_join(pieces, ""), F.substring(said, end + 1, F.length(said)))
+    return found.select(*unpacked(docs.columns, **{text: F.when(F.size("_s") > 0, clean).otherwise(said)}))

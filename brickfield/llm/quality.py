@@ -226,7 +226,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score below THRESHOLD. Each task scores and drops its rows, so no text is shuffled."""
     marks = materialize(teaching(labels), "quality-marks")
-    taught = docs.join(F.broadcast(marks.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    taught = docs.select("doc_id", "text").join(F.broadcast(marks.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
     model = train(describe(taught), marks)
     at = docs.columns.index("text")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.llm.common import MOST_DROPPED, bounded, materialize
+from brickfield.llm.common import MOST_DROPPED, bounded, materialize, packed, unpacked
 from brickfield.operators.graphs import components
 
 BITS = 64
@@ -206,11 +206,22 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, reach: int = 2) -> DataFrame:
-    """docs with one document of each group: that with the smallest doc_id, null last, then the smallest hash of its text."""
+    """docs with one document of each group: that with the smallest doc_id, null last, then the smallest hash of its text.
+
+    Of rows that repeat under one doc_id and text the one that comes first as JSON stays; only such rows are shuffled.
+    """
     rows = materialize(group_documents(docs, reach), "simhash-groups")
     stay = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.row").alias("_row"))
     each = rows.groupBy("doc_id", "row").agg(F.count("*").alias("copies"))
     gone = each.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_anti")
     gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "simhash-gone")
-    kept = docs.join(bounded(gone, MOST_DROPPED), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left_anti")
-    return kept if each.where("copies > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    hashed, same = packed(docs, "doc_id", F.xxhash64("text").alias("hash")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_row"))
+    kept = hashed.join(bounded(gone, MOST_DROPPED), same, "left_anti")
+    often = each.where("copies > 1").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_anti")
+    often = materialize(often.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "simhash-often")
+    if often.isEmpty():
+        return kept.select(*unpacked(docs.columns))
+    repeated = kept.join(bounded(often, MOST_DROPPED), same, "left_semi")
+    first = repeated.groupBy("doc_id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    single = kept.join(bounded(often, MOST_DROPPED), same, "left_anti")
+    return single.select("row").unionByName(first.select("row")).select(*unpacked(docs.columns))
