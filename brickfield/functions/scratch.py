@@ -32,12 +32,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def _remove(spark: SparkSession, folder: str) -> None:
     """Removes a folder while the session's JVM still runs; what a stopped one leaves is the shared folder's to clear."""
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
     except Exception:  # the JVM is gone
         pass
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
