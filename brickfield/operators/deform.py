@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brickfield.functions.cells import Grid, let
 from brickfield.functions.draws import uniform
-from brickfield.operators.joins import k_nearest
+from brickfield.operators.graphs import numbered
+from brickfield.operators.neighbors import k_nearest
 
 
 def jitter(seed: Column, point: Sequence[Column], axis: int, sigma: float, normal: bool = False) -> Column:
@@ -83,9 +84,9 @@ def deform_points(points: DataFrame, places: DataFrame, seed: Column, center: Se
     source = field(lambda point, axis: jitter(seed, point, axis, sigma[axis]), [F.col(a) for a in "zyx"], center, spacing, sigma)
     spread = places.select(*[F.col(a).alias(f"to_{a}") for a in "zyx"], *[c.alias(f"s_{a}") for a, c in zip("zyx", source)])
     if recompute:
-        place = F.struct(*[F.col(f"to_{a}") for a in "zyx"]).alias("place")
-        found = k_nearest(points.select("id", *"zyx"), spread.select(place, *[F.col(f"s_{a}").alias(a) for a in "zyx"]), "zyx", 1, 2.0, "id", "place", own=True)
-        return found.select("id", *[F.col(f"place_r.to_{a}").alias(a) for a in "zyx"])
+        spread = numbered(spread, "to_z", "to_y", "to_x")  # in whose order the first of equal places is found
+        found = k_nearest(points.select("id", *"zyx"), spread.select("number", *[F.col(f"s_{a}").alias(a) for a in "zyx"]), "zyx", 1, "id", "number", own=True)
+        return found.join(spread.withColumnRenamed("number", "number_r"), "number_r").select("id", *[F.col(f"to_{a}").alias(a) for a in "zyx"])
     for a in "zyx":
         spread = spread.withColumn(f"k_{a}", F.floor(f"s_{a}"))
         points = points.withColumn(f"k_{a}", F.explode(F.array(*[F.floor(a) + d for d in (-1, 0, 1)])))

@@ -1,23 +1,15 @@
-"""Spatial joins as equi-joins on buckets: boxes against points, points within a radius, nearest neighbours.
+"""Spatial joins as equi-joins on buckets: boxes against points, points within a radius, nearest ones within it.
 
-Bucketing replaces the nested loop of a range predicate; a point lies in one bucket, so no pair comes twice.
+operators.neighbors counts and finds neighbours where spots may be crowded or the radius isn't known. Bucketing replaces the nested loop of a range predicate; a point lies in one bucket, so no pair comes twice.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.geometry import Box
-from brickfield.functions.scratch import written
-
-#: Points of a cell that are handled together, about, and pairs of points compared at once, about.
-PACK, PAIRS = 512, 1 << 20
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], bucket: Sequence[int], how: str = "inner") -> DataFrame:
@@ -43,77 +35,12 @@ def within_radius(left: DataFrame, right: DataFrame, axes: Sequence[str], radius
     return left.join(right, [f"_k{a}" for a in axes]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*[f"_k{a}" for a in axes])
 
 
-def count_within(points: DataFrame, axes: Sequence[str], radius: float, key: str = "id") -> DataFrame:
-    """key and n, the number of points at most radius from each, itself included.
-
-    Points are packed by cells of side radius, a dense cell in packs of about PACK, and each two packs of neighbouring
-    cells meet once. An Arrow kernel counts for both; no pair of points leaves it, and no cell is one task's.
-    """
-    cells = [f"_k{a}" for a in axes]
-    rows = points.select(F.col(key).cast("long").alias("_id"), *[F.col(a).cast("double").alias(a) for a in axes], *[F.floor(F.col(a) / radius).alias(c) for a, c in zip(axes, cells)])
-    sizes = rows.groupBy(*cells).agg(F.ceil(F.count("*") / PACK).alias("_packs"))
-    packed = rows.join(sizes, cells).withColumn("_pack", F.pmod(F.xxhash64("_id"), F.col("_packs")))
-    packs = written(packed.groupBy(*cells, "_pack").agg(F.collect_list(F.struct("_id", *axes)).alias("p")), "packs")
-    ahead = [o for o in itertools.product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
-    table = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip(cells, o)]) for o in ahead])
-    left = packs.select(F.col("p").alias("a"), F.col("_pack").alias("_a"), F.explode(table).alias("o"), *cells)
-    left = left.select("a", "_a", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in cells], F.least(*[F.col(f"o.{c}") == 0 for c in cells], F.lit(True)).alias("_same"))
-    met = left.join(packs.withColumnRenamed("p", "b"), cells).where(~F.col("_same") | (F.col("_a") <= F.col("_pack")))
-
-    def sides(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """Ids and coordinates of all points of a column's packs, and each pack's first and number."""
-        flat, offsets = column.flatten(), column.offsets.to_numpy()
-        return flat.field(0).to_numpy(), [flat.field(k + 1).to_numpy() for k in range(len(axes))], offsets[:-1] - offsets[0], np.diff(offsets)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (one, at, a_first, a_n), (other, there, b_first, b_n) = sides(batch.column(0)), sides(batch.column(1))
-            twice = ~batch.column(2).to_numpy(zero_copy_only=False)
-            pairs = a_n.astype(np.int64) * b_n
-            cuts = np.flatnonzero(np.diff(np.cumsum(pairs) // PAIRS)) + 1
-            for rows in np.split(np.arange(batch.num_rows), cuts):
-                row = np.repeat(rows, pairs[rows])
-                place = np.arange(len(row)) - np.repeat(np.cumsum(pairs[rows]) - pairs[rows], pairs[rows])
-                i, j = a_first[row] + place // b_n[row], b_first[row] + place % b_n[row]
-                near = sum((x[i] - y[j]) ** 2 for x, y in zip(at, there)) <= radius * radius
-                for ids, counts in ((one, np.bincount(i[near])), (other, np.bincount(j[near & twice[row]]))):
-                    seen = np.flatnonzero(counts)
-                    yield pa.record_batch({"_id": pa.array(ids[seen]), "n": pa.array(counts[seen])})
-
-    found = met.select("a", "b", (F.col("_same") & (F.col("_a") == F.col("_pack"))).alias("alone")).mapInArrow(kernel, "_id long, n long")
-    return found.groupBy(F.col("_id").alias(key)).agg(F.sum("n").alias("n"))
-
-
 def nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radius: float, key: str, other: str) -> DataFrame:
     """The k nearest of right within radius of each of left, ties to the smaller id."""
     w = Window.partitionBy(key).orderBy("d2", f"{other}_r")
     return within_radius(left, right, axes, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radius: float, key: str, other: str, own: bool = False) -> DataFrame:
-    """The k nearest of right of each of left at any distance, ties to the smaller id; without rows of its own id, unless `own`.
-
-    The search begins within radius, and those of left that have fewer than k there are sought again with twice the radius,
-    until all have k or everything is covered.
-    """
-    found, both = None, left.select(*axes).union(right.select(*axes))
-    ends = both.agg(*[(F.max(a) - F.min(a)).cast("double").alias(a) for a in axes]).first()
-    all_of_it = math.hypot(*[ends[a] or 0.0 for a in axes])
-    w = Window.partitionBy(key)
-    while True:
-        pairs = within_radius(left, right, axes, radius)
-        pairs = pairs if own else pairs.where(F.col(key) != F.col(f"{other}_r"))
-        ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("d2", f"{other}_r"))).where(F.col("rank") <= k)
-        last = radius >= all_of_it
-        kept = written(ranked if last else ranked.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == k).drop("_n"), "nearest")
-        found = kept if found is None else found.unionByName(kept)
-        if last:
-            return found
-        left, radius = written(left.join(kept.select(key).distinct(), key, "left_anti").select(*left.columns), "nearest-left"), 2 * radius
-        if left.isEmpty():
-            return found
-
-
 def overlap(boxes: DataFrame, others: DataFrame, axes: Sequence[str], bucket: Sequence[int]) -> DataFrame:
     """Pairs of boxes that overlap; others' columns have suffix _o. A pair is kept in its first shared bucket alone."""
     others = others.toDF(*[f"{c}_o" for c in others.columns])

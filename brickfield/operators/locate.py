@@ -14,7 +14,7 @@ from brickfield.functions.draws import below, chosen, uniform
 from brickfield.functions.geometry import Box
 from brickfield.functions.scratch import written
 from brickfield.operators.graphs import numbered
-from brickfield.operators.joins import count_within
+from brickfield.operators.neighbors import count_within
 
 
 def random_shift(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", salt: int | Column = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brickfield.functions.geometry import Box
-from brickfield.operators import graphs as G, joins as J, voxels as V
+from brickfield.operators import graphs as G, joins as J, neighbors as N, voxels as V
 from brickfield.plans.array_queries import augmented_sql
 from brickfield.plans.fixtures import PTS, edges, points
 
@@ -175,7 +175,7 @@ def nearest_points(spark: SparkSession, d: str) -> DataFrame:
 def nearest_points_all(spark: SparkSession, d: str) -> DataFrame:
     """nearest_points, without its radius of 20."""
     rows = points(spark, d).select("id", "z", "y", "x")
-    found = J.k_nearest(rows, rows, ("z", "y", "x"), 2, 20.0, "id", "id")
+    found = N.k_nearest(rows, rows, ("z", "y", "x"), 2, "id", "id")
     return found.select("id", F.col("id_r").alias("other"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brickfield.functions.geometry import Box
-from brickfield.operators import graphs as G, joins as J, locate as L
+from brickfield.operators import graphs as G, joins as J, locate as L, neighbors as N
 
 PATH = [(1, [4.0, 7.0, 5.0]), (2, [310.0, 90.0, 45.0]), (3, [330.0, 120.0, 60.0])]
 
@@ -122,7 +122,7 @@ def test_k_nearest_at_any_distance(spark):
     rows = [(i, (i * 7) % 13, (i * 5) % 11) for i in range(20)] + [(50, 300, 0), (51, 900, 900), (52, 905, 900)]
     p = spark.createDataFrame(rows, "id long, y long, x long")
     for k in (3, 30):
-        got = sorted((r["id"], r["rank"], r["id_r"]) for r in J.k_nearest(p, p, ("y", "x"), k, 4.0, "id", "id").collect())
+        got = sorted((r["id"], r["rank"], r["id_r"]) for r in N.k_nearest(p, p, ("y", "x"), k, "id", "id").collect())
         order = {i: sorted(((y - b) ** 2 + (x - c) ** 2, j) for j, b, c in rows if j != i)[:k] for i, y, x in rows}
         assert got == sorted((i, n + 1, j) for i, near in order.items() for n, (_, j) in enumerate(near))
 
@@ -167,7 +167,7 @@ def test_counts_in_a_dense_cell(spark):
     """50 000 points in one cell beside a few far apart."""
     dense = spark.range(50_000).selectExpr("id", "(id * 7919 % 10007) / 10007.0D * 4 AS y", "(id * 104729 % 10009) / 10009.0D * 4 AS x")
     few = spark.createDataFrame([(60_000, 2.0, 9.0), (60_001, 90.0, 9.0), (60_002, 2.0, -4.0), (60_003, 7.0, 2.0)], "id long, y double, x double")
-    got = {r["id"]: r["n"] for r in J.count_within(dense.unionByName(few), ("y", "x"), 5.0).collect()}
+    got = {r["id"]: r["n"] for r in N.count_within(dense.unionByName(few), ("y", "x"), 5.0).collect()}
     rows = [tuple(r) for r in dense.unionByName(few).collect()]
     for i, y, x in rows[::5000] + rows[-4:]:
         assert got[i] == sum((y - b) ** 2 + (x - c) ** 2 <= 25.0 for _, b, c in rows)
