@@ -34,15 +34,15 @@ from brickfield.llm.common import materialize
 from brickfield.operators.graphs import components
 
 #: Trees, and the margin of a cut times the square root of the width.
-TREES, SPILL = 12, 0.16
+TREES, SPILL = 8, 0.16
 #: Classes of a sample, those of a node at least, and those that a leaf is meant to have.
 SAMPLE, FEW, LEAF = 1 << 15, 32, 256
 #: Classes of a leaf beyond which it is dealt anew, and classes of a pack.
 BIG, PACK = 1 << 13, 1 << 12
 #: Share of a node that may go to both sides, and rounds of dealing.
 SHARED, ROUNDS = 0.5, 8
-#: Rows compared at once, and pairs whose leaves are looked up at once.
-ROWS, PAIRS = 512, 1 << 14
+#: Rows compared at once, pairs whose leaves are looked up at once, and leaves in a table of bits.
+ROWS, PAIRS, COLUMNS = 512, 1 << 14, 1 << 12
 
 
 def number(*of: int) -> int:
@@ -198,19 +198,33 @@ def leaves_of(classes: DataFrame, total: int, width: int, kind: str, trees: int)
     return found.groupBy("c").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")) if turned else first  # those of one class
 
 
-def shared_before(sets: np.ndarray, leaf: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For pairs of places: whether both are in a leaf of a smaller number."""
-    out = np.zeros(len(i), dtype=bool)
-    for k in range(0, len(i), PAIRS):
-        a, b = sets[i[k : k + PAIRS]], sets[j[k : k + PAIRS]]
-        for x in range(sets.shape[1]):
-            of = a[:, x : x + 1]
-            out[k : k + PAIRS] |= ((of >= 0) & (of < leaf) & (of == b)).any(axis=1)  # -1 fills up a set
-    return out
+class Earlier:
+    """Of a leaf's classes the leaves of smaller numbers that several of them are in, a bit each."""
+
+    def __init__(self, leaf: int, leaves: np.ndarray, sizes: np.ndarray):
+        row, before = np.repeat(np.arange(len(sizes)), sizes), leaves < leaf
+        _, column, count = np.unique(leaves[before], return_inverse=True, return_counts=True)
+        several = count > 1
+        row, column = row[before][several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+        self.bits = []
+        for at in range(0, int(several.sum()), COLUMNS):
+            here = (column >= at) & (column < at + COLUMNS)
+            wide = np.zeros((len(sizes), COLUMNS), dtype=bool)
+            wide[row[here], column[here] - at] = True
+            self.bits.append(np.packbits(wide, axis=1).view(np.uint64))
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of places: whether both are in one of them."""
+        out = np.zeros(len(i), dtype=bool)
+        for k in range(0, len(i), PAIRS):
+            part = slice(k, k + PAIRS)
+            for bits in self.bits:
+                out[part] |= (bits[i[part]] & bits[j[part]]).any(axis=1)
+        return out
 
 
 class Pack:
-    """Classes of a leaf: ids, how many vectors each is, vectors, units, and the leaves of each, filled up with -1."""
+    """Classes of a leaf: ids, how many vectors each is, vectors, units, and the leaves of all with the number of each."""
 
     def __init__(self, rows: pa.Table, width: int, kind: str):
         rows = rows.combine_chunks()
@@ -218,9 +232,7 @@ class Pack:
         self.vectors = doubles(rows.column("v").combine_chunks(), width, kind)
         self.units = unit(self.vectors)
         sets = rows.column("leaves").combine_chunks()
-        sizes = pc.list_value_length(sets).to_numpy()
-        self.sets = np.full((len(sizes), sizes.max(initial=0)), -1, dtype=np.int64)
-        self.sets[np.arange(self.sets.shape[1]) < sizes[:, None]] = sets.flatten().to_numpy()
+        self.leaves, self.sizes = sets.flatten().to_numpy(), pc.list_value_length(sets).to_numpy()
 
 
 def linked(u: Pack, v: Pack, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -267,15 +279,14 @@ def in_leaves(rows: DataFrame, width: int, kind: str, least: float) -> DataFrame
         v = u
         if group.column("i")[0] != group.column("j")[0]:
             v = Pack(group.filter(pc.invert(own)), width, kind)
-        most = max(u.sets.shape[1], v.sets.shape[1])
         sides = [u] if u is v else [u, v]
-        ids, n = (np.concatenate([getattr(s, x) for s in sides]) for x in ("ids", "n"))
-        sets = np.concatenate([np.pad(s.sets, ((0, 0), (0, most - s.sets.shape[1])), constant_values=-1) for s in sides])
+        ids, n, leaves, sizes = (np.concatenate([getattr(s, x) for s in sides]) for x in ("ids", "n", "leaves", "sizes"))
+        earlier = Earlier(leaf, leaves, sizes)
         links, root, offset = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids)), 0 if u is v else len(u.ids)
         for i, j in linked(u, v, least):
             j = j + offset
             join_ends(root, i, j)
-            here = ~shared_before(sets, leaf, i, j)
+            here = ~earlier.shared(i, j)
             np.add.at(links, i[here], n[j[here]])
             np.add.at(links, j[here], n[i[here]])
         some, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
