@@ -68,6 +68,15 @@ def pad_block(data: Column, grid: Grid, size: Sequence[int], mode: str = "consta
     return kernel(constant if mode == "constant" else reflect, grid, "double", data), outer
 
 
+def between(part: np.ndarray, order: int) -> list[tuple[int, np.ndarray]]:
+    """The weights of the voxels around a place, by their steps from the one before it; part: how far behind that one it lies."""
+    if order == 1:
+        return [(0, 1 - part), (1, part)]
+    far = lambda d: ((-0.5 * d + 2.5) * d - 4) * d + 2
+    near = lambda d: (1.5 * d - 2.5) * d * d + 1
+    return [(-1, far(1 + part)), (0, near(part)), (1, near(1 - part)), (2, far(2 - part))]
+
+
 def resample(data: Column, grid: Grid, size: Sequence[int], target: Sequence[int], order: int | bool) -> tuple[Column, Grid]:
     """data of voxel size `size` on voxels of size `target`: the voxel under each centre (order 0), or between centres, linear (1) or cubic (3).
 
@@ -79,22 +88,15 @@ def resample(data: Column, grid: Grid, size: Sequence[int], target: Sequence[int
         at = [np.minimum(np.floor((np.arange(m) + 0.5) * t / s).astype(int), n - 1) for m, s, t, n in zip(outer.shape, size, target, grid.shape)]
         return v[np.ix_(np.arange(len(v)), *at)]
 
-    def weights(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        if order == 1:
-            return [(0, 1 - part), (1, part)]
-        far = lambda d: ((-0.5 * d + 2.5) * d - 4) * d + 2
-        near = lambda d: (1.5 * d - 2.5) * d * d + 1
-        return [(-1, far(1 + part)), (0, near(part)), (1, near(1 - part)), (2, far(2 - part))]
-
-    def between(v: np.ndarray) -> np.ndarray:
+    def smooth(v: np.ndarray) -> np.ndarray:
         for axis, (m, s, t, n) in enumerate(zip(outer.shape, size, target, grid.shape), 1):
             at = np.clip((np.arange(m) + 0.5) * t / s - 0.5, 0, n - 1)
             low = np.floor(at).astype(int)
             shape = [m if k == axis else 1 for k in range(4)]
-            v = sum(np.take(v, np.clip(low + d, 0, n - 1), axis) * w.reshape(shape) for d, w in weights(at - low))
+            v = sum(np.take(v, np.clip(low + d, 0, n - 1), axis) * w.reshape(shape) for d, w in between(at - low, order))
         return v
 
-    return kernel(between if order else nearest, grid, "double", data), outer
+    return kernel(smooth if order else nearest, grid, "double", data), outer
 
 
 def affinities(labels: Column, grid: Grid, offset: Sequence[int]) -> Column:

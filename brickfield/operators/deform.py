@@ -1,7 +1,8 @@
 """Elastic deformation: jittered control points, rotation and scale give a source location for each place.
 
 The field is a formula of the place and the batch's seed, so voxels, points and any block agree on it without a table of
-fields, and nothing is shuffled.
+fields, and nothing is shuffled. elastic_field() gives it as data for volumes of any size, from control points that are
+drawn once each; operators.volumes.from_source() looks up what it points at.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brickfield.functions.cells import Grid, let
-from brickfield.functions.draws import uniform
+from brickfield.functions.cells import AXES, Grid, let
+from brickfield.functions.draws import below, uniform
 from brickfield.operators.graphs import numbered
 from brickfield.operators.neighbors import k_nearest
 
@@ -44,6 +45,11 @@ def field(draw: Callable[[Sequence[Column], int], Column], at: Sequence[Column],
             weight = reduce(lambda a, b: a * b, [p if s else 1 - p for p, s in zip(part, step)])
             terms.append(weight * draw([b + s for b, s in zip(low, step)], axis))
         moved.append(c + reduce(lambda a, b: a + b, terms) - center[axis])
+    return turned(moved, center, angle, scale)
+
+
+def turned(moved: Sequence[Column], center: Sequence[float], angle: Column | Sequence[Column] | None = None, scale: Column | None = None) -> list[Column]:
+    """Places relative to center (z, y, x), rotated and scaled around it, as places again."""
     z, y, x = moved
     if angle is not None:
         about = [angle] if isinstance(angle, Column) else list(angle)
@@ -56,6 +62,59 @@ def field(draw: Callable[[Sequence[Column], int], Column], at: Sequence[Column],
     return [c + m for c, m in zip((z, y, x), center)]
 
 
+def elastic_field(batches: DataFrame, extent: Sequence[int], spacing: Sequence[int], sigma: Sequence[float], *, angle: Column | Sequence[Column] | None = None, scale: Column | None = None, normal: bool = False, sections: DataFrame | None = None) -> DataFrame:
+    """batch_id, z, y, x and s_z, s_y, s_x, where the value at each place of the extent comes from, for each of batches (batch_id, seed).
+
+    Control points, a volume `spacing` times coarser with a channel for each axis, are drawn and brought to the cells between
+    them; a cell spreads out its own places. angle and scale are expressions of batches' columns. sections (batch_id, z, dy,
+    dx) moves whole sections within themselves, after all else.
+    """
+    center = [(n - 1) / 2 for n in extent]
+    counts = [(n - 1) // s + 2 for n, s in zip(extent, spacing)]
+    seeds, points = [c for c in batches.columns if c != "batch_id"], batches
+    for a, n in zip(AXES, counts):
+        points = points.withColumn(f"_c{a}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = [F.col(f"_c{a}") for a in AXES]
+    points = points.withColumns({f"_d{k}": jitter(F.col("seed"), at, k, sigma[k], normal) if sigma[k] else F.lit(0.0) for k in range(3)})
+    points = points.withColumn("_corner", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    for k, (a, n) in enumerate(zip(AXES, counts)):
+        points = points.withColumn(f"_c{a}", F.col(f"_c{a}") - F.shiftright("_corner", 2 - k).bitwiseAND(F.lit(1))).where((F.col(f"_c{a}") >= 0) & (F.col(f"_c{a}") < n - 1))
+    corners = F.array_sort(F.collect_list(F.struct("_corner", *[f"_d{k}" for k in range(3)]))).alias("_corners")
+    rows = points.groupBy("batch_id", *[f"_c{a}" for a in AXES]).agg(corners, *[F.first(c).alias(c) for c in seeds])
+    for k, (a, n, s) in enumerate(zip(AXES, extent, spacing)):
+        rows = rows.withColumn(a, F.explode(F.sequence(F.col(f"_c{a}") * s, F.least(F.col(f"_c{a}") * s + s, F.lit(n)) - 1)))
+        if not k and sections is not None:
+            rows = rows.join(sections.select("batch_id", "z", "dy", "dx"), ["batch_id", "z"], "left")
+    part = [F.col(a) / s - F.col(f"_c{a}") for a, s in zip(AXES, spacing)]
+    moved = []
+    for k, (a, c) in enumerate(zip(AXES, center)):
+        terms = []
+        for corner in range(8):
+            steps = [corner >> 2 & 1, corner >> 1 & 1, corner & 1]
+            weight = reduce(lambda x, y: x * y, [p if s else 1 - p for p, s in zip(part, steps)])
+            terms.append(weight * F.col("_corners")[corner][f"_d{k}"])
+        moved.append(F.col(a) + reduce(lambda x, y: x + y, terms) - c)
+    source = turned(moved, center, angle, scale)
+    if sections is not None:
+        source = [source[0], source[1] + F.coalesce("dy", F.lit(0)), source[2] + F.coalesce("dx", F.lit(0))]
+    return rows.select("batch_id", *AXES, *[c.alias(f"s_{a}") for a, c in zip(AXES, source)])
+
+
+def misaligned(batches: DataFrame, sections: int, slip: float, shift: float, reach: int) -> DataFrame:
+    """batch_id, z, dy and dx: how far each section of batches (batch_id, seed) is off.
+
+    With probability `slip` a section is moved alone, with probability `shift` it and all after it are, by up to reach.
+    """
+    rows = batches.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(sections - 1))))
+    draw, seed = uniform(F.col("seed"), F.col("z") * 8 + 60), F.col("seed")
+    offset = lambda k: below(seed, F.col("z") * 8 + 61 + k, 2 * reach + 1) - reach
+    upto = Window.partitionBy("batch_id").orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_draw": draw, "_oy": offset(0), "_ox": offset(1)})
+    own, on = F.col("_draw") <= slip, (F.col("_draw") > slip) & (F.col("_draw") <= slip + shift)
+    moved = {f"d{a}": F.sum(F.when(on, F.col(f"_o{a}")).otherwise(0)).over(upto) + F.when(own, F.col(f"_o{a}")).otherwise(0) for a in "yx"}
+    return rows.withColumns(moved).select("batch_id", "z", "dy", "dx")
+
+
 def deform_block(data: Column, grid: Grid, seed: Column, spacing: Sequence[float], sigma: Sequence[float], angle: Column | Sequence[Column] | None = None, scale: Column | None = None, normal: bool = False) -> Column:
     """data by the nearest voxel of its field; 0 outside."""
     center = [(n - 1) / 2 for n in grid.shape]
