@@ -34,7 +34,7 @@ from brickfield.llm.common import materialize, new_path
 from brickfield.llm.tokens import filesystem
 
 #: Bytes of texts that are encoded, and tokens that are aligned, together; distinct pairs that a task holds before it passes them on.
-TEXTS, TOKENS, HELD = 1 << 20, 1 << 19, 1 << 20
+TEXTS, TOKENS, HELD = 1 << 19, 1 << 17, 1 << 20
 
 # How a byte-level tokenizer splits text into words, and the character codes that its vocabulary writes as themselves.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,13 +48,26 @@ def byte_of() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Tokenizer A: a byte-level BPE in a file of the tokenizers library.
+    """Tokenizer A: a byte-level BPE in a file of the tokenizers library, or `tokens`, the bytes of its ids, if they are the ranks of its merges.
 
     Where the vocabulary's ids follow the order of its merges, the ids are those that tiktoken gives with the ids as ranks,
     in a quarter of the time; both class every character alike. Any other file goes through the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tokens: list[bytes] | None = None):
+        self.library = self.fast = None
+        if tokens:
+            self.bytes = tokens
+            self.rank()
+        else:
+            self.load(path)
+
+    def rank(self) -> None:
+        import tiktoken
+
+        self.fast = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks={t: i for i, t in enumerate(self.bytes) if t}, special_tokens={})
+
+    def load(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -65,7 +78,6 @@ class ByteLevel:
         special = {t["id"] for t in spec["added_tokens"]}
         vocabulary = {i: bytes(chars[c] for c in t) for t, i in self.library.get_vocab(False).items() if i not in special}
         self.bytes = [vocabulary.get(i, b"") for i in range(self.library.get_vocab_size())]
-        self.fast = None
         merged = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
         first = 256
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -74,10 +86,8 @@ class ByteLevel:
             and spec["model"].get("type") == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
             and all(len(self.bytes[i]) == 1 for i in range(first)) and [self.bytes[first + i] for i in range(len(merged))] == [bytes(chars[c] for c in m) for m in merged]
         ):
-            import tiktoken
-
             self.library = None
-            self.fast = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks={t: i for i, t in enumerate(self.bytes) if t}, special_tokens={})
+            self.rank()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast:
@@ -100,18 +110,22 @@ class Pieces:
 
 
 class Sizes:
-    """What alignment needs of the two tokenizers: the bytes of each id, and the type that ids are kept in."""
+    """What alignment needs of the two tokenizers: the bytes of each id, the type that ids are kept in, and A's tokens if they are ranks."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (ByteLevel(a_path), Pieces(b_path)))
+        level = ByteLevel(a_path)
+        self.tokens = level.bytes if level.fast else None
+        self.a, self.b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (level, Pieces(b_path)))
         self.kinds = tuple(np.dtype("<u2" if len(x) <= 1 << 16 else "<u4") for x in (self.a, self.b))
 
 
-def encoded(docs: DataFrame, a_path: str, b_path: str, kinds: tuple[np.dtype, np.dtype]) -> DataFrame:
+def encoded(docs: DataFrame, a_path: str, b_path: str, sizes: Sizes) -> DataFrame:
     """doc_id and the ids under A and B of every row, as little-endian integers; none where the bytes differ."""
 
+    known = docs.sparkSession.sparkContext.broadcast(sizes)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteLevel(a_path), Pieces(b_path)
+        a, b, kinds = ByteLevel(a_path, known.value.tokens), Pieces(b_path), known.value.kinds
         for batch in batches:
             sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64)
             for i, j in zip(*runs_of((np.cumsum(sizes) - sizes) // TEXTS)):
@@ -177,10 +191,10 @@ def aligned(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[tuple[p
         for name, kind in zip("ab", sizes.kinds):
             column = batch.column(name).cast(pa.large_binary())
             starts = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1] // kind.itemsize
-            sides.append((np.frombuffer(column.buffers()[2] or b"", dtype=kind).astype(np.int64) if column.buffers()[2] else np.zeros(0, dtype=np.int64), starts))
+            sides.append((np.frombuffer(column.buffers()[2], dtype=kind) if column.buffers()[2] else np.zeros(0, dtype=kind), starts))
         (a, at_a), (b, at_b) = sides
         for i, j in zip(*runs_of((at_a[:-1] - at_a[0]) // TOKENS)):
-            yield batch.slice(i, j - i), Aligned(a[at_a[i] : at_a[j]], b[at_b[i] : at_b[j]], np.diff(at_a[i : j + 1]), np.diff(at_b[i : j + 1]), sizes.a, sizes.b)
+            yield batch.slice(i, j - i), Aligned(a[at_a[i] : at_a[j]].astype(np.int64), b[at_b[i] : at_b[j]].astype(np.int64), np.diff(at_a[i : j + 1]), np.diff(at_b[i : j + 1]), sizes.a, sizes.b)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,6 +366,6 @@ def pair_table(shards: DataFrame) -> DataFrame:
 def align(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:
     """The report of each row of docs (doc_id, text), and the table of shards, from which pair_table() reads the counts."""
     sizes = Sizes(a_path, b_path)
-    rows = materialize(encoded(docs, a_path, b_path, sizes.kinds), "align-ids")
+    rows = materialize(encoded(docs, a_path, b_path, sizes), "align-ids")
     shards = count_pairs(spark, rows, sizes)
     return digest(rows, shards, sizes), shards
