@@ -41,12 +41,18 @@ def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def intercept(inner: Column, outer: Column, box: Box) -> Column:
     """Where the line from inner leaves box, kept below its end."""
+    return leaving(inner, outer, [F.lit(float(b)) for b in box.begin], [F.lit(float(e)) for e in box.end])
+
+
+def leaving(inner: Column, outer: Column, begin: Sequence[Column], end: Sequence[Column]) -> Column:
+    """Where the line from inner leaves the box of begin and end, kept below its end."""
     steps = []
-    for i, (b, e) in enumerate(zip(box.begin, box.end)):
+    for i, (b, e) in enumerate(zip(begin, end)):
         p, q = inner[i], outer[i]
-        steps.append(F.when(q < b, (F.lit(float(b)) - p) / (q - p)).when(q >= e, (F.lit(float(e)) - p) / (q - p)).otherwise(1.0))
+        steps.append(F.when(q < b, (b - p) / (q - p)).when(q >= e, (e - p) / (q - p)).otherwise(1.0))
     s = F.least(*steps) if len(steps) > 1 else steps[0]
-    return F.array(*[F.least(inner[i] + s * (outer[i] - inner[i]), F.lit(e * (1 - 1e-6) if e > 0 else e - 1e-6)) for i, e in enumerate(box.end)])
+    below = [F.when(e > 0, e * (1 - 1e-6)).otherwise(e - 1e-6) for e in end]
+    return F.array(*[F.least(inner[i] + s * (outer[i] - inner[i]), e) for i, e in enumerate(below)])
 
 
 def trim(nodes: DataFrame, edges: DataFrame, box: Box) -> tuple[DataFrame, DataFrame]:
@@ -257,6 +263,53 @@ def vector_map(sources: DataFrame, partners: DataFrame, targets: DataFrame, radi
     return best.select("z", "y", "x", "b.target").join(places, "target").select("z", "y", "x", *vector)
 
 
+def vector_map_split(sources: DataFrame, partners: DataFrame, targets: DataFrame, radius: float, size: Sequence[float] = (1, 1, 1), labels: DataFrame | None = None) -> DataFrame:
+    """For voxels within radius of a source: the vector to one of its partners' locations, all of which get an even share of the voxels.
+
+    The farthest partner first, each takes the voxels nearest to it of those that are left, and the last one the rest; of
+    partners equally far the larger id comes first, of voxels equally near the smaller place. A source with more partners than
+    voxels has no vectors. Where balls overlap, the source of the largest id stands. With labels (z, y, x, label) a source has
+    only voxels of its own label. A source's voxels and partners meet in one row, of a ball's size at most.
+    """
+    around = np.array(ball(radius, size), dtype=np.int64)
+    own = [c.alias(a) for c, a in zip(voxel_of(F.col("loc"), size), "zyx")]
+    pairs = partners.toDF("source", "target").join(targets.select(F.col("id").alias("target"), F.col("loc").alias("t")), "target").distinct()
+    few = pairs.groupBy("source").count().where(F.col("count") <= len(around)).select("source")
+    each = pairs.join(few, "source", "left_semi").groupBy("source").agg(F.collect_list(F.struct("target", "t")).alias("partners"))
+    rows = sources.select(F.col("id").alias("source"), "loc", *own).join(each, "source")
+    table = F.array(*[F.struct(*[F.lit(int(d)).alias(a) for a, d in zip("zyx", o)]) for o in around.tolist()])
+    if labels is None:
+        rows = rows.withColumn("cells", F.transform(table, lambda o: F.struct(*[(F.col(a) + o[a]).alias(a) for a in "zyx"])))
+    else:
+        at = rows.join(labels.withColumnRenamed("label", "_own"), ["z", "y", "x"])
+        spread = at.withColumn("o", F.explode(table)).select("source", "_own", *[(F.col(a) + F.col(f"o.{a}")).alias(a) for a in "zyx"])
+        cells = spread.join(labels, ["z", "y", "x"]).where("label = _own").groupBy("source").agg(F.collect_list(F.struct("z", "y", "x")).alias("cells"))
+        rows = rows.join(cells, "source")
+    rows = rows.select("source", "loc", F.array_sort("cells").alias("cells"), "partners")
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = np.array(size, dtype=float)
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                cells = np.array([[c["z"], c["y"], c["x"]] for c in r["cells"]], dtype=np.int64).reshape(-1, 3)
+                goals = sorted(((float(((np.array(p["t"]) - r["loc"]) ** 2).sum()), p["target"], p["t"]) for p in r["partners"]), reverse=True)
+                share, free = len(cells) // len(goals), np.ones(len(cells), dtype=bool)
+                for k, (_, target, t) in enumerate(goals if share else []):
+                    far = ((cells * scale - t) ** 2).sum(axis=1)
+                    order = np.flatnonzero(free)[np.argsort(far[free], kind="stable")]
+                    taken = order if k == len(goals) - 1 else order[:share]
+                    free[taken] = False
+                    out += [(*cells[i].tolist(), r["source"], target) for i in taken]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=["z", "y", "x", "source", "target"])
+
+    taken = rows.mapInArrow(shares, "z long, y long, x long, source long, target long")
+    stands = taken.groupBy("z", "y", "x").agg(F.max_by("target", "source").alias("target"))
+    places = targets.select(F.col("id").alias("target"), F.col("loc").alias("t"))
+    vector = [(F.col("t")[i] - F.col(a) * s).alias(f"d{a}") for i, (a, s) in enumerate(zip("zyx", size))]
+    return stands.join(places, "target").select("z", "y", "x", *vector)
+
+
 def center_of_mass(voxels: DataFrame, *keys: str) -> DataFrame:
     """The mean place of the voxels that share keys."""
     return voxels.groupBy(*keys).agg(*[F.avg(a).alias(a) for a in "zyx"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brickfield.functions.cells import AXES
 from brickfield.functions.geometry import Box
+from brickfield.operators import graphs as G
 from brickfield.operators.joins import points_in_boxes
 
 
@@ -57,12 +58,58 @@ def assemble(pieces: DataFrame, keys: Sequence[str] = ("batch_id",), value: str
     return pieces.groupBy(*keys, *AXES).agg(F.max_by(value, order).alias(value))
 
 
+def graph_of_tiles(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, bucket: Sequence[int], keys: Sequence[str] = ("tile",)) -> tuple[DataFrame, DataFrame]:
+    """The graph of each tile: its nodes (keys, id, loc, temporary) and edges (keys, u, v), cropped to its box (b_<axis>, e_<axis>) and trimmed.
+
+    Where an edge leaves a tile, that tile has a temporary node at its side, with an id of its own above all others.
+    """
+    keys = list(keys)
+    at = nodes.select("id", "loc", *[F.col("loc")[i].alias(a) for i, a in enumerate(AXES)])
+    within = points_in_boxes(at, boxes, AXES, bucket).select(*keys, "id", "loc")
+    ends = []
+    for end in "uv":
+        ends.append(edges.select("u", "v").join(within.select(*keys, F.col("id").alias(end)), end).select(*keys, "u", "v", *[F.lit(int(o == end)).alias(f"_{o}") for o in "uv"]))
+    served = ends[0].unionByName(ends[1]).groupBy(*keys, "u", "v").agg(F.max("_u").alias("_u"), F.max("_v").alias("_v"))
+    crossing = G.with_ends(nodes, served.where("_u <> _v").select("u", "v").distinct()).join(served.where("_u <> _v"), ["u", "v"]).join(boxes.select(*keys, *[f"{p}_{a}" for p in "be" for a in AXES]), keys)
+    begin, end = ([F.col(f"{p}_{a}").cast("double") for a in AXES] for p in "be")
+    crossing = crossing.withColumn("loc", F.when(F.col("_u") == 1, G.leaving(F.col("u_loc"), F.col("v_loc"), begin, end)).otherwise(G.leaving(F.col("v_loc"), F.col("u_loc"), begin, end)))
+    top = nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))  # one row
+    crossing = G.numbered(crossing.select(*keys, "u", "v", "_u", "loc"), *keys, "u", "v").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + 1 + F.col("number"))
+    inner, new = F.col("_u") == 1, F.col("id")
+    cut = crossing.select(*keys, F.when(inner, F.col("u")).otherwise(new).alias("u"), F.when(inner, new).otherwise(F.col("v")).alias("v"))
+    kept = served.where("_u = 1 AND _v = 1").select(*keys, "u", "v").unionByName(cut)
+    return within.withColumn("temporary", F.lit(False)).unionByName(crossing.select(*keys, "id", "loc", F.lit(True).alias("temporary"))), kept
+
+
+def assemble_graph(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("tile",)) -> tuple[DataFrame, DataFrame]:
+    """One graph of the tiles' nodes (keys, id, temporary and others) and edges (keys, u, v).
+
+    Temporary nodes, whose ids may be those of other tiles' nodes, and their edges are left out; a node of several tiles is
+    that of the last one; an edge is there where both of its ends stand.
+    """
+    keys = list(keys)
+    others = [c for c in nodes.columns if c not in (*keys, "id", "temporary")]
+    stand = nodes.where("NOT temporary").groupBy("id").agg(F.max_by(F.struct(*others), F.struct(*keys)).alias("_n")).select("id", *[F.col(f"_n.{c}").alias(c) for c in others])
+    for end in "uv":
+        edges = edges.join(nodes.where("temporary").select(*keys, F.col("id").alias(end)), [*keys, end], "left_anti").join(stand.select(F.col("id").alias(end)), end, "left_semi")
+    return stand, edges.select("u", "v").distinct()
+
+
 def snapshot(batches: DataFrame, every: int, number: str, keep: Column | None = None) -> DataFrame:
     """Batches whose number is a multiple of every and for which keep, a condition of the user's, holds."""
     chosen = batches.where(F.col(number) % every == 0)
     return chosen if keep is None else chosen.where(keep)
 
 
+def block_requests_of(regions: DataFrame, read: Sequence[int], write: Sequence[int]) -> DataFrame:
+    """For every region, a row with b_<axis> and e_<axis> each: its blocks to write, as tiles_of(), with the larger box to read around each (r_<axis>, q_<axis>)."""
+    blocks = tiles_of(regions, write)
+    for a, r, w in zip(AXES, read, write):
+        margin = (r - w) // 2
+        blocks = blocks.withColumn(f"r_{a}", F.col(f"b_{a}") - margin).withColumn(f"q_{a}", F.col(f"e_{a}") + margin)
+    return blocks
+
+
 def block_requests(spark: SparkSession, total: Box, read: Sequence[int], write: Sequence[int]) -> DataFrame:
     """A row for each block to write, with the larger box to read around it (r_<axis>, q_<axis>)."""
     blocks = tiles(spark, total, write)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brickfield.functions.cells import AXES
-from brickfield.functions.draws import chosen, normal, uniform
+from brickfield.functions.draws import below, chosen, normal, uniform
 from brickfield.functions.geometry import Box
 
 #: Bits and sign of the whole-number kinds.
@@ -137,6 +137,53 @@ def damage_sections(voxels: DataFrame, draw: Column, *, missing: float, low_cont
     return rows.withColumn("value", value).drop("_u", "_mean")
 
 
+def fold_sections(voxels: DataFrame, seed: Column, fold: Column, strength: int, begin: Sequence[int], shape: Sequence[int], width: int = 10) -> DataFrame:
+    """Sections that are folded (fold, a condition of batch_id and z) along a line through them; z and the others as they are, cut to the box of y and x.
+
+    The line runs from a drawn place of one side of the section, grown by strength, to one of the opposite side. On both
+    sides of it each place shows, linearly interpolated, what lies strength farther from the line, so that a strip is folded
+    away; places within width and a half of the line, along the shorter axis of its slope, are 0. voxels reach strength + 1
+    past the box where they are to be seen there; what isn't there counts as 0. Only folded sections are shuffled.
+    """
+    (ny, nx), (oy, ox) = shape, begin
+    drawn = voxels.withColumns({"_fold": fold, "_across": uniform(seed, 81) < 0.5, "_p": below(seed, 82, 1 << 20), "_q": below(seed, 83, 1 << 20)})
+    grown = F.when(F.col("_across"), nx + 2 * strength).otherwise(ny + 2 * strength) - 3  # places that a line may begin at
+    along = F.when(F.col("_across"), ny + 2 * strength - 1).otherwise(nx + 2 * strength - 1).cast("double")
+    # In the grown section, where a is the axis that the line runs along and b the other: from (0, first) to (along, last).
+    rows = drawn.withColumns({"_first": 1 + F.col("_p") % grown, "_last": 1 + F.col("_q") % grown, "_along": along})
+    slope = (F.col("_last") - F.col("_first")) / F.col("_along")
+    length = F.sqrt(1 + slope * slope)
+    step = lambda n: F.when(F.col("_across"), F.lit(float(strength)) * (1 if n else -slope) / length).otherwise(F.lit(float(strength)) * (-slope if n else 1) / length)
+    rows = rows.withColumns({"_sy": step(0), "_sx": step(1), "_slope": slope})
+    keep = [c for c in voxels.columns if c != "value"]
+    box = (F.col("y") >= oy) & (F.col("y") < oy + ny) & (F.col("x") >= ox) & (F.col("x") < ox + nx)
+
+    def above(y: Column, x: Column) -> Column:
+        """How far a place lies past the line, along the other axis."""
+        gy, gx = y - oy + strength, x - ox + strength
+        return F.when(F.col("_across"), gx - F.col("_first") - gy * F.col("_slope")).otherwise(gy - F.col("_first") - gx * F.col("_slope"))
+
+    folded = rows.where("_fold")
+    # A voxel weighs in on up to four places of each side.
+    targets = []
+    for side in (1, -1):
+        for dy in (0, 1):
+            for dx in (0, 1):
+                sy, sx = F.col("_sy") * side, F.col("_sx") * side
+                wy, wx = sy - F.floor(sy), sx - F.floor(sx)
+                weight = (wy if dy else 1 - wy) * (wx if dx else 1 - wx)
+                targets.append(F.struct((F.col("y") - F.floor(sy) - dy).alias("y"), (F.col("x") - F.floor(sx) - dx).alias("x"), weight.alias("w"), F.lit(side).alias("side")))
+    spread = folded.select(*[c for c in keep if c not in ("y", "x")], "value", "_across", "_first", "_slope", F.explode(F.array(*targets)).alias("_t")).select("*", "_t.y", "_t.x")
+    past = above(F.col("y"), F.col("x"))
+    spread = spread.where(box & (F.col("_t.w") > 0) & ((past > 0) == (F.col("_t.side") > 0)))
+    black = F.abs(past) <= F.greatest(F.lit(1.0), F.abs("_slope")) * (width + 0.5)
+    part = F.when(black, 0.0).otherwise(F.col("_t.w") * F.col("value"))
+    there = folded.where(box).select(*keep, F.lit(0.0).alias("value"), F.lit(True).alias("_there"))
+    sums = spread.select(*keep, part.alias("value"), F.lit(False).alias("_there")).unionByName(there).groupBy(*keep).agg(F.sum("value").alias("value"), F.max("_there").alias("_there"))
+    made = sums.where("_there")
+    return rows.where("NOT _fold").where(box).select(*voxels.columns).unionByName(made.select(*voxels.columns))
+
+
 def blend(voxels: DataFrame, artifacts: DataFrame) -> DataFrame:
     """value * (1 - alpha) + artifact * alpha where artifacts (z, y, x, artifact, alpha, batch_id) covers a voxel."""
     joined = voxels.join(artifacts, ["batch_id", *AXES], "left")

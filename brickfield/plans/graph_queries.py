@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brickfield.functions.geometry import Box
-from brickfield.operators import graphs as G, joins as J, neighbors as N, voxels as V
+from brickfield.operators import graphs as G, joins as J, neighbors as N, scan as S, voxels as V
 from brickfield.plans.array_queries import augmented_sql
 from brickfield.plans.fixtures import PTS, edges, points
 
@@ -246,3 +246,41 @@ def vector_map_within(spark: SparkSession, d: str) -> DataFrame:
 def simple_augment_points(spark: SparkSession, d: str) -> DataFrame:
     rows = points(spark, d).where("x >= 0").select("id", *[(F.col(a) % 64 + o).cast("double").alias(a) for a, o in zip("zyx", (0, 0, 0.5))])
     return V.simple_augment(rows, F.col("id") % 50, Box((0, 0, 0), (64, 64, 64)), points=True)
+
+
+#: Regions of fifty users each, in overlapping tiles.
+SCAN = PTS + """, regions AS (SELECT DISTINCT user_id // 50 AS region FROM events),
+tiles AS (SELECT region, a + 4 * b AS tile, region * 50 AS bz, least(a * 400, 960) AS by_, least(b * 200, 300) AS bx FROM regions, range(0, 4) r(a), range(0, 3) s(b)),
+held AS MATERIALIZED (SELECT region, tile, id, z, y, x FROM pts JOIN tiles ON z >= bz AND z < bz + 50 AND y >= by_ AND y < by_ + 480 AND x >= bx AND x < bx + 300)
+"""
+
+
+def scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    regions = spark.read.parquet(f"{d}/events.parquet").select(F.floor(F.col("user_id") / 50).alias("region")).distinct()
+    begin, end = (F.col("region") * 50, F.lit(0), F.lit(0)), (F.col("region") * 50 + 50, F.lit(1440), F.lit(600))
+    boxes = S.tiles_of(regions.select("region", *[c.alias(f"b_{a}") for a, c in zip("zyx", begin)], *[c.alias(f"e_{a}") for a, c in zip("zyx", end)]), (50, 480, 300), (50, 400, 200))
+    return S.graph_of_tiles(points(spark, d).select("id", "loc"), edges(spark, d), boxes, (50, 480, 300), ("region", "tile"))
+
+
+@query(SCAN + "SELECT id, z::DOUBLE AS z, y::DOUBLE AS y, x::DOUBLE AS x FROM pts WHERE id IN (SELECT id FROM held)")
+def graph_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of the graph, served in tiles and assembled."""
+    return located(S.assemble_graph(*scanned(spark, d), ("region", "tile"))[0], "id")
+
+
+@query(SCAN + "SELECT DISTINCT u, v FROM edges JOIN held a ON a.id = u JOIN held b ON b.id = v AND b.region = a.region AND b.tile = a.tile")
+def graph_scan_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Its edges: those that some tile holds whole."""
+    return S.assemble_graph(*scanned(spark, d), ("region", "tile"))[1]
+
+
+@query(PTS + f""", {ball_sql(2)}, ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+goals AS (SELECT u, q.id, q.z AS tz, q.y AS ty, q.x AS tx, p.z, p.y, p.x, row_number() OVER (PARTITION BY u ORDER BY (q.z - p.z) ** 2 + (q.y - p.y) ** 2 + (q.x - p.x) ** 2 DESC, q.id DESC) AS n, count(*) OVER (PARTITION BY u) AS partners FROM ways JOIN pts p ON p.id = u JOIN pts q ON q.id = v),
+far AS (SELECT u, partners, z + a AS z, y + b AS y, x + c AS x, id, count(*) OVER (PARTITION BY u) AS cells, row_number() OVER (PARTITION BY u ORDER BY (tz - z - a) ** 2 + (ty - y - b) ** 2 + (tx - x - c) ** 2, z + a, y + b, x + c) AS k FROM goals, balls WHERE n = 1),
+shared AS (SELECT f.u, f.z, f.y, f.x, CASE WHEN f.partners = 1 OR k <= cells // 2 THEN f.id ELSE g.id END AS target FROM far f LEFT JOIN goals g ON g.u = f.u AND g.n = 2),
+last AS (SELECT z, y, x, max_by(target, u) AS target FROM shared GROUP BY ALL)
+SELECT l.z, l.y, l.x, (q.z - l.z)::DOUBLE AS dz, (q.y - l.y)::DOUBLE AS dy, (q.x - l.x)::DOUBLE AS dx FROM last l JOIN pts q ON q.id = target""")
+def vector_map_split(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors to the events before and after, which share each event's ball."""
+    nodes, ahead = points(spark, d), edges(spark, d)
+    return G.vector_map_split(nodes, ahead.union(ahead.select("v", "u")), nodes, 2.0)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from brickfield.functions.cells import AXES
 from brickfield.functions.draws import uniform, uniform_sql
 from brickfield.functions.scratch import new_path
-from brickfield.operators import deform as D, volumes as U
+from brickfield.operators import deform as D, volumes as U, voxels as V
 from brickfield.plans.fixtures import table
 from brickfield.sources import chunked as C
 
@@ -140,3 +140,24 @@ def volume_resampled(spark: SparkSession, d: str) -> DataFrame:
 SELECT batch_id, a.i AS z, b.i AS y, c.i AS x, round(v, 6) + 0.0 AS value FROM vol JOIN turned a ON a.s = z JOIN turned b ON b.s = y JOIN turned c ON c.s = x""")
 def volume_reflected(spark: SparkSession, d: str) -> DataFrame:
     return tidy(U.pad(volumes(spark, d), EXTENT, (6, 6, 6), "reflect"), "value")
+
+
+def fold_sql(strength: int, width: int) -> str:
+    """CTE lines: of each folded section where its line begins and ends, in the section grown by strength."""
+    n, seed = 32 + 2 * strength, "batch_id * 4099 + z + 5"
+    draw = lambda k: f"floor({uniform_sql(seed, k)} * {1 << 20})::BIGINT"
+    return f""", lines AS MATERIALIZED (SELECT *, (last - first) / {n - 1}.0::DOUBLE AS slope FROM (
+  SELECT batch_id, z, {uniform_sql(seed, 81)} < 0.5 AS across, 1 + {draw(82)} % {n - 3} AS first, 1 + {draw(83)} % {n - 3} AS last FROM batches, range(0, 32) r(z) WHERE {uniform_sql(seed, 80)} < 0.25)),
+past AS (SELECT l.*, p.y, p.x, CASE WHEN across THEN p.x + {strength} - first - (p.y + {strength}) * slope ELSE p.y + {strength} - first - (p.x + {strength}) * slope END AS past FROM vol p JOIN lines l USING (batch_id, z)),
+steps AS (SELECT *, CASE WHEN past > 0 THEN 1 ELSE -1 END * CASE WHEN across THEN -slope ELSE 1 END * {strength}.0::DOUBLE / sqrt(1 + slope * slope) AS sy,
+  CASE WHEN past > 0 THEN 1 ELSE -1 END * CASE WHEN across THEN 1 ELSE -slope END * {strength}.0::DOUBLE / sqrt(1 + slope * slope) AS sx, abs(past) <= greatest(1.0, abs(slope)) * {width + 0.5} AS black FROM past),
+taken AS (SELECT s.batch_id, s.z, s.y, s.x, sum(CASE WHEN black THEN 0.0 ELSE coalesce(v, 0.0) * (CASE a WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE b WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) END) AS value
+  FROM steps s, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b) LEFT JOIN vol o ON o.batch_id = s.batch_id AND o.z = s.z AND o.y = s.y + floor(sy) + a AND o.x = s.x + floor(sx) + b GROUP BY ALL)"""
+
+
+@query(VOL + fold_sql(3, 1) + """ SELECT batch_id, z, y, x, round(value, 6) + 0.0 AS value FROM taken
+UNION ALL SELECT batch_id, z, y, x, round(v, 6) + 0.0 FROM vol WHERE (batch_id, z) NOT IN (SELECT (batch_id, z) FROM lines)""")
+def volume_folded(spark: SparkSession, d: str) -> DataFrame:
+    """A quarter of all sections folded along a line, which is black."""
+    seed = F.col("batch_id") * 4099 + F.col("z") + 5
+    return tidy(V.fold_sections(volumes(spark, d), seed, uniform(seed, 80) < 0.25, 3, (0, 0), (32, 32), 1), "value")
