@@ -133,12 +133,12 @@ def deform_block(data: Column, grid: Grid, seed: Column, spacing: Sequence[float
     return let(jitters, cells)
 
 
-def deform_points(points: DataFrame, places: DataFrame, seed: Column, center: Sequence[float], spacing: Sequence[float], sigma: Sequence[float], recompute: bool = False) -> DataFrame:
+def deform_points(points: DataFrame, places: DataFrame, seed: Column, center: Sequence[float], spacing: Sequence[float], sigma: Sequence[float], recompute: bool = True) -> DataFrame:
     """points (id, z, y, x) at the place whose source location lies nearest: places are the z, y, x of the target grid.
 
-    A place and a point meet in the cell of the place's source; points look in the cells around theirs, and those without
-    a place within a voxel's diagonal, as where the field stretches strongly, are left out. With recompute, those go to the
-    nearest place at any distance; of places equally near the first takes a point.
+    The nearest place is sought at any distance; of places equally near the first takes a point. Without recompute, a place
+    and a point meet in the cell of the place's source alone: points look in the cells around theirs, and those without a
+    place within a voxel's diagonal, as where the field stretches strongly, are left out.
     """
     source = field(lambda point, axis: jitter(seed, point, axis, sigma[axis]), [F.col(a) for a in "zyx"], center, spacing, sigma)
     spread = places.select(*[F.col(a).alias(f"to_{a}") for a in "zyx"], *[c.alias(f"s_{a}") for a, c in zip("zyx", source)])

@@ -76,11 +76,12 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with `number`, from 0 in the given order; only the partitions' sizes reach the driver."""
     part = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     part = written(part.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
-    at, starts = 0, [F.lit(-1), F.lit(0)]
+    at, starts = 0, []
     for r in part.groupBy("_p").count().orderBy("_p").collect():
-        starts += [F.lit(r["_p"]), F.lit(at)]
+        starts.append((r["_p"], at))
         at += r["count"]
-    return part.withColumn("number", (F.create_map(*starts)[F.col("_p")] + F.col("_i")).cast("long")).drop("_p", "_i")
+    starts = rows.sparkSession.createDataFrame(starts, "_p int, _start long")  # a row for each partition
+    return part.join(F.broadcast(starts), "_p").withColumn("number", (F.col("_start") + F.col("_i")).cast("long")).drop("_p", "_i", "_start")
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
@@ -129,6 +130,16 @@ def upsert(nodes: DataFrame, more: DataFrame) -> DataFrame:
     return nodes.join(more.select("id"), "id", "left_anti").unionByName(more)
 
 
+def upsert_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """edges (u, v and attributes) and more; of equal ends those of more."""
+    return edges.join(more.select("u", "v"), ["u", "v"], "left_anti").unionByName(more)
+
+
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those of gone (u, v); their nodes stay."""
+    return edges.join(gone.select("u", "v"), ["u", "v"], "left_anti")
+
+
 def spanning(edges: DataFrame) -> DataFrame:
     """Edges u > v with the components of edges, as far as each task's own are joined already: a star around the smallest node.
 

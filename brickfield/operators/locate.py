@@ -6,6 +6,7 @@ Draws are columns of the request, made from its seed (functions.draws), so any p
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,6 +17,9 @@ from brickfield.functions.scratch import written
 from brickfield.operators.graphs import numbered
 from brickfield.operators.neighbors import count_within
 
+#: Draws of a request in one round at most.
+MOST_DRAWS = 4096
+
 
 def random_shift(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], axes: str = "zyx", salt: int | Column = 0) -> DataFrame:
     """requests with b_<axis>: a uniform begin on the grid at which a box of `shape` fits upstream."""
@@ -145,16 +149,18 @@ def weighted_choice(requests: DataFrame, weights: DataFrame, resolution: int | N
     return drawn.join(spread, "k").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("request", "id")
 
 
-def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], accepts: Column | Callable[[DataFrame], DataFrame], axes: str = "zyx", rounds: int = 200) -> DataFrame:
+def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid: Sequence[int], accepts: Column | Callable[[DataFrame], DataFrame], axes: str = "zyx", rounds: int | None = None, seconds: float = 3600) -> DataFrame:
     """requests (request, seed) with attempt and b_<axis>: the first of a request's draws for which accepts holds.
 
     accepts is a condition on the drawn rows, or a function that gives those of them that are good, by what it reads there.
-    What a round leaves over is drawn again, twice as often in each round; a request that none of `rounds` draws serves is an
-    error, not left out.
+    What a round leaves over is drawn again, twice as often in each round up to MOST_DRAWS, however many rounds that takes: a
+    condition that few places meet is met at last. One that none meets can't be told from it, so that a caller's limit of
+    time, or of draws a request, ends the search with an error; no request is left out.
     """
     begins, found, left, start, size = [f"b_{a}" for a in axes], None, requests, 0, 1
-    while start < rounds:
-        end = min(start + size, rounds)
+    until = time.monotonic() + seconds
+    while (rounds is None or start < rounds) and time.monotonic() < until:
+        end = min(start + size, start + MOST_DRAWS, rounds or start + size)
         tries = left.withColumn("attempt", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end - 1).cast("long"))))
         drawn = random_shift(tries, shape, upstream, grid, axes, F.col("attempt") * 10)
         good = drawn.where(accepts) if isinstance(accepts, Column) else accepts(drawn)
@@ -165,7 +171,7 @@ def shift_until(requests: DataFrame, shape: Sequence[int], upstream: Box, grid:
         if left.isEmpty():
             return found
         start, size = end, 2 * size
-    raise ValueError(f"no accepted location in {rounds} draws")
+    raise ValueError(f"no accepted location in {start} draws of some requests")
 
 
 def around_points(requests: DataFrame, weights: DataFrame, points: DataFrame, shape: Sequence[int], upstream: Box, axes: str = "zyx", centered: bool = False, p: float = 1.0) -> DataFrame:

@@ -95,10 +95,15 @@ def assemble_graph(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("t
     return stand, edges.select("u", "v").distinct()
 
 
-def snapshot(batches: DataFrame, every: int, number: str, keep: Column | None = None) -> DataFrame:
-    """Batches whose number is a multiple of every and for which keep, a condition of the user's, holds."""
-    chosen = batches.where(F.col(number) % every == 0)
-    return chosen if keep is None else chosen.where(keep)
+def snapshot(batches: DataFrame, every: int, number: str, keep: Column | None = None, more: DataFrame | None = None, on: Sequence[str] | None = None) -> DataFrame:
+    """Batches whose number is a multiple of every and for which keep, a condition of the user's, holds.
+
+    more is an additional request: data that snapshots alone have, joined on number, or on the columns `on`. It is filtered
+    by the same rule first, so nothing else of it is read on.
+    """
+    rule = lambda df: df.where(F.col(number) % every == 0)
+    chosen = rule(batches) if keep is None else rule(batches).where(keep)
+    return chosen if more is None else chosen.join(rule(more) if number in more.columns else more, list(on or [number]), "left")
 
 
 def block_requests_of(regions: DataFrame, read: Sequence[int], write: Sequence[int]) -> DataFrame:

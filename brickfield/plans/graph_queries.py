@@ -119,17 +119,22 @@ def rasterize_tube(spark: SparkSession, d: str) -> DataFrame:
     return tube.groupBy(F.when(F.col("z") >= 0, F.floor(F.col("z") / 8)).otherwise(F.ceil(F.col("z") / 8)).alias("z")).agg(F.count("*").alias("voxels"))
 
 
-PARITY = "(z // 3 + y // 40 + x // 20) % 2"
+#: Divisions round down and the remainder is 0 or 1, below 0 too.
+PARITY = "((floor(z / 3.0) + floor(y / 40.0) + floor(x / 20.0))::BIGINT & 1)"
+
+
+def striped(grid: DataFrame) -> DataFrame:
+    """A label for each voxel of grid, from its place."""
+    whole = F.floor(F.col("z") / 3) + F.floor(F.col("y") / 40) + F.floor(F.col("x") / 20)
+    return grid.select("z", "y", "x", F.pmod(whole, F.lit(2)).alias("label"))
 
 
 @query(PTS + f""", {ball_sql(3)}, own AS (SELECT z, y, x, {PARITY} AS label FROM pts), near AS (SELECT DISTINCT z + a AS z, y + b AS y, x + c AS x, label AS own FROM own, balls)
-SELECT DISTINCT z, y, x, own AS value FROM near WHERE z >= 0 AND y >= 0 AND x >= 0 AND {PARITY} = own""")
+SELECT DISTINCT z, y, x, own AS value FROM near WHERE {PARITY} = own""")
 def rasterize_mask(spark: SparkSession, d: str) -> DataFrame:
     nodes = points(spark, d)
     # The label volume, as far as balls reach: a label for each voxel from its place.
-    grid = G.rasterize(nodes, 3.0).where("z >= 0 AND y >= 0 AND x >= 0")
-    labels = grid.select("z", "y", "x", ((F.floor(F.col("z") / 3) + F.floor(F.col("y") / 40) + F.floor(F.col("x") / 20)) % 2).alias("label"))
-    return G.rasterize_in_labels(nodes, labels, 3.0).where("z >= 0 AND y >= 0 AND x >= 0")
+    return G.rasterize_in_labels(nodes, striped(G.rasterize(nodes, 3.0)), 3.0)
 
 
 @query(PTS + """, w AS (SELECT a, b, c, exp(-(a * a + b * b + c * c) / 2.0) AS w FROM range(-2, 3) s(a), range(-2, 3) t(b), range(-2, 3) q(c) WHERE a * a + b * b + c * c <= 4),
@@ -184,8 +189,7 @@ near AS (SELECT id, z + a AS z, y + b AS y, x + c AS x, label AS own FROM own, b
 def blobs_from_points(spark: SparkSession, d: str) -> DataFrame:
     nodes = points(spark, d)
     grid = G.rasterize(nodes, 2.0, box=BOX)
-    labels = grid.select("z", "y", "x", ((F.floor(F.col("z") / 3) + F.floor(F.col("y") / 40) + F.floor(F.col("x") / 20)) % 2).alias("label"))
-    return G.blobs(nodes, labels, 2.0, BOX)
+    return G.blobs(nodes, striped(grid), 2.0, BOX)
 
 
 @query(PTS + "SELECT id, z + 10.5::DOUBLE AS z, y - 3.0::DOUBLE AS y, x::DOUBLE AS x FROM pts")
@@ -209,14 +213,19 @@ def graph_trimmed_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.trim(points(spark, d), edges(spark, d), BOX)[1]
 
 
-@query(PTS + f""", cropped AS (SELECT id, z, y, x FROM pts p WHERE {INSIDE.format(t='p')} OR id IN (SELECT u FROM edges WHERE v IN (SELECT id FROM pts p WHERE {INSIDE.format(t='p')})) OR id IN (SELECT v FROM edges WHERE u IN (SELECT id FROM pts p WHERE {INSIDE.format(t='p')}))),
-ends AS (SELECT ({INSIDE.format(t='p')}) AS i, ({INSIDE.format(t='q')}) AS j FROM edges JOIN cropped p ON p.id = u JOIN cropped q ON q.id = v)
-SELECT (SELECT count(*) FROM cropped p WHERE {INSIDE.format(t='p')}) AS inside, count(*) FILTER (i <> j)::BIGINT AS temporary, count(*) FILTER (i OR j)::BIGINT AS edges FROM ends""")
+@query(SQL["graph_trim"])
 def graph_source(spark: SparkSession, d: str) -> DataFrame:
-    """A graph served for a box: cropped, then trimmed."""
-    nodes, kept = G.trim(*G.crop(points(spark, d), edges(spark, d), BOX), BOX)
-    counts = nodes.agg(F.count(F.when(~F.col("temporary"), 1)).alias("inside"), F.count(F.when(F.col("temporary"), 1)).alias("temporary"))
-    return counts.crossJoin(kept.agg(F.count("*").alias("edges")))  # a row each
+    """A graph served for a box: cropped, then trimmed; its nodes."""
+    return located(G.trim(*G.crop(points(spark, d), edges(spark, d), BOX), BOX)[0], "temporary")
+
+
+@query(PTS + """SELECT u, v, 'old' AS kind FROM edges WHERE u % 5 <> 0 AND u % 7 <> 0 UNION ALL SELECT u, v, 'new' FROM edges WHERE u % 7 = 0 AND u % 5 <> 0 UNION ALL SELECT v, u, 'new' FROM edges WHERE u % 7 = 0 AND u % 5 <> 0""")
+def edges_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Edges upserted, some with a new attribute and some new ones, and others removed."""
+    rows = edges(spark, d)
+    some = rows.where("u % 7 = 0 AND u % 5 <> 0")
+    more = some.unionByName(some.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("kind", F.lit("new"))
+    return G.upsert_edges(G.remove_edges(rows, rows.where("u % 5 = 0")).withColumn("kind", F.lit("old")), more)
 
 
 @query(PTS + f""", {ball_sql(1)}, ends AS (SELECT p.z AS pz, p.y AS py, p.x AS px, q.z AS qz, q.y AS qy, q.x AS qx, greatest(1, abs(q.z - p.z), abs(q.y - p.y), abs(q.x - p.x)) AS n FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v),
@@ -231,20 +240,18 @@ def rasterize_tube_cells(spark: SparkSession, d: str) -> DataFrame:
     return tube.groupBy(*cell).agg(F.count("*").alias("voxels"), *[F.sum(a).alias(a) for a in "zyx"])
 
 
-@query(PTS + f""", {ball_sql(2)}, pairs AS (SELECT p.z + a AS z, p.y + b AS y, p.x + c AS x, q.id, q.z AS tz, q.y AS ty, q.x AS tx, (p.z // 3 + p.y // 40 + p.x // 20) % 2 AS own FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v, balls WHERE p.x >= 0)
+@query(PTS + f""", {ball_sql(2)}, pairs AS (SELECT p.z + a AS z, p.y + b AS y, p.x + c AS x, q.id, q.z AS tz, q.y AS ty, q.x AS tx, (floor(p.z / 3.0) + floor(p.y / 40.0) + floor(p.x / 20.0))::BIGINT & 1 AS own FROM edges JOIN pts p ON p.id = u JOIN pts q ON q.id = v, balls)
 SELECT z, y, x, (tz - z)::DOUBLE AS dz, (ty - y)::DOUBLE AS dy, (tx - x)::DOUBLE AS dx FROM (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY (tz - z) ** 2 + (ty - y) ** 2 + (tx - x) ** 2, id) AS n
-  FROM pairs WHERE z >= 0 AND y >= 0 AND x >= 0 AND {PARITY} = own) WHERE n = 1""")
+  FROM pairs WHERE {PARITY} = own) WHERE n = 1""")
 def vector_map_within(spark: SparkSession, d: str) -> DataFrame:
     """vector_map_min within the source's own label."""
     nodes = points(spark, d)
-    grid = G.rasterize(nodes, 2.0).where("z >= 0 AND y >= 0 AND x >= 0")
-    labels = grid.select("z", "y", "x", ((F.floor(F.col("z") / 3) + F.floor(F.col("y") / 40) + F.floor(F.col("x") / 20)) % 2).alias("label"))
-    return G.vector_map(nodes, edges(spark, d), nodes, 2.0, labels=labels)
+    return G.vector_map(nodes, edges(spark, d), nodes, 2.0, labels=striped(G.rasterize(nodes, 2.0)))
 
 
-@query(PTS + ", p AS (SELECT id, id % 50 AS request, z % 64 AS z, y % 64 AS y, x % 64 + 0.5 AS x FROM pts WHERE x >= 0), moved AS (" + augmented_sql("p", "request", 64, "id") + ") SELECT id, z::DOUBLE AS z, y::DOUBLE AS y, x::DOUBLE AS x FROM moved WHERE z < 64 AND y < 64 AND x < 64")
+@query(PTS + ", p AS (SELECT id, id % 50 AS request, (z % 64 + 64) % 64 AS z, (y % 64 + 64) % 64 AS y, (x % 64 + 64) % 64 + 0.5 AS x FROM pts), moved AS (" + augmented_sql("p", "request", 64, "id") + ") SELECT id, z::DOUBLE AS z, y::DOUBLE AS y, x::DOUBLE AS x FROM moved WHERE z < 64 AND y < 64 AND x < 64")
 def simple_augment_points(spark: SparkSession, d: str) -> DataFrame:
-    rows = points(spark, d).where("x >= 0").select("id", *[(F.col(a) % 64 + o).cast("double").alias(a) for a, o in zip("zyx", (0, 0, 0.5))])
+    rows = points(spark, d).select("id", *[(F.pmod(F.col(a), F.lit(64)) + o).cast("double").alias(a) for a, o in zip("zyx", (0, 0, 0.5))])
     return V.simple_augment(rows, F.col("id") % 50, Box((0, 0, 0), (64, 64, 64)), points=True)
 
 

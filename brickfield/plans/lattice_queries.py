@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from brickfield.functions.cells import AXES
 from brickfield.functions.draws import uniform, uniform_sql
 from brickfield.functions.scratch import new_path
-from brickfield.operators import deform as D, volumes as U, voxels as V
-from brickfield.plans.fixtures import table
+from brickfield.operators import blocks as B, deform as D, volumes as U, voxels as V
+from brickfield.plans.fixtures import PTS, points, table
 from brickfield.sources import chunked as C
 
 QUERIES, SQL = {}, {}
@@ -161,3 +161,29 @@ def volume_folded(spark: SparkSession, d: str) -> DataFrame:
     """A quarter of all sections folded along a line, which is black."""
     seed = F.col("batch_id") * 4099 + F.col("z") + 5
     return tidy(V.fold_sections(volumes(spark, d), seed, uniform(seed, 80) < 0.25, 3, (0, 0), (32, 32), 1), "value")
+
+
+POINT_FIELD = field_sql(4, 1.0).replace("batch_id + 3", "7").replace("range(0, 9)", "range(0, 4)")
+
+
+@query(PTS + """, batches AS (SELECT 0 AS batch_id), places AS MATERIALIZED (SELECT 0 AS batch_id, a.z, b.y, c.x FROM range(0, 9) a(z), range(0, 9) b(y), range(0, 9) c(x))""" + POINT_FIELD + """,
+p AS (SELECT id, z % 9 + 0.25 AS z, y % 9 AS y, x % 9 - 0.125 AS x FROM pts),
+near AS (SELECT id, min({'d': (m.mz - p.z) ** 2 + (m.my - p.y) ** 2 + (m.mx - p.x) ** 2, 'z': m.z, 'y': m.y, 'x': m.x}) AS n FROM p, moved m GROUP BY id)
+SELECT id, n.z::BIGINT AS z, n.y::BIGINT AS y, n.x::BIGINT AS x FROM near""")
+def deform_points(spark: SparkSession, d: str) -> DataFrame:
+    """Each point at the place whose source lies nearest to it, at any distance."""
+    rows = points(spark, d).select("id", *[(F.col(a) % 9 + o).cast("double").alias(a) for a, o in zip(AXES, (0.25, 0.0, -0.125))])
+    places = spark.range(9**3).select(*[c.cast("long").alias(a) for a, c in zip(AXES, (F.floor(F.col("id") / 81), F.floor(F.col("id") / 9) % 9, F.col("id") % 9))])
+    return D.deform_points(rows, places, F.lit(7), (4.0, 4.0, 4.0), (4, 4, 4), (1.0, 1.0, 1.0)).select("id", *[F.col(a).cast("long").alias(a) for a in AXES])
+
+
+@query(SQL["volume_distance_exact"].replace("SELECT batch_id, z, y, x, round(sqrt(coalesce(d, 0)) / 2, 6) + 0.0 AS distance FROM lab LEFT JOIN near USING (batch_id, z, y, x)", """,
+far AS MATERIALIZED (SELECT batch_id, z, y, x, sqrt(coalesce(d, 0)) / 2 AS d FROM lab LEFT JOIN near USING (batch_id, z, y, x))
+SELECT o.batch_id, o.z, o.y, o.x, """ + ", ".join(f"round((coalesce(n{a}.d, o.d) - coalesce(p{a}.d, o.d)) / CASE WHEN n{a}.d IS NOT NULL AND p{a}.d IS NOT NULL THEN 2.0 ELSE 1.0 END, 5) + 0.0 AS d{a}" for a in AXES) + " FROM far o " + " ".join(
+    f"LEFT JOIN far {n}{a} ON {n}{a}.batch_id = o.batch_id AND " + " AND ".join(f"{n}{a}.{b} = o.{b}" + (s if a == b else "") for b in AXES) for a in AXES for n, s in (("n", " + 1"), ("p", " - 1")))))
+def volume_distance_gradients(spark: SparkSession, d: str) -> DataFrame:
+    """By axis the slope of the distance to the nearest boundary, however far, over blocks."""
+    labels = volumes(spark, d).withColumn("label", F.when(F.col("value") > 0.3, 2).otherwise(1)).drop("value")
+    far = U.boundary_distance(labels, EXTENT)
+    made = B.whole_volume(far, BLOCK, (1, 1, 1), lambda v, g: {f"d{a}": B.gradient(v, g, i) for i, a in enumerate(AXES)}, "distance")
+    return made.select("batch_id", *AXES, *[(F.round(f"d{a}", 5) + F.lit(0.0)).alias(f"d{a}") for a in AXES])

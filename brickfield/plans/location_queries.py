@@ -187,9 +187,12 @@ def merge_sources(spark: SparkSession, d: str) -> DataFrame:
 TILES = """tiles AS (SELECT a + 5 * b + 20 * c AS tile, least(a * 3, 10) AS bz, least(b * 4, 9) AS by_, least(c * 5, 7) AS bx FROM range(0, 5) r(a), range(0, 4) s(b), range(0, 3) t(c))"""
 
 
-@query("WITH " + TILES + " SELECT tile, bz AS b_z, by_ AS b_y, bx AS b_x, bz + 4 AS e_z, by_ + 4 AS e_y, bx + 5 AS e_x FROM tiles")
+@query(PTS + ", " + TILES + """, held AS (SELECT id, z % 14 AS z, y % 13 AS y, x % 12 AS x FROM pts)
+SELECT tile, bz AS b_z, by_ AS b_y, bx AS b_x, bz + 4 AS e_z, by_ + 4 AS e_y, bx + 5 AS e_x, id FROM tiles JOIN held ON z >= bz AND z < bz + 4 AND y >= by_ AND y < by_ + 4 AND x >= bx AND x < bx + 5""")
 def scan_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return S.tiles(spark, Box((0, 0, 0), (14, 13, 12)), (4, 4, 5), (3, 4, 5))
+    """The tiles of a region, with the points that each serves."""
+    rows = points(spark, d).select("id", *[(F.col(a) % n).alias(a) for a, n in zip(AXES, (14, 13, 12))])
+    return S.cut(rows, S.tiles(spark, Box((0, 0, 0), (14, 13, 12)), (4, 4, 5), (3, 4, 5)), (4, 4, 5)).drop(*AXES)
 
 
 @query(VOX + ", tiles AS (SELECT a + 2 * b AS tile, least(a * 3, 1) AS bz, least(b * 3, 1) AS by_ FROM range(0, 2) r(a), range(0, 2) s(b)) SELECT batch_id, z, y, x, max_by(v + tile, tile) AS value FROM vox JOIN tiles ON z >= bz AND z < bz + 3 AND y >= by_ AND y < by_ + 3 GROUP BY ALL")
@@ -199,10 +202,24 @@ def scan_assemble(spark: SparkSession, d: str) -> DataFrame:
     return tidy(S.assemble(pieces), "value")
 
 
-@query("SELECT a + 4 * b + 12 * c AS block, a * 5 AS b_z, b * 5 AS b_y, c * 5 AS b_x, a * 5 - 2 AS r_z, a * 5 + 7 AS q_z FROM range(0, 4) r(a), range(0, 3) s(b), range(0, 2) t(c)")
+@query("""WITH r AS (SELECT s_suppkey AS region, s_suppkey % 9 - 4 AS bz, s_nationkey::BIGINT AS by_, 10 + s_suppkey % 13 AS ez, s_nationkey::BIGINT + 5 + s_suppkey % 4 * 5 AS ey FROM supplier),
+n AS (SELECT *, ceil((ez - bz - 5) / 5.0)::BIGINT + 1 AS nz, ceil((ey - by_ - 5) / 5.0)::BIGINT + 1 AS ny FROM r), t AS (SELECT *, unnest(range(0, nz * ny * 2)) AS block FROM n),
+b AS (SELECT region, block, least(bz + block % nz * 5, ez - 5) AS b_z, least(by_ + block // nz % ny * 5, ey - 5) AS b_y, block // nz // ny * 5 AS b_x FROM t)
+SELECT *, b_z + 5 AS e_z, b_y + 5 AS e_y, b_x + 5 AS e_x, b_z - 2 AS r_z, b_y - 2 AS r_y, b_x - 2 AS r_x, b_z + 7 AS q_z, b_y + 7 AS q_y, b_x + 7 AS q_x FROM b""")
 def request_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.block_requests(spark, Box((0, 0, 0), (20, 15, 10)), (9, 9, 9), (5, 5, 5))
-    return rows.select(F.col("tile").alias("block"), "b_z", "b_y", "b_x", "r_z", "q_z")
+    """The blocks to write of a table of regions, with the boxes to read around them."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
+    boxes = {"b_z": key % 9 - 4, "b_y": nation, "b_x": F.lit(0), "e_z": 10 + key % 13, "e_y": nation + 5 + key % 4 * 5, "e_x": F.lit(10)}
+    regions = table(spark, d, "supplier").select(key.alias("region"), *[c.alias(n) for n, c in boxes.items()])
+    return S.block_requests_of(regions, (9, 9, 9), (5, 5, 5)).withColumnRenamed("tile", "block")
+
+
+@query(VOX + """SELECT batch_id AS iteration, min(v) AS low, max(v) AS high, any_value(label) AS label FROM vox JOIN embeddings ON vec_id = batch_id WHERE batch_id % 10 = 0 GROUP BY batch_id HAVING max(v) > 0.2""")
+def snapshot_additional(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots that a condition keeps, each with a label that is requested for snapshots alone."""
+    rows = voxels(spark, d).groupBy(F.col("batch_id").alias("iteration")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("iteration"), "label")
+    return S.snapshot(rows, 10, "iteration", F.col("high") > 0.2, labels)
 
 
 @query(VOX + "SELECT batch_id AS iteration, min(v) AS low, max(v) AS high FROM vox WHERE batch_id % 10 = 0 GROUP BY batch_id")
@@ -283,12 +300,15 @@ def served(box: Box):
     return z * 100 + y * 10 + x
 
 
-@query(VOX + f""", m AS (SELECT batch_id, z, y, x, CASE WHEN label > 1 THEN 1 ELSE 0 END AS m FROM lab),
-places AS (SELECT batch_id, bz, by_, bx, avg(m) AS ratio FROM m, range(0, 3) r(bz), range(0, 3) s(by_), range(0, 3) q(bx) WHERE z >= bz AND z < bz + 2 AND y >= by_ AND y < by_ + 2 AND x >= bx AND x < bx + 2 GROUP BY ALL),
-tries AS (SELECT o_orderkey AS request, o_orderkey % (SELECT count(*) FROM embeddings) AS batch_id, t AS attempt, {TRY.format(u=uniform_sql('o_orderkey', 't * 10'))} AS bz,
-  {TRY.format(u=uniform_sql('o_orderkey', 't * 10 + 1'))} AS by_, {TRY.format(u=uniform_sql('o_orderkey', 't * 10 + 2'))} AS bx, {uniform_sql('o_orderkey', 't + 5000')} AS u FROM orders, range(0, 100) r(t))
-SELECT request, min(attempt) AS attempt, arg_min(t.bz, attempt) AS b_z, arg_min(t.by_, attempt) AS b_y, arg_min(t.bx, attempt) AS b_x FROM tries t JOIN places p ON p.batch_id = t.batch_id AND p.bz = t.bz AND p.by_ = t.by_ AND p.bx = t.bx
-WHERE ratio > 0.5 OR u > 0.8 GROUP BY request""")
+@query("WITH RECURSIVE " + VOX.removeprefix("WITH ") + f""", m AS (SELECT batch_id, z, y, x, CASE WHEN label > 1 THEN 1 ELSE 0 END AS m FROM lab),
+places AS MATERIALIZED (SELECT batch_id, bz, by_, bx, avg(m) AS ratio FROM m, range(0, 3) r(bz), range(0, 3) s(by_), range(0, 3) q(bx) WHERE z >= bz AND z < bz + 2 AND y >= by_ AND y < by_ + 2 AND x >= bx AND x < bx + 2 GROUP BY ALL),
+asked AS MATERIALIZED (SELECT o_orderkey AS request, o_orderkey % (SELECT count(*) FROM embeddings) AS batch_id FROM orders),
+tries(request, batch_id, attempt, bz, by_, bx, good) AS (SELECT request, batch_id, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM asked
+  UNION ALL SELECT d.request, d.batch_id, d.attempt, d.bz, d.by_, d.bx, coalesce(ratio > 0.5 OR (ratio IS NOT NULL AND u > 0.8), false) FROM (
+    SELECT request, batch_id, attempt + 1 AS attempt, {TRY.format(u=uniform_sql('request', '(attempt + 1) * 10'))} AS bz, {TRY.format(u=uniform_sql('request', '(attempt + 1) * 10 + 1'))} AS by_,
+      {TRY.format(u=uniform_sql('request', '(attempt + 1) * 10 + 2'))} AS bx, {uniform_sql('request', '(attempt + 1) + 5000')} AS u FROM tries WHERE NOT good) d
+  LEFT JOIN places p ON p.batch_id = d.batch_id AND p.bz = d.bz AND p.by_ = d.by_ AND p.bx = d.bx)
+SELECT request, attempt, bz AS b_z, by_ AS b_y, bx AS b_x FROM tries WHERE good""")
 def reject_again(spark: SparkSession, d: str) -> DataFrame:
     """Requests are served again until the ratio of their mask is over a half, or their draw lets them pass."""
     rows = labelled(spark, d).withColumn("m", F.when(F.col("label") > 1, 1).otherwise(0))
