@@ -1,13 +1,15 @@
 """Exact top-k inner products with a KD-tree for each shard.
 
-Vectors are dealt to shards of at most about SHARD rows, and to as many as there are cores while those hold LEAST_SHARD.
-Each shard's tree splits at medians of the dimension that spreads most and keeps each node's tight bounding box. A query
-visits nodes best first by the largest inner product that a box allows, and stops at the first node that can't reach its
-kth score so far. The kth scores propagate: a first pass answers each query from the shard that holds it, and all other
-shards start from that answer's kth score.
+Vectors are dealt to shards of at most about SHARD rows, and to as many as there are cores while those hold LEAST_SHARD, by
+a tree of its own over them: median splits fitted on a sample of at most about SAMPLE vectors; a leaf that holds more is
+dealt on by vec_id. Each shard's tree splits at medians of the dimension that spreads most and keeps each node's tight
+bounding box. A query visits nodes best first by the largest inner product that a box allows, and stops at the first node
+that can't reach its kth score so far. The kth scores propagate: a first pass answers each query from the shard that holds
+it, and all other shards start from that answer's kth score.
 
-Queries stay in a table. They are dealt to every other shard and stand there after the shard's rows, so its tree is built
-once for all of them and they pass it in blocks of at most BLOCK rows. A shard answers with at most k rows a query row.
+Queries stay in a table. They are dealt to those other shards whose box, a row a shard, allows a score that reaches their
+kth so far, and stand there after the shard's rows, so its tree is built once for all of them and they pass it in blocks of
+at most BLOCK rows. A shard answers with at most k rows a query row.
 
 Components are floor(scale * x) with x as double. Defined cases: null vectors and vectors with a null or non-finite
 component take no part; shorter vectors count as ending in zeros; a query's own row is every row of its vec_id; rows that
@@ -26,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brickfield.llm.common import materialize
+from brickfield.operators.neighbors import fit, route
 
 #: Rows in a shard at most and, where that leaves cores idle, at least; rows read at once; and rows in a tree's leaf.
 SHARD, LEAST_SHARD, BLOCK, LEAF = 1 << 16, 1 << 11, 1 << 13, 256
 #: Queries whose bounds are computed at once.
 SEARCHED = 256
+#: Vectors of the sample that shards are cut by, about, and those of it that a shard has at least.
+SAMPLE, FEW = 1 << 14, 8
 #: Whole numbers up to here are exact as doubles, whose products are faster.
 EXACT = 1 << 53
 
@@ -138,11 +143,14 @@ ANSWERS = "query_id long, row long, home int, v array<long>, score long, vec_id
 def own_answers(sharded: DataFrame, width: int, k: int, every: int) -> DataFrame:
     """Each query row's best rows of its own shard, `home`, with v only on a row of its own, of score null: the query itself.
 
-    `row` tells query rows apart. A query row's kth score stands on its own row as vec_id, null where the shard has fewer than k others.
+    Each shard has a row besides, of query_id null, whose v is its box: the least components, then the largest. `row` tells
+    query rows apart. A query row's kth score stands on its own row as vec_id, null where the shard has fewer than k others.
     """
 
     def answers(home: int, shard: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids, vectors = (np.concatenate(x) for x in zip(*shard))
+        box = [None, None, home, np.concatenate([vectors.min(axis=0), vectors.max(axis=0)]).tolist(), None, None]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(box, schema.types)], schema=schema)
         places = np.flatnonzero(ids % every == 0)
         tree = KDTree(ids, vectors) if len(places) else None
         for i in range(0, len(places), SEARCHED):
@@ -199,6 +207,50 @@ def search(rows: DataFrame, width: int, k: int) -> DataFrame:
     return rows.mapInArrow(kernel, "query_id long, row long, score long, vec_id long")
 
 
+def dealt(rows: DataFrame, n: int, shards: int, width: int) -> DataFrame:
+    """rows (vec_id, v) with shard, a whole number from 0, written."""
+    share = min(1.0, SAMPLE / max(1, n))
+    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)) if share < 1 else rows
+    sample = stack(some.select("v").toArrow().column("v").combine_chunks(), width)  # SAMPLE rows, about
+    cuts = fit(sample, max(FEW, len(sample) / shards)) if shards > 1 else {}
+    known = rows.sparkSession.sparkContext.broadcast(cuts)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = np.concatenate([route(known.value, stack(b.column("v").slice(i, BLOCK), width)) for i in range(0, b.num_rows, BLOCK)] or [np.zeros(0, dtype=np.int64)])
+            yield pa.record_batch([pa.array(leaf), b.column("vec_id"), b.column("v")], names=["leaf", "vec_id", "v"])
+
+    routed = materialize(rows.select("vec_id", "v").mapInArrow(kernel, "leaf long, vec_id long, v array<long>"), "topk-leaves")
+    at, table = 0, []
+    for r in routed.groupBy("leaf").count().orderBy("leaf").collect():  # 2 * SAMPLE / FEW rows at most
+        parts = -(-r["count"] // (2 * SHARD))
+        table.append((r["leaf"], at, parts))
+        at += parts
+    leaves = F.broadcast(rows.sparkSession.createDataFrame(table, "leaf long, first int, parts int"))
+    return routed.join(leaves, "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("shard"), "vec_id", "v")
+
+
+def reached(own: DataFrame, boxes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """The queries of own_answers(), for each other shard that may reach their kth score: shard, query_id, v, its kth score and row."""
+    known = own.sparkSession.sparkContext.broadcast(boxes)
+    width = boxes[1].shape[1]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, low, high = known.value
+        for b in batches:
+            for i in range(0, b.num_rows, SEARCHED):
+                part = b.slice(i, SEARCHED)
+                q = stack(part.column("v"), width)
+                bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                kth = part.column("vec_id")
+                may = kth.is_null().to_numpy(zero_copy_only=False)[:, None] | (bounds >= kth.fill_null(0).to_numpy()[:, None])
+                row, to = np.nonzero(may & (shard[None] != part.column("home").to_numpy()[:, None]))
+                taken = part.take(pa.array(row))
+                yield pa.record_batch([pa.array(shard[to], pa.int32()), *(taken.column(c) for c in ("query_id", "v", "vec_id", "row"))], names=["shard", "query_id", "v", "kth", "row"])
+
+    return own.mapInArrow(kernel, "shard int, query_id long, v array<long>, kth long, row long")
+
+
 def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 1024, by_row: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score for the queries, rows whose vec_id is divisible by `every`.
 
@@ -209,14 +261,18 @@ def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 102
     cores = rows.sparkSession.sparkContext.defaultParallelism
     shards, width = max(1, -(-size["n"] // SHARD), min(cores, size["n"] // LEAST_SHARD)), size["width"] or 0
     none = [F.lit(None).cast("long").alias(c) for c in ("least", "row")]
-    sharded = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v", *none)
+    sharded = materialize(dealt(rows, size["n"], shards, width), "topk-shards").select("shard", F.lit(False).alias("asks"), "vec_id", "v", *none)
+    shards = (sharded.agg(F.max("shard")).first()[0] or 0) + 1
     # A shard for each partition, however small the tables are; a cluster's adaptive plan would put many in one task.
     deal = lambda df, *then: df.repartitionByRange(shards, "shard").sortWithinPartitions("shard", *then)
     own = materialize(own_answers(deal(sharded), width, k, every), "topk-own")
     found = own.where("v IS NULL").select("query_id", "row", "score", "vec_id")
     if shards > 1:
-        others = F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), F.col("home"))
-        asked = own.where("v IS NOT NULL").select(F.explode(others).alias("shard"), F.lit(True).alias("asks"), F.col("query_id").alias("vec_id"), "v", F.col("vec_id").alias("least"), "row")
+        ends = own.where("query_id IS NULL").select("home", "v").toArrow()  # a row a shard
+        both = stack(ends.column("v").combine_chunks(), 2 * width)
+        boxes = ends.column("home").to_numpy(), both[:, :width], both[:, width:]
+        asked = materialize(reached(own.where("query_id IS NOT NULL AND v IS NOT NULL"), boxes), "topk-asked")
+        asked = asked.select("shard", F.lit(True).alias("asks"), F.col("query_id").alias("vec_id"), "v", F.col("kth").alias("least"), "row")
         found = found.unionByName(search(deal(sharded.unionByName(asked), "asks"), width, k))
     of = ["query_id", "row"] if by_row else ["query_id"]
     in_order = Window.partitionBy(*of).orderBy(F.desc("score"), "vec_id")

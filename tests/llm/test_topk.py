@@ -55,9 +55,11 @@ def test_queries_stay_in_tables(spark, monkeypatch):
     got, collect = [], type(df).collect
     with monkeypatch.context() as m:
         m.setattr(type(df), "collect", lambda self: got.append(rows := collect(self)) or rows)
-        m.setattr(type(spark.sparkContext), "broadcast", lambda self, x: pytest.fail("queries were broadcast"))
+        broadcast = type(spark.sparkContext).broadcast
+        shards = lambda x: isinstance(x, dict) or isinstance(x, tuple) and len(x[1]) < 60  # noqa: E731  the cuts or the boxes of shards
+        m.setattr(type(spark.sparkContext), "broadcast", lambda self, x: broadcast(self, x) if shards(x) else pytest.fail("queries were broadcast"))
         found = topk.top_k(df, every=3)
-    assert sum(map(len, got)) <= 1 and found.count() == 20 * 10
+    assert max(map(len, got)) <= topk.SAMPLE // topk.FEW * 2 and found.count() == 20 * 10
 
 
 def test_few_and_none(spark):
@@ -98,3 +100,30 @@ def test_shards_for_idle_cores(spark, monkeypatch):
     rows = [(i, [math.sin(i), math.cos(3 * i), float(i % 5)]) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     assert sorted(map(tuple, topk.top_k(df, every=10).collect())) == expected(rows, every=10)
+
+
+def test_clustered_vectors_ask_few_shards(spark, monkeypatch):
+    """Shards cut by a tree: queries go to those alone whose box may reach their kth score."""
+    import numpy as np
+
+    for name, value in (("SHARD", 100), ("LEAST_SHARD", 100), ("LEAF", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((16, 8)) * 4
+    rows = [(i, [float(x) for x in centres[i % 16] + 0.05 * rng.standard_normal(8)]) for i in range(1600)]
+    asked, reached = [], topk.reached
+    monkeypatch.setattr(topk, "reached", lambda own, boxes: (asked.append((own.count(), len(boxes[0]), (found := reached(own, boxes)).count())), found)[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df, every=10).collect())) == expected(rows, every=10)
+    queries, shards, sent = asked[0]
+    print("queries", queries, "shards", shards, "sent", sent, "of", queries * (shards - 1))
+    assert queries == 160 and shards >= 16 and sent < queries * (shards - 1) / 4
+
+
+def test_a_crowd_of_equal_vectors_is_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 50)
+    rows = [(i, [1.0, 2.0]) for i in range(700)] + [(1000 + i, [0.1 * i, -1.0]) for i in range(30)]
+    parts, own = [], topk.own_answers
+    monkeypatch.setattr(topk, "own_answers", lambda sharded, *a: (parts.append(sharded.groupBy("shard").count().agg({"count": "max"}).first()[0]), own(sharded, *a))[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == expected(rows) and parts[0] <= 150
