@@ -1,10 +1,14 @@
+import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from brickfield.functions.scratch import scratch_dir
 from brickfield.llm import decontam, quality, simhash
 from brickfield.llm.common import materialize
 from brickfield.llm.queries import table, vocabulary
@@ -36,6 +40,12 @@ def test_stages_take_effect(spark):
     assert sum(r["n_tokens"] for r in out) == max(r["start"] + r["n_tokens"] for r in out)
 
 
+def stage_folders(spark):
+    """The folders of documents that stages have left."""
+    names = os.listdir(scratch_dir(spark).removeprefix("file://"))
+    return sorted(n for n in names if any(n.startswith(f"corpus-{stage}-") for stage, _ in corpus_pipeline.STAGES[:-1]))
+
+
 def one_machine(tables, tokenizer):
     """The rows of the whole pipeline by plain loops, each stage on what the one before it kept."""
     docs = [(i, t, s) for i, t, s in tables["documents"]]
@@ -45,7 +55,7 @@ def one_machine(tables, tokenizer):
     group = plain_components(list(range(len(docs))), prints)
     least = {}
     for k, g in enumerate(group):
-        least[g] = min(least.get(g, k), k, key=lambda j: docs[j][0])
+        least[g] = min(least.get(g, k), k, key=lambda j: (docs[j][0], docs[j][2]))
     docs = [docs[k] for k in sorted(least.values())]
     windows = set()
     for _, text in tables["benchmark"]:
@@ -68,9 +78,19 @@ def one_machine(tables, tokenizer):
     return rows
 
 
-def test_whole_pipeline_on_one_machine(spark):
+@pytest.mark.parametrize("repeated", [False, True])
+def test_whole_pipeline_on_one_machine(spark, tmp_path, repeated):
+    """Also with rows that stand twice, some of them from two sources."""
     from tokenizers import Tokenizer
 
+    SF = str(tmp_path) if repeated else "/root/testdata/sf0.001"
+    if repeated:
+        for n in ("documents", "labels", "benchmark"):
+            rows = table(spark, "/root/testdata/sf0.001", n)
+            if n == "documents":
+                rows = rows.unionByName(rows.where("doc_id % 7 = 0")).unionByName(rows.where("doc_id % 11 = 0").withColumn("source", F.concat(F.lit("a"), "source")))
+            rows.write.parquet(f"{SF}/{n}.parquet")
+
     tokenizer = Tokenizer.from_file(vocabulary())
     columns = {"documents": ("doc_id", "text", "source"), "labels": ("doc_id", "quality"), "benchmark": ("item_id", "text")}
     tables = {n: [tuple(r) for r in table(spark, SF, n).select(*c).collect()] for n, c in columns.items()}
@@ -78,7 +98,9 @@ def test_whole_pipeline_on_one_machine(spark):
     for i, text in one_machine(tables, tokenizer):
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
         want[(i, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))] += 1
+    left = stage_folders(spark)
     got = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r["start"])
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want and len(got) > 100
+    assert stage_folders(spark) == left  # no stage's documents stay
     assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
     assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
