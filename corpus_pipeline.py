@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from brickfield.functions.scratch import remove
 from brickfield.llm import decontam, mixing, quality, simhash, tokens
-from brickfield.llm.common import materialize, new_path
+from brickfield.llm.common import new_path
 from brickfield.llm.queries import table, vocabulary
 
 
@@ -42,7 +43,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's documents go as soon as the next stage has written its own."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"corpus-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept, path = stage(spark, docs, sf_dir), new_path(spark, f"corpus-{name}")
+        kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if held:
+            remove(spark, held)
+        held = path
+    digest = STAGES[-1][1](spark, docs, sf_dir)  # its files are written by now, and are all that it reads
+    remove(spark, held)
+    return digest
