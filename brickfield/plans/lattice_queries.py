@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from brickfield.functions.cells import AXES
 from brickfield.functions.draws import uniform, uniform_sql
 from brickfield.functions.scratch import new_path
+from brickfield.functions import model as M
 from brickfield.operators import blocks as B, deform as D, volumes as U, voxels as V
 from brickfield.plans.fixtures import PTS, points, table
 from brickfield.sources import chunked as C
@@ -187,3 +188,22 @@ def volume_distance_gradients(spark: SparkSession, d: str) -> DataFrame:
     far = U.boundary_distance(labels, EXTENT)
     made = B.whole_volume(far, BLOCK, (1, 1, 1), lambda v, g: {f"d{a}": B.gradient(v, g, i) for i, a in enumerate(AXES)}, "distance")
     return made.select("batch_id", *AXES, *[(F.round(f"d{a}", 5) + F.lit(0.0)).alias(f"d{a}") for a in AXES])
+
+
+def trained_sql(steps: int, rate: float) -> str:
+    """CTE w: the weights after so many full-batch steps of least squares from embeddings to their labels."""
+    made = [f""", data AS MATERIALIZED (SELECT vec_id, list_concat(list_transform(embedding, lambda e: e::DOUBLE), [1.0::DOUBLE]) AS x, label::DOUBLE AS y FROM embeddings),
+w0 AS (SELECT list_transform(range(65), lambda i: 0.0::DOUBLE) AS w)"""]
+    for k in range(steps):
+        made.append(f""", g{k} AS (SELECT i, sum(miss * x) / count(*) AS g FROM (SELECT list_dot_product(x, w) - y AS miss, unnest(x) AS x, unnest(range(65)) AS i FROM data, w{k}) GROUP BY i),
+w{k + 1} AS MATERIALIZED (SELECT list(w[i + 1] - {rate}::DOUBLE * g ORDER BY i) AS w FROM g{k}, w{k})""")
+    return "".join(made)
+
+
+@query(VOL + trained_sql(4, 0.25) + " SELECT vec_id AS batch_id, round(list_dot_product(x, w), 6) + 0.0 AS prediction FROM data, w4")
+def model_predicted(spark: SparkSession, d: str) -> DataFrame:
+    """A model trained on all vectors and their labels in four full-batch steps, and its predictions."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("batch_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
+    linear = M.Linear(64)
+    M.train(rows, linear, 4, 0.25)
+    return M.predict(rows, linear, 64).select("batch_id", (F.round("prediction", 6) + F.lit(0.0)).alias("prediction"))
