@@ -301,18 +301,31 @@ def vector_map_split(sources: DataFrame, partners: DataFrame, targets: DataFrame
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = np.array(size, dtype=float)
         for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                cells = np.array([[c["z"], c["y"], c["x"]] for c in r["cells"]], dtype=np.int64).reshape(-1, 3)
-                goals = sorted(((float(((np.array(p["t"]) - r["loc"]) ** 2).sum()), p["target"], p["t"]) for p in r["partners"]), reverse=True)
-                share, free = len(cells) // len(goals), np.ones(len(cells), dtype=bool)
-                for k, (_, target, t) in enumerate(goals if share else []):
-                    far = ((cells * scale - t) ** 2).sum(axis=1)
-                    order = np.flatnonzero(free)[np.argsort(far[free], kind="stable")]
-                    taken = order if k == len(goals) - 1 else order[:share]
-                    free[taken] = False
-                    out += [(*cells[i].tolist(), r["source"], target) for i in taken]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=["z", "y", "x", "source", "target"])
+            column, goals = b.column("cells"), b.column("partners")
+            cells = np.stack([column.flatten().field(a).to_numpy() for a in "zyx"], axis=1)
+            row = np.repeat(np.arange(b.num_rows), np.diff(column.offsets.to_numpy()))
+            at = np.array(b.column("loc").to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            # Partners by source, the farthest first.
+            of, flat = np.repeat(np.arange(b.num_rows), np.diff(goals.offsets.to_numpy())), goals.flatten()
+            target, t = flat.field("target").to_numpy(), np.array(flat.field("t").to_pylist(), dtype=float).reshape(len(of), -1)
+            order = np.lexsort((-target, -((t - at[of]) ** 2).sum(axis=1), of))
+            of, target, t = of[order], target[order], t[order]
+            first, n = np.searchsorted(of, np.arange(b.num_rows)), np.bincount(of, minlength=b.num_rows)
+            share = np.bincount(row, minlength=b.num_rows) // np.maximum(n, 1)
+            free, chosen, done = np.flatnonzero(share[row] > 0), np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=bool)
+            for k in range(int(n.max(initial=0))):
+                free = free[n[row[free]] > k]
+                goal = first[row[free]] + k
+                far = ((cells[free] * scale - t[goal]) ** 2).sum(axis=1)
+                order = np.lexsort((free, far, row[free]))  # cells stand in the order of their places
+                near, own = free[order], row[free[order]]
+                place = np.arange(len(near)) - np.searchsorted(own, own)
+                taken = (place < share[own]) | (k == n[own] - 1)
+                chosen[near[taken]], done[near[taken]] = target[goal[order][taken]], True
+                free = np.sort(near[~taken])
+            some = np.flatnonzero(done)
+            source = b.column("source").to_numpy()[row[some]]
+            yield pa.record_batch([pa.array(x) for x in (*cells[some].T, source, chosen[some])], names=["z", "y", "x", "source", "target"])
 
     taken = rows.mapInArrow(shares, "z long, y long, x long, source long, target long")
     stands = taken.groupBy("z", "y", "x").agg(F.max_by("target", "source").alias("target"))

@@ -4,8 +4,8 @@ Points at one place are one place, however many they are. A k-d tree is fitted o
 its leaves hold about CELL of them, and every place is dealt to its leaf. The leaves' tight boxes, a bounded table, tell
 each query which leaves it has to ask: those whose box its ball touches, or that lie nearer than its kth neighbour so far.
 A leaf that lies wholly within the radius is counted without being asked. A leaf's queries are dealt to parts of about
-ASKED, each beside the leaf's places, so neither a dense spot nor a leaf that many ask is one task's. Leaves that outgrow
-the sample are cut further by the same splits within their task.
+ASKED, each beside the leaf's places, so neither a dense spot nor a leaf that many ask is one task's. Within its task a
+leaf is cut further, into cells of INNER, by the same splits.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from brickfield.functions.scratch import written
 
-#: Places that a leaf is meant to have, places of the sample, about, and those of it that a leaf has at least.
-CELL, SAMPLE, FEW = 512, 1 << 16, 16
+#: Places that a leaf is meant to have, those of a cell within it, places of the sample, about, and those of it that a leaf has at least.
+CELL, INNER, SAMPLE, FEW = 512, 64, 1 << 16, 16
 #: Queries that a part of a leaf answers, about, and distances computed at once.
 ASKED, PAIRS = 1 << 13, 1 << 20
 
@@ -77,10 +77,10 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Leaf:
-    """Points of a leaf in cells of CELL at most: coordinates, and the ids or weights of each."""
+    """Points of a leaf in cells of INNER at most: coordinates, and the ids or weights of each."""
 
     def __init__(self, points: np.ndarray, numbers: np.ndarray):
-        own = route(fit(points, CELL), points)
+        own = route(fit(points, INNER), points)
         order = np.lexsort((numbers, own))
         self.points, self.numbers = points[order], numbers[order]
         starts = np.flatnonzero(np.diff(own[order], prepend=-1))
@@ -88,7 +88,7 @@ class Leaf:
         self.low, self.high = np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts)
 
     def chunks(self, n: int) -> Iterator[slice]:
-        step = max(1, PAIRS // max(CELL, len(self.rows)))
+        step = max(1, PAIRS // max(INNER, len(self.rows)))
         return (slice(i, i + step) for i in range(0, n, step))
 
     def count(self, queries: np.ndarray, radius: float) -> np.ndarray:

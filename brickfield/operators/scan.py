@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brickfield.functions.cells import AXES
 from brickfield.functions.geometry import Box
+from brickfield.functions.scratch import written
 from brickfield.operators import graphs as G
 from brickfield.operators.joins import points_in_boxes
 
@@ -65,11 +66,11 @@ def graph_of_tiles(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, bucket:
     """
     keys = list(keys)
     at = nodes.select("id", "loc", *[F.col("loc")[i].alias(a) for i, a in enumerate(AXES)])
-    within = points_in_boxes(at, boxes, AXES, bucket).select(*keys, "id", "loc")
+    within = written(points_in_boxes(at, boxes, AXES, bucket).select(*keys, "id", "loc"), "tile-nodes")
     ends = []
     for end in "uv":
         ends.append(edges.select("u", "v").join(within.select(*keys, F.col("id").alias(end)), end).select(*keys, "u", "v", *[F.lit(int(o == end)).alias(f"_{o}") for o in "uv"]))
-    served = ends[0].unionByName(ends[1]).groupBy(*keys, "u", "v").agg(F.max("_u").alias("_u"), F.max("_v").alias("_v"))
+    served = written(ends[0].unionByName(ends[1]).groupBy(*keys, "u", "v").agg(F.max("_u").alias("_u"), F.max("_v").alias("_v")), "tile-edges")
     crossing = G.with_ends(nodes, served.where("_u <> _v").select("u", "v").distinct()).join(served.where("_u <> _v"), ["u", "v"]).join(boxes.select(*keys, *[f"{p}_{a}" for p in "be" for a in AXES]), keys)
     begin, end = ([F.col(f"{p}_{a}").cast("double") for a in AXES] for p in "be")
     crossing = crossing.withColumn("loc", F.when(F.col("_u") == 1, G.leaving(F.col("u_loc"), F.col("v_loc"), begin, end)).otherwise(G.leaving(F.col("v_loc"), F.col("u_loc"), begin, end)))
