@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from brickfield.functions.scratch import written
 
 #: Places that a leaf is meant to have, those of a cell within it, places of the sample, about, and those of it that a leaf has at least.
-CELL, INNER, SAMPLE, FEW = 512, 64, 1 << 16, 16
+CELL, INNER, SAMPLE, FEW = 512, 128, 1 << 16, 16
 #: Queries that a part of a leaf answers, about, and distances computed at once.
 ASKED, PAIRS = 1 << 13, 1 << 20
 

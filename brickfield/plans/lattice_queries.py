@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickfield.functions.cells import AXES
 from brickfield.functions.draws import uniform, uniform_sql
-from brickfield.functions.scratch import new_path
+from brickfield.functions.scratch import new_path, written
 from brickfield.functions import model as M
 from brickfield.operators import blocks as B, deform as D, volumes as U, voxels as V
 from brickfield.plans.fixtures import PTS, points, table
@@ -110,7 +110,7 @@ def volume_field(spark: SparkSession, d: str) -> DataFrame:
     channels = F.posexplode(F.array(*[f"s_{a}" for a in AXES])).alias("c", "value")
     C.write_chunked(field.select("batch_id", *AXES, channels), path, about)
     read = C.read_chunked(spark, path).groupBy("batch_id", *AXES).agg(*[F.max(F.when(F.col("c") == k, F.col("value"))).alias(f"s_{a}") for k, a in enumerate(AXES)])
-    read = read.join(own.select("batch_id"), "batch_id", "left_semi")
+    read = written(read.join(own.select("batch_id"), "batch_id", "left_semi"), "field-read")
     image = U.from_source(volumes(spark, d), EXTENT, BLOCK, read)
     return tidy(image.join(read, ["batch_id", *AXES]), "s_z", "s_y", "s_x", "value")
 
