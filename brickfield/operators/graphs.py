@@ -74,14 +74,15 @@ def trim(nodes: DataFrame, edges: DataFrame, box: Box) -> tuple[DataFrame, DataF
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with `number`, from 0 in the given order; only the partitions' sizes reach the driver."""
+    p, i, first = "_numbered_part", "_numbered_place", "_numbered_first"  # no name of the caller's
     part = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    part = written(part.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    part = written(part.withColumn(p, F.spark_partition_id()).withColumn(i, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
     at, starts = 0, []
-    for r in part.groupBy("_p").count().orderBy("_p").collect():
-        starts.append((r["_p"], at))
+    for r in part.groupBy(p).count().orderBy(p).collect():
+        starts.append((r[p], at))
         at += r["count"]
-    starts = rows.sparkSession.createDataFrame(starts, "_p int, _start long")  # a row for each partition
-    return part.join(F.broadcast(starts), "_p").withColumn("number", (F.col("_start") + F.col("_i")).cast("long")).drop("_p", "_i", "_start")
+    starts = rows.sparkSession.createDataFrame(starts, f"{p} int, {first} long")  # a row for each partition
+    return part.join(F.broadcast(starts), p).withColumn("number", (F.col(first) + F.col(i)).cast("long")).drop(p, i, first)
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
