@@ -208,6 +208,11 @@ def voxel_of(loc: Column, size: Sequence[float]) -> list[Column]:
     return [F.floor(loc[i] / s).cast("long") for i, s in enumerate(size)]
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, each of which is about to become many, over all the partitions of a shuffle; adaptive execution would merge them by what they are now."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rasterize(nodes: DataFrame, radius: float, size: Sequence[float] = (1, 1, 1), box: Box | None = None, hollow: float | None = None, color: str | None = None) -> DataFrame:
     """Voxels (z, y, x, value) within radius of a node, once each; value is 1 or the largest `color` of those nodes.
 
@@ -216,15 +221,16 @@ def rasterize(nodes: DataFrame, radius: float, size: Sequence[float] = (1, 1, 1)
     offsets = ball(radius, size, least=0.0 if hollow is None else radius * hollow)
     table = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("zyx", o)]) for o in offsets])
     at = voxel_of(F.col("loc"), size)
-    rows = nodes.select(*[c.alias(f"_{a}") for c, a in zip(at, "zyx")], (F.col(color) if color else F.lit(1)).alias("value"), F.explode(table).alias("o"))
-    rows = rows.select(*[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"], "value")
+    own = nodes.select(*[c.alias(f"_{a}") for c, a in zip(at, "zyx")], (F.col(color) if color else F.lit(1)).alias("value"))
+    own = own.groupBy("_z", "_y", "_x").agg(F.max("value").alias("value"))  # one ball for the nodes of a voxel
+    rows = dealt(own).withColumn("o", F.explode(table)).select(*[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"], "value")
     rows = rows.where(box.holds(F.col("z"), F.col("y"), F.col("x"))) if box else rows
     return rows.groupBy("z", "y", "x").agg(F.max("value").alias("value"))
 
 
 def along_edges(nodes: DataFrame, edges: DataFrame, size: Sequence[float] = (1, 1, 1)) -> DataFrame:
     """loc of points along edges, a voxel apart on the axis of most voxels."""
-    ends = with_ends(nodes, edges)
+    ends = dealt(with_ends(nodes, edges))
     span = F.greatest(*[F.abs(b - a) for a, b in zip(voxel_of(F.col("u_loc"), size), voxel_of(F.col("v_loc"), size))]).cast("int")
     rows = ends.withColumn("n", F.greatest(span, F.lit(1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
     part = F.col("i") / F.col("n")
@@ -235,7 +241,7 @@ def rasterize_in_labels(nodes: DataFrame, labels: DataFrame, radius: float, size
     """As rasterize(), but a node's voxels are only those of its own label; labels: z, y, x, label."""
     at = [c.alias(a) for c, a in zip(voxel_of(F.col("loc"), size), "zyx")]
     own = nodes.select("id", "loc", *at).join(labels, ["z", "y", "x"]).select("id", "loc", F.col("label").alias("own"))
-    spread = own.select("own", *[c.alias(f"_{a}") for c, a in zip(voxel_of(F.col("loc"), size), "zyx")])
+    spread = dealt(own.select("own", *[c.alias(f"_{a}") for c, a in zip(voxel_of(F.col("loc"), size), "zyx")]).distinct())
     table = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("zyx", o)]) for o in ball(radius, size)])
     rows = spread.withColumn("o", F.explode(table)).select("own", *[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"]).distinct()
     return rows.join(labels, ["z", "y", "x"]).where("own = label").select("z", "y", "x", F.col("label").alias("value")).distinct()
@@ -245,8 +251,8 @@ def rasterize_peak(nodes: DataFrame, sigma: float, size: Sequence[float] = (1, 1
     """A Gaussian around every node, summed and divided by the largest value."""
     offsets = ball(2 * sigma, size)
     table = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("zyx", o)], F.lit(math.exp(-sum((c * s / sigma) ** 2 for c, s in zip(o, size)) / 2)).alias("w")) for o in offsets])
-    rows = nodes.select(*[c.alias(f"_{a}") for c, a in zip(voxel_of(F.col("loc"), size), "zyx")], F.explode(table).alias("o"))
-    rows = rows.select(*[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"], F.col("o.w").alias("w"))
+    own = nodes.select(*[c.alias(f"_{a}") for c, a in zip(voxel_of(F.col("loc"), size), "zyx")]).groupBy("_z", "_y", "_x").agg(F.count("*").alias("n"))
+    rows = dealt(own).withColumn("o", F.explode(table)).select(*[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"], (F.col("o.w") * F.col("n")).alias("w"))
     rows = rows.where(box.holds(F.col("z"), F.col("y"), F.col("x"))) if box else rows
     sums = written(rows.groupBy("z", "y", "x").agg(F.sum("w").alias("value")), "peak")
     return sums.crossJoin(F.broadcast(sums.agg(F.max("value").alias("top")))).withColumn("value", F.col("value") / F.col("top")).drop("top")
@@ -266,7 +272,7 @@ def vector_map(sources: DataFrame, partners: DataFrame, targets: DataFrame, radi
     if labels is not None:
         at = labels.select(*[F.col(a).alias(f"_{a}") for a in "zyx"], F.col("label").alias("_own"))
         rows = rows.join(at, ["_z", "_y", "_x"])
-    rows = rows.withColumn("o", F.explode(table)).select("*", *[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"])
+    rows = dealt(rows).withColumn("o", F.explode(table)).select("*", *[(F.col(f"_{a}") + F.col(f"o.{a}")).alias(a) for a in "zyx"])
     if labels is not None:
         rows = rows.join(labels, ["z", "y", "x"]).where("label = _own")
     far = sum((F.col("t")[i] - F.col(a) * s) ** 2 for i, (a, s) in enumerate(zip("zyx", size)))
@@ -288,7 +294,7 @@ def vector_map_split(sources: DataFrame, partners: DataFrame, targets: DataFrame
     pairs = partners.toDF("source", "target").join(targets.select(F.col("id").alias("target"), F.col("loc").alias("t")), "target").distinct()
     few = pairs.groupBy("source").count().where(F.col("count") <= len(around)).select("source")
     each = pairs.join(few, "source", "left_semi").groupBy("source").agg(F.collect_list(F.struct("target", "t")).alias("partners"))
-    rows = sources.select(F.col("id").alias("source"), "loc", *own).join(each, "source")
+    rows = dealt(sources.select(F.col("id").alias("source"), "loc", *own).join(each, "source"))
     table = F.array(*[F.struct(*[F.lit(int(d)).alias(a) for a, d in zip("zyx", o)]) for o in around.tolist()])
     if labels is None:
         rows = rows.withColumn("cells", F.transform(table, lambda o: F.struct(*[(F.col(a) + o[a]).alias(a) for a in "zyx"])))
@@ -346,7 +352,8 @@ def blobs(nodes: DataFrame, labels: DataFrame, radius: float, box: Box, size: Se
     inner = box.grow([-r for r in reach], [-r for r in reach])
     at = voxel_of(F.col("loc"), size)
     rows = nodes.select("id", *[c.alias(a) for c, a in zip(at, "zyx")]).where(inner.holds(F.col("z"), F.col("y"), F.col("x")))
-    own = rows.join(labels, ["z", "y", "x"]).withColumnRenamed("label", "own")
+    rows = rows.groupBy("z", "y", "x").agg(F.max("id").alias("id"))  # the others of a voxel have the same ball
+    own = dealt(rows.join(labels, ["z", "y", "x"]).withColumnRenamed("label", "own"))
     table = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("zyx", o)]) for o in ball(radius, size)])
     spread = own.withColumn("o", F.explode(table)).select("id", "own", *[(F.col(a) + F.col(f"o.{a}")).alias(a) for a in "zyx"])
     return spread.join(labels, ["z", "y", "x"]).where("own = label").groupBy("z", "y", "x").agg(F.max("id").alias("value"))

@@ -204,3 +204,32 @@ def test_some_boxes_hold_a_point(spark):
     near = [r for r in rows if r["id"] is not None]
     assert len(rows) == 500 and 100 < len(near) < 200 and len({r["b_z"] for r in rows if r["id"] is None}) > 60
     assert all(r["b_z"] <= {1: 4.5, 2: 80.0}[r["id"]] < r["b_z"] + 4 for r in near)
+
+
+def test_nodes_of_one_voxel_have_one_ball_and_grow_over_all_tasks(spark):
+    """A third of all nodes lie in one voxel; what grows is dealt to every task first, and the hot voxel counts once."""
+    at = [(5.0, 5.0, 5.0)] * 100 + [(float(i % 7), float(i % 11), float(i % 13)) for i in range(200)]
+    nodes = spark.createDataFrame([(i, list(p)) for i, p in enumerate(at)], "id long, loc array<double>").coalesce(1)
+    offsets = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if a * a + b * b + c * c <= 4]
+    around = lambda p: [tuple(int(x) + o for x, o in zip(p, d)) for d in offsets]
+    largest, sums = {}, {}
+    for i, p in enumerate(at):
+        for d, cell in zip(offsets, around(p)):
+            largest[cell] = max(largest.get(cell, -1), i)
+            sums[cell] = sums.get(cell, 0.0) + math.exp(-sum(x * x for x in d) / 2)
+    assert {(r.z, r.y, r.x): r.value for r in G.rasterize(nodes, 2.0, color="id").collect()} == largest
+    top = max(sums.values())
+    peak = {(r.z, r.y, r.x): r.value for r in G.rasterize_peak(nodes, 1.0).collect()}
+    assert peak.keys() == sums.keys() and all(abs(peak[c] - v / top) < 1e-9 for c, v in sums.items())
+    inner = Box((2, 2, 2), (9, 9, 9))  # up to 11
+    own = {c: 1 + (sum(c) % 2) for c in largest}
+    labels = spark.createDataFrame([(*c, v) for c, v in own.items()], "z long, y long, x long, label long")
+    blob = {}
+    for i, p in enumerate(at):
+        if all(4 <= x < 9 for x in p):
+            for cell in around(p):
+                if own[cell] == own[tuple(map(int, p))]:
+                    blob[cell] = max(blob.get(cell, -1), i)
+    assert {(r.z, r.y, r.x): r.value for r in G.blobs(nodes, labels, 2.0, inner).collect()} == blob
+    tasks = G.dealt(nodes).select(F.spark_partition_id()).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
