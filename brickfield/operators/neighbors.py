@@ -173,12 +173,52 @@ class Boxes:
         self.leaf, self.n = found.column("leaf").to_numpy(), found.column("n").to_numpy()
         self.low, self.high = (np.stack([found.column(f"{e}_{a}").to_numpy() for a in axes], axis=1).reshape(-1, len(axes)) for e in ("low", "high"))
 
-    def chunks(self, n: int) -> Iterator[slice]:
-        step = max(1, PAIRS // max(1, len(self.leaf)))
-        return (slice(i, i + step) for i in range(0, n, step))
-
-
-def asked(data: DataFrame, visits: DataFrame, axes: Sequence[str], number: str, answer: Callable[[Leaf, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+        # The boxes of the splits above the leaves, from their own; children of i are 2 i and 2 i + 1.
+        self.nodes: dict[int, list] = {}
+        for leaf, n, low, high in zip(self.leaf.tolist(), self.n.tolist(), self.low, self.high):
+            node = leaf
+            while node:
+                if node not in self.nodes:
+                    self.nodes[node] = [n, low, high]
+                else:
+                    was = self.nodes[node]
+                    self.nodes[node] = [was[0] + n, np.minimum(was[1], low), np.maximum(was[2], high)]
+                node //= 2
+
+    def met(self, points: np.ndarray, reach: np.ndarray, whole: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of points the rows, and leaves, whose boxes lie within the squared distance `reach` of them.
+
+        With `whole`, boxes that lie wholly within it add what they hold to it and are left out.
+        """
+        found, n = [], 0
+        waiting = [(1, np.arange(len(points)))] if 1 in self.nodes else []
+        while waiting:
+            node, rows = waiting.pop()
+            holds, low, high = self.nodes[node]
+            near, far = between(points[rows], low[None], high[None])
+            near, far = near[:, 0], far[:, 0]
+            meets = near <= reach[rows]
+            if whole is not None:
+                inside = far <= reach[rows]
+                whole[rows[inside]] += holds
+                meets &= ~inside
+            rows = rows[meets]
+            if not len(rows):
+                continue
+            below = [c for c in (2 * node, 2 * node + 1) if c in self.nodes]
+            if below:
+                waiting += [(c, rows) for c in below]
+                continue
+            found.append((rows, np.full(len(rows), node, dtype=np.int64)))
+            n += len(rows)
+            if n >= PAIRS:
+                yield tuple(np.concatenate(x) for x in zip(*found))
+                found, n = [], 0
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def asked(data: DataFrame, visits: DataFrame, axes: Sequence[str], number: str, answer: Callable[[Leaf, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """answer(leaf, visits) for the visits (leaf, p, reach, axes) to each leaf of data (leaf, axes and a number), a written table each."""
     parts = visits.groupBy("leaf").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("part")
@@ -202,7 +242,7 @@ def asked(data: DataFrame, visits: DataFrame, axes: Sequence[str], number: str,
                     continue
                 if leaf is None:
                     leaf, held = Leaf(*(np.concatenate(x) for x in zip(*held))), []
-                yield answer(leaf, b.slice(i, j - i))
+                yield from answer(leaf, b.slice(i, j - i))
 
     both = cells.unionByName(asks).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "asks")
     return both.mapInArrow(kernel, schema)
@@ -216,25 +256,23 @@ def count_within(points: DataFrame, axes: Sequence[str], radius: float, key: str
     cuts = partition(spots, axes, CELL)
     data = written(dealt(spots, axes, cuts), "leaves")
     known = data.sparkSession.sparkContext.broadcast(Boxes(data, axes, "n"))
+    spot = ", ".join(f"`{a}` double" for a in axes)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boxes = known.value
         for b in batches:
-            at, p = places(b, axes), b.column("p").to_numpy()
-            for part in boxes.chunks(len(at)):
-                near, far = between(at[part], boxes.low, boxes.high)
-                whole = far <= radius * radius
-                i, j = np.nonzero((near <= radius * radius) & ~whole)
-                # A place's own row, of leaf 0, has what its wholly covered leaves hold.
-                leaf = np.concatenate([np.zeros(len(at[part]), dtype=np.int64), boxes.leaf[j]])
-                row = np.concatenate([np.arange(len(at[part])), i])
-                n = np.concatenate([whole @ boxes.n, np.zeros(len(j), dtype=np.int64)])
-                yield pa.record_batch([pa.array(x) for x in (leaf, p[part][row], n, np.zeros(len(row)), *at[part][row].T)], names=["leaf", "p", "n", "reach", *axes])
-
-    visits = written(data.mapInArrow(visit, "leaf long, p long, n long, reach double, " + ", ".join(f"`{a}` double" for a in axes)), "visits")
-
-    def answer(leaf: Leaf, b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch({"p": b.column("p"), "n": pa.array(leaf.count(places(b, axes), radius))})
+            at, p, whole = places(b, axes), b.column("p").to_numpy(), np.zeros(b.num_rows, dtype=np.int64)
+            row = lambda leaf, p, n, at: pa.record_batch([pa.array(x) for x in (leaf, p, n, np.zeros(len(p)), *at.T)], names=["leaf", "p", "n", "reach", *axes])
+            for i, leaf in known.value.met(at, np.full(len(at), float(radius) * float(radius)), whole):
+                yield row(leaf, p[i], np.zeros(len(i), dtype=np.int64), at[i])
+            # A place's own row, of leaf 0, has what its wholly covered leaves hold.
+            yield row(np.zeros(len(at), dtype=np.int64), p, whole, at)
+
+    # In the order of leaves, so that a batch's places lie together and meet few of them.
+    near = data.repartitionByRange("leaf").sortWithinPartitions("leaf")
+    visits = written(near.mapInArrow(visit, f"leaf long, p long, n long, reach double, {spot}"), "visits")
+
+    def answer(leaf: Leaf, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"p": b.column("p"), "n": pa.array(leaf.count(places(b, axes), radius))})
 
     some = asked(data, visits.where("leaf > 0"), axes, "n", answer, "p long, n long")
     counts = visits.where("leaf = 0").select("p", "n").unionByName(some).groupBy("p").agg(F.sum("n").alias("_within"))
@@ -242,8 +280,8 @@ def count_within(points: DataFrame, axes: Sequence[str], radius: float, key: str
     return rows.join(at, axes).select(key, F.col("_within").alias("n"))
 
 
-def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, key: str, other: str, own: bool = False) -> DataFrame:
-    """key, {other}_r, d2 and rank of the k nearest of right to each of left at any distance, ties to the smaller id; without right's row of the same id, unless `own`.
+def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, key: str, other: str, own: bool = False, radius: float = float("inf")) -> DataFrame:
+    """key, {other}_r, d2 and rank of the k nearest of right to each of left within radius, at any distance without one, ties to the smaller id; without right's row of the same id, unless `own`.
 
     Ids are whole numbers, those of right unique. Of points at one place only the k + 1 of the smallest ids can be among the
     nearest, so a crowded place is cut to them before it is shuffled.
@@ -255,32 +293,33 @@ def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, ke
     cuts = partition(some, axes, max(CELL, 2 * most))
     data = written(dealt(some, axes, cuts), "leaves")
     asks = coordinates(left, axes, key)
-    spots = asks.select(*axes).distinct().withColumn("p", F.monotonically_increasing_id()).withColumn("reach", F.lit(float("inf")))
+    spots = asks.select(*axes).distinct().withColumn("p", F.monotonically_increasing_id()).withColumn("reach", F.lit(float(radius) * float(radius)))
     spots = written(dealt(spots, axes, cuts), "queries")
-    schema = "p long, other long, d2 double"
-
-    def answer(leaf: Leaf, b: pa.RecordBatch) -> pa.RecordBatch:
-        d2, ids = leaf.nearest(places(b, axes), most, b.column("reach").to_numpy())
-        i, j = np.nonzero(np.isfinite(d2))
-        return pa.record_batch({"p": pa.array(b.column("p").to_numpy()[i]), "other": pa.array(ids[i, j]), "d2": pa.array(d2[i, j])})
-
-    first = written(asked(data, spots, axes, "p", answer, schema), "nearest")
-    bound = first.groupBy("p").agg(F.max("d2").alias("kth"), F.count("*").alias("n"))
-    reach = F.when(F.col("n") >= most, F.col("kth")).otherwise(F.lit(float("inf")))
-    bounded = spots.drop("reach").join(bound, "p", "left").withColumn("reach", F.coalesce(reach, F.lit(float("inf")))).drop("kth", "n")
+    spot = ", ".join(f"`{a}` double" for a in axes)
     known = data.sparkSession.sparkContext.broadcast(Boxes(data, axes, None))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boxes = known.value
-        for b in batches:
-            at, p, reach, home = places(b, axes), *(b.column(c).to_numpy() for c in ("p", "reach", "leaf"))
-            for part in boxes.chunks(len(at)):
-                near, _ = between(at[part], boxes.low, boxes.high)
-                i, j = np.nonzero((near <= reach[part][:, None]) & (boxes.leaf[None] != home[part][:, None]))
-                yield pa.record_batch([pa.array(x) for x in (boxes.leaf[j], p[part][i], reach[part][i], *at[part][i].T)], names=["leaf", "p", "reach", *axes])
-
-    visits = written(bounded.mapInArrow(visit, "leaf long, p long, reach double, " + ", ".join(f"`{a}` double" for a in axes)), "visits")
-    found = first.unionByName(asked(data, visits, axes, "p", answer, schema))
+    def answer(leaf: Leaf, b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        reach = b.column("reach").to_numpy()
+        d2, ids = leaf.nearest(places(b, axes), most, reach)
+        i, j = np.nonzero(np.isfinite(d2))
+        none = np.zeros(len(i))
+        columns = [np.zeros(len(i), dtype=np.int64), b.column("p").to_numpy()[i], none, *[none] * len(axes), ids[i, j], d2[i, j]]
+        return pa.record_batch([pa.array(c) for c in columns], names=["leaf", "p", "reach", *axes, "other", "d2"]), np.minimum(d2[:, most - 1], reach)
+
+    def at_home(leaf: Leaf, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """What the own leaf has, of leaf 0, and the other leaves to ask."""
+        found, bound = answer(leaf, b)
+        yield found
+        at, p, home = places(b, axes), b.column("p").to_numpy(), b.column("leaf").to_numpy()
+        for i, leaves in known.value.met(at, bound):
+            apart = leaves != home[i]
+            i, leaves = i[apart], leaves[apart]
+            yield pa.record_batch([*map(pa.array, (leaves, p[i], bound[i], *at[i].T)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.float64())], names=["leaf", "p", "reach", *axes, "other", "d2"])
+
+    first = written(asked(data, spots, axes, "p", at_home, f"leaf long, p long, reach double, {spot}, other long, d2 double"), "nearest")
+    visits = first.where("leaf > 0").select("leaf", "p", "reach", *axes)
+    more = asked(data, visits, axes, "p", lambda leaf, b: iter([answer(leaf, b)[0].select(["p", "other", "d2"])]), "p long, other long, d2 double")
+    found = first.where("leaf = 0").select("p", "other", "d2").unionByName(more)
     ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("p").orderBy("d2", "other"))).where(F.col("_n") <= most)
     pairs = asks.join(spots.select("p", *axes), axes).join(ranked, "p")
     pairs = pairs if own else pairs.where(F.col(key) != F.col("other"))
