@@ -75,3 +75,16 @@ def test_nearest_within_a_radius(spark):
         near = sorted(((y - b) ** 2 + (x - c) ** 2, j) for j, b, c in rows if j != i and (y - b) ** 2 + (x - c) ** 2 <= 1)
         want += [(i, k + 1, j) for k, (_, j) in enumerate(near[:2])]
     assert sorted((r["id"], r["rank"], r["id_r"]) for r in N.k_nearest(p, p, ("y", "x"), 2, "id", "id", radius=1.0).collect()) == sorted(want)
+
+
+def test_draws_are_judged_where_they_are_drawn(spark):
+    """By a table joined to the requests, as by one joined to the draws; no draw is shuffled."""
+    from brickfield.functions.geometry import Box
+    from brickfield.operators import locate as L
+
+    requests = spark.range(300).selectExpr("id AS request", "id AS seed", "id % 3 AS volume")
+    rows = spark.createDataFrame([(v, b, (v + b) % 4 == 0) for v in range(3) for b in range(9)], "volume long, b_z long, good boolean")
+    by_draw = L.shift_until(requests, (2,), Box((0,), (9,)), (1,), lambda drawn: drawn.join(rows, ["volume", "b_z"]).where("good"), "z")
+    known = rows.groupBy("volume").agg(F.map_from_entries(F.collect_list(F.struct("b_z", "good"))).alias("good"))
+    found = L.shift_until(requests, (2,), Box((0,), (9,)), (1,), F.col("good")[F.col("b_z")], "z", known=(known, ["volume"]))
+    assert sorted(map(tuple, found.select("request", "attempt", "b_z").collect())) == sorted(map(tuple, by_draw.select("request", "attempt", "b_z").collect()))
