@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.functions.cells import AXES, Grid, gather, kind_of, stacked
+from brickfield.functions.cells import AXES, Grid, few, gather, kind_of, stacked
 from brickfield.functions.geometry import Box
 from brickfield.operators.blocks import between
 
@@ -81,7 +81,7 @@ def integral(voxels: DataFrame, extent: Sequence[int], block: Sequence[int], nam
     element = {"long": "bigint", "double": "double"}[kind]
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches, grid.size):
             sums = stacked(b.column(name), grid).cumsum(1).cumsum(2).cumsum(3)
             found = {n: lists(sums[(slice(None), *[-1 if k in s else slice(None) for k in range(3)])]) for n, s in sides.items()}
             yield pa.record_batch({k: b.column(k) for k in KEYS} | found)
@@ -97,7 +97,7 @@ def integral(voxels: DataFrame, extent: Sequence[int], block: Sequence[int], nam
     joined = summary.join(blocks, KEYS, "left")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches, grid.size):
             cells = b.column(name)
             sums = np.zeros((b.num_rows, *grid.shape), dtype=np.int64 if kind == "long" else float)
             there = np.flatnonzero(cells.is_valid().to_numpy(zero_copy_only=False))
@@ -188,7 +188,7 @@ def boundary_distance(labels: DataFrame, extent: Sequence[int], size: Sequence[f
 
     def along_x(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = 2 * np.arange(len(starts) * width)
-        for b in batches:
+        for b in few(batches, len(places)):
             column = b.column("fx")
             flat, cuts = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets.to_numpy()[0]
             far = np.empty((b.num_rows, len(places)))
@@ -229,7 +229,7 @@ def from_source(voxels: DataFrame, extent: Sequence[int], block: Sequence[int],
     batch_kind = voxels.schema["batch_id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches, grid.size):
             cells, data = b.column("cells"), b.column("_data")
             flat = cells.flatten()
             row = np.repeat(np.arange(b.num_rows), np.diff(cells.offsets.to_numpy()))
@@ -285,7 +285,7 @@ def resample(voxels: DataFrame, extent: Sequence[int], size: Sequence[int], targ
     blocks = gather(here.where(inside), grid, KEYS, name, 0.0)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches, grid.size):
             v = stacked(b.column(name), grid)
             for axis, (a, n, s, t, m, lowest) in enumerate(zip(AXES, extent, size, target, block, begin)):
                 number = b.column(f"b{a}").to_numpy().astype(np.int64)[:, None]

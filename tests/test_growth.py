@@ -88,3 +88,17 @@ def test_draws_are_judged_where_they_are_drawn(spark):
     known = rows.groupBy("volume").agg(F.map_from_entries(F.collect_list(F.struct("b_z", "good"))).alias("good"))
     found = L.shift_until(requests, (2,), Box((0,), (9,)), (1,), F.col("good")[F.col("b_z")], "z", known=(known, ["volume"]))
     assert sorted(map(tuple, found.select("request", "attempt", "b_z").collect())) == sorted(map(tuple, by_draw.select("request", "attempt", "b_z").collect()))
+
+
+def test_kernels_compute_few_blocks_at_once(spark):
+    """However many come in a batch; nulls stay where they are."""
+    from brickfield.functions import cells as C
+
+    grid, seen = C.Grid((8, 8, 8)), []
+    found = C.in_pieces(lambda a: (seen.append(len(a)), a)[1], grid.size)
+    rows = C.pa.array([None if i % 7 == 0 else [float(i)] * 3 for i in range(2000)])
+    assert found(rows).equals(rows) and max(seen) * grid.size <= C.AT_ONCE and sum(seen) == 2000
+    made = spark.range(2000, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.transform(F.sequence(F.lit(1), F.lit(512)), lambda i: i + F.col("id").cast("double"))).alias("a"))
+    most = made.select("id", C.kernel(lambda v: np.full_like(v, len(v)), grid, "double", F.col("a")).alias("n")).selectExpr("id", "n[0] AS n")
+    got = {r["id"]: r["n"] for r in most.collect()}
+    assert all((got[i] is None) == (i % 7 == 0) for i in range(2000)) and max(n for n in got.values() if n) * grid.size <= C.AT_ONCE
