@@ -41,18 +41,35 @@ def nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radi
     return within_radius(left, right, axes, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def overlap(boxes: DataFrame, others: DataFrame, axes: Sequence[str], bucket: Sequence[int]) -> DataFrame:
-    """Pairs of boxes that overlap; others' columns have suffix _o. A pair is kept in its first shared bucket alone."""
-    others = others.toDF(*[f"{c}_o" for c in others.columns])
+#: Candidate pairs of a part of a bucket, about.
+CANDIDATES = 1 << 24
 
-    def spread(df: DataFrame, a: str, n: int, end: str = "") -> DataFrame:
-        return df.withColumn(f"_k{a}", F.explode(F.sequence(F.floor(F.col(f"b_{a}{end}") / n), F.floor((F.col(f"e_{a}{end}") - 1) / n))))
 
-    test: Column = F.lit(True)
-    for a, n in zip(axes, bucket):
-        boxes, others = spread(boxes, a, n), spread(others, a, n, "_o")
-        first = F.greatest(F.floor(F.col(f"b_{a}") / n), F.floor(F.col(f"b_{a}_o") / n))
-        test &= (F.col(f"b_{a}") < F.col(f"e_{a}_o")) & (F.col(f"b_{a}_o") < F.col(f"e_{a}")) & (F.col(f"_k{a}") == first)
-    keys = [f"_k{a}" for a in axes]
-    return boxes.join(others, keys).where(test).drop(*keys)
+def overlap(boxes: DataFrame, others: DataFrame, axes: Sequence[str], bucket: Sequence[int]) -> DataFrame:
+    """Pairs of boxes that overlap; others' columns have suffix _o. A pair is kept in its first shared bucket alone.
 
+    A bucket's boxes are dealt to parts, each beside all of the bucket's others, so that all tasks make pairs however few
+    files or buckets the boxes come from. Pairs themselves are not shuffled.
+    """
+    others = others.toDF(*[f"{c}_o" for c in others.columns])
+    hashed = [f.name for f in boxes.schema.fields if "map<" not in f.dataType.simpleString()]
+    keys, row = [f"_k{a}" for a in axes], F.xxhash64(*hashed)
+
+    def spread(df: DataFrame, end: str = "") -> DataFrame:
+        """df in each of its buckets, and whether that is its first along an axis."""
+        for a, n in zip(axes, bucket):
+            first = F.floor(F.col(f"b_{a}{end}") / n)
+            df = df.withColumn(f"_k{a}", F.explode(F.sequence(first, F.floor((F.col(f"e_{a}{end}") - 1) / n)))).withColumn(f"_f{a}{end}", F.col(f"_k{a}") == first)
+        return df
+
+    boxes, others = spread(boxes), spread(others, "_o")
+    counts = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).join(others.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+    parts = counts.select(*keys, F.least("_n", F.ceil(F.col("_n") * F.col("_m") / CANDIDATES)).cast("int").alias("_parts"))
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = boxes.join(parts, keys).withColumn("_part", F.pmod(row, F.col("_parts")).cast("int")).drop("_parts")
+    right = others.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    left, right = (df.repartition(tasks, *keys, "_part") for df in (left, right))
+    test: Column = F.lit(True)
+    for a in axes:
+        test &= (F.col(f"_f{a}") | F.col(f"_f{a}_o")) & (F.col(f"b_{a}") < F.col(f"e_{a}_o")) & (F.col(f"b_{a}_o") < F.col(f"e_{a}"))
+    return left.join(right.hint("merge"), [*keys, "_part"]).where(test).drop(*keys, "_part", *[f"_f{a}{end}" for a in axes for end in ("", "_o")])

@@ -102,3 +102,26 @@ def test_kernels_compute_few_blocks_at_once(spark):
     most = made.select("id", C.kernel(lambda v: np.full_like(v, len(v)), grid, "double", F.col("a")).alias("n")).selectExpr("id", "n[0] AS n")
     got = {r["id"]: r["n"] for r in most.collect()}
     assert all((got[i] is None) == (i % 7 == 0) for i in range(2000)) and max(n for n in got.values() if n) * grid.size <= C.AT_ONCE
+
+
+def test_a_bucket_of_boxes_is_many_tasks_work(spark, monkeypatch):
+    """All pairs of overlapping boxes, once each, also of boxes that stand twice; one bucket's from one file are made by many tasks."""
+    from brickfield.operators import joins as J
+
+    rng = np.random.default_rng(11)
+    rows = lambda n, wide: [(i, *map(int, (b, b + e, c, c + f))) for i, (b, c, e, f) in enumerate(np.hstack([rng.integers(-40, 40, (n, 2)), rng.integers(1, wide, (n, 2))]))]
+    a, b = rows(200, 30), rows(150, 9)
+    a, b = a + a[:20], b + [(900, 0, 1, 200, 201)]
+    schema = "id long, b_z long, e_z long, b_y long, e_y long"
+    one, other = (spark.createDataFrame(r, schema).coalesce(1) for r in (a, b))
+    want = sorted((r[0], s[0]) for r in a for s in b if r[1] < s[2] and s[1] < r[2] and r[3] < s[4] and s[3] < r[4])
+    for most in (1 << 24, 50):
+        monkeypatch.setattr(J, "CANDIDATES", most)
+        assert sorted(map(tuple, J.overlap(one, other, ("z", "y"), (16, 8)).select("id", "id_o").collect())) == want
+    monkeypatch.setattr(J, "CANDIDATES", 1000)
+    assert busy(J.overlap(one, other, ("z",), (1000,))) > 4
+
+
+def busy(df):
+    """How many tasks have rows of the result."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
