@@ -5,7 +5,8 @@ its leaves hold about CELL of them, and every place is dealt to its leaf. The le
 each query which leaves it has to ask: those whose box its ball touches, or that lie nearer than its kth neighbour so far.
 A leaf that lies wholly within the radius is counted without being asked. A leaf's queries are dealt to parts of about
 ASKED, each beside the leaf's places, so neither a dense spot nor a leaf that many ask is one task's. Within its task a
-leaf is cut further, into cells of INNER, by the same splits.
+leaf is cut further, into cells of INNER, found through a tree of their boxes: leaves are a bounded number, so they grow
+with the places, and a query must not look at each of a leaf's cells.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from brickfield.functions.scratch import written
 
 #: Places that a leaf is meant to have, those of a cell within it, places of the sample, about, and those of it that a leaf has at least.
 CELL, INNER, SAMPLE, FEW = 512, 128, 1 << 16, 16
-#: Queries that a part of a leaf answers, about, and distances computed at once.
-ASKED, PAIRS = 1 << 13, 1 << 20
+#: Queries that a part of a leaf answers, about, distances computed at once, and rows dealt to leaves at once.
+ASKED, PAIRS, ROUTED = 1 << 13, 1 << 20, 1 << 17
 
 Cuts = dict[int, tuple[int, float]]
 
@@ -62,13 +63,14 @@ def route(cuts: Cuts, points: np.ndarray) -> np.ndarray:
     return leaf
 
 
-def between(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances of points from the nearest and the farthest place of each box."""
+def between(points: np.ndarray, low: np.ndarray, high: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of points from the nearest and the farthest place of each box, the latter if `both`."""
     near, far = np.zeros((len(points), len(low))), np.zeros((len(points), len(low)))
     for k in range(points.shape[1]):
         a, b = low[None, :, k] - points[:, None, k], points[:, None, k] - high[None, :, k]
         near += np.maximum(np.maximum(a, b), 0) ** 2
-        far += np.maximum(np.abs(a), np.abs(b)) ** 2
+        if both:
+            far += np.maximum(np.abs(a), np.abs(b)) ** 2
     return near, far
 
 
@@ -76,32 +78,87 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((a[:, None, k] - b[None, :, k]) ** 2 for k in range(a.shape[1]))
 
 
+Nodes = dict[int, tuple[int, np.ndarray, np.ndarray]]
+
+
+def tree(leaves: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> Nodes:
+    """What each leaf holds and its box, and those of the splits above, from their own; the children of i are 2 i and 2 i + 1."""
+    nodes: Nodes = {}
+    for leaf, *own in zip(leaves.tolist(), n.tolist(), low, high):
+        node = leaf
+        while node:
+            if node not in nodes:
+                nodes[node] = tuple(own)
+            else:
+                was = nodes[node]
+                nodes[node] = was[0] + own[0], np.minimum(was[1], own[1]), np.maximum(was[2], own[2])
+            node //= 2
+    return nodes
+
+
+def descend(nodes: Nodes, points: np.ndarray, reach: np.ndarray, whole: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaves, each with the rows of points whose squared distance `reach` its box meets; reach may shrink between them.
+
+    With `whole`, boxes that lie wholly within it add what they hold to it and are left out.
+    """
+    waiting = [(1, np.arange(len(points)))] if 1 in nodes else []
+    while waiting:
+        node, rows = waiting.pop()
+        holds, low, high = nodes[node]
+        near, far = between(points[rows], low[None], high[None], whole is not None)
+        meets = near[:, 0] <= reach[rows]
+        if whole is not None:
+            inside = far[:, 0] <= reach[rows]
+            whole[rows[inside]] += holds
+            meets &= ~inside
+        rows = rows[meets]
+        if not len(rows):
+            continue
+        below = [c for c in (2 * node, 2 * node + 1) if c in nodes]
+        waiting += [(c, rows) for c in below]
+        if not below:
+            yield node, rows
+
+
+def met(nodes: Nodes, points: np.ndarray, reach: np.ndarray, whole: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows and leaves of descend, about PAIRS at once."""
+    found, n = [], 0
+    for node, rows in descend(nodes, points, reach, whole):
+        found.append((rows, np.full(len(rows), node, dtype=np.int64)))
+        n += len(rows)
+        if n >= PAIRS:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+            found, n = [], 0
+    if found:
+        yield tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Leaf:
-    """Points of a leaf in cells of INNER at most: coordinates, and the ids or weights of each."""
+    """Points of a leaf in cells of INNER at most, found through a tree of their boxes: coordinates, and the ids of each, or its weight."""
 
     def __init__(self, points: np.ndarray, numbers: np.ndarray):
-        own = route(fit(points, INNER), points)
+        self.cuts = fit(points, INNER)
+        own = route(self.cuts, points)
         order = np.lexsort((numbers, own))
         self.points, self.numbers = points[order], numbers[order]
         starts = np.flatnonzero(np.diff(own[order], prepend=-1))
-        self.rows = [slice(i, j) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(points)])]
-        self.low, self.high = np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts)
+        cells = own[order][starts]
+        self.rows = {c: slice(i, j) for c, i, j in zip(cells.tolist(), starts.tolist(), [*starts[1:].tolist(), len(points)])}
+        self.nodes = tree(cells, np.add.reduceat(self.numbers, starts), np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts))
 
     def chunks(self, n: int) -> Iterator[slice]:
-        step = max(1, PAIRS // max(INNER, len(self.rows)))
+        step = max(1, PAIRS // INNER)
         return (slice(i, i + step) for i in range(0, n, step))
 
     def count(self, queries: np.ndarray, radius: float) -> np.ndarray:
         """The sum of the numbers of all points within radius of each query."""
-        out = np.zeros(len(queries), dtype=np.int64)
+        out, single = np.zeros(len(queries), dtype=np.int64), bool((self.numbers == 1).all())
         for part in self.chunks(len(queries)):
-            near, far = between(queries[part], self.low, self.high)
-            for c, rows in enumerate(self.rows):
-                whole = far[:, c] <= radius * radius
-                out[part][whole] += self.numbers[rows].sum()
-                some = np.flatnonzero((near[:, c] <= radius * radius) & ~whole)
-                if len(some):
-                    out[part.start + some] += (squared(queries[part][some], self.points[rows]) <= radius * radius) @ self.numbers[rows]
+            q, found = queries[part], out[part]
+            for cell, some in descend(self.nodes, q, np.full(len(q), radius * radius), found):
+                rows = self.rows[cell]
+                within = squared(q[some], self.points[rows]) <= radius * radius
+                found[some] += np.count_nonzero(within, axis=1) if single else within @ self.numbers[rows]
         return out
 
     def nearest(self, queries: np.ndarray, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,26 +166,32 @@ class Leaf:
         far, ids = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, dtype=np.int64)
         for part in self.chunks(len(queries)):
             q, least, best, limit = queries[part], far[part], ids[part], reach[part].copy()
-            near, _ = between(q, self.low, self.high)
-            first = near.argmin(axis=1)
-            for own in (True, False):  # the nearest cell of each query before the others, for its bound
-                for c, rows in enumerate(self.rows):
-                    some = np.flatnonzero(((first == c) == own) & (near[:, c] <= limit))
-                    if not len(some):
-                        continue
-                    d2, numbers = squared(q[some], self.points[rows]), self.numbers[rows]
-                    kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(some), np.inf)
-                    i, j = np.nonzero(d2 <= np.minimum(kth, limit[some])[:, None])
-                    order = np.lexsort((numbers[j], d2[i, j], i))
-                    i, j = i[order], j[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j, place = (x[place < k] for x in (i, j, place))
-                    more, named = np.full((len(some), 2 * k), np.inf), np.full((len(some), 2 * k), -1, dtype=np.int64)
-                    more[:, :k], named[:, :k] = least[some], best[some]
-                    more[i, k + place], named[i, k + place] = d2[i, j], numbers[j]
-                    pick = np.lexsort((named, more))[:, :k]
-                    least[some], best[some] = np.take_along_axis(more, pick, 1), np.take_along_axis(named, pick, 1)
-                    limit[some] = np.minimum(limit[some], least[some, k - 1])
+            home = route(self.cuts, q)
+
+            def look(cell: int, some: np.ndarray) -> None:
+                rows = self.rows[cell]
+                d2, numbers = squared(q[some], self.points[rows]), self.numbers[rows]
+                kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(some), np.inf)
+                i, j = np.nonzero(d2 <= np.minimum(kth, limit[some])[:, None])
+                order = np.lexsort((numbers[j], d2[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, place = (x[place < k] for x in (i, j, place))
+                more, named = np.full((len(some), 2 * k), np.inf), np.full((len(some), 2 * k), -1, dtype=np.int64)
+                more[:, :k], named[:, :k] = least[some], best[some]
+                more[i, k + place], named[i, k + place] = d2[i, j], numbers[j]
+                pick = np.lexsort((named, more))[:, :k]
+                least[some], best[some] = np.take_along_axis(more, pick, 1), np.take_along_axis(named, pick, 1)
+                limit[some] = np.minimum(limit[some], least[some, k - 1])
+
+            order = np.argsort(home, kind="stable")  # the cell that a query falls into before the others, for its bound
+            for some in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                if len(some):
+                    look(int(home[some[0]]), some)
+            for cell, some in descend(self.nodes, q, limit):
+                apart = some[home[some] != cell]
+                if len(apart):
+                    look(cell, apart)
         return far, ids
 
 
@@ -136,6 +199,19 @@ def places(batch: pa.RecordBatch, axes: Sequence[str]) -> np.ndarray:
     return np.stack([batch.column(a).to_numpy() for a in axes], axis=1) if batch.num_rows else np.zeros((0, len(axes)))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches put together to about ROUTED rows, so that a walk through all splits serves many."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROUTED:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def coordinates(df: DataFrame, axes: Sequence[str], *more: str) -> DataFrame:
     """df's coordinates as doubles, without -0.0, and further columns; rows without a finite place take no part."""
     rows = df.select(*more, *[(F.col(a).cast("double") + F.lit(0.0)).alias(a) for a in axes])
@@ -158,7 +234,7 @@ def dealt(rows: DataFrame, axes: Sequence[str], cuts: Cuts) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("leaf", T.LongType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             yield b.append_column("leaf", pa.array(route(known.value, places(b, axes))))
 
     return rows.mapInArrow(kernel, schema)
@@ -173,49 +249,11 @@ class Boxes:
         self.leaf, self.n = found.column("leaf").to_numpy(), found.column("n").to_numpy()
         self.low, self.high = (np.stack([found.column(f"{e}_{a}").to_numpy() for a in axes], axis=1).reshape(-1, len(axes)) for e in ("low", "high"))
 
-        # The boxes of the splits above the leaves, from their own; children of i are 2 i and 2 i + 1.
-        self.nodes: dict[int, list] = {}
-        for leaf, n, low, high in zip(self.leaf.tolist(), self.n.tolist(), self.low, self.high):
-            node = leaf
-            while node:
-                if node not in self.nodes:
-                    self.nodes[node] = [n, low, high]
-                else:
-                    was = self.nodes[node]
-                    self.nodes[node] = [was[0] + n, np.minimum(was[1], low), np.maximum(was[2], high)]
-                node //= 2
+        self.nodes = tree(self.leaf, self.n, self.low, self.high)
 
     def met(self, points: np.ndarray, reach: np.ndarray, whole: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of points the rows, and leaves, whose boxes lie within the squared distance `reach` of them.
-
-        With `whole`, boxes that lie wholly within it add what they hold to it and are left out.
-        """
-        found, n = [], 0
-        waiting = [(1, np.arange(len(points)))] if 1 in self.nodes else []
-        while waiting:
-            node, rows = waiting.pop()
-            holds, low, high = self.nodes[node]
-            near, far = between(points[rows], low[None], high[None])
-            near, far = near[:, 0], far[:, 0]
-            meets = near <= reach[rows]
-            if whole is not None:
-                inside = far <= reach[rows]
-                whole[rows[inside]] += holds
-                meets &= ~inside
-            rows = rows[meets]
-            if not len(rows):
-                continue
-            below = [c for c in (2 * node, 2 * node + 1) if c in self.nodes]
-            if below:
-                waiting += [(c, rows) for c in below]
-                continue
-            found.append((rows, np.full(len(rows), node, dtype=np.int64)))
-            n += len(rows)
-            if n >= PAIRS:
-                yield tuple(np.concatenate(x) for x in zip(*found))
-                found, n = [], 0
-        if found:
-            yield tuple(np.concatenate(x) for x in zip(*found))
+        """Of points the rows, and leaves, whose boxes lie within the squared distance `reach` of them; `whole` as in descend."""
+        return met(self.nodes, points, reach, whole)
 
 
 def asked(data: DataFrame, visits: DataFrame, axes: Sequence[str], number: str, answer: Callable[[Leaf, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -255,14 +293,14 @@ def count_within(points: DataFrame, axes: Sequence[str], radius: float, key: str
     spots = written(rows.groupBy(*axes).agg(F.count("*").alias("n")).withColumn("p", F.monotonically_increasing_id()), "places")
     cuts = partition(spots, axes, CELL)
     data = written(dealt(spots, axes, cuts), "leaves")
-    known = data.sparkSession.sparkContext.broadcast(Boxes(data, axes, "n"))
+    known = data.sparkSession.sparkContext.broadcast(Boxes(data, axes, "n").nodes)
     spot = ", ".join(f"`{a}` double" for a in axes)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, p, whole = places(b, axes), b.column("p").to_numpy(), np.zeros(b.num_rows, dtype=np.int64)
             row = lambda leaf, p, n, at: pa.record_batch([pa.array(x) for x in (leaf, p, n, np.zeros(len(p)), *at.T)], names=["leaf", "p", "n", "reach", *axes])
-            for i, leaf in known.value.met(at, np.full(len(at), float(radius) * float(radius)), whole):
+            for i, leaf in met(known.value, at, np.full(len(at), float(radius) * float(radius)), whole):
                 yield row(leaf, p[i], np.zeros(len(i), dtype=np.int64), at[i])
             # A place's own row, of leaf 0, has what its wholly covered leaves hold.
             yield row(np.zeros(len(at), dtype=np.int64), p, whole, at)
@@ -296,7 +334,7 @@ def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, ke
     spots = asks.select(*axes).distinct().withColumn("p", F.monotonically_increasing_id()).withColumn("reach", F.lit(float(radius) * float(radius)))
     spots = written(dealt(spots, axes, cuts), "queries")
     spot = ", ".join(f"`{a}` double" for a in axes)
-    known = data.sparkSession.sparkContext.broadcast(Boxes(data, axes, None))
+    known = data.sparkSession.sparkContext.broadcast(Boxes(data, axes, None).nodes)
 
     def answer(leaf: Leaf, b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
         reach = b.column("reach").to_numpy()
@@ -311,7 +349,7 @@ def k_nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, ke
         found, bound = answer(leaf, b)
         yield found
         at, p, home = places(b, axes), b.column("p").to_numpy(), b.column("leaf").to_numpy()
-        for i, leaves in known.value.met(at, bound):
+        for i, leaves in met(known.value, at, bound):
             apart = leaves != home[i]
             i, leaves = i[apart], leaves[apart]
             yield pa.record_batch([*map(pa.array, (leaves, p[i], bound[i], *at[i].T)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.float64())], names=["leaf", "p", "reach", *axes, "other", "d2"])

@@ -122,6 +122,45 @@ def test_a_bucket_of_boxes_is_many_tasks_work(spark, monkeypatch):
     assert busy(J.overlap(one, other, ("z",), (1000,))) > 4
 
 
+def test_a_query_looks_at_few_of_a_leafs_cells(monkeypatch):
+    """However large the leaf; counts and nearest points as by brute force, also of queries beside it."""
+    monkeypatch.setattr(N, "INNER", 16)
+    rng = np.random.default_rng(13)
+    points, queries, seen = rng.permutation(60 * 60 * 10)[:20_000], rng.integers(-5, 65, (300, 3)).astype(float), []
+    points = np.stack([points // 600, points // 10 % 60, points % 10], axis=1).astype(float)
+    d2 = N.squared(queries, points)
+    between = N.between
+    monkeypatch.setattr(N, "between", lambda p, low, *a: (seen.append(len(p) * len(low)), between(p, low, *a))[1])
+    for numbers in (np.ones(len(points), dtype=np.int64), rng.integers(1, 5, len(points))):
+        assert (N.Leaf(points, numbers).count(queries, 4.0) == (d2 <= 16) @ numbers).all()
+    ids = rng.permutation(len(points))
+    far, found = N.Leaf(points, ids).nearest(queries, 3, np.where(np.arange(300) % 3, np.inf, 4.0))
+    for i, (limit, row) in enumerate(zip(np.where(np.arange(300) % 3, np.inf, 4.0), d2)):
+        near = sorted((d, j) for d, j in zip(row.tolist(), ids.tolist()) if d <= limit)[:3]
+        near += [(np.inf, -1)] * (3 - len(near))
+        assert list(zip(far[i].tolist(), found[i].tolist())) == near
+    assert sum(seen) < 3 * 300 * 200  # of more than 1250 cells
+
+
+def test_rows_are_dealt_to_leaves_together():
+    batches = [N.pa.record_batch({"z": np.arange(1000.0) + 1000 * i}) for i in range(300)]
+    found = list(N.gathered(iter(batches)))
+    assert len(found) == 3 and np.concatenate([b.column("z").to_numpy() for b in found]).tolist() == list(range(300_000))
+    assert list(N.gathered(iter([]))) == []
+
+
+def test_broadcasts_need_no_package_on_executors(spark, monkeypatch):
+    """Broadcasts, unlike kernels, are pickled by the names of their classes."""
+    import pickle
+
+    sent, context = [], type(spark.sparkContext)
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (sent.append(value), broadcast(self, value))[1])
+    p = spark.range(2000).selectExpr("id", "double(id % 50) AS y", "double(id % 41) AS x")
+    assert N.count_within(p, ("y", "x"), 2.0).count() == N.k_nearest(p, p, ("y", "x"), 1, "id", "id").count() == 2000
+    assert len(sent) >= 4 and not any(b"brickfield" in pickle.dumps(value) for value in sent)
+
+
 def busy(df):
     """How many tasks have rows of the result."""
     return df.select(F.spark_partition_id().alias("p")).distinct().count()
