@@ -6,12 +6,16 @@ Cells that are null, as with_halo() leaves them outside a volume, count as what
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickfield.functions.cells import ABSENT, AXES, Grid, explode, gather, kernel, kind_of, moved
+from brickfield.functions.cells import ABSENT, AT_ONCE, AXES, Grid, explode, gather, kernel, kind_of, moved
+
+KEYS = ["batch_id", "bz", "by", "bx"]
 
 
 def with_halo(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], name: str = "value") -> tuple[DataFrame, Grid]:
@@ -21,12 +25,17 @@ def with_halo(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], na
     returned is the grown one; cells outside the volume are null.
     """
     grid = Grid(tuple(b + 2 * m for b, m in zip(block, margin)))
+    return gather(beside_blocks(voxels, block, margin), grid, KEYS, name), grid
+
+
+def beside_blocks(voxels: DataFrame, block: Sequence[int], margin: Sequence[int]) -> DataFrame:
+    """voxels beside each block whose grown box holds them, z, y and x being their place in that."""
     for axis, b, m in zip(AXES, block, margin):
         first, last = F.floor((F.col(axis) - m) / b).cast("int"), F.floor((F.col(axis) + m) / b).cast("int")
         voxels = voxels.withColumn(f"b{axis}", F.explode(F.sequence(first, last)))
     for axis, b, m in zip(AXES, block, margin):
         voxels = voxels.withColumn(axis, F.col(axis) - F.col(f"b{axis}") * b + m)
-    return gather(voxels, grid, ["batch_id", "bz", "by", "bx"], name), grid
+    return voxels
 
 
 def whole_volume(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], compute: Callable[[Column, Grid], dict[str, Column]], name: str = "value") -> DataFrame:
@@ -43,6 +52,57 @@ def whole_volume(voxels: DataFrame, block: Sequence[int], margin: Sequence[int],
     return cells.select("batch_id", *[(F.col(f"b{a}") * b + F.col(a)).cast("long").alias(a) for a, b in zip(AXES, block)], *[F.col(f"_{n}").alias(n) for n in made])
 
 
+def sorted_volume(voxels: DataFrame, block: Sequence[int], margin: Sequence[int], compute: Callable[[np.ndarray], dict[str, np.ndarray]], names: Sequence[str], name: str = "value") -> DataFrame:
+    """whole_volume() by a function of arrays: compute(cells) of (block, z, y, x), NaN where there is no voxel, gives such an array of doubles for each of names.
+
+    A task gets its voxels in the order of blocks and puts some AT_ONCE cells of blocks together at once, so that no block is a
+    row, and memory grows neither with blocks nor with batches.
+    """
+    grid = Grid(tuple(b + 2 * m for b, m in zip(block, margin)))
+    rows = beside_blocks(voxels.where(F.col(name).isNotNull()), block, margin).select(*KEYS, grid.index(*[F.col(a) for a in AXES]).cast("int").alias("_i"), F.col(name).cast("double").alias("_v"))
+    rows = rows.repartition(int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS).sortWithinPartitions(*KEYS)
+    inside = (slice(None), *[slice(m, m + b) for b, m in zip(block, margin)])
+    step = max(1, AT_ONCE // grid.size)
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        """The first row of each block."""
+        new = np.zeros(max(0, len(rows) - 1), dtype=bool)
+        for k in KEYS:
+            after, before = rows.column(k).slice(1), rows.column(k).slice(0, len(new))
+            new |= pc.or_(pc.not_equal(after, before).fill_null(False), pc.xor(after.is_null(), before.is_null())).to_numpy()
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    def made(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, values = rows.column("_i").to_numpy(), rows.column("_v").to_numpy()
+        for k in range(0, len(first), step):
+            own = first[k : k + step]
+            low, high = own[0], first[k + step] if k + step < len(first) else len(rows)
+            cells = np.full((len(own), grid.size), math.nan)
+            cells[np.searchsorted(own, np.arange(low, high), side="right") - 1, at[low:high]] = values[low:high]
+            cells = cells.reshape(-1, *grid.shape)
+            here = np.nonzero(~np.isnan(cells[inside]))
+            found = {n: pa.array(v[inside][here]) for n, v in compute(cells).items()}
+            places = {a: pa.array(rows.column(f"b{a}").to_numpy()[own].astype(np.int64)[here[0]] * b + c) for a, b, c in zip(AXES, block, here[1:])}
+            yield pa.record_batch({"batch_id": rows.column("batch_id").take(pa.array(own[here[0]])).combine_chunks()} | places | found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n >= AT_ONCE:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                first = starts(rows)
+                yield from made(rows.slice(0, first[-1]), first[:-1])  # the last block may go on
+                held = rows.take(pa.array(np.arange(first[-1], len(rows)))).to_batches()
+                n = len(rows) - first[-1]
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield from made(rows, starts(rows))
+
+    batch_kind = voxels.schema["batch_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"batch_id {batch_kind}, z long, y long, x long, " + ", ".join(f"{n} double" for n in names))
+
+
 def crop_block(data: Column, grid: Grid, begin: Sequence[int], shape: Sequence[int], kind: str = "double") -> tuple[Column, Grid]:
     inside = (slice(None), *[slice(b, b + n) for b, n in zip(begin, shape)])
     return kernel(lambda v: v[inside], grid, kind, data), Grid(tuple(shape))

@@ -16,9 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brickfield.functions.cells import AXES, Grid, few, gather, kind_of, stacked
 from brickfield.functions.geometry import Box
-from brickfield.operators.blocks import between
-
-KEYS = ["batch_id", "bz", "by", "bx"]
+from brickfield.operators.blocks import KEYS, between
 
 
 def in_blocks(voxels: DataFrame, block: Sequence[int], name: str, fill: float | None = 0) -> tuple[DataFrame, Grid]:
@@ -174,6 +172,7 @@ def boundary_distance(labels: DataFrame, extent: Sequence[int], size: Sequence[f
     distances go along one axis after the other, a shuffle of lines each, in runs of `width` places along x.
     """
     nz, ny, nx = extent
+    width = min(width, nx)
     faces = []
     for k, a in enumerate(AXES):
         here = [F.col(o) * 2 + (1 if o == a else 0) for o in AXES]

@@ -186,7 +186,7 @@ def volume_distance_gradients(spark: SparkSession, d: str) -> DataFrame:
     """By axis the slope of the distance to the nearest boundary, however far, over blocks."""
     labels = volumes(spark, d).withColumn("label", F.when(F.col("value") > 0.3, 2).otherwise(1)).drop("value")
     far = U.boundary_distance(labels, EXTENT)
-    made = B.whole_volume(far, BLOCK, (1, 1, 1), lambda v, g: {f"d{a}": B.gradient(v, g, i) for i, a in enumerate(AXES)}, "distance")
+    made = B.sorted_volume(far, BLOCK, (1, 1, 1), lambda v: {f"d{a}": B.slope(v, i, 1.0) for i, a in enumerate(AXES, 1)}, [f"d{a}" for a in AXES], "distance")
     return made.select("batch_id", *AXES, *[(F.round(f"d{a}", 5) + F.lit(0.0)).alias(f"d{a}") for a in AXES])
 
 

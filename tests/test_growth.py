@@ -192,3 +192,26 @@ def test_labels_by_tiles_are_those_of_their_voxels(spark, each):
     assert got == want and len({r[:3] for r in got}) == len(got) > 1000
     got, want = (sorted(map(tuple, G.vector_map(nodes, edges, nodes, 3.0, labels=x).collect())) for x in (by_tile, by_voxel))
     assert got == want and len(got) > 1000
+
+
+def test_slopes_of_a_volume_make_no_rows_of_blocks(spark):
+    from brickfield.plans import lattice_queries as L
+
+    text = plan(L.QUERIES["volume_distance_gradients"](spark, SF))
+    assert "ArrowEvalPython" not in text and "collect_list" not in text
+
+
+@pytest.mark.parametrize("most", [1, 3000, 1 << 18])
+def test_sorted_volume_is_the_whole_volume(spark, monkeypatch, most):
+    """However many cells come at once; with gaps, nulls, places below 0 and voxels of no batch."""
+    from brickfield.operators import blocks as B
+
+    rng = np.random.default_rng(19)
+    rows = [(batch, *map(int, p), float(v) if v < 0.9 else None) for batch in (3, None, 7) for p, v in zip(np.unique(rng.integers(-9, 23, (3000, 3)), axis=0), rng.random(3000))]
+    voxels = spark.createDataFrame(rows, "batch_id long, z long, y long, x long, value double").repartition(3)
+    want = B.whole_volume(voxels, (8, 4, 16), (1, 2, 1), lambda v, g: {f"d{a}": B.gradient(v, g, i) for i, a in enumerate("zyx")})
+    monkeypatch.setattr(B, "AT_ONCE", most)
+    got = B.sorted_volume(voxels, (8, 4, 16), (1, 2, 1), lambda v: {f"d{a}": B.slope(v, i, 1.0) for i, a in enumerate("zyx", 1)}, ["dz", "dy", "dx"])
+    assert got.dtypes == want.dtypes
+    key = lambda r: (r[0] is not None, *(x if x is not None else 0 for x in r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and got.count() > 6000
