@@ -41,19 +41,22 @@ def nearest(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, radi
     return within_radius(left, right, axes, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Candidate pairs of a part of a bucket, about.
-CANDIDATES = 1 << 24
+#: Candidate pairs of a part of a bucket, about, and boxes of a group.
+CANDIDATES, GROUP = 1 << 24, 1 << 16
 
 
 def overlap(boxes: DataFrame, others: DataFrame, axes: Sequence[str], bucket: Sequence[int]) -> DataFrame:
     """Pairs of boxes that overlap; others' columns have suffix _o. A pair is kept in its first shared bucket alone.
 
     A bucket's boxes are dealt to parts, each beside all of the bucket's others, so that all tasks make pairs however few
-    files or buckets the boxes come from. Pairs themselves are not shuffled.
+    files or buckets the boxes come from. Boxes at one place are a group, and groups are compared; pairs of those that overlap
+    are made last and not shuffled. They come by the place of the other, each box beside the same run of others, so that
+    they pack well when written.
     """
+    columns = {c: "_row" for c in boxes.columns} | {f"{c}_o": "_row_o" for c in others.columns}
     others = others.toDF(*[f"{c}_o" for c in others.columns])
-    hashed = [f.name for f in boxes.schema.fields if "map<" not in f.dataType.simpleString()]
-    keys, row = [f"_k{a}" for a in axes], F.xxhash64(*hashed)
+    keys = [f"_k{a}" for a in axes]
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(df: DataFrame, end: str = "") -> DataFrame:
         """df in each of its buckets, and whether that is its first along an axis."""
@@ -62,14 +65,26 @@ def overlap(boxes: DataFrame, others: DataFrame, axes: Sequence[str], bucket: Se
             df = df.withColumn(f"_k{a}", F.explode(F.sequence(first, F.floor((F.col(f"e_{a}{end}") - 1) / n)))).withColumn(f"_f{a}{end}", F.col(f"_k{a}") == first)
         return df
 
-    boxes, others = spread(boxes), spread(others, "_o")
+    def grouped(df: DataFrame, count: Column, end: str = "") -> DataFrame:
+        """df by part, a row for the boxes at one place, of so many in the part; in the order of places."""
+        place = [f"{e}_{a}{end}" for e in "be" for a in axes] + [f"_f{a}{end}" for a in axes]
+        rest = [c for c in df.columns if c not in (*keys, *place, "_hash", "_part", "_parts", "_n", "_m")]
+        df = df.withColumn("_piece", F.pmod(F.shiftright("_hash", 20), F.ceil(count / GROUP)))
+        rows = df.repartition(tasks, *keys, "_part").groupBy(*keys, "_part", *place, "_piece").agg(F.collect_list(F.struct(*rest)).alias(f"_rows{end}")).drop("_piece")
+        # Spark drops a sort below a join, except under a filter that isn't deterministic, as this one of all rows.
+        return rows.sortWithinPartitions(*keys, "_part", *place).where(F.spark_partition_id() >= 0)
+
+    hashes = [F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]) for df in (boxes, others)]
+    boxes, others = (spread(df.withColumn("_hash", h), end) for df, h, end in zip((boxes, others), hashes, ("", "_o")))
     counts = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).join(others.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
-    parts = counts.select(*keys, F.least("_n", F.ceil(F.col("_n") * F.col("_m") / CANDIDATES)).cast("int").alias("_parts"))
-    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = boxes.join(parts, keys).withColumn("_part", F.pmod(row, F.col("_parts")).cast("int")).drop("_parts")
-    right = others.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    left, right = (df.repartition(tasks, *keys, "_part") for df in (left, right))
+    parts = counts.select(*keys, "_n", "_m", F.least("_n", F.ceil(F.col("_n") * F.col("_m") / CANDIDATES)).cast("int").alias("_parts"))
+    left = grouped(boxes.join(parts, keys).withColumn("_part", F.pmod("_hash", F.col("_parts")).cast("int")), F.col("_n") / F.col("_parts"))
+    right = grouped(others.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))), F.col("_m"), "_o")
     test: Column = F.lit(True)
     for a in axes:
         test &= (F.col(f"_f{a}") | F.col(f"_f{a}_o")) & (F.col(f"b_{a}") < F.col(f"e_{a}_o")) & (F.col(f"b_{a}_o") < F.col(f"e_{a}"))
-    return left.join(right.hint("merge"), [*keys, "_part"]).where(test).drop(*keys, "_part", *[f"_f{a}{end}" for a in axes for end in ("", "_o")])
+    pairs = right.join(left.hint("merge"), [*keys, "_part"]).where(test)
+    for end in ("", "_o"):
+        pairs = pairs.withColumn(f"_row{end}", F.explode(f"_rows{end}"))
+    place = {f"{e}_{a}{end}" for e in "be" for a in axes for end in ("", "_o")}
+    return pairs.select(*[F.col(c) if c in place else F.col(f"{row}.{c}") for c, row in columns.items()])

@@ -122,6 +122,26 @@ def test_a_bucket_of_boxes_is_many_tasks_work(spark, monkeypatch):
     assert busy(J.overlap(one, other, ("z",), (1000,))) > 4
 
 
+def test_pairs_of_boxes_come_in_the_order_of_places(spark, monkeypatch):
+    """However boxes lie in their files: by the other's place, and there each box meets the same run of others, so that pairs pack well when written."""
+    from brickfield.operators import joins as J
+
+    boxes = spark.range(800, numPartitions=1).selectExpr("id", "id * 211 % 200 AS b_z", "id * 211 % 200 + 5 AS e_z")
+    others = spark.range(600, numPartitions=1).selectExpr("id", "id * 113 % 150 AS b_z", "id * 113 % 150 + 3 AS e_z")
+    rows = J.overlap(boxes, others, ("z",), (2000,)).select("b_z", "id", "b_z_o", "id_o").collect()  # of one bucket, so one task
+    assert [(r.b_z_o, r.b_z) for r in rows] == sorted((r.b_z_o, r.b_z) for r in rows)
+    runs = {}
+    for r, before in zip(rows, [None, *rows]):
+        if before is None or (r.b_z_o, r.id) != (before.b_z_o, before.id):
+            assert (r.b_z_o, r.id) not in runs
+            runs[r.b_z_o, r.id] = []
+        runs[r.b_z_o, r.id].append(r.id_o)
+    assert len({(p, tuple(run)) for (p, _), run in runs.items()}) == 150 and all(len(run) == 4 for run in runs.values())
+    monkeypatch.setattr(J, "GROUP", 3)
+    again = J.overlap(boxes, others, ("z",), (16,)).select("b_z", "id", "b_z_o", "id_o").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows)) and len(set(map(tuple, again))) == len(again)
+
+
 def test_a_query_looks_at_few_of_a_leafs_cells(monkeypatch):
     """However large the leaf; counts and nearest points as by brute force, also of queries beside it."""
     monkeypatch.setattr(N, "INNER", 16)
